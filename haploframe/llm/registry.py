@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 
 
 def queries() -> dict:
-    return {"op5_source_mix": mixing.op5_source_mix}
+    return {"op1_warc_revisits": warc.op1_warc_revisits, "op5_source_mix": mixing.op5_source_mix}
 
 
 def oracle_sql() -> dict:
-    return {"op5_source_mix": mixing.oracle()}
+    return {"op1_warc_revisits": warc.ORACLE, "op5_source_mix": mixing.oracle()}
