@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import lines, mixing, warc
 
 
 def queries() -> dict:
-    return {"op1_warc_revisits": warc.op1_warc_revisits, "op5_source_mix": mixing.op5_source_mix}
+    return {"op1_warc_revisits": warc.op1_warc_revisits, "op5_source_mix": mixing.op5_source_mix, "op8_line_dedup": lines.op8_line_dedup}
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc_revisits": warc.ORACLE, "op5_source_mix": mixing.oracle()}
+    return {"op1_warc_revisits": warc.ORACLE, "op5_source_mix": mixing.oracle(), "op8_line_dedup": lines.ORACLE}
