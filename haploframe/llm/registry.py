@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, warc
+from . import fingerprints, lines, mixing, warc
 
 
 def queries() -> dict:
-    return {"op1_warc_revisits": warc.op1_warc_revisits, "op5_source_mix": mixing.op5_source_mix, "op8_line_dedup": lines.op8_line_dedup}
+    return {"op1_warc_revisits": warc.op1_warc_revisits, "op5_source_mix": mixing.op5_source_mix, "op8_line_dedup": lines.op8_line_dedup, "op9_fingerprints": fingerprints.op9_fingerprints}
 
 
 def oracle_sql() -> dict:
