@@ -1,6 +1,50 @@
+"""A training corpus in five stages; each reads what its predecessor kept and wrote.
+
+toxicity drops documents scored 0.5 or more; line dedup cuts later copies of line runs from texts; the n-gram join
+keeps one document (smallest doc_id, then text) of each component; decontamination drops documents that hold a
+benchmark item; mixing gives each document the number of words the mix takes from it and drops those it takes none of.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haploframe.llm import decontamination, jaccard, lines, mixing, toxicity
+from haploframe.llm.common import documents, keep
+
+#: Mixing and the near-duplicate join have no SQL form together with a trained classifier; tests compare each stage by brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else found.select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mix_sources(docs)
+    return taken.filter("taken > 0")
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("n-gram join", keep_one_of_each), ("decontamination", decontaminate), ("mixing", mix)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -238,5 +238,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "uid", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those linked to a row of smaller (doc_id, text hash); rows without words stay, repeated rows leave but one."""
+    found = jaccard_components(docs).filter("n_shingles > 0").select("doc_id", "uid", "component_id").distinct()
+    # The smallest of each component stays: it is the one whose id is the component's; of several texts under that id, one.
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
+    gone = found.join(first, found["component_id"].eqNullSafe(first["component_id"])).filter(F.struct("doc_id", "uid") > F.col("first")).select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_uid")), "left_anti")
+
+
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).drop("uid")

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, jaccard, lines, mixing, substrings, suffixes, warc
+from . import decontamination, fingerprints, jaccard, language, lines, mixing, substrings, suffixes, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_warc_revisits": warc.op1_warc_revisits, "op2_benchmark_leaks": decontamination.op2_benchmark_leaks, "op3_jaccard_join": jaccard.op3_jaccard_join, "op5_source_mix": mixing.op5_source_mix, "op6_substring_dedup": substrings.op6_substring_dedup, "op7_suffix_dedup": suffixes.op7_suffix_dedup, "op8_line_dedup": lines.op8_line_dedup, "op9_fingerprints": fingerprints.op9_fingerprints}
+    return {
+        "op1_warc_revisits": warc.op1_warc_revisits,
+        "op2_benchmark_leaks": decontamination.op2_benchmark_leaks,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_source_mix": mixing.op5_source_mix,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
+        "op7_suffix_dedup": suffixes.op7_suffix_dedup,
+        "op8_line_dedup": lines.op8_line_dedup,
+        "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op10_language": language.op10_language,
+    }
 
 
 def oracle_sql() -> dict:
