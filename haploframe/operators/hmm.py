@@ -1,0 +1,108 @@
+"""The hidden Markov model: emissions, transitions, forward, backward and posteriors.
+
+Emissions and transitions are column expressions. The recursion over markers runs over one sample's row at a time,
+vectorised over states, in an Arrow function: one shuffle by sample, no order between samples. Rows of a sample may
+come in blocks of markers; results don't depend on them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import AS_IMPLEMENTED, LOG_ZERO, MISSING, HMMParameters
+
+LN10 = float(np.log(10.0))
+
+
+def state_alleles(states: DataFrame, alleles: DataFrame) -> DataFrame:
+    """marker_idx, state, hap0, hap1, a0, a1: the panel's alleles of each state, a missing one as 255."""
+    one = lambda n: alleles.select("marker_idx", F.col("hap_idx").alias(f"hap{n}"), F.coalesce("allele", F.lit(MISSING)).alias(f"a{n}"))
+    s = states.join(one(0), ["marker_idx", "hap0"], "left").join(one(1), ["marker_idx", "hap1"], "left")
+    return s.select("marker_idx", "state", "hap0", "hap1", F.coalesce("a0", F.lit(MISSING)).alias("a0"), F.coalesce("a1", F.lit(MISSING)).alias("a1"))
+
+
+def emissions(gl: DataFrame, states: DataFrame) -> DataFrame:
+    """sample_idx, marker_idx, state, log_e: the likelihood of the state's genotype; anything beyond 0 or 1 ALT counts as 2."""
+    g = F.col("a0") + F.col("a1")
+    return gl.join(states, "marker_idx").select("sample_idx", "marker_idx", "state", F.when(g == 0, F.col("ll_00")).when(g == 1, F.col("ll_01")).otherwise(F.col("ll_11")).alias("log_e"))
+
+
+def transitions(marks: DataFrame, p: HMMParameters) -> DataFrame:
+    """marker_idx, rho, log_stay, log_switch (log10) from each marker to the next. marks: marker_idx, chrom, morgans."""
+    ahead = marks.withColumn("next", F.lead("morgans").over(Window.partitionBy("chrom").orderBy("marker_idx"))).filter(F.col("next").isNotNull())
+    gap = F.greatest(F.lit(0.0), F.col("next") - F.col("morgans"))
+    rho = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.exp(gap * (-4.0 * p.ne * p.rho_rate))))
+    share = F.col("rho") / (2.0 * p.ne)
+    log = lambda x: F.when(x < 1e-300, F.lit(LOG_ZERO)).otherwise(F.log10(x))
+    return ahead.withColumn("rho", rho).select("marker_idx", "rho", log(1 - F.col("rho") + share).alias("log_stay"), log(share).alias("log_switch"))
+
+
+def log_sum(x: np.ndarray, axis: int, seed: float | None) -> np.ndarray:
+    """ln of the sum of exponentials along an axis, over an extra term of value seed if there is one."""
+    top = x.max(axis=axis, keepdims=True)
+    if seed is not None:
+        top = np.maximum(top, seed)
+    total = np.exp(x - top).sum(axis=axis, keepdims=True) + (0.0 if seed is None else np.exp(seed - top))
+    return (top + np.log(total)).squeeze(axis)
+
+
+def forward_backward(e: np.ndarray, stay: np.ndarray, switch: np.ndarray, seed: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward values, scales, backward values and log posteriors of emissions (markers x states), all in natural logs."""
+    m, k = e.shape
+    alpha, beta, scale = np.empty((m, k)), np.zeros((m, k)), np.empty(m)
+    eye = np.eye(k, dtype=bool)
+    for i in range(m):
+        row = e[0] if i == 0 else log_sum(alpha[i - 1][:, None] + np.where(eye, stay[i - 1], switch[i - 1]), 0, seed) + e[i]
+        scale[i] = row.max()
+        alpha[i] = row - scale[i]
+    for i in range(m - 2, -1, -1):
+        beta[i] = log_sum(np.where(eye, stay[i], switch[i]) + (e[i + 1] + beta[i + 1])[None, :], 1, seed)
+    post = alpha + beta
+    return alpha, scale, beta, post - log_sum(post, 1, seed)[:, None]
+
+
+def recursion(stay: list[float], switch: list[float], mode: str) -> Callable:
+    s, w = np.array(stay), np.array(switch)
+    if mode == AS_IMPLEMENTED:  # the first matrix serves all steps, and logs of both bases are summed as they are
+        s, w = np.full(len(s), s[0] if len(s) else 0.0), np.full(len(w), w[0] if len(w) else 0.0)
+        unit, seed = 1.0, LOG_ZERO
+    else:
+        unit, seed = LN10, None
+    s, w = s * unit, w * unit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sample, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+                v = cells.values
+                marker, state, e = (v.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                k = int(state.max()) + 1
+                out = forward_backward(e.reshape(-1, k) * unit, s, w, seed)
+                alpha, scale, beta, post = out[0].ravel(), np.repeat(out[1], k), out[2].ravel(), out[3].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), sample), pa.int32()), pa.array(marker), pa.array(state), pa.array(alpha), pa.array(scale), pa.array(beta), pa.array(post)], ["sample_idx", "marker_idx", "state", "alpha", "scale", "beta", "log_post"])
+
+    return run
+
+
+def posteriors(em: DataFrame, trans: DataFrame, mode: str = AS_IMPLEMENTED) -> DataFrame:
+    """sample_idx, marker_idx, state, alpha, scale, beta, log_post (natural logs). The transitions, two numbers a marker of one chromosome, come to the driver."""
+    t = trans.select("marker_idx", "log_stay", "log_switch").orderBy("marker_idx").toArrow()
+    cells = em.select(F.col("sample_idx").cast("int").alias("sample_idx"), F.struct(F.col("marker_idx").cast("int").alias("m"), F.col("state").cast("int").alias("s"), F.col("log_e").cast("double").alias("e")).alias("c"))
+    rows = cells.groupBy("sample_idx").agg(F.array_sort(F.collect_list("c")).alias("cells"))
+    return rows.mapInArrow(recursion(t["log_stay"].to_pylist(), t["log_switch"].to_pylist(), mode), "sample_idx int, marker_idx int, state int, alpha double, scale double, beta double, log_post double")
+
+
+def forward_fold(em: DataFrame, stay: float, switch: float) -> DataFrame:
+    """sample_idx and alphas, the scaled forward rows, by a fold inside the JVM with one transition for all steps: for short marker lists."""
+    rows = em.groupBy("sample_idx", "marker_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "log_e"))), lambda x: x["log_e"].cast("double")).alias("e"))
+    rows = rows.groupBy("sample_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("marker_idx", "e"))), lambda x: x["e"]).alias("es"))
+    less = lambda x: F.transform(x, lambda v: v - F.array_max(x))
+    lse = lambda xs: F.log(F.aggregate(xs, F.exp(F.lit(LOG_ZERO) - F.greatest(F.lit(LOG_ZERO), F.array_max(xs))), lambda a, v: a + F.exp(v - F.greatest(F.lit(LOG_ZERO), F.array_max(xs))))) + F.greatest(F.lit(LOG_ZERO), F.array_max(xs))
+    step = lambda last, e: F.transform(e, lambda v, j: lse(F.transform(last, lambda a, i: a + F.when(i == j, stay).otherwise(switch))) + v)
+    first = F.array(less(F.get("es", F.lit(0))))
+    fold = F.aggregate(F.slice("es", 2, F.greatest(F.size("es") - 1, F.lit(0))), first, lambda acc, e: F.concat(acc, F.transform(F.array(step(F.element_at(acc, -1), e)), less)))
+    return rows.select("sample_idx", fold.alias("alphas"))
