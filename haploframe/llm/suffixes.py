@@ -89,7 +89,8 @@ def solve(group: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.
     many = np.flatnonzero(np.bincount(group[first], minlength=int(group.max()) + 1)[group[first]] > 1)
     if len(many):
         rows = first[many]
-        flags[many] |= column_flags(group[rows], offset[rows], windows[rows], [contents[i] for i in rows])
+        found = column_flags(group[rows], offset[rows], windows[rows], [contents[i] for i in rows])
+        flags[many, : found.shape[1]] |= found
     return flags[of][np.arange(flags.shape[1]) < windows[:, None]]
 
 
