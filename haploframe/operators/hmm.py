@@ -1,8 +1,7 @@
 """The hidden Markov model: emissions, transitions, forward, backward and posteriors.
 
-Emissions and transitions are column expressions. The recursion over markers runs over one sample's row at a time,
-vectorised over states, in an Arrow function: one shuffle by sample, no order between samples. Rows of a sample may
-come in blocks of markers; results don't depend on them.
+Emissions and transitions are column expressions. The recursion over markers runs over many samples at a time,
+vectorised over samples and states, in an Arrow function: one shuffle by sample, no order between samples.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from ..config import AS_IMPLEMENTED, LOG_ZERO, MISSING, HMMParameters
 
 LN10 = float(np.log(10.0))
+#: Cells (markers x states) of all samples that are worked on at once.
+CELLS = 1 << 19
 
 
 def state_alleles(states: DataFrame, alleles: DataFrame) -> DataFrame:
@@ -52,18 +53,18 @@ def log_sum(x: np.ndarray, axis: int, seed: float | None) -> np.ndarray:
 
 
 def forward_backward(e: np.ndarray, stay: np.ndarray, switch: np.ndarray, seed: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward values, scales, backward values and log posteriors of emissions (markers x states), all in natural logs."""
-    m, k = e.shape
-    alpha, beta, scale = np.empty((m, k)), np.zeros((m, k)), np.empty(m)
+    """Scaled forward values, scales, backward values and log posteriors of emissions (… x markers x states), all in natural logs."""
+    m, k = e.shape[-2:]
+    alpha, beta, scale = np.empty(e.shape), np.zeros(e.shape), np.empty(e.shape[:-1])
     eye = np.eye(k, dtype=bool)
     for i in range(m):
-        row = e[0] if i == 0 else log_sum(alpha[i - 1][:, None] + np.where(eye, stay[i - 1], switch[i - 1]), 0, seed) + e[i]
-        scale[i] = row.max()
-        alpha[i] = row - scale[i]
+        row = e[..., 0, :] if i == 0 else log_sum(alpha[..., i - 1, :, None] + np.where(eye, stay[i - 1], switch[i - 1]), -2, seed) + e[..., i, :]
+        scale[..., i] = row.max(-1)
+        alpha[..., i, :] = row - scale[..., i, None]
     for i in range(m - 2, -1, -1):
-        beta[i] = log_sum(np.where(eye, stay[i], switch[i]) + (e[i + 1] + beta[i + 1])[None, :], 1, seed)
+        beta[..., i, :] = log_sum(np.where(eye, stay[i], switch[i]) + (e[..., i + 1, :] + beta[..., i + 1, :])[..., None, :], -1, seed)
     post = alpha + beta
-    return alpha, scale, beta, post - log_sum(post, 1, seed)[:, None]
+    return alpha, scale, beta, post - log_sum(post, -1, seed)[..., None]
 
 
 def recursion(stay: list[float], switch: list[float], mode: str) -> Callable:
@@ -77,13 +78,22 @@ def recursion(stay: list[float], switch: list[float], mode: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sample, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = cells.values
-                marker, state, e = (v.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                k = int(state.max()) + 1
-                out = forward_backward(e.reshape(-1, k) * unit, s, w, seed)
-                alpha, scale, beta, post = out[0].ravel(), np.repeat(out[1], k), out[2].ravel(), out[3].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), sample), pa.int32()), pa.array(marker), pa.array(state), pa.array(alpha), pa.array(scale), pa.array(beta), pa.array(post)], ["sample_idx", "marker_idx", "state", "alpha", "scale", "beta", "log_post"])
+            samples, cells = batch.column(0).to_numpy(), batch.column(1)
+            flat, ends = cells.flatten(), cells.offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            marker, state, e = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            size = np.diff(ends)
+            # Samples of one size go together, a bounded number of cells at once.
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                for at in range(0, len(rows), step := max(1, CELLS // max(1, int(n)))):
+                    some = rows[at : at + step]
+                    take = ends[some][:, None] + np.arange(n)
+                    k = int(state[take[0]].max()) + 1
+                    out = forward_backward(e[take].reshape(len(some), -1, k) * unit, s, w, seed)
+                    take = take.ravel()
+                    columns = [np.repeat(samples[some], n).astype(np.int32), marker[take], state[take], out[0].ravel(), np.repeat(out[1].ravel(), k), out[2].ravel(), out[3].ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sample_idx", "marker_idx", "state", "alpha", "scale", "beta", "log_post"])
 
     return run
 
