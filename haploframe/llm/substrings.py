@@ -24,12 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .suffixes import content_keys
-from .tokens import word_bounds, word_hashes
+from .tokens import content_keys, word_bounds, word_hashes
 from .windows import merged, numbered, repeated, with_cuts
 
 WIDTH = 20
-GRAM = 6
+GRAM = 4
 GROUPED_ROWS = 20000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -178,7 +177,7 @@ def dedup_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of docs."""
     d = numbered(docs)
     id_type = d.schema["doc_id"].dataType.simpleString()
-    return with_cuts(d, repeated(d, "words", WIDTH, GRAM, solve, GROUPED_ROWS)).mapInArrow(cut_texts, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
+    return with_cuts(d, repeated(d, "words", WIDTH, GRAM, solve, GROUPED_ROWS, earlier=True)).mapInArrow(cut_texts, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .tokens import BASE, mix, powers
+from .tokens import content_keys
 from .windows import merged, numbered, repeated, with_cuts
 
 WIDTH = 400
@@ -30,16 +30,6 @@ GRAM = 32
 GROUPED_ROWS = 4000
 
 
-def content_keys(contents: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each content."""
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    ends = np.cumsum([len(c) for c in contents])
-    sums = np.zeros(len(data) + 1, np.uint64)
-    place = np.arange(len(data)) - np.repeat(np.concatenate(([0], ends[:-1])), np.diff(ends, prepend=0))
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, int(place.max(initial=0)) + 1)[place], out=sums[1:])
-    return mix(sums[ends] - sums[np.concatenate(([0], ends[:-1]))] + ends.astype(np.uint64) * np.uint64(0) + np.diff(ends, prepend=0).astype(np.uint64))
-
-
 def column_flags(group: np.ndarray, offset: np.ndarray, windows: np.ndarray, contents: list[bytes], width: int = WIDTH) -> np.ndarray:
     """For distinct contents aligned at their anchors: a row of window flags each, True where the window is also in another one."""
     n, right = len(contents), int(offset.max())
@@ -114,7 +104,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs."""
     d = numbered(docs)
     id_type = d.schema["doc_id"].dataType.simpleString()
-    return with_cuts(d, repeated(d, "bytes", WIDTH, GRAM, solve, GROUPED_ROWS)).mapInArrow(cut_texts, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_cuts(d, repeated(d, "bytes", WIDTH, GRAM, solve, GROUPED_ROWS, earlier=False)).mapInArrow(cut_texts, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,3 +86,20 @@ def gram_hashes(items: np.ndarray, k: int) -> np.ndarray:
         h *= BASE
         h += items[j : j + n]
     return mix(h)
+
+
+def content_keys(contents: list[bytes], step: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each content, some contents of step bytes or one longer one at a time."""
+    size = np.array([len(c) for c in contents], np.int64)
+    ends = np.cumsum(size)
+    out, at = np.empty(len(contents), np.uint64), 0
+    while at < len(contents):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + step, "right")))
+        data, n = np.frombuffer(b"".join(contents[at:to]), np.uint8), size[at:to]
+        begin = np.cumsum(n) - n
+        place = np.arange(len(data)) - np.repeat(begin, n)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, int(n.max()))[place], out=sums[1:])
+        out[at:to] = mix(sums[begin + n] - sums[begin] + n.astype(np.uint64))
+        at = to
+    return out

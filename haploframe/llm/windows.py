@@ -3,7 +3,9 @@
 The anchor of a window is the k-gram with the smallest hash in it (the leftmost of equal ones), so equal windows have
 equal anchors at equal offsets. Successive windows with one anchor form a stretch. Anchors that occur once can't be
 in a repeated window; their stretches leave by a semi-join on the anchor's hash, after counts that are summed before
-the shuffle. What stays is cut out of its text and sent to the shard of its anchor.
+the shuffle. What stays is cut out of its text and sent to the shard of its anchor. The stretches of an anchor with
+more than ``HOT_ROWS`` of them are first merged by content, with partial sums before the shuffle: only distinct ones
+meet in the shard, and what they are told reaches their copies by a join on (anchor, content) that can be split.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import BASE, BASE_INVERSE, gram_hashes, mix, powers, text_chunks, word_bounds, word_hashes
+from .common import keep
+from .tokens import BASE, BASE_INVERSE, content_keys, gram_hashes, mix, powers, text_chunks, word_bounds, word_hashes
 
 #: Bits for the place of a k-gram beside its hash when smallest ones are sought.
 PLACE_BITS = 28
+HOT_ROWS = 100_000
 NO_MINIMUM = np.uint64((1 << 64) - 1)
 
 
@@ -97,8 +101,8 @@ def anchors_only(kind: str, width: int, k: int) -> Callable:
     return run
 
 
-def cut_out(kind: str, width: int) -> Callable:
-    """(doc_id, part, text, found) batches to the stretches' contents."""
+def cut_out(kind: str, width: int, keyed: bool = False) -> Callable:
+    """(doc_id, part, text, found) batches to the stretches' contents, and hashes s of these if keyed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +125,11 @@ def cut_out(kind: str, width: int) -> Callable:
                 for x, y in zip(np.append(0, cuts), np.append(cuts, len(b))):
                     if x < y:
                         take = pa.array(of[x:y] + row)
-                        content = pa.array([whole[i:j] for i, j in zip(b[x:y], e[x:y])], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor[lo:hi][x:y]), ids.take(take), parts.take(take), pa.array(at[lo:hi][x:y]), content], ["a", "doc_id", "part", "at", "content"])
+                        content = [whole[i:j] for i, j in zip(b[x:y], e[x:y])]
+                        cols = [pa.array(anchor[lo:hi][x:y]), ids.take(take), parts.take(take), pa.array(at[lo:hi][x:y]), pa.array(content, pa.binary())]
+                        if keyed:
+                            cols.append(pa.array(content_keys(content).view(np.int64)))
+                        yield pa.RecordBatch.from_arrays(cols, ["a", "doc_id", "part", "at", "content", "s"][: len(cols)])
 
     return run
 
@@ -135,15 +142,19 @@ def numbered(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())) - 1).alias("part"), "text")
 
 
-def candidates(docs: DataFrame, kind: str, width: int, k: int) -> DataFrame:
-    """a, doc_id, part, at, content of the stretches whose anchor occurs again. docs: doc_id, part, text."""
-    often = docs.select("text").mapInArrow(anchors_only(kind, width, k), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select("a")
+def repeated_anchors(docs: DataFrame, kind: str, width: int, k: int) -> DataFrame:
+    """a, n of the anchors that head more than one stretch."""
+    return keep(docs.select("text").mapInArrow(anchors_only(kind, width, k), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+
+
+def candidates(docs: DataFrame, anchors: DataFrame, kind: str, width: int, k: int, keyed: bool = False) -> DataFrame:
+    """a, doc_id, part, at, content (and s) of the stretches with these anchors. docs: doc_id, part, text."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(anchor_rows(kind, width, k), f"a long, doc_id {id_type}, part int, at long").join(often, "a", "left_semi")
+    rows = docs.mapInArrow(anchor_rows(kind, width, k), f"a long, doc_id {id_type}, part int, at long").join(anchors.select("a"), "a", "left_semi")
     found = rows.groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "at")).alias("found"))
     text = docs.select("doc_id", "part", "text")
     same = text["doc_id"].eqNullSafe(found["doc_id"]) & (text["part"] == found["part"])
-    return text.join(found, same).select(text["doc_id"], text["part"], "text", "found").mapInArrow(cut_out(kind, width), f"a long, doc_id {id_type}, part int, at long, content binary")
+    return text.join(found, same).select(text["doc_id"], text["part"], "text", "found").mapInArrow(cut_out(kind, width, keyed), f"a long, doc_id {id_type}, part int, at long, content binary" + ", s long" * keyed)
 
 
 def by_anchor(solve: Callable, width: int, least: int) -> Callable:
@@ -184,12 +195,29 @@ def by_anchor(solve: Callable, width: int, least: int) -> Callable:
     return run
 
 
-def repeated(docs: DataFrame, kind: str, width: int, k: int, solve: Callable, least: int) -> DataFrame:
-    """doc_id, part and cuts, the list of (begin, end) items to remove."""
-    c = candidates(docs, kind, width, k)
+def repeated(docs: DataFrame, kind: str, width: int, k: int, solve: Callable, least: int, earlier: bool) -> DataFrame:
+    """doc_id, part and cuts, the list of (begin, end) items to remove. earlier: a window goes if it also starts earlier, else if it also is anywhere else."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = c.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(by_anchor(solve, width, least), f"doc_id {id_type}, part int, begin long, end long")
+
+    def settled(c: DataFrame) -> DataFrame:
+        return c.select("a", "doc_id", "part", "at", "content").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(by_anchor(solve, width, least), f"doc_id {id_type}, part int, begin long, end long")
+
+    anchors = repeated_anchors(docs, kind, width, k)
+    hot = anchors.filter(F.col("n") > HOT_ROWS)
+    if hot.isEmpty():
+        runs = settled(candidates(docs, anchors, kind, width, k))
+    else:
+        runs = settled(candidates(docs, anchors.filter(F.col("n") <= HOT_ROWS), kind, width, k))
+        c = candidates(docs, hot, kind, width, k, keyed=True)
+        place = F.struct("doc_id", "part", "at")
+        first = keep(c.groupBy("a", "s").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("content").alias("content")), "hot-stretches")
+        runs = runs.union(settled(first.select("a", "first.*", "content")))
+        # All windows of a later copy start earlier; all windows of a stretch that has copies are elsewhere.
+        whole = place != F.col("first") if earlier else F.col("copies") > 1
+        begin = F.shiftright("at", 32)
+        copies = c.select("a", "s", "doc_id", "part", "at").join(first.filter("copies > 1").select("a", "s", "first", "copies"), ["a", "s"]).filter(whole)
+        runs = runs.union(copies.select("doc_id", "part", begin.alias("begin"), (begin + F.col("at").bitwiseAND(0xFFFF) - 1 + width).alias("end")))
     return runs.groupBy("doc_id", "part").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haploframe.llm import decontamination, fingerprints, jaccard, language, lines, mixing, substrings, suffixes, toxicity, warc
+from haploframe.llm import decontamination, fingerprints, jaccard, language, lines, mixing, substrings, suffixes, toxicity, warc, windows
 from haploframe.llm.tokens import text_chunks, word_bounds, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,9 +59,9 @@ def rows_of(docs):
     return sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0], x[1] is not None, (x[1] or "").encode()))
 
 
-def covered(n, windows, width):
+def covered(n, begins, width):
     gone = [False] * n
-    for j in windows:
+    for j in begins:
         gone[j : j + width] = [True] * width
     return gone
 
@@ -77,7 +77,9 @@ def test_words_and_hashes():
     assert h[1] == h[4] and len(set(h.tolist())) == 4
 
 
-def test_substrings(docs, empty):
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_substrings(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(windows, "HOT_ROWS", hot)
     rows, seen = rows_of(docs), {}
     for k, (i, t) in enumerate(rows):
         w = words(t)
@@ -92,7 +94,9 @@ def test_substrings(docs, empty):
     assert substrings.dedup_words(empty).count() == 0
 
 
-def test_suffixes(docs, empty):
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_suffixes(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(windows, "HOT_ROWS", hot)
     rows = rows_of(docs)
     count = Counter(b[j : j + 400] for _, t in rows for b in [(t or "").encode()] for j in range(len(b) - 399))
     want = []
