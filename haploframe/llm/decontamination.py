@@ -109,8 +109,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text holds no item."""
-    bad = leaks(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("of"))), benchmark, threshold).select("doc_id.*").distinct().toDF("_id", "_of")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_of"))
+    bad = leaks(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("of"))), benchmark, threshold).select("doc_id.*").distinct().toDF("__hf_id", "__hf_of")
+    same = F.col("doc_id").eqNullSafe(F.col("__hf_id")) & (F.xxhash64("text") == F.col("__hf_of"))
     return docs.join(bad, same, "left_anti")
 
 

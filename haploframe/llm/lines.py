@@ -73,17 +73,17 @@ def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with text cut, and n_lines and n_removed added (existing columns of these names are replaced)."""
     base = docs.drop("n_lines", "n_removed")
-    runs = removed_runs(docs, min_lines).select(F.col("doc").alias("_doc"), F.col("uid").alias("_uid"), F.col("runs").alias("_runs"))
-    d = base.withColumn("_of", F.xxhash64("text")).join(runs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_uid")), "left")
+    runs = removed_runs(docs, min_lines).select(F.col("doc").alias("__hf_doc"), F.col("uid").alias("__hf_uid"), F.col("runs").alias("__hf_runs"))
+    d = base.withColumn("__hf_of", F.xxhash64("text")).join(runs, F.col("doc_id").eqNullSafe(F.col("__hf_doc")) & (F.col("__hf_of") == F.col("__hf_uid")), "left")
     lines = F.split("text", "\n", -1)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    gone = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["to"] - r["from"])
+    gone = F.aggregate("__hf_runs", F.lit(0), lambda a, r: a + r["to"] - r["from"])
     # What lies between one run's end and the next run's start.
-    starts = F.concat(F.transform("_runs", lambda r: r["from"]), F.array(n))
-    ends = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["to"]))
+    starts = F.concat(F.transform("__hf_runs", lambda r: r["from"]), F.array(n))
+    ends = F.concat(F.array(F.lit(0)), F.transform("__hf_runs", lambda r: r["to"]))
     parts = F.zip_with(ends, starts, lambda a, b: F.slice(lines, a + 1, b - a))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
-    return d.withColumns({"_cut": text, "n_lines": n.cast("long"), "n_removed": F.coalesce(gone, F.lit(0)).cast("long")}).select(*(F.col("_cut").alias("text") if c == "text" else c for c in base.columns), "n_lines", "n_removed")
+    text = F.when(F.col("__hf_runs").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
+    return d.withColumns({"__hf_cut": text, "n_lines": n.cast("long"), "n_removed": F.coalesce(gone, F.lit(0)).cast("long")}).select(*(F.col("__hf_cut").alias("text") if c == "text" else c for c in base.columns), "n_lines", "n_removed")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
