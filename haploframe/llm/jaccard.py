@@ -31,10 +31,16 @@ from .tokens import BASE, LOWER, mix, text_chunks, word_bounds, word_hashes
 SHINGLE = 3
 #: 10 * overlap >= 9 * union.
 NUMERATOR, DENOMINATOR = 9, 10
-DIMS = 64
+DIMS = 128
 BUCKETS = 1 << 16
 FIRST_TOKENS, FIRST_PROPOSALS, BLOCK_ROWS = 3, 2, 4096
 LEAF = 32
+#: Groups up to this size are compared pair by pair, larger ones through a tree.
+SMALL_GROUP = 32
+#: Pairs compared at once.
+PAIRS = 1 << 14
+#: Rows up to this number (24 bytes each) are broadcast, more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def chunk_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -89,7 +95,8 @@ def points(order) -> Callable:
                         continue
                     m = mix(s)
                     cid.append(int(mix(np.sum(m, keepdims=True) * BASE + np.bitwise_xor.reduce(mix(m), keepdims=True) + np.uint64(n)).view(np.int64)[0]))
-                    vec.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=DIMS).astype(np.int32).tobytes())
+                    at = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=DIMS)
+                    vec.append(at.astype(np.uint8 if at.max() < 256 else np.int32).tobytes())
                     rare = np.argsort(counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
                     lead.append(s[rare[: leading(n)]].view(np.int64))
                 leads = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lead]))), pa.int32()), pa.array(np.concatenate(lead)))
@@ -108,8 +115,8 @@ class CountTree:
         up = np.arange(0, len(at), LEAF)
         self.node_top, self.node_n = np.maximum.reduceat(self.leaf_top, up, axis=0), self.leaf_n[up]
 
-    def search(self, q: np.ndarray, n: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points before end whose bound allows the threshold with a set of n shingles, and their bounds."""
+    def search(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose size and bound allow the threshold with a set of n shingles, and their bounds."""
         # The least size in a box stands for the size of its points.
         able = lambda top, least: (NUMERATOR + DENOMINATOR) * np.minimum(q, top).sum(1) >= NUMERATOR * (n + np.maximum(least, -(-NUMERATOR * n // DENOMINATOR)))
         nodes = np.flatnonzero(able(self.node_top, self.node_n))
@@ -117,9 +124,10 @@ class CountTree:
         leaves = leaves[leaves < len(self.leaf_n)]
         leaves = leaves[able(self.leaf_top[leaves], self.leaf_n[leaves])]
         at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < end]
+        at = at[at < len(self.n)]
+        at = at[(DENOMINATOR * self.n[at] >= NUMERATOR * n) & (NUMERATOR * self.n[at] <= DENOMINATOR * n)]
         bound = np.minimum(q, self.vec[at]).sum(1)
-        fits = ((NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n + self.n[at])) & (DENOMINATOR * self.n[at] >= NUMERATOR * n)
+        fits = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n + self.n[at])
         return at[fits], bound[fits]
 
 
@@ -129,29 +137,50 @@ def group_pairs(proposals: int) -> Callable:
     def settle(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches).combine_chunks()
         t, cid, comp, n = (table[c].to_numpy() for c in ("t", "cid", "comp", "n"))
-        vec = np.frombuffer(b"".join(table["vec"].to_pylist()), np.int32).reshape(-1, DIMS)
+        # Points whose coordinates are under 256 come as bytes, others as 32-bit numbers.
+        raw = table["vec"].to_pylist()
+        short = np.array([len(v) == DIMS for v in raw])
+        vec = np.empty((len(raw), DIMS), np.int32)
+        vec[short] = np.frombuffer(b"".join(v for v in raw if len(v) == DIMS), np.uint8).reshape(-1, DIMS)
+        vec[~short] = np.frombuffer(b"".join(v for v in raw if len(v) != DIMS), np.int32).reshape(-1, DIMS)
         by = np.lexsort((cid, n, t))
         t, cid, comp, n, vec = t[by], cid[by], comp[by], n[by].astype(np.int64), vec[by]
         begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         size = np.diff(np.append(begin, len(t)))
         xs, ys, more = [], [], []
-        a = begin[size == 2]
-        if len(a):
-            bound = np.minimum(vec[a], vec[a + 1]).sum(1)
-            a = a[(comp[a] != comp[a + 1]) & ((NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[a] + n[a + 1]))]
-            xs.append(cid[a]), ys.append(cid[a + 1]), more.append(np.zeros(len(a), np.int32))
-        for b, m in zip(begin[size > 2], size[size > 2]):
+        for m in range(2, SMALL_GROUP + 1):
+            lower, upper = np.triu_indices(m, 1)
+            heads = begin[size == m]
+            for at in range(0, len(heads), max(1, PAIRS // len(lower))):
+                some = heads[at : at + max(1, PAIRS // len(lower))]
+                y, x = (some[:, None] + lower).ravel(), (some[:, None] + upper).ravel()
+                fits = (comp[x] != comp[y]) & (DENOMINATOR * n[y] >= NUMERATOR * n[x])
+                x, y = x[fits], y[fits]
+                bound = np.minimum(vec[x], vec[y]).sum(1)
+                fits = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[x] + n[y])
+                x, y, bound = x[fits], y[fits], bound[fits]
+                # The best partners of each x.
+                by = np.lexsort((-(bound - (n[x] + n[y]) * NUMERATOR / (NUMERATOR + DENOMINATOR)), x))
+                x, y = x[by], y[by]
+                nth = np.arange(len(x)) - np.searchsorted(x, x)
+                best = nth < proposals
+                xs.append(cid[x[best]]), ys.append(cid[y[best]]), more.append((np.searchsorted(x, x, "right") - np.searchsorted(x, x) > proposals)[best].astype(np.int32))
+        for b, m in zip(begin[size > SMALL_GROUP], size[size > SMALL_GROUP]):
             c, d, k = cid[b : b + m], comp[b : b + m], n[b : b + m]
-            tree = CountTree(vec[b : b + m], k)
-            for i in range(1, m):
-                at, bound = tree.search(vec[b + i], int(k[i]), i)
+            # Pairs inside the largest component need no test, so its members don't ask.
+            names, of, count = np.unique(d, return_inverse=True, return_counts=True)
+            asking = np.flatnonzero(of != count.argmax()) if count.max() > 1 else np.arange(1, m)
+            tree = CountTree(vec[b : b + m], k) if len(asking) else None
+            for i in asking:
+                at, bound = tree.search(vec[b + i], int(k[i]))
                 other = d[at] != d[i]
                 at, bound = at[other], bound[other]
                 if len(at):
                     best = at[np.argsort(-(bound - (k[i] + k[at]) * NUMERATOR / (NUMERATOR + DENOMINATOR)), kind="stable")[:proposals]]
                     xs.append(np.full(len(best), c[i])), ys.append(c[best]), more.append(np.full(len(best), len(at) > proposals, np.int32))
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (xs, ys, more)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["x", "y", "more"])
+        x, y = np.maximum(cols[0], cols[1]), np.minimum(cols[0], cols[1])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(cols[2], pa.int32())], ["x", "y", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -182,6 +211,16 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
 
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """x, y, linked of pairs of classes, by the whole texts of their smallest rows."""
+    inside = keep(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct().join(classes.select("cid", "low"), "cid").select("cid", "low.*").toDF("cid", "low_id", "low_uid"), "paired")
+    if inside.count() <= BROADCAST_ROWS:
+        inside = F.broadcast(inside)
+    same = F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("uid") == F.col("low_uid"))
+    texts = keep(docs.join(inside, same).select("cid", "text"), "paired-texts")
+    return pairs.join(texts.toDF("x", "text_x"), "x").join(texts.toDF("y", "text_y"), "y").select("x", "y", "text_x", "text_y").mapInArrow(verify, "x long, y long, linked boolean")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, uid (of the text), n_shingles and component_id for every row of docs."""
     spark = docs.sparkSession
@@ -195,9 +234,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = keep(rows.filter("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("lead").alias("lead"), F.min(F.struct("doc_id", "uid")).alias("low")), "classes")
     tokens = classes.select("cid", F.posexplode("lead").alias("place", "t"))
     shared = keep(tokens.join(tokens.groupBy("t").agg(F.count("*").alias("classes")).filter("classes > 1"), "t"), "shared-shingles")
-    inside = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "low")
-    same = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("uid") == F.col("low.uid"))
-    texts = keep(d.join(inside, same).select("cid", "text"), "class-texts")
     vectors = classes.select("cid", "n", "vec")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     comps, tested, proposals, first = None, None, FIRST_PROPOSALS, True
@@ -216,8 +252,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         found = group.mapInArrow(group_pairs(proposals), "x long, y long, more int").groupBy("x", "y").agg(F.max("more").alias("more"))
         found = keep(found, "proposed")
         new = found if tested is None else found.join(tested, ["x", "y"], "left_anti")
-        a, b = texts.toDF("x", "text_x"), texts.toDF("y", "text_y")
-        done = keep(new.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "text_x", "text_y").mapInArrow(verify, "x long, y long, linked boolean"), "verified")
+        done = keep(verified(d, classes, keep(new.select("x", "y"), "new-pairs")), "verified")
         links = done.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         tested = done.select("x", "y").distinct() if tested is None else tested.union(done.select("x", "y").distinct())
         more = found.agg(F.max("more")).first()[0]
@@ -239,12 +274,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those linked to a row of smaller (doc_id, text hash); rows without words stay, repeated rows leave but one."""
+    """The rows of docs without those linked to a row of smaller (doc_id, text hash); rows without words stay. Of rows that repeat an id and its text one stays."""
     found = jaccard_components(docs).filter("n_shingles > 0").select("doc_id", "uid", "component_id").distinct()
-    # The smallest of each component stays: it is the one whose id is the component's; of several texts under that id, one.
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
-    gone = found.join(first, found["component_id"].eqNullSafe(first["component_id"])).filter(F.struct("doc_id", "uid") > F.col("first")).select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_uid")), "left_anti")
+    gone = found.join(first, found["component_id"].eqNullSafe(first["component_id"])).filter(F.struct("doc_id", "uid") > F.col("first")).select(F.col("doc_id").alias("__hf_id"), F.col("uid").alias("__hf_uid"))
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__hf_id")) & (F.xxhash64("text") == F.col("__hf_uid")), "left_anti")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    return left.dropDuplicates(["doc_id", "text"])
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
