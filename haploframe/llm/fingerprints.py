@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, words_of
+from .common import documents, keep, words_of
 
 SHINGLE = 5
 BIN_BITS = 8
@@ -25,8 +25,12 @@ BITS = 8
 EMPTY = "empty"
 #: doc_ids in one run of the descending order, as a power of two: rows of a run are sorted together, and one row of each is looked up for the run before it.
 RUN_BITS = 12
+#: First rows of runs up to this number (24 bytes each) are broadcast, more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
+#: Choices of an empty bin that are looked up one by one before all filled bins are compared.
+CHOICES = 6
 HEX = [f"{v:02x}" for v in range(256)]
 
 
@@ -45,12 +49,18 @@ def with_print(df: DataFrame, text: str, out: str) -> DataFrame:
     # In sorted order the first hash of each bin is its smallest.
     first = F.filter("_hashes", lambda x, i: (i == 0) | (F.shiftright(x, top) != F.shiftright(F.get("_hashes", i - 1), top)))
     df = df.withColumn("_filled", first).drop("_hashes")
-    own = F.transform("_filled", lambda x: F.shiftleft(bin_of(x), BITS) + x.bitwiseAND(low).cast("int"))
-    empty = F.array_except(F.sequence(F.lit(0), F.lit(BINS - 1)), F.transform("_filled", bin_of))
-    turn = lambda b, x: F.xxhash64(b, bin_of(x)).bitwiseAND(~low).bitwiseOR(x.bitwiseAND(low))
-    lent = F.transform(empty, lambda b: F.shiftleft(b, BITS) + F.array_min(F.transform("_filled", lambda x: turn(b, x))).bitwiseAND(low).cast("int"))
+    df = df.withColumns({"_bins": F.transform("_filled", bin_of), "_low": F.transform("_filled", lambda x: x.bitwiseAND(low).cast("int"))}).drop("_filled")
+    # The turn of bin c for an empty bin b is (c - o) * i modulo BINS, o and an odd i drawn from b; so its n-th choice is o + n / i.
+    drawn = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(BINS - 1)), "_bins"), lambda b: F.struct(b.alias("b"), F.xxhash64(b).bitwiseAND(BINS - 1).cast("int").alias("o"), F.shiftright(F.xxhash64(b), 8).bitwiseAND(BINS - 1).bitwiseOR(1).cast("int").alias("i")))
+    better = lambda x, i: (x * (2 - i * x)).bitwiseAND(BINS - 1)  # noqa: E731  one Newton step to 1 / i
+    df = df.withColumn("_empty", F.transform(drawn, lambda e: F.struct(e["b"].alias("b"), e["o"].alias("o"), e["i"].alias("i"), better(better(e["i"], e["i"]), e["i"]).alias("s"))))
+    choice = lambda e, n: F.get("_low", F.array_position("_bins", (e["o"] + n * e["s"]).bitwiseAND(BINS - 1)).cast("int") - 1)
+    # Beyond the first choices, the least turn over all filled bins.
+    rest = lambda e: F.array_min(F.zip_with("_bins", "_low", lambda c, v: F.shiftleft(((c - e["o"]) * e["i"]).bitwiseAND(BINS - 1), BITS) + v)).bitwiseAND(low)
+    lent = F.transform("_empty", lambda e: F.shiftleft(e["b"], BITS) + F.coalesce(*(choice(e, n) for n in range(CHOICES)), rest(e)))
+    own = F.zip_with("_bins", "_low", lambda c, v: F.shiftleft(c, BITS) + v)
     values = F.transform(F.sort_array(F.concat(own, lent)), lambda v: (v - 32768).cast("smallint"))
-    return df.withColumn(out, F.when(F.col("_none"), F.array().cast("array<smallint>")).otherwise(values)).drop("_none", "_filled")
+    return df.withColumn(out, F.when(F.col("_none"), F.array().cast("array<smallint>")).otherwise(values)).drop("_none", "_bins", "_low", "_empty")
 
 
 def packed(values: Column) -> Column:
@@ -83,7 +93,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row of docs."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("uid", F.xxhash64("text").bitwiseAND((1 << 62) - 1))
-    heads = next_heads(d.select("doc_id", "uid"))
+    heads = keep(next_heads(d.select("doc_id", "uid")), "run-heads")
+    if heads.count() <= BROADCAST_ROWS:
+        heads = F.broadcast(heads)
     # The first row of a run also stands, as a ghost, at the end of the run before it.
     ghosts = d.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("uid") == F.col("_uid"))).select("doc_id", "text", "uid", "run", F.lit(1).alias("ghost"))
     rows = d.select("doc_id", "text", "uid", run_of(F.col("doc_id")).alias("run"), F.lit(0).alias("ghost")).unionByName(ghosts)
