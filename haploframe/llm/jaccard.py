@@ -221,8 +221,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return pairs.join(texts.toDF("x", "text_x"), "x").join(texts.toDF("y", "text_y"), "y").select("x", "y", "text_x", "text_y").mapInArrow(verify, "x long, y long, linked boolean")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, uid (of the text), n_shingles and component_id for every row of docs."""
+def rooted_components(docs: DataFrame) -> DataFrame:
+    """doc_id, uid (of the text), n_shingles, component_id and root for every row of docs. root names the component also where ids are null or repeated; it is null without words."""
     spark = docs.sparkSession
     d = docs.select("doc_id", F.xxhash64("text").alias("uid"), "text")
     id_type = d.schema["doc_id"].dataType.simpleString()
@@ -266,18 +266,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if comps is not None:
         low = low.join(comps.toDF("cid", "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "id")
         ids = low.groupBy("root").agg(F.min("id").alias("component_id"))
-        low = low.join(ids, "root").select("cid", "component_id")
+        low = low.join(ids, "root").select("cid", "root", "component_id")
     else:
-        low = low.select("cid", F.col("id").alias("component_id"))
+        low = low.select("cid", F.col("cid").alias("root"), F.col("id").alias("component_id"))
     out = rows.select("doc_id", "uid", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(low, "cid", "left")
-    return out.select("doc_id", "uid", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "uid", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, uid (of the text), n_shingles and component_id for every row of docs."""
+    return rooted_components(docs).drop("root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without those linked to a row of smaller (doc_id, text hash); rows without words stay. Of rows that repeat an id and its text one stays."""
-    found = jaccard_components(docs).filter("n_shingles > 0").select("doc_id", "uid", "component_id").distinct()
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
-    gone = found.join(first, found["component_id"].eqNullSafe(first["component_id"])).filter(F.struct("doc_id", "uid") > F.col("first")).select(F.col("doc_id").alias("__hf_id"), F.col("uid").alias("__hf_uid"))
+    found = rooted_components(docs).filter("n_shingles > 0").select("doc_id", "uid", "root").distinct()
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
+    gone = found.join(first, "root").filter(F.struct("doc_id", "uid") > F.col("first")).select(F.col("doc_id").alias("__hf_id"), F.col("uid").alias("__hf_uid"))
     left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__hf_id")) & (F.xxhash64("text") == F.col("__hf_uid")), "left_anti")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return left

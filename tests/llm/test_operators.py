@@ -181,6 +181,14 @@ def test_jaccard(docs, empty):
     assert len({(r.doc_id, r.text) for r in kept}) == len(kept) and jaccard.jaccard_components(jaccard.keep_one(docs)).filter("component_id != doc_id").count() == 0
 
 
+def test_keep_one_tells_components_apart(spark):
+    """Unrelated texts without an id, or under one id, all stay."""
+    say = lambda k: " ".join(f"{k}{j}" for j in range(30))
+    rows = [(None, say("a")), (None, say("b")), (None, say("c")), (None, say("c")), (5, say("d")), (5, say("e")), (6, say("e")), (7, say("a"))]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text[0]) for r in kept} == {(None, "a"), (None, "b"), (None, "c"), (5, "d"), (5, "e")} and len(kept) == 5
+
+
 def test_count_tree():
     r = np.random.default_rng(2)
     vec = np.sort(r.integers(0, 5, (3000, jaccard.DIMS)), axis=0).astype(np.int32)
