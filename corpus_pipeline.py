@@ -1,7 +1,7 @@
 """A training corpus in five stages; each reads what its predecessor kept and wrote.
 
 toxicity drops documents scored 0.5 or more; line dedup cuts later copies of line runs from texts; the n-gram join
-keeps one document (smallest doc_id, then text) of each component; decontamination drops documents that hold a
+keeps one document (smallest doc_id, then text) of each component of links at 0.8 similarity of five-word shingles; decontamination drops documents that hold a
 benchmark item; mixing gives each document the number of words the mix takes from it and drops those it takes none of.
 All but the last return the columns of documents.
 """
@@ -28,7 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, jaccard.STAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

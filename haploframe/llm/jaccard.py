@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a count-vector R-tree behind an exact prefix filter, links and their components.
 
 Texts with equal shingle sets form one class. Shingles have one global order, rarest first by the counts of 65,536
-hash buckets over all texts, then by hash. Two sets at 9/10 similarity share one of the first n - ceil(0.9 n) + 1
+hash buckets over all texts, then by hash. Two sets at similarity t share one of the first n - ceil(t n) + 1
 shingles of each, so classes meet in the groups of these leading shingles. A class is a point: its shingles are hashed
 into ``DIMS`` groups and the counts are its coordinates. In each group an R-tree over the points finds pairs whose sum
 of coordinate minima, an upper bound of the overlap, can reach the threshold. Each class proposes its best
@@ -11,13 +11,16 @@ no pair is left. So every link between different components is found or excluded
 need no test.
 
 The first round takes three leading shingles only and splits large groups. A document without words is linked with
-nothing; null text is such a document; fewer than three words are one shingle. Rows that repeat a doc_id are nodes of
+nothing; null text is such a document; fewer words than a shingle are one shingle. A ``Rule`` gives the words of a
+shingle and the least similarity: ``CONTRACT`` (three words, 9/10) for op3, ``STAGE`` (five words, 0.8) for stages of a
+corpus. Rows that repeat a doc_id are nodes of
 their own by text; component ids are the smallest doc_id, null where no row of the component has one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,16 @@ from .common import documents, keep
 from .components import stars
 from .tokens import BASE, LOWER, mix, text_chunks, word_bounds, word_hashes
 
-SHINGLE = 3
-#: 10 * overlap >= 9 * union.
-NUMERATOR, DENOMINATOR = 9, 10
+
+class Rule(NamedTuple):
+    """Words of a shingle; denominator * overlap >= numerator * union."""
+
+    shingle: int
+    numerator: int
+    denominator: int
+
+
+CONTRACT, STAGE = Rule(3, 9, 10), Rule(5, 4, 5)
 DIMS = 128
 BUCKETS = 1 << 16
 FIRST_TOKENS, FIRST_PROPOSALS, BLOCK_ROWS = 3, 2, 4096
@@ -43,18 +53,18 @@ PAIRS = 1 << 14
 BROADCAST_ROWS = 1_000_000
 
 
-def chunk_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+def chunk_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = CONTRACT.shingle) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data = LOWER[data]
     b, e, first = word_bounds(data, offsets)
     h = word_hashes(data, b, e)
-    grams = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
-    for j in range(SHINGLE):
+    grams = np.zeros(max(0, len(h) - shingle + 1), np.uint64)
+    for j in range(shingle):
         grams = grams * BASE + h[j : j + len(grams)]
     grams = mix(grams)
     for x, y in zip(first[:-1], first[1:]):
-        if y - x >= SHINGLE:
-            yield np.unique(grams[x : y - SHINGLE + 1])
+        if y - x >= shingle:
+            yield np.unique(grams[x : y - shingle + 1])
         elif y > x:
             one = np.array([y - x], np.uint64)
             for w in h[x:y]:
@@ -64,21 +74,24 @@ def chunk_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column(0)):
-            for s in chunk_sets(data, offsets):
-                np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)], ["bucket", "n"])
+def bucket_counts(rule: Rule = CONTRACT) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                for s in chunk_sets(data, offsets, rule.shingle):
+                    np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)], ["bucket", "n"])
 
+    return run
 
-def leading(n: int) -> int:
-    return n + (-n * NUMERATOR // DENOMINATOR) + 1
 
+def leading(n: int, rule: Rule = CONTRACT) -> int:
+    return n + (-n * rule.numerator // rule.denominator) + 1
 
-def points(order) -> Callable:
+
+def points(order, rule: Rule = CONTRACT) -> Callable:
     """(doc_id, uid, text) batches to the class, size, point and leading shingles of each row. order: a broadcast of bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +100,7 @@ def points(order) -> Callable:
             ids, uids, text = batch.columns
             for row, end, data, offsets in text_chunks(text):
                 cid, size, vec, lead = [], [], [], []
-                for s in chunk_sets(data, offsets):
+                for s in chunk_sets(data, offsets, rule.shingle):
                     n = len(s)
                     size.append(n)
                     if not n:
@@ -98,7 +111,7 @@ def points(order) -> Callable:
                     at = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=DIMS)
                     vec.append(at.astype(np.uint8 if at.max() < 256 else np.int32).tobytes())
                     rare = np.argsort(counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
-                    lead.append(s[rare[: leading(n)]].view(np.int64))
+                    lead.append(s[rare[: leading(n, rule)]].view(np.int64))
                 leads = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lead]))), pa.int32()), pa.array(np.concatenate(lead)))
                 yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), uids.slice(row, end - row), pa.array(cid, pa.int64()), pa.array(size, pa.int32()), pa.array(vec, pa.binary()), leads], ["doc_id", "uid", "cid", "n", "vec", "lead"])
 
@@ -108,8 +121,8 @@ def points(order) -> Callable:
 class CountTree:
     """An R-tree over count vectors that are sorted by their sums: leaves of LEAF points, nodes of LEAF leaves, each with its upper corner."""
 
-    def __init__(self, vec: np.ndarray, n: np.ndarray):
-        self.vec, self.n = vec, n
+    def __init__(self, vec: np.ndarray, n: np.ndarray, rule: Rule = CONTRACT):
+        self.vec, self.n, self.rule = vec, n, rule
         at = np.arange(0, len(n), LEAF)
         self.leaf_top, self.leaf_n = np.maximum.reduceat(vec, at, axis=0), n[at]
         up = np.arange(0, len(at), LEAF)
@@ -117,22 +130,24 @@ class CountTree:
 
     def search(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Points whose size and bound allow the threshold with a set of n shingles, and their bounds."""
+        _, num, den = self.rule
         # The least size in a box stands for the size of its points.
-        able = lambda top, least: (NUMERATOR + DENOMINATOR) * np.minimum(q, top).sum(1) >= NUMERATOR * (n + np.maximum(least, -(-NUMERATOR * n // DENOMINATOR)))
+        able = lambda top, least: (num + den) * np.minimum(q, top).sum(1) >= num * (n + np.maximum(least, -(-num * n // den)))
         nodes = np.flatnonzero(able(self.node_top, self.node_n))
         leaves = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
         leaves = leaves[leaves < len(self.leaf_n)]
         leaves = leaves[able(self.leaf_top[leaves], self.leaf_n[leaves])]
         at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = at[at < len(self.n)]
-        at = at[(DENOMINATOR * self.n[at] >= NUMERATOR * n) & (NUMERATOR * self.n[at] <= DENOMINATOR * n)]
+        at = at[(den * self.n[at] >= num * n) & (num * self.n[at] <= den * n)]
         bound = np.minimum(q, self.vec[at]).sum(1)
-        fits = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n + self.n[at])
+        fits = (num + den) * bound >= num * (n + self.n[at])
         return at[fits], bound[fits]
 
 
-def group_pairs(proposals: int) -> Callable:
+def group_pairs(proposals: int, rule: Rule = CONTRACT) -> Callable:
     """(t, cid, comp, n, vec) batches sorted by t to proposed pairs (x, y); more is 1 where a class had further partners."""
+    _, num, den = rule
 
     def settle(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches).combine_chunks()
@@ -154,13 +169,13 @@ def group_pairs(proposals: int) -> Callable:
             for at in range(0, len(heads), max(1, PAIRS // len(lower))):
                 some = heads[at : at + max(1, PAIRS // len(lower))]
                 y, x = (some[:, None] + lower).ravel(), (some[:, None] + upper).ravel()
-                fits = (comp[x] != comp[y]) & (DENOMINATOR * n[y] >= NUMERATOR * n[x])
+                fits = (comp[x] != comp[y]) & (den * n[y] >= num * n[x])
                 x, y = x[fits], y[fits]
                 bound = np.minimum(vec[x], vec[y]).sum(1)
-                fits = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[x] + n[y])
+                fits = (num + den) * bound >= num * (n[x] + n[y])
                 x, y, bound = x[fits], y[fits], bound[fits]
                 # The best partners of each x.
-                by = np.lexsort((-(bound - (n[x] + n[y]) * NUMERATOR / (NUMERATOR + DENOMINATOR)), x))
+                by = np.lexsort((-(bound - (n[x] + n[y]) * num / (num + den)), x))
                 x, y = x[by], y[by]
                 nth = np.arange(len(x)) - np.searchsorted(x, x)
                 best = nth < proposals
@@ -170,13 +185,13 @@ def group_pairs(proposals: int) -> Callable:
             # Pairs inside the largest component need no test, so its members don't ask.
             names, of, count = np.unique(d, return_inverse=True, return_counts=True)
             asking = np.flatnonzero(of != count.argmax()) if count.max() > 1 else np.arange(1, m)
-            tree = CountTree(vec[b : b + m], k) if len(asking) else None
+            tree = CountTree(vec[b : b + m], k, rule) if len(asking) else None
             for i in asking:
                 at, bound = tree.search(vec[b + i], int(k[i]))
                 other = d[at] != d[i]
                 at, bound = at[other], bound[other]
                 if len(at):
-                    best = at[np.argsort(-(bound - (k[i] + k[at]) * NUMERATOR / (NUMERATOR + DENOMINATOR)), kind="stable")[:proposals]]
+                    best = at[np.argsort(-(bound - (k[i] + k[at]) * num / (num + den)), kind="stable")[:proposals]]
                     xs.append(np.full(len(best), c[i])), ys.append(c[best]), more.append(np.full(len(best), len(at) > proposals, np.int32))
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (xs, ys, more)]
         x, y = np.maximum(cols[0], cols[1]), np.minimum(cols[0], cols[1])
@@ -200,37 +215,41 @@ def group_pairs(proposals: int) -> Callable:
     return run
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verify(rule: Rule = CONTRACT) -> Callable:
     """(x, y, text_x, text_y) batches to (x, y, linked)."""
-    for batch in batches:
-        sets = [[s for _, _, data, offsets in text_chunks(batch.column(i)) for s in chunk_sets(data, offsets)] for i in (2, 3)]
-        linked = []
-        for a, b in zip(*sets):
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            linked.append(DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[s for _, _, data, offsets in text_chunks(batch.column(i)) for s in chunk_sets(data, offsets, rule.shingle)] for i in (2, 3)]
+            linked = []
+            for a, b in zip(*sets):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                linked.append(rule.denominator * both >= rule.numerator * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
+
+    return run
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """x, y, linked of pairs of classes, by the whole texts of their smallest rows."""
     inside = keep(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct().join(classes.select("cid", "low"), "cid").select("cid", "low.*").toDF("cid", "low_id", "low_uid"), "paired")
     if inside.count() <= BROADCAST_ROWS:
         inside = F.broadcast(inside)
     same = F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("uid") == F.col("low_uid"))
     texts = keep(docs.join(inside, same).select("cid", "text"), "paired-texts")
-    return pairs.join(texts.toDF("x", "text_x"), "x").join(texts.toDF("y", "text_y"), "y").select("x", "y", "text_x", "text_y").mapInArrow(verify, "x long, y long, linked boolean")
+    return pairs.join(texts.toDF("x", "text_x"), "x").join(texts.toDF("y", "text_y"), "y").select("x", "y", "text_x", "text_y").mapInArrow(verify(rule), "x long, y long, linked boolean")
 
 
-def rooted_components(docs: DataFrame) -> DataFrame:
+def rooted_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, uid (of the text), n_shingles, component_id and root for every row of docs. root names the component also where ids are null or repeated; it is null without words."""
     spark = docs.sparkSession
     d = docs.select("doc_id", F.xxhash64("text").alias("uid"), "text")
     id_type = d.schema["doc_id"].dataType.simpleString()
     counts = np.zeros(BUCKETS, np.int64)
-    for r in d.select("text").mapInArrow(bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in d.select("text").mapInArrow(bucket_counts(rule), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.bucket] = r.n
     order = spark.sparkContext.broadcast(counts)
-    rows = keep(d.mapInArrow(points(order), f"doc_id {id_type}, uid long, cid long, n int, vec binary, lead array<long>"), "points")
+    rows = keep(d.mapInArrow(points(order, rule), f"doc_id {id_type}, uid long, cid long, n int, vec binary, lead array<long>"), "points")
     classes = keep(rows.filter("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("lead").alias("lead"), F.min(F.struct("doc_id", "uid")).alias("low")), "classes")
     tokens = classes.select("cid", F.posexplode("lead").alias("place", "t"))
     shared = keep(tokens.join(tokens.groupBy("t").agg(F.count("*").alias("classes")).filter("classes > 1"), "t"), "shared-shingles")
@@ -249,10 +268,10 @@ def rooted_components(docs: DataFrame) -> DataFrame:
         if first:  # blocks of a large group get names of their own
             group = group.withColumn("t", F.when(F.col("classes") > BLOCK_ROWS, F.xxhash64("t", F.pmod("cid", F.ceil(F.col("classes") / BLOCK_ROWS)))).otherwise(F.col("t")))
         group = group.join(vectors, "cid").select("t", "cid", "comp", "n", "vec").repartition(parts, "t").sortWithinPartitions("t")
-        found = group.mapInArrow(group_pairs(proposals), "x long, y long, more int").groupBy("x", "y").agg(F.max("more").alias("more"))
+        found = group.mapInArrow(group_pairs(proposals, rule), "x long, y long, more int").groupBy("x", "y").agg(F.max("more").alias("more"))
         found = keep(found, "proposed")
         new = found if tested is None else found.join(tested, ["x", "y"], "left_anti")
-        done = keep(verified(d, classes, keep(new.select("x", "y"), "new-pairs")), "verified")
+        done = keep(verified(d, classes, keep(new.select("x", "y"), "new-pairs"), rule), "verified")
         links = done.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         tested = done.select("x", "y").distinct() if tested is None else tested.union(done.select("x", "y").distinct())
         more = found.agg(F.max("more")).first()[0]
@@ -273,14 +292,14 @@ def rooted_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "uid", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, uid (of the text), n_shingles and component_id for every row of docs."""
-    return rooted_components(docs).drop("root")
+    return rooted_components(docs, rule).drop("root")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """The rows of docs without those linked to a row of smaller (doc_id, text hash); rows without words stay. Of rows that repeat an id and its text one stays."""
-    found = rooted_components(docs).filter("n_shingles > 0").select("doc_id", "uid", "root").distinct()
+    found = rooted_components(docs, rule).filter("n_shingles > 0").select("doc_id", "uid", "root").distinct()
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
     gone = found.join(first, "root").filter(F.struct("doc_id", "uid") > F.col("first")).select(F.col("doc_id").alias("__hf_id"), F.col("uid").alias("__hf_uid"))
     left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__hf_id")) & (F.xxhash64("text") == F.col("__hf_uid")), "left_anti")

@@ -189,6 +189,17 @@ def test_keep_one_tells_components_apart(spark):
     assert {(r.doc_id, r.text[0]) for r in kept} == {(None, "a"), (None, "b"), (None, "c"), (5, "d"), (5, "e")} and len(kept) == 5
 
 
+def test_pipeline_joins_five_words_at_four_fifths(spark):
+    """One changed word in 50: 41/51 of the five-word shingles are shared, but only 45/51 of those of three words."""
+    import corpus_pipeline
+
+    w = [f"w{j}" for j in range(50)]
+    near, far = w[:25] + ["other"] + w[26:], w[:15] + ["other"] + w[16:25] + ["more"] + w[26:]
+    d = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far[::-1])), (4, " ".join(w[::-1])), (5, "one two"), (6, "one two three")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, d, "").collect()) == [1, 3, 4, 5, 6]
+    assert sorted(r.doc_id for r in jaccard.keep_one(d).collect()) == [1, 2, 3, 4, 5, 6]
+
+
 def test_count_tree():
     r = np.random.default_rng(2)
     vec = np.sort(r.integers(0, 5, (3000, jaccard.DIMS)), axis=0).astype(np.int32)
