@@ -41,6 +41,8 @@ COST_SWAP, COST_SKIP, COST_KEEP, COST_FILLER, COST_REPEAT = 1.0, 5.0, 6.0, 0.7,
 FILLERS = frozenset(".-_~%&*#")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
 CACHE = 100_000
+#: Longer tokens, in characters, are decoded anew each time.
+LONG = 40
 CLASSES = 64
 
 
@@ -76,8 +78,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The most likely letters behind an obfuscated token: Viterbi over (last two classes) states."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The most likely letters behind an obfuscated token: Viterbi over (last two classes) states, each with its cost and a chain of what was put."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for ch in token:
         edges: list[tuple[str, float]] = []
@@ -88,7 +90,7 @@ def decode(token: str, model: np.ndarray) -> str:
         else:
             edges += [(x, COST_SWAP) for x in LOOKALIKES.get(ch, "")]
             edges += [("", 0.2 if ch == " " else COST_FILLER if ch in FILLERS else COST_SKIP), *([(ch, COST_KEEP)] if ch != " " else [])]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, out) in states.items():
             for put, price in edges:
                 x, y, c = a, b, cost + price
@@ -97,9 +99,13 @@ def decode(token: str, model: np.ndarray) -> str:
                     c -= float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in after or c < after[x, y][0]:
-                    after[x, y] = (c, out + put)
+                    after[x, y] = (c, (out, put) if put else out)
         states, before = after, ch
-    return min((c - float(model[x, y, 0]), out) for (x, y), (c, out) in states.items())[1]
+    chain, parts = min(((c - float(model[x, y, 0]), out) for (x, y), (c, out) in states.items()), key=lambda end: end[0])[1], []
+    while chain:
+        parts.append(chain[1])
+        chain = chain[0]
+    return "".join(reversed(parts))
 
 
 SUSPECT = np.zeros(256, bool)
@@ -115,8 +121,10 @@ class Restorer:
     def token(self, raw: str) -> str:
         # Marks at the ends are punctuation.
         core = raw.strip(".,;:!?\"'()[]{}#%&*$")
-        if len(core) < 2 or len(core) > 40 or not any(map(str.isalpha, core)):
+        if len(core) < 2 or not any(map(str.isalpha, core)):
             return raw
+        if len(core) > LONG:
+            return decode(core, self.model)
         if core not in self.known:
             if len(self.known) >= CACHE:
                 self.known.clear()

@@ -352,6 +352,23 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.score_toxicity(d, lab.filter("toxic = 0")).collect()} == {0.0}
 
 
+def test_long_tokens_are_decoded():
+    text = "worthless pathetic trash and other worthless words of a pathetic kind " * 20
+    c = toxicity.CLASS[np.frombuffer(text.encode(), np.uint8)]
+    counts = np.full((toxicity.CLASSES,) * 3, 0.05)
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    restore = toxicity.Restorer(np.log(counts / counts.sum(2, keepdims=True)).astype(np.float32))
+
+    def read(t):
+        raw = t.encode()
+        return restore.chunk(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes().decode()
+
+    assert read("so " + " ".join("worthlesspathetictrash") + " it is") == "so worthlesspathetictrash it is"
+    assert read("  ".join(" ".join(w) for w in ["worthless", "pathetic", "trash"] * 30)) == "worthlesspathetictrash" * 30
+    assert read("so it is worth" + "l" * 60 + "ess") == "so it is worthless"
+    assert len(toxicity.decode("a1" * 20_000, restore.model)) >= 20_000
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
