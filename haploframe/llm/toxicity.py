@@ -1,7 +1,8 @@
 """Toxicity: noisy-channel deobfuscation and a score of the restored text.
 
 A character language model (trigrams of 64 character classes) is counted over all documents. Tokens that look
-obfuscated (digits or signs for letters, letters repeated three times or more, single letters in a row) become
+obfuscated (digits or signs for letters, letters repeated three times or more, three or more single letters in a row
+with one or two blanks, dots, dashes or the like between them, also inside a token) become
 lattices: a sign may stand for itself, for the letters it resembles, or for nothing; a repeated letter for itself or
 for nothing; gaps between single letters for nothing. Viterbi decoding finds the most likely letters under the model
 and the costs of the channel, and the restored token takes the place of the written one.
@@ -18,6 +19,7 @@ of several labels of an id the largest counts, null ones don't; without labels o
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +41,10 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 #: Prices in the channel, as negative log-probabilities: a sign stands for a letter, for nothing, for itself; a filler or a repeated letter stands for nothing.
 COST_SWAP, COST_SKIP, COST_KEEP, COST_FILLER, COST_REPEAT = 1.0, 5.0, 6.0, 0.7, 0.7
 FILLERS = frozenset(".-_~%&*#")
-SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
+#: What may stand between the letters of a spelled-out word of three letters or more, once or twice.
+GAPS = " .-_*~%&"
+SPELLED = re.compile(rf"(?<![^\W_])(?:[^\W_][{re.escape(GAPS)}]{{1,2}}){{2,}}[^\W_](?![^\W_])")
+TO_BLANKS = str.maketrans(dict.fromkeys(GAPS, " "))
 CACHE = 100_000
 #: Longer tokens, in characters, are decoded anew each time.
 LONG = 40
@@ -112,6 +117,35 @@ SUSPECT = np.zeros(256, bool)
 SUSPECT[[ord(c) for c in LOOKALIKES if ord(c) < 128 and c not in ".-_~&%"]] = True
 
 
+IS_GAP, IS_NAME, MAY_NAME = (np.zeros(256, bool) for _ in range(3))
+IS_GAP[list(GAPS.encode())] = True
+IS_NAME[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: Characters of several bytes may be letters too.
+MAY_NAME[IS_NAME] = MAY_NAME[192:] = True
+
+
+def may_spell(low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts that may hold three single letters with gaps between them: all that SPELLED finds, and some more."""
+    start = np.flatnonzero((low & 0xC0) != 0x80)
+    ch = np.concatenate((low[start], np.zeros(6, np.uint8)))
+    n = len(start)
+    one, gap, sure = MAY_NAME[ch], IS_GAP[ch], IS_NAME[ch]
+    # Letters that continue a word are not single; texts touch each other here.
+    mark = np.zeros(len(low) + 1, bool)
+    mark[offsets] = True
+    first = mark[start]
+    single = one.copy()
+    single[1:n] &= ~(sure[: n - 1] & ~first[1:])
+    single[: n - 1] &= ~(sure[1:n] & ~first[1:])
+    at = np.flatnonzero(single[:n] & gap[1 : n + 1])
+    step = lambda i: np.where(single[i + 2], i + 2, np.where(gap[i + 2] & single[i + 3], i + 3, -1))
+    to = step(at)
+    at, to = at[to >= 0], to[to >= 0]
+    on = gap[to + 1]
+    at, to = at[on], to[on]
+    return np.unique(np.searchsorted(offsets, start[at[step(to) >= 0]], "right") - 1)
+
+
 class Restorer:
     """Restores the texts of a chunk; remembers what tokens mean."""
 
@@ -144,26 +178,28 @@ class Restorer:
             triple[1 : len(low) - 1] = np.cumsum((low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & IS_LETTER[low[2:]] & (low[2:] < 128))
             triple[len(low) - 1 :] = triple[len(low) - 2]
         odd = (letter[e] > letter[b]) & ((sign[e] > sign[b]) | (triple[np.maximum(e - 2, b)] > triple[b]))
-        single = (letter[e] - letter[b] == 1) & (e - b <= 2)
-        four = single.copy()
-        for k in range(1, 4):
-            four[: len(b) - k] &= single[k:]
-            four[len(b) - k :] = False
+        odd &= ~((letter[e] - letter[b] == 1) & (e - b <= 2))
         parts, at, sizes = [], 0, np.diff(offsets).copy()
-        odd &= ~single
-        marks = np.flatnonzero(odd)
-        spelled = {}
-        # Texts with letters in a row are searched for words spelled out letter by letter.
-        for doc in np.unique(np.searchsorted(first, np.flatnonzero(four), "right") - 1):
-            spelled[int(doc)] = True
-        changes: list[tuple[int, int, bytes]] = [(int(b[i]), int(e[i]), new) for i in marks if (new := self.token(old := low[b[i] : e[i]].tobytes().decode("utf-8", "replace")).encode()) != old.encode()]
-        for doc in spelled:
+        # Words spelled out letter by letter, across tokens or inside one.
+        spans: list[tuple[int, int, bytes]] = []
+        for doc in may_spell(low, offsets):
             x, y = int(offsets[doc]), int(offsets[doc + 1])
-            text = low[x:y].tobytes().decode("utf-8", "replace")
+            text, k = low[x:y].tobytes().decode("utf-8", "replace"), 0
             for m in SPELLED.finditer(text):
-                p = x + len(text[: m.start()].encode())
-                q = p + len(m.group().encode())
-                changes = [c for c in changes if c[1] <= p or c[0] >= q] + [(p, q, self.token(re.sub(r"[.\-_*]", " ", m.group())).encode())]
+                p = x + len(text[k : m.start()].encode())
+                x, k = p + len(m.group().encode()), m.end()
+                if any(map(str.isalpha, m.group())):
+                    spans.append((p, x, self.token(m.group().translate(TO_BLANKS)).encode()))
+        begins, ends = [p for p, _, _ in spans], [q for _, q, _ in spans]
+        changes = list(spans)
+        for i in np.flatnonzero(odd):
+            # What of a token lies outside spelled words.
+            x, k = int(b[i]), bisect_right(ends, int(b[i]))
+            while x < e[i]:
+                y = min(int(e[i]), begins[k]) if k < len(spans) else int(e[i])
+                if x < y and (new := self.token(old := low[x:y].tobytes().decode("utf-8", "replace")).encode()) != old.encode():
+                    changes.append((x, y, new))
+                x, k = max(x, ends[k]) if k < len(spans) else y, k + 1
         if not changes:
             return low, offsets
         whole = low.tobytes()

@@ -352,7 +352,7 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.score_toxicity(d, lab.filter("toxic = 0")).collect()} == {0.0}
 
 
-def test_long_tokens_are_decoded():
+def speller():
     text = "worthless pathetic trash and other worthless words of a pathetic kind " * 20
     c = toxicity.CLASS[np.frombuffer(text.encode(), np.uint8)]
     counts = np.full((toxicity.CLASSES,) * 3, 0.05)
@@ -363,12 +363,32 @@ def test_long_tokens_are_decoded():
         raw = t.encode()
         return restore.chunk(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes().decode()
 
+    return restore, read
+
+
+def test_long_tokens_are_decoded():
+    restore, read = speller()
     assert read("so " + " ".join("worthlesspathetictrash") + " it is") == "so worthlesspathetictrash it is"
     assert read("  ".join(" ".join(w) for w in ["worthless", "pathetic", "trash"] * 30)) == "worthlesspathetictrash" * 30
     assert read("so it is worth" + "l" * 60 + "ess") == "so it is worthless"
     assert len(toxicity.decode("a1" * 20_000, restore.model)) >= 20_000
 
 
+def test_spelled_words_with_any_gap():
+    restore, read = speller()
+    for gap in (".", "-", "_", "~", "&", "%", "*", " ", ". ", "- "):
+        assert read(f"it is {gap.join('trash')}, all") == "it is trash, all"
+        assert read(gap.join("trash")) == "trash"
+        assert read(f"such an {gap.join('été')} here") == "such an été here"
+    assert read("an e.g. or x-ray in 1.2.3 or a.b") == "an e.g. or x-ray in 1.2.3 or a.b"
+    assert read("tr4sh-t.r.a.s.h and so on") == "trashtrash and so on"
+    texts = ["a.b.c", "é-a_b", "ab c d", "a b", "c d e", "x  y..z", "", "a b cd", "—a b c—", "no", "q&w&e&r", "t", "u", "v", "— é - è"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    found = set(toxicity.may_spell(np.frombuffer(b"".join(raw), np.uint8), offsets).tolist())
+    assert {i for i, t in enumerate(texts) if toxicity.SPELLED.search(t)} <= found and {2, 3, 6, 7, 9}.isdisjoint(found)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
