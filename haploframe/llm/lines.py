@@ -8,6 +8,9 @@ prefix of a depth is unique leave after each step: they can't begin a longer rep
 depth ``min_lines`` are the longest-common-prefix intervals of at least that depth; each but the earliest of an
 interval (smallest doc_id, then position) begins a later copy, and the maximal runs of lines under such copies go.
 
+With ``min_words`` shorter runs go as well, single lines included, if they hold that many words: runs of each length
+under ``min_lines`` are grouped by the hashes of their lines, and each but the earliest of a group is a later copy.
+
 Lines are what line feeds separate, compared whole and unchanged by two 64-bit hashes; blank lines count as lines. A
 null text has no lines and stays null; an empty text has one. Rows that repeat an id and its text are one document
 and get the same result; rows that share only an id are told apart by their text. Other columns pass through.
@@ -18,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keep
+from .common import documents, keep, word_count
 
 MIN_LINES = 3
+#: Words of a shorter run that goes too, in stages of a corpus.
+MIN_WORDS = 8
 #: Suffixes in one range of ranks, as a power of two.
 RANGE_BITS = 16
 
@@ -46,10 +51,32 @@ def ranked(suffixes: DataFrame, key: list[str], part) -> DataFrame:
     return suffixes.join(ranks, same).select("doc", "uid", "pos", F.col("new_rank").alias("rank"))
 
 
+def short_runs(docs: DataFrame, lines: int, min_words: int) -> DataFrame:
+    """doc, uid, pos and two hashes of each run of so many lines that holds min_words words."""
+    ids = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), (word_count(x) if min_words else F.lit(0).cast("long")).alias("w")))
+    d = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("uid"), ids.alias("ids"))
+    # The ids of the lines that follow, one list for each place in the run.
+    d = d.select("doc", "uid", F.arrays_zip(*(F.expr(f"slice(ids, {k + 1}, size(ids))").alias(f"l{k}") for k in range(lines))).alias("runs"))
+    d = d.select("doc", "uid", F.posexplode("runs").alias("pos", "run"))
+    at = [F.col(f"run.l{k}") for k in range(lines)]
+    d = d.filter(at[-1].isNotNull()).filter(sum((x["w"] for x in at[1:]), at[0]["w"]) >= min_words)
+    return d.select("doc", "uid", "pos", F.xxhash64(*(x["h1"] for x in at)).alias("r1"), F.xxhash64(*(x["h2"] for x in at)).alias("r2")).dropDuplicates(["doc", "uid", "pos"])
+
+
+def later_short_copies(docs: DataFrame, lines: int, min_words: int) -> DataFrame:
+    """doc, uid, pos of each such run that also begins earlier."""
+    runs = keep(short_runs(docs, lines, min_words), "short-runs")
+    here = F.struct("doc", "uid", "pos")
+    first = runs.groupBy(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).agg(F.count("*").alias("n"), F.min(here).alias("first")).filter("n > 1")
+    return runs.join(first, (F.col("r1") == F.col("_r1")) & (F.col("r2") == F.col("_r2"))).filter(here > F.col("first")).select("doc", "uid", "pos")
+
+
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc, uid, pos of each run of min_lines lines that also begins earlier."""
-    if min_lines < 2:
-        raise ValueError("a run has at least two lines")
+    if min_lines < 1:
+        raise ValueError("a run has at least one line")
+    if min_lines == 1:
+        return later_short_copies(docs, 1, 0)
     suffixes, depth = keep(ranked(first_pairs(docs).dropDuplicates(["doc", "uid", "pos"]), ["a1", "a2", "b1", "b2"], F.shiftrightunsigned("a1", 48)), "line-ranks"), 2
     while depth < min_lines:
         step = min(depth, min_lines - depth)
@@ -62,18 +89,21 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return suffixes.join(first, F.col("rank") == F.col("interval")).filter(here > F.col("first")).select("doc", "uid", "pos")
 
 
-def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """doc, uid and the sorted maximal runs [from, to) of lines that go."""
-    by = Window.partitionBy("doc", "uid").orderBy("pos")
-    c = later_copies(docs, min_lines).withColumn("new", (F.col("pos") - F.lag("pos").over(by) > min_lines).cast("int"))
-    c = c.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(by)).groupBy("doc", "uid", "run").agg(F.min("pos").alias("from"), (F.max("pos") + min_lines).alias("to"))
+    c = later_copies(docs, min_lines).withColumn("end", F.col("pos") + min_lines)
+    for lines in range(1, min_lines) if min_words is not None else ():
+        c = c.union(later_short_copies(docs, lines, min_words).withColumn("end", F.col("pos") + lines))
+    by = Window.partitionBy("doc", "uid").orderBy("pos", "end")
+    c = c.withColumn("new", (F.col("pos") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
+    c = c.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(by)).groupBy("doc", "uid", "run").agg(F.min("pos").alias("from"), F.max("end").alias("to"))
     return c.groupBy("doc", "uid").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with text cut, and n_lines and n_removed added (existing columns of these names are replaced)."""
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """docs without later copies of runs of min_lines lines, or of fewer lines with min_words words: text cut, and n_lines and n_removed added (existing columns of these names are replaced)."""
     base = docs.drop("n_lines", "n_removed")
-    runs = removed_runs(docs, min_lines).select(F.col("doc").alias("__hf_doc"), F.col("uid").alias("__hf_uid"), F.col("runs").alias("__hf_runs"))
+    runs = removed_runs(docs, min_lines, min_words).select(F.col("doc").alias("__hf_doc"), F.col("uid").alias("__hf_uid"), F.col("runs").alias("__hf_runs"))
     d = base.withColumn("__hf_of", F.xxhash64("text")).join(runs, F.col("doc_id").eqNullSafe(F.col("__hf_doc")) & (F.col("__hf_of") == F.col("__hf_uid")), "left")
     lines = F.split("text", "\n", -1)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))

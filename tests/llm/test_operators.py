@@ -153,6 +153,34 @@ def test_lines(docs, empty):
     assert docs.columns == [c for c in lines.dedup_lines(docs).columns if c not in ("n_lines", "n_removed")]
 
 
+@pytest.mark.parametrize("min_lines, min_words", [(3, 4), (1, None)])
+def test_lines_of_many_words(spark, min_lines, min_words):
+    """Runs of one or two lines go by their words: brute force over all runs."""
+    r = random.Random(9)
+    pool = ["one two three four five", "a b", "c d", "single", "", "e f g", "six seven  eight\tnine "]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.7 else f"own {i} {k}" for k in range(r.randint(1, 7)))) for i in range(25)]
+    rows += [(30, pool[0]), (31, pool[0]), (32, "long ones\nin two lines"), (33, "long ones\nin two lines"), (34, None), (35, "")]
+    seen, want = {}, {}
+    for i, t in rows:
+        x = t.split("\n") if t is not None else []
+        gone = [False] * len(x)
+        for n in range(1, min_lines + 1):
+            for j in range(len(x) - n + 1):
+                if seen.setdefault(tuple(x[j : j + n]), (i, j)) != (i, j) and (n == min_lines or len(words("\n".join(x[j : j + n]))) >= min_words):
+                    gone[j : j + n] = [True] * n
+        want[i] = (None if t is None else "\n".join(y for y, g in zip(x, gone) if not g), sum(gone))
+    got = {x.doc_id: (x.text, x.n_removed) for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_lines, min_words).collect()}
+    assert got == want and got[31] == ("", 1)
+
+
+def test_pipeline_deletes_long_lines(spark):
+    import corpus_pipeline
+
+    line = "a line of more than eight words that stands alone here"
+    d = spark.createDataFrame([(1, line), (2, f"before\n{line}\nafter"), (3, "before\nafter")], "doc_id long, text string")
+    assert [r.text for r in corpus_pipeline.dedup_lines(spark, d, "").orderBy("doc_id").collect()] == [line, "before\nafter", "before\nafter"]
+
+
 def test_jaccard(docs, empty):
     rows = [(i, t) for i, t in rows_of(docs)]
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
