@@ -86,8 +86,8 @@ def pairwise(spark, sf_dir):
     return rounded(r.groupBy("l_orderkey").agg(F.sum("lse2").alias("lse2"), F.sum("lse3").alias("lse3"), F.sum("log10_sum").alias("log10_sum")), "lse2", "lse3", "log10_sum")
 
 
-def theta_emission(spark, sf_dir):
-    j = panel.likelihoods(spark, sf_dir).join(panel.alleles(spark, sf_dir).filter("hap_idx < 4"), "marker_idx")
+def theta_emission(spark, sf_dir, haplotypes=HAPLOTYPES):
+    j = panel.likelihoods(spark, sf_dir).join(panel.alleles(spark, sf_dir).filter(F.col("hap_idx") < haplotypes), "marker_idx")
     e = gt.haploid_emission(F.col("ll_00"), F.col("ll_01"), F.col("ll_11"), F.coalesce("allele", F.lit(255)), PARAMETERS.theta)
     return rounded(j.select("sample_idx", "marker_idx", "hap_idx", e.alias("emission")), "emission", places=6)
 
@@ -123,7 +123,8 @@ def queries() -> dict:
         "select_dynamic": dynamic,
         "state_alleles": p.states,
         "emission_probs": p.emissions,
-        "haploid_emission_theta": theta_emission,
+        "haploid_emission_theta": lambda s, d: theta_emission(s, d, 4),
+        "haploid_emission_theta_panel": theta_emission,
         "transition_probs": lambda s, d: rounded(trans(s), "rho", "log_stay", "log_switch", places=6),
         "linear_switch_prob": lambda s, d: rounded(p.markers(s).select("marker_idx", gt.linear_switch(F.col("pos") / 1e6, 10000, 4e-4).alias("rho")).withColumn("stay", 1 - F.col("rho")), "rho", "stay", places=6),
         "logsumexp_rows": lambda s, d: rounded(logsumexp_by(logs(s, d), ["row"], "x", "lse"), "lse"),
@@ -236,6 +237,7 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "state_alleles": BASE + "select * from sa",
         "emission_probs": BASE + "select * from em",
         "haploid_emission_theta": BASE + ", pw as (select sample_idx, gl.marker_idx, hap_idx, coalesce(allele, 255) as a, pow(10.0, ll_00) as x, pow(10.0, ll_01) as y, pow(10.0, ll_11) as z from gl join al on gl.marker_idx = al.marker_idx and hap_idx < 4) select sample_idx, marker_idx, hap_idx, round(((case when a = 0 then x else z end) * 0.999::double + y * 0.5::double + (case when a = 0 then z else x end) * 0.001::double) / (x + y + z), 6) + 0.0 as emission from pw",
+        "haploid_emission_theta_panel": BASE + ", pw as (select sample_idx, gl.marker_idx, hap_idx, coalesce(allele, 255) as a, pow(10.0, ll_00) as x, pow(10.0, ll_01) as y, pow(10.0, ll_11) as z from gl join al on gl.marker_idx = al.marker_idx) select sample_idx, marker_idx, hap_idx, round(((case when a = 0 then x else z end) * 0.999::double + y * 0.5::double + (case when a = 0 then z else x end) * 0.001::double) / (x + y + z), 6) + 0.0 as emission from pw",
         "transition_probs": BASE + "select marker_idx, round(rho::double, 6) + 0.0 as rho, round(log_stay::double, 6) + 0.0 as log_stay, round(log_switch::double, 6) + 0.0 as log_switch from tr",
         "linear_switch_prob": BASE + "select marker_idx, round(pos / 1e6 / 100.0 * 4.0::double, 6) + 0.0 as rho, round(1 - pos / 1e6 / 100.0 * 4.0::double, 6) + 0.0 as stay from mk",
         "logsumexp_rows": logs.format(k="row"),

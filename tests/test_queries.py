@@ -40,6 +40,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_theta_emission_has_the_whole_panel(spark):
+    got = entry.queries()["haploid_emission_theta_panel"](spark, str(DATA))
+    assert got.select("hap_idx").distinct().count() == 32
+
+
 def test_the_rest_stands_alone():
     """Nothing outside the text operators imports them, but for the guarded entry."""
     root = Path(entry.__file__).parent
