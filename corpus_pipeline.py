@@ -1,6 +1,6 @@
 """A training corpus in five stages; each reads what its predecessor kept and wrote.
 
-toxicity drops documents scored 0.5 or more; line dedup cuts later copies of line runs (three lines, or eight words) from texts; the n-gram join
+toxicity drops documents scored 0.5 or more; line dedup cuts later copies of line runs (three lines, or eight words) from texts and drops documents it empties; the n-gram join
 keeps one document (smallest doc_id, then text) of each component of links at 0.8 similarity of five-word shingles; decontamination drops documents that hold a
 benchmark item; mixing gives each document the number of words the mix takes from it and drops those it takes none of.
 All but the last return the columns of documents.
@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(docs, min_words=lines.MIN_WORDS)
+    # What has lost all its lines is a copy: no word of it is left for the n-gram join to tell.
+    found = lines.dedup_lines(docs, min_words=lines.MIN_WORDS).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else found.select(docs.columns)
 
 

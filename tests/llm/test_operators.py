@@ -177,8 +177,8 @@ def test_pipeline_deletes_long_lines(spark):
     import corpus_pipeline
 
     line = "a line of more than eight words that stands alone here"
-    d = spark.createDataFrame([(1, line), (2, f"before\n{line}\nafter"), (3, "before\nafter")], "doc_id long, text string")
-    assert [r.text for r in corpus_pipeline.dedup_lines(spark, d, "").orderBy("doc_id").collect()] == [line, "before\nafter", "before\nafter"]
+    d = spark.createDataFrame([(1, line), (2, f"before\n{line}\nafter"), (3, "before\nafter"), (4, line), (5, ""), (6, None)], "doc_id long, text string")
+    assert [r.text for r in corpus_pipeline.dedup_lines(spark, d, "").orderBy("doc_id").collect()] == [line, "before\nafter", "before\nafter", "", None]
 
 
 def test_jaccard(docs, empty):
