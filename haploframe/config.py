@@ -33,6 +33,8 @@ class ImputationConfig:
     seed: int = 12345
     strict_markers: bool = False
     region: str = ""
+    #: Markers of one step of forward-backward; longer sequences go window by window. 0: all at once.
+    window_size: int = 10000
     output_dosages: bool = False
     output_probabilities: bool = False
 

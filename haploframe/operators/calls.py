@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def argmax_calls(post: DataFrame, states: DataFrame) -> DataFrame:
-    """sample_idx, marker_idx, state, hap0, hap1: alleles of the likeliest state; posteriors equal to six places tie, the lowest state wins."""
-    best = post.groupBy("sample_idx", "marker_idx").agg((-F.max_by(-F.col("state"), F.struct(F.round("log_post", 6), -F.col("state")))).alias("state"))
-    return _alleles(best, states)
+    """sample_idx, marker_idx, state, hap0, hap1: alleles of the likeliest state; posteriors equal to six places tie, the lowest state wins. post: sample_idx, marker_idx, log_post by state."""
+    places = post.select("sample_idx", "marker_idx", F.transform("log_post", lambda x: F.round(x, 6)).alias("r"))
+    return _alleles(places.select("sample_idx", "marker_idx", (F.array_position("r", F.array_max("r")) - 1).cast("int").alias("state")), states)
 
 
 def uniform(seed: int, sample: Column, marker: Column) -> Column:
@@ -20,16 +20,24 @@ def uniform(seed: int, sample: Column, marker: Column) -> Column:
 
 def sampled_calls(post: DataFrame, states: DataFrame, seed: int = 12345) -> DataFrame:
     """sample_idx, marker_idx, state, hap0, hap1 with states drawn by their probabilities; state 0 where rounding leaves none."""
-    cell = Window.partitionBy("sample_idx", "marker_idx")
-    p = post.withColumn("p", F.exp(F.col("log_post") - F.max("log_post").over(cell)))
-    p = p.withColumn("cum", F.sum("p").over(cell.orderBy("state").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("p").over(cell))
-    u = uniform(seed, F.col("sample_idx"), F.col("marker_idx"))
-    drawn = p.groupBy("sample_idx", "marker_idx").agg(F.coalesce(F.min(F.when(u < F.col("cum"), F.col("state"))), F.lit(0)).alias("state"))
+    p = post.select("sample_idx", "marker_idx", "log_post", F.array_max("log_post").alias("top"), uniform(seed, F.col("sample_idx"), F.col("marker_idx")).alias("u"))
+    p = p.withColumn("p", F.transform("log_post", lambda x: F.exp(x - F.col("top"))))
+    p = p.withColumn("total", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
+    # The running sum, the number of states passed, and the first whose share of the sum lies above u.
+    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("state"))
+    walk = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n"), F.coalesce(a["state"], F.when(F.col("u") < (a["sum"] + x) / F.col("total"), a["n"])).alias("state"))
+    drawn = p.select("sample_idx", "marker_idx", F.coalesce(F.aggregate("p", begin, walk, lambda a: a["state"]), F.lit(0)).alias("state"))
     return _alleles(drawn, states)
 
 
+def state_lists(states: DataFrame) -> DataFrame:
+    """marker_idx, a0s, a1s: the alleles of all states in their order."""
+    s = states.groupBy("marker_idx").agg(F.array_sort(F.collect_list(F.struct("state", "a0", "a1"))).alias("s"))
+    return s.select("marker_idx", F.col("s.a0").alias("a0s"), F.col("s.a1").alias("a1s"))
+
+
 def _alleles(chosen: DataFrame, states: DataFrame) -> DataFrame:
-    return chosen.join(states.select("marker_idx", "state", "a0", "a1"), ["marker_idx", "state"]).select("sample_idx", "marker_idx", "state", F.col("a0").alias("hap0"), F.col("a1").alias("hap1"))
+    return chosen.join(state_lists(states), "marker_idx").select("sample_idx", "marker_idx", "state", F.get("a0s", "state").alias("hap0"), F.get("a1s", "state").alias("hap1"))
 
 
 def likelihood_calls(gl: DataFrame) -> DataFrame:
@@ -51,10 +59,10 @@ def info_scores(d: DataFrame) -> DataFrame:
 
 def allelic_posteriors(post: DataFrame, states: DataFrame) -> DataFrame:
     """sample_idx, marker_idx, p, q: probabilities that the first and second haplotype carry an ALT allele."""
-    w = F.exp("log_post")
-    s = post.join(states, ["marker_idx", "state"])
-    share = lambda a: F.sum(F.when(F.col(a) != 0, w).otherwise(0.0)) / F.sum(w)
-    return s.groupBy("sample_idx", "marker_idx").agg(share("a0").alias("p"), share("a1").alias("q"))
+    s = post.select("sample_idx", "marker_idx", F.transform("log_post", F.exp).alias("w")).join(state_lists(states), "marker_idx")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    share = lambda a: total(F.zip_with("w", a, lambda w, x: F.when(x != 0, w).otherwise(0.0))) / total(F.col("w"))
+    return s.select("sample_idx", "marker_idx", share("a0s").alias("p"), share("a1s").alias("q"))
 
 
 def concordance(d: DataFrame, truth: DataFrame) -> DataFrame:
@@ -64,9 +72,16 @@ def concordance(d: DataFrame, truth: DataFrame) -> DataFrame:
     return j.groupBy("marker_idx").agg(F.count("*").alias("compared"), F.avg((F.col("dosage") == F.col("genotype")).cast("double")).alias("concordance"), F.coalesce(F.nanvl(r * r, F.lit(0.0)), F.lit(0.0)).alias("r2"))
 
 
-def memory_bytes(markers: int, haplotypes: int, samples: int, states: int) -> int:
+def memory_bytes(markers: Column, haplotypes: Column, samples: Column, states: int) -> Column:
     """Bytes of panel, index and the arrays of one batch of samples."""
-    return markers * haplotypes + 4 * markers * haplotypes + markers * samples * states * 4 * 2
+    return (markers * haplotypes * 5 + markers * samples * (states * 8)).cast("long")
+
+
+def size_report(alleles: DataFrame, gl: DataFrame, states: int) -> DataFrame:
+    """One row: markers, haplotypes, samples and the bytes that they take."""
+    a = alleles.agg(F.countDistinct("marker_idx").alias("markers"), F.countDistinct("hap_idx").alias("haplotypes"))
+    both = a.join(gl.agg(F.countDistinct("sample_idx").alias("samples")), F.lit(True))
+    return both.withColumn("bytes", memory_bytes(F.col("markers"), F.col("haplotypes"), F.col("samples"), states))
 
 
 def sample_partitions(samples: DataFrame, parts: int, total: int) -> DataFrame:

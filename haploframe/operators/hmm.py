@@ -1,7 +1,10 @@
 """The hidden Markov model: emissions, transitions, forward, backward and posteriors.
 
-Emissions and transitions are column expressions. The recursion over markers runs over many samples at a time,
-vectorised over samples and states, in an Arrow function: one shuffle by sample, no order between samples.
+Emissions and transitions are column expressions. A sample's markers are gathered into one row for each sequence (a
+chromosome, or the whole panel) and window of it. Without windows an Arrow function runs the recursion over markers for
+many samples at a time, vectorised over samples and states. With windows two passes go through each sample's windows,
+forwards and then backwards, and carry the values of one marker from window to window, so that no row or task holds a
+whole sequence; results are the same.
 """
 
 from __future__ import annotations
@@ -52,58 +55,187 @@ def log_sum(x: np.ndarray, axis: int, seed: float | None) -> np.ndarray:
     return (top + np.log(total)).squeeze(axis)
 
 
+def step_matrix(stay: np.ndarray, switch: np.ndarray, k: int) -> np.ndarray:
+    """rows x states x states from two numbers a row."""
+    return np.where(np.eye(k, dtype=bool), stay[:, None, None], switch[:, None, None])
+
+
+def forward(e: np.ndarray, stay: np.ndarray, switch: np.ndarray, seed: float | None, before: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values and scales of emissions (rows x markers x states) in natural logs. stay, switch: rows x markers, the step after each marker. before: forward values, stay and switch of the marker before the first one."""
+    alpha, scale = np.empty(e.shape), np.empty(e.shape[:-1])
+    k = e.shape[-1]
+    for i in range(e.shape[1]):
+        last = (alpha[:, i - 1], stay[:, i - 1], switch[:, i - 1]) if i else before
+        row = e[:, 0] if last is None else log_sum(last[0][:, :, None] + step_matrix(last[1], last[2], k), -2, seed) + e[:, i]
+        scale[:, i] = row.max(-1)
+        alpha[:, i] = row - scale[:, i, None]
+    return alpha, scale
+
+
+def backward(e: np.ndarray, stay: np.ndarray, switch: np.ndarray, seed: float | None, after: np.ndarray | None = None) -> np.ndarray:
+    """Backward values; after: emission plus backward value of the marker after the last one."""
+    beta = np.zeros(e.shape)
+    m, k = e.shape[1:]
+    for i in range(m - 1, -1, -1):
+        ahead = e[:, i + 1] + beta[:, i + 1] if i < m - 1 else after
+        if ahead is not None:
+            beta[:, i] = log_sum(step_matrix(stay[:, i], switch[:, i], k) + ahead[:, None, :], -1, seed)
+    return beta
+
+
 def forward_backward(e: np.ndarray, stay: np.ndarray, switch: np.ndarray, seed: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward values, scales, backward values and log posteriors of emissions (… x markers x states), all in natural logs."""
-    m, k = e.shape[-2:]
-    alpha, beta, scale = np.empty(e.shape), np.zeros(e.shape), np.empty(e.shape[:-1])
-    eye = np.eye(k, dtype=bool)
-    for i in range(m):
-        row = e[..., 0, :] if i == 0 else log_sum(alpha[..., i - 1, :, None] + np.where(eye, stay[i - 1], switch[i - 1]), -2, seed) + e[..., i, :]
-        scale[..., i] = row.max(-1)
-        alpha[..., i, :] = row - scale[..., i, None]
-    for i in range(m - 2, -1, -1):
-        beta[..., i, :] = log_sum(np.where(eye, stay[i], switch[i]) + (e[..., i + 1, :] + beta[..., i + 1, :])[..., None, :], -1, seed)
-    post = alpha + beta
-    return alpha, scale, beta, post - log_sum(post, -1, seed)[..., None]
-
-
-def recursion(stay: list[float], switch: list[float], mode: str) -> Callable:
-    s, w = np.array(stay), np.array(switch)
-    if mode == AS_IMPLEMENTED:  # the first matrix serves all steps, and logs of both bases are summed as they are
-        s, w = np.full(len(s), s[0] if len(s) else 0.0), np.full(len(w), w[0] if len(w) else 0.0)
-        unit, seed = 1.0, LOG_ZERO
-    else:
-        unit, seed = LN10, None
-    s, w = s * unit, w * unit
+    """Scaled forward values, scales, backward values and log posteriors."""
+    alpha, scale = forward(e, stay, switch, seed)
+    beta = backward(e, stay, switch, seed)
+    return alpha, scale, beta, normalized(alpha + beta, seed)
+
+
+def normalized(post: np.ndarray, seed: float | None) -> np.ndarray:
+    return post - log_sum(post, -1, seed)[..., None]
+
+
+CELL = ("m", "ll_00", "ll_01", "ll_11", "g", "log_stay", "log_switch")
+LISTS = "sample_idx int, marker_idx int, alpha array<double>, scale double, beta array<double>, log_post array<double>"
+
+
+def runs_of(samples: np.ndarray, cells: pa.ListArray, mode: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, markers, emissions, stay, switch) of rows with equal numbers of markers, a bounded number of cells at once, all logs natural. As implemented, logs of both bases are summed as they are."""
+    unit = 1.0 if mode == AS_IMPLEMENTED else LN10
+    flat, ends = cells.flatten(), cells.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    field = dict(zip(CELL, flat.flatten()))
+    numbers = {c: field[c].to_numpy(zero_copy_only=False) for c in CELL if c != "g"}
+    k = len(field["g"][0].as_py()) if len(flat) else 0
+    text = field["g"].cast(pa.large_binary())
+    begin = np.frombuffer(text.buffers()[1], np.int64)[text.offset]
+    g = np.frombuffer(text.buffers()[2], np.uint8)[begin : begin + len(flat) * k].reshape(-1, k) - 48
+    size = np.diff(ends)
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        for at in range(0, len(rows), step := max(1, CELLS // max(1, int(n) * k))):
+            some = rows[at : at + step]
+            take = ends[some][:, None] + np.arange(n)
+            likely = np.stack([numbers[c][take] for c in CELL[1:4]], -1) * unit
+            yield some, numbers["m"][take], np.take_along_axis(likely, g[take].astype(np.int64), -1), numbers["log_stay"][take] * unit, numbers["log_switch"][take] * unit
+
+
+def packed(samples: np.ndarray, markers: np.ndarray, alpha: np.ndarray, scale: np.ndarray, beta: np.ndarray, post: np.ndarray) -> pa.RecordBatch:
+    n, k = markers.size, post.shape[-1]
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(samples, markers.shape[1]), pa.int32()), pa.array(markers.ravel(), pa.int32()), lists(alpha), pa.array(scale.ravel()), lists(beta), lists(post)], ["sample_idx", "marker_idx", "alpha", "scale", "beta", "log_post"])
+
+
+def at_once(mode: str) -> Callable:
+    seed = LOG_ZERO if mode == AS_IMPLEMENTED else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = batch.column(0).to_numpy()
+            for rows, markers, e, stay, switch in runs_of(samples, batch.column(1), mode) if len(batch) else ():
+                yield packed(samples[rows], markers, *forward_backward(e, stay, switch, seed))
+
+    return run
+
+
+def forward_pass(mode: str) -> Callable:
+    """(seq, window, sample_idx, cells) rows in that order to the same with before, the forward values, stay and switch of the marker before the window, null in a first window."""
+    seed = LOG_ZERO if mode == AS_IMPLEMENTED else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            seqs, windows, samples = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            before: list[np.ndarray | None] = [None] * len(batch)
+            # Rows of one window follow each other, and only the last window of a sequence is held.
+            cuts = [0, *(i for i in range(1, len(batch)) if (seqs[i], windows[i]) != (seqs[i - 1], windows[i - 1])), len(batch)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                for x in [x for x in held if x[0] != seqs[lo]]:
+                    del held[x]
+                for rows, _, e, stay, switch in runs_of(samples[lo:hi], batch.column(3).slice(lo, hi - lo), mode):
+                    last = [held.get((seqs[lo], int(samples[lo + r]))) for r in rows]
+                    for r, x in zip(rows, last):
+                        before[lo + r] = x
+                    known = None
+                    if last[0] is not None:
+                        x = np.stack(last)
+                        known = x[:, :-2], x[:, -2], x[:, -1]
+                    alpha, _ = forward(e, stay, switch, seed, known)
+                    for j, r in enumerate(rows):
+                        held[seqs[lo], int(samples[lo + r])] = np.concatenate((alpha[j, -1], stay[j, -1:], switch[j, -1:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.list_(pa.float64()))], ["seq", "window", "sample_idx", "cells", "before"])
+
+    return run
+
+
+def backward_pass(mode: str) -> Callable:
+    """What forward_pass gave, by seq and falling window, to posteriors."""
+    seed = LOG_ZERO if mode == AS_IMPLEMENTED else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            samples, cells = batch.column(0).to_numpy(), batch.column(1)
-            flat, ends = cells.flatten(), cells.offsets.to_numpy().astype(np.int64)
-            ends = ends - ends[0]
-            marker, state, e = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            size = np.diff(ends)
-            # Samples of one size go together, a bounded number of cells at once.
-            for n in np.unique(size):
-                rows = np.flatnonzero(size == n)
-                for at in range(0, len(rows), step := max(1, CELLS // max(1, int(n)))):
-                    some = rows[at : at + step]
-                    take = ends[some][:, None] + np.arange(n)
-                    k = int(state[take[0]].max()) + 1
-                    out = forward_backward(e[take].reshape(len(some), -1, k) * unit, s, w, seed)
-                    take = take.ravel()
-                    columns = [np.repeat(samples[some], n).astype(np.int32), marker[take], state[take], out[0].ravel(), np.repeat(out[1].ravel(), k), out[2].ravel(), out[3].ravel()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sample_idx", "marker_idx", "state", "alpha", "scale", "beta", "log_post"])
+            seqs, windows, samples, before = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(4).to_pylist()
+            cuts = [0, *(i for i in range(1, len(batch)) if (seqs[i], windows[i]) != (seqs[i - 1], windows[i - 1])), len(batch)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                for x in [x for x in held if x[0] != seqs[lo]]:
+                    del held[x]
+                for rows, markers, e, stay, switch in runs_of(samples[lo:hi], batch.column(3).slice(lo, hi - lo), mode):
+                    known, after = None, [held.get((seqs[lo], int(samples[lo + r]))) for r in rows]
+                    if before[lo + rows[0]] is not None:
+                        x = np.array([before[lo + r] for r in rows])
+                        known = x[:, :-2], x[:, -2], x[:, -1]
+                    alpha, scale = forward(e, stay, switch, seed, known)
+                    beta = backward(e, stay, switch, seed, None if after[0] is None else np.stack(after))
+                    for j, r in enumerate(rows):
+                        held[seqs[lo], int(samples[lo + r])] = e[j, 0] + beta[j, 0]
+                    yield packed(samples[lo + rows], markers, alpha, scale, beta, normalized(alpha + beta, seed))
 
     return run
 
 
-def posteriors(em: DataFrame, trans: DataFrame, mode: str = AS_IMPLEMENTED) -> DataFrame:
-    """sample_idx, marker_idx, state, alpha, scale, beta, log_post (natural logs). The transitions, two numbers a marker of one chromosome, come to the driver."""
-    t = trans.select("marker_idx", "log_stay", "log_switch").orderBy("marker_idx").toArrow()
-    cells = em.select(F.col("sample_idx").cast("int").alias("sample_idx"), F.struct(F.col("marker_idx").cast("int").alias("m"), F.col("state").cast("int").alias("s"), F.col("log_e").cast("double").alias("e")).alias("c"))
-    rows = cells.groupBy("sample_idx").agg(F.array_sort(F.collect_list("c")).alias("cells"))
-    return rows.mapInArrow(recursion(t["log_stay"].to_pylist(), t["log_switch"].to_pylist(), mode), "sample_idx int, marker_idx int, state int, alpha double, scale double, beta double, log_post double")
+def steps(marks: DataFrame, p: HMMParameters, mode: str = AS_IMPLEMENTED) -> DataFrame:
+    """marker_idx, seq, log_stay, log_switch: the step from each marker to the next of its sequence. As implemented, all markers are one sequence, whatever their chromosome, and its first step serves for all; documented, each chromosome is one and has its own steps. marks: marker_idx, chrom, morgans."""
+    m = marks if mode != AS_IMPLEMENTED else marks.withColumn("chrom", F.lit(""))
+    t = transitions(m, p)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    if mode != AS_IMPLEMENTED:
+        return m.join(t, "marker_idx", "left").select("marker_idx", F.col("chrom").alias("seq"), *(zero(c) for c in ("log_stay", "log_switch")))
+    first = t.agg(F.min_by(F.struct("log_stay", "log_switch"), "marker_idx").alias("t")).select(F.lit("").alias("chrom"), "t.*")
+    return m.join(first, "chrom").select("marker_idx", F.col("chrom").alias("seq"), *(zero(c) for c in ("log_stay", "log_switch")))
+
+
+def complete(gl: DataFrame, marks: DataFrame) -> DataFrame:
+    """Likelihoods of every sample at every marker; where there were none all genotypes are equally likely."""
+    grid = gl.select("sample_idx").distinct().join(marks.select("marker_idx"), F.lit(True))
+    return grid.join(gl, ["sample_idx", "marker_idx"], "left").select("sample_idx", "marker_idx", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ll_00", "ll_01", "ll_11")))
+
+
+def posteriors(gl: DataFrame, states: DataFrame, marks: DataFrame, p: HMMParameters, mode: str = AS_IMPLEMENTED, window: int = 0) -> DataFrame:
+    """sample_idx, marker_idx and, by state, alpha, beta and log_post (natural logs), and the marker's scale.
+
+    gl has a row for each sample and marker (see complete). window: markers handled at once, 0 for whole sequences.
+    """
+    kind = F.least(F.col("a0") + F.col("a1"), F.lit(2)).cast("string")
+    g = states.groupBy("marker_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("state", kind.alias("g")))), lambda x: x["g"]), "").alias("g"))
+    part = F.lit(0) if not window else F.floor(F.col("marker_idx") / window).cast("int")
+    model = steps(marks, p, mode).join(g, "marker_idx").withColumn("window", part)
+    cell = F.struct(F.col("marker_idx").cast("int").alias("m"), *(F.col(c).cast("double").alias(c) for c in CELL[1:4]), "g", "log_stay", "log_switch")
+    rows = gl.join(model, "marker_idx").groupBy("seq", "window", F.col("sample_idx").cast("int").alias("sample_idx")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    if not window:
+        return rows.select("sample_idx", "cells").mapInArrow(at_once(mode), LISTS)
+    cells = "array<struct<" + ",".join(f"{c}:{'int' if c == 'm' else 'string' if c == 'g' else 'double'}" for c in CELL) + ">>"
+    gone = rows.repartition("sample_idx").sortWithinPartitions("seq", "window", "sample_idx").mapInArrow(forward_pass(mode), f"seq string, window int, sample_idx int, cells {cells}, before array<double>")
+    return gone.repartition("sample_idx").sortWithinPartitions("seq", F.desc("window"), "sample_idx").mapInArrow(backward_pass(mode), LISTS)
+
+
+def unrolled(post: DataFrame) -> DataFrame:
+    """sample_idx, marker_idx, state, alpha, scale, beta, log_post."""
+    each = F.posexplode(F.arrays_zip("alpha", "beta", "log_post")).alias("state", "x")
+    return post.select("sample_idx", "marker_idx", "scale", each).select("sample_idx", "marker_idx", "state", F.col("x.alpha").alias("alpha"), "scale", F.col("x.beta").alias("beta"), F.col("x.log_post").alias("log_post"))
 
 
 def forward_fold(em: DataFrame, stay: float, switch: float) -> DataFrame:

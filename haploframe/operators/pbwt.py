@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import AS_IMPLEMENTED, MISSING, ImputationError
 
-#: Up to this number of markers the order comes from sort keys of all columns so far; beyond it from a fold.
-SORT_KEY_MARKERS = 512
+#: Markers whose prefix orders one task makes from the order before them.
+BLOCK = 512
+NONE = np.zeros(0, np.int32)
 
 
 def with_keys(alleles: DataFrame) -> DataFrame:
@@ -28,35 +29,122 @@ def prefix_order(alleles: DataFrame) -> DataFrame:
     return with_keys(alleles).select("marker_idx", (F.row_number().over(by) - 1).alias("rank"), "hap_idx")
 
 
-def fold_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chrom, marker_idx, alleles) rows sorted by both to (chrom, marker_idx, order, divergence): each order is a stable partition of the last one."""
-    chrom, order, start = None, None, None
+def regroup(order: np.ndarray, start: np.ndarray, key: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order sorted stably by each haplotype's key, and the first column of each one's match with its new predecessor: the greatest one passed on the way inside a key, heads[key] for its first."""
+    k = key[order]
+    perm = np.argsort(k, kind="stable")
+    k = k[perm]
+    new = heads[k].astype(np.int32)
+    same = np.flatnonzero(k[1:] == k[:-1])
+    if len(same):
+        ends = np.stack((perm[same] + 1, perm[same + 1] + 1), 1).ravel()
+        new[same + 1] = np.maximum.reduceat(np.append(start, 0), ends)[::2]
+    return order[perm], new
+
+
+def add_column(order: np.ndarray, start: np.ndarray, alleles: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    return regroup(order, start, (alleles != 0).astype(np.uint8), np.array([m + 1, m + 1]))
+
+
+def alleles_of(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_py(), np.uint8)
+
+
+def fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chrom, block, marker_idx, alleles) rows in order to (chrom, block, n, order, start): each block as if it began its chromosome."""
+    now, n, order, start = None, 0, NONE, NONE
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int32()), pa.array([n], pa.int32()), pa.array([order.astype(np.int32).tobytes()]), pa.array([start.tobytes()])], ["chrom", "block", "n", "order", "start"])
+    for batch in batches:
+        for key, raw in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(3)):
+            a = alleles_of(raw)
+            if key != now:
+                if now:
+                    yield pack()
+                now, n, order, start = key, 0, np.arange(len(a)), np.zeros(len(a), np.int32)
+            order, start = add_column(order, start, a, n)
+            n += 1
+    if now:
+        yield pack()
+
+
+def carry_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What fold_blocks gave, by chromosome and block, to (chrom, block, before, order, start) as they are before each block. A block's haplotypes that were equal throughout it keep their order."""
+    chrom, order, start, before = None, NONE, NONE, 0
     for batch in batches:
-        names, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        orders, starts = [], []
-        for i, raw in enumerate(batch.column(2)):
-            a = np.frombuffer(raw.as_py(), np.uint8)
-            if names[i] != chrom or order is None:
-                chrom, order, start, m = names[i], np.arange(len(a)), np.zeros(len(a), np.int32), 0
-            ones = a[order] != 0
-            # The first column of the match with the predecessor in the new order: the greatest one passed on the way.
-            new = np.empty(len(a), np.int32)
-            for value in (False, True):
-                at = np.flatnonzero(ones == value)
-                if len(at):
-                    d = np.maximum.reduceat(np.append(start, 0), np.stack((np.append(0, at[:-1] + 1), at + 1), 1).ravel())[::2]
-                    d[0] = m + 1
-                    new[at] = d
-            perm = np.concatenate((np.flatnonzero(~ones), np.flatnonzero(ones)))
-            order, start, m = order[perm], new[perm], m + 1
-            orders.append(order.astype(np.int32)), starts.append(start.copy())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(orders, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32()))], ["chrom", "marker_idx", "order", "divergence"])
-
-
-def fold_order(panel: DataFrame) -> DataFrame:
-    """chrom, marker_idx, order, divergence of a wide panel (chrom, marker_idx, alleles binary): one sequential stream per chromosome with one order as its state."""
-    rows = panel.select("chrom", "marker_idx", "alleles").repartition("chrom").sortWithinPartitions("chrom", "marker_idx")
-    return rows.mapInArrow(fold_orders, "chrom string, marker_idx int, order array<int>, divergence array<int>")
+        for name, block, n, o, s in zip(*(c.to_pylist() for c in batch.columns)):
+            o, s = np.frombuffer(o, np.int32), np.frombuffer(s, np.int32)
+            if name != chrom or not len(order):
+                chrom, order, start, before = name, np.arange(len(o), dtype=np.int32), np.zeros(len(o), np.int32), 0
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([block], pa.int32()), pa.array([before], pa.int32()), pa.array([order.astype(np.int32).tobytes()]), pa.array([start.tobytes()])], ["chrom", "block", "before", "order", "start"])
+            first = s > 0
+            first[0] = True
+            key, heads = np.empty(len(o), np.int32), before + s[first]
+            key[o] = np.cumsum(first) - 1
+            heads[0] = before + n
+            order, start = regroup(order, start, key, heads)
+            before += n
+
+
+def replay_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chrom, block, marker_idx, alleles, before, order, start) rows by block, the one with the order before it first, to (chrom, marker_idx, order, divergence)."""
+    m, order, start = 0, NONE, NONE
+    for batch in batches:
+        chroms, marks, orders, starts = [], [], [], []
+        for chrom, _, mark, raw, before, o, s in zip(*batch.columns):
+            if not mark.is_valid:
+                m, order, start = before.as_py(), np.frombuffer(o.as_py(), np.int32), np.frombuffer(s.as_py(), np.int32)
+                continue
+            order, start = add_column(order, start, alleles_of(raw), m)
+            m += 1
+            chroms.append(chrom.as_py()), marks.append(mark.as_py()), orders.append(order), starts.append(start)
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x).astype(np.int32) if x else NONE)) for x in (orders, starts)]
+        yield pa.RecordBatch.from_arrays([pa.array(chroms, pa.string()), pa.array(marks, pa.int32()), *lists], ["chrom", "marker_idx", "order", "divergence"])
+
+
+def fold_order(panel: DataFrame, block: int = BLOCK) -> DataFrame:
+    """chrom, marker_idx, order, divergence of a wide panel (chrom, marker_idx, alleles binary).
+
+    Blocks of markers are folded on their own; their summaries, two numbers a haplotype and block, are combined in one
+    stream per chromosome; then each block is folded again from the order that stands before it.
+    """
+    rows = panel.select("chrom", F.expr(f"cast(marker_idx div {block} as int)").alias("block"), F.col("marker_idx").cast("int").alias("marker_idx"), "alleles")
+    own = rows.repartition("chrom", "block").sortWithinPartitions("chrom", "block", "marker_idx").mapInArrow(fold_blocks, "chrom string, block int, n int, order binary, start binary")
+    state = own.repartition("chrom").sortWithinPartitions("chrom", "block").mapInArrow(carry_blocks, "chrom string, block int, before int, order binary, start binary")
+    both = rows.unionByName(state, allowMissingColumns=True).select("chrom", "block", "marker_idx", "alleles", "before", "order", "start")
+    both = both.repartition("chrom", "block").sortWithinPartitions("chrom", "block", F.col("marker_idx").asc_nulls_first())
+    return both.mapInArrow(replay_blocks, "chrom string, marker_idx int, order array<int>, divergence array<int>")
+
+
+def wide(alleles: DataFrame, marks: DataFrame) -> DataFrame:
+    """chrom, marker_idx, alleles (a byte for each haplotype, 255 for a missing one) of a full panel in rows."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("hap_idx", F.coalesce("allele", F.lit(MISSING)).alias("a")))), lambda c: F.lpad(F.hex(c["a"]), 2, "0"))
+    rows = alleles.groupBy("marker_idx").agg(F.unhex(F.array_join(cells, "")).alias("alleles"))
+    return rows.join(marks.select("marker_idx", "chrom"), "marker_idx").select("chrom", "marker_idx", "alleles")
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """The orders of a panel as Parquet, by marker."""
+    index.repartitionByRange("marker_idx").sortWithinPartitions("marker_idx").write.parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("chrom string, marker_idx int, order array<int>, divergence array<int>").parquet(path)
+
+
+def choose(index: DataFrame, states: int, n: int, selector: str = "auto") -> DataFrame:
+    """marker_idx, state, hap0, hap1 like select_states, from the lists of an index without a row for each haplotype."""
+    rule = selector_for(states, n, selector)
+    order = F.col("order")
+    if rule == "warp" and (n >= 128 or n % 32 == 0):
+        picks = F.transform(F.sequence(F.lit(0), F.lit(min(4, n // 32, states) - 1)), lambda k: F.get(order, 32 * k))
+    elif rule == "longest":
+        by = F.array_sort(F.transform(F.arrays_zip("divergence", "order"), lambda x, i: F.struct(x["divergence"], i, x["order"].alias("h"))))
+        picks = F.transform(F.slice(by, 1, states), lambda x: x["h"])
+    else:
+        picks = F.slice(order, 1, states)
+    rows = index.withColumn("_picks", picks)
+    each = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda k: F.coalesce(F.get("_picks", k), k % n))
+    return _pairs(rows.select("marker_idx", F.posexplode(each).alias("state", "hap0")), n)
 
 
 def divergence(alleles: DataFrame, mode: str = AS_IMPLEMENTED) -> DataFrame:
@@ -86,6 +174,16 @@ def validate(order: DataFrame) -> DataFrame:
     return g.select("marker_idx", "haplotypes", ((F.col("d") == F.col("haplotypes")) & (F.col("r") == F.col("haplotypes")) & (F.col("lo") == 0) & (F.col("hi") == F.col("haplotypes") - 1)).alias("is_permutation"))
 
 
+def validate_sorted(order: DataFrame, alleles: DataFrame) -> DataFrame:
+    """Adds is_sorted to validate: a marker's order is the one before it, parted stably by (allele is not 0)."""
+    bit = (F.coalesce("allele", F.lit(MISSING)) != 0).cast("int")
+    by_hap, by_rank = Window.partitionBy("hap_idx").orderBy("marker_idx"), Window.partitionBy("marker_idx").orderBy("rank")
+    a = order.join(alleles.select("marker_idx", "hap_idx", bit.alias("bit")), ["marker_idx", "hap_idx"])
+    a = a.withColumn("key", F.struct("bit", F.coalesce(F.lag("rank").over(by_hap), F.col("hap_idx"))))
+    s = a.withColumn("up", F.coalesce(F.lag("key").over(by_rank) < F.col("key"), F.lit(True))).groupBy("marker_idx").agg(F.bool_and("up").alias("is_sorted"))
+    return validate(order).join(s, "marker_idx")
+
+
 def _pairs(chosen: DataFrame, n: int) -> DataFrame:
     """Each state is a haplotype and its right neighbour, round the panel."""
     return chosen.select("marker_idx", F.col("state").cast("int").alias("state"), F.col("hap0").cast("int").alias("hap0"), ((F.col("hap0") + 1) % n).cast("int").alias("hap1"))
@@ -128,11 +226,16 @@ def select_dynamic(order: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return _pairs(order.join(wanted, "marker_idx").filter(F.col("rank") < F.col("states")).select("marker_idx", F.col("rank").alias("state"), F.col("hap_idx").alias("hap0")), n)
 
 
-def select_states(order: DataFrame, states: int, n: int, selector: str = "auto") -> DataFrame:
-    """marker_idx, state, hap0, hap1 by the rule for these sizes, or the one named."""
+def selector_for(states: int, n: int, selector: str = "auto") -> str:
+    """The rule for these sizes, or the one named."""
     if selector == "auto":
-        selector = "warp" if states <= 32 and n <= 10000 else "first"
-    rules: dict[str, Callable] = {"warp": select_warp, "first": select_first}
-    if selector not in rules:
+        return "warp" if states <= 32 and n <= 10000 else "first"
+    if selector not in ("warp", "first", "longest"):
         raise ImputationError(f"no selector {selector!r}")
-    return rules[selector](order, states, n)
+    return selector
+
+
+def select_states(order: DataFrame, states: int, n: int, selector: str = "auto") -> DataFrame:
+    """marker_idx, state, hap0, hap1 by the rule for these sizes, or the one named; "longest" takes an order with documented divergence."""
+    rules: dict[str, Callable] = {"warp": select_warp, "first": select_first, "longest": select_longest}
+    return rules[selector_for(states, n, selector)](order, states, n)

@@ -20,7 +20,7 @@ log = logging.getLogger("haploframe")
 
 @dataclass
 class ImputationResult:
-    """Lazy results: imputed(sample_idx, marker_idx, state, hap0, hap1), info(marker_idx, p, info), probabilities(…, p0, p1, p2, ds)."""
+    """Lazy results: imputed(sample_idx, marker_idx, state, hap0, hap1), kept once it was made, info(marker_idx, p, info), probabilities(…, p0, p1, p2, ds)."""
 
     imputed: DataFrame
     info: DataFrame
@@ -42,87 +42,126 @@ class ImputationResult:
 
 
 class Imputer:
-    """Imputes targets against one panel: alleles(marker_idx, hap_idx, allele) and markers(marker_idx, chrom, pos, …)."""
+    """Imputes targets against one panel: markers (marker_idx, chrom, pos, …), and alleles in rows (marker_idx, hap_idx, allele) or wide (chrom, marker_idx, alleles, see vcf.wide_panel)."""
 
     def __init__(self, alleles: DataFrame, markers: DataFrame, config: ImputationConfig | None = None):
-        self.alleles, self.markers, self.config = alleles, markers, config or ImputationConfig()
-        self.order: DataFrame | None = None
+        self.config = config or ImputationConfig()
+        self.markers = markers
+        self.panel = alleles if "alleles" in alleles.columns else pbwt.wide(alleles, markers)
+        self.index: DataFrame | None = None
         self._haplotypes: int | None = None
+        self._size: int | None = None
 
     @property
     def haplotypes(self) -> int:
         if self._haplotypes is None:
-            self._haplotypes = (self.alleles.agg(F.max("hap_idx")).first()[0] or -1) + 1
-            if self._haplotypes <= 0:
+            found = self.panel.agg(F.max(F.octet_length("alleles"))).first()[0]
+            if not found:
                 raise ImputationError("the panel is empty")
+            self._haplotypes = found
         return self._haplotypes
 
+    @property
+    def size(self) -> int:
+        """Number of markers."""
+        if self._size is None:
+            self._size = self.markers.count()
+        return self._size
+
+    def sequences(self) -> DataFrame:
+        """The wide panel; as implemented, all chromosomes are one sequence."""
+        return self.panel.withColumn("chrom", F.lit("")) if self.config.mode == AS_IMPLEMENTED else self.panel
+
     def build_index(self) -> Imputer:
-        self.order = pbwt.prefix_order(self.alleles)
+        self.index = pbwt.fold_order(self.sequences())
+        return self
+
+    def save_index(self, path: str) -> None:
+        if self.index is None:
+            self.build_index()
+        pbwt.save_index(self.index, path)
+
+    def load_index(self, path: str) -> Imputer:
+        self.index = pbwt.load_index(self.panel.sparkSession, path)
         return self
 
     @property
     def has_index(self) -> bool:
-        return self.order is not None
+        return self.index is not None
 
     def states(self) -> DataFrame:
+        """marker_idx, state, hap0, hap1, a0, a1."""
         h, n = self.config.hmm, self.haplotypes
         if h.use_pbwt_selection and self.has_index:
-            chosen = pbwt.select_states(self.order, h.num_states, n, self.config.selector)
+            chosen = pbwt.choose(self.index, h.num_states, n, self.config.selector)
         else:
-            chosen = pbwt.select_simple(self.alleles.select("marker_idx").distinct(), h.num_states, n)
-        return hmm.state_alleles(chosen, self.alleles)
+            chosen = pbwt.select_simple(self.panel.select("marker_idx"), h.num_states, n)
+        at = lambda c: F.conv(F.hex(F.substring("alleles", F.col(c) + 1, F.lit(1))), 16, 10).cast("int")
+        return chosen.join(self.panel.select("marker_idx", "alleles"), "marker_idx").select("marker_idx", "state", "hap0", "hap1", at("hap0").alias("a0"), at("hap1").alias("a1"))
+
+    def marks(self) -> DataFrame:
+        return self.markers.select("marker_idx", "chrom", morgans(F.col("pos"), F.col("cm") if "cm" in self.markers.columns else None).alias("morgans"))
 
     def transitions(self) -> DataFrame:
-        m = self.markers.select("marker_idx", "chrom", morgans(F.col("pos"), F.col("cm") if "cm" in self.markers.columns else None).alias("morgans"))
-        return hmm.transitions(m, self.config.hmm)
+        return hmm.transitions(self.marks(), self.config.hmm)
 
     def check(self, gl: DataFrame, target_markers: DataFrame | None) -> DataFrame:
-        """Targets on the panel's marker numbers: by place with equal counts, or by (chrom, pos, ref, alt) if strict."""
+        """Targets on the panel's marker numbers: by place with equal counts, or by (chrom, pos, ref, alt) if strict; markers that strict targets lack count as not genotyped."""
         if target_markers is None:
             return gl
         if self.config.strict_markers:
             by = ["chrom", "pos", "ref", "alt"]
             same = target_markers.select(F.col("marker_idx").alias("_t"), *by).join(self.markers.select("marker_idx", *by), by)
-            return gl.withColumnRenamed("marker_idx", "_t").join(same.select("_t", "marker_idx"), "_t").drop("_t")
-        a, b = target_markers.count(), self.markers.count()
-        if a != b:
-            raise ImputationError(f"{a} target markers for a panel of {b}")
+            return hmm.complete(gl.withColumnRenamed("marker_idx", "_t").join(same.select("_t", "marker_idx"), "_t").drop("_t"), self.markers)
+        found = target_markers.count()
+        if found != self.size:
+            raise ImputationError(f"{found} target markers for a panel of {self.size}")
         return gl
 
     def posteriors(self, gl: DataFrame, states: DataFrame) -> DataFrame:
-        return hmm.posteriors(hmm.emissions(gl, states), self.transitions(), self.config.mode)
+        c = self.config
+        return hmm.posteriors(gl, states, self.marks(), c.hmm, c.mode, c.window_size if 0 < c.window_size < self.size else 0)
 
     def impute(self, gl: DataFrame, target_markers: DataFrame | None = None, samples: list[str] | None = None) -> ImputationResult:
-        """gl: sample_idx, marker_idx, ll_00, ll_01, ll_11 (log10)."""
+        """gl: sample_idx, marker_idx, ll_00, ll_01, ll_11 (log10), a row for each sample and marker. The recursion runs once, when a result is first asked for."""
         c = self.config
-        states = self.states()
-        post = self.posteriors(self.check(gl, target_markers), states)
-        imputed = calls.argmax_calls(post, states) if c.deterministic else calls.sampled_calls(post, states, c.seed)
+        states = self.states().persist()
+        post = self.posteriors(self.check(gl, target_markers), states).select("sample_idx", "marker_idx", "log_post")
+        called = calls.argmax_calls(post, states) if c.deterministic else calls.sampled_calls(post, states, c.seed)
+        if c.output_probabilities or c.output_dosages:
+            post = post.persist()
+            called = calls.argmax_calls(post, states) if c.deterministic else calls.sampled_calls(post, states, c.seed)
+        imputed = called.persist()
         pq = calls.allelic_posteriors(post, states)
         probs = pq.select("sample_idx", "marker_idx", *genotype_probabilities(F.col("p"), F.col("q")), (F.col("p") + F.col("q")).alias("ds"))
         return ImputationResult(imputed, calls.info_scores(calls.dosages(imputed)), probs, self.markers, samples)
 
     def impute_with_progress(self, gl: DataFrame, progress: Callable[[int, int], None], path: str, batch_size: int = 100) -> DataFrame:
         """Imputes runs of sample numbers one after the other into Parquet below path; progress(done, total) follows each. Results don't depend on the runs."""
-        total = (gl.agg(F.max("sample_idx")).first()[0] or -1) + 1
+        last = gl.agg(F.max("sample_idx")).first()[0]
+        total = 0 if last is None else last + 1
+        schema = "sample_idx int, marker_idx int, state int, hap0 int, hap1 int"
+        gl.sparkSession.createDataFrame([], schema).write.mode("append").parquet(path)
         for at in range(0, total, batch_size):
             part = gl.filter((F.col("sample_idx") >= at) & (F.col("sample_idx") < at + batch_size))
-            self.impute(part).imputed.write.mode("append").parquet(path)
+            result = self.impute(part)
+            result.imputed.write.mode("append").parquet(path)
+            result.imputed.unpersist()
             progress(min(at + batch_size, total), total)
-        return gl.sparkSession.read.parquet(path)
+        return gl.sparkSession.read.schema(schema).parquet(path)
 
 
 def impute(spark: SparkSession, reference: str, target: str, out: str | None = None, config: ImputationConfig | None = None, compression: str = "none") -> ImputationResult:
     """Panel and targets from VCF files, results to a VCF folder if out is given."""
     c = config or ImputationConfig()
     began = time.time()
-    panel, goal = (vcf.region(vcf.records(spark, p), c.region) for p in (reference, target))
-    imputer = Imputer(vcf.panel_alleles(panel), vcf.markers(panel), c).build_index()
+    panel = vcf.wide_panel(vcf.records(spark, reference, where=c.region)).persist()
+    goal = vcf.records(spark, target, where=c.region)
+    imputer = Imputer(panel, panel.drop("alleles"), c).build_index()
     names = vcf.read_header(spark, target).sample_names
     result = imputer.impute(vcf.target_likelihoods(goal), vcf.markers(goal), names)
     if out:
         result.write_vcf(out, compression, c.output_probabilities or c.output_dosages, c.output_dosages)
         s = time.time() - began
-        log.info("%d samples in %.1f s, %.1f a second", len(names), s, len(names) / s)
+        log.info("%d samples and %d markers in %.1f s; a second: %.1f samples, %.1f markers", len(names), imputer.size, s, len(names) / s, imputer.size / s)
     return result

@@ -54,5 +54,6 @@ def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.emissions(likelihoods(spark, sf_dir), states(spark, sf_dir))
 
 
-def posteriors(spark: SparkSession, sf_dir: str, mode: str = "as_implemented") -> DataFrame:
-    return hmm.posteriors(emissions(spark, sf_dir), hmm.transitions(mapped(spark), PARAMETERS), mode)
+def posteriors(spark: SparkSession, sf_dir: str, mode: str = "as_implemented", window: int = 0) -> DataFrame:
+    """By state in lists; see hmm.unrolled for rows."""
+    return hmm.posteriors(likelihoods(spark, sf_dir), states(spark, sf_dir), mapped(spark), PARAMETERS, mode, window)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..config import ImputationConfig
 from ..functions import genotypes as gt
 from ..functions.logspace import log10_add, logsumexp, logsumexp_by
-from ..operators import calls, hmm, pbwt
+from ..operators import calls, hmm, lookups, pbwt
 from ..sources import vcf
+from ..storage import shared_path
 from . import panel
-from .impute import Imputer
+from .impute import Imputer, impute
 from .panel import HAPLOTYPES, MARKERS, PANEL_SAMPLES, PARAMETERS, STATES, TARGETS
 
 
@@ -61,14 +62,100 @@ def order(spark, sf_dir, samples=PANEL_SAMPLES):
     return pbwt.prefix_order(panel.alleles(spark, sf_dir, samples))
 
 
-def folded(spark, sf_dir):
-    a = panel.alleles(spark, sf_dir)
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("hap_idx", F.coalesce("allele", F.lit(255)).alias("a")))), lambda c: F.lpad(F.hex(c["a"]), 2, "0"))
-    wide = a.groupBy("marker_idx").agg(F.unhex(F.array_join(cells, "")).alias("alleles")).select(F.lit("chr1").alias("chrom"), "marker_idx", "alleles")
-    r = pbwt.fold_order(wide).select("marker_idx", F.posexplode(F.arrays_zip("order", "divergence")).alias("rank", "x"))
+def wide(spark, sf_dir):
+    return pbwt.wide(panel.alleles(spark, sf_dir), panel.markers(spark))
+
+
+def unfolded(index):
+    r = index.select("marker_idx", F.posexplode(F.arrays_zip("order", "divergence")).alias("rank", "x"))
     return r.select("marker_idx", "rank", F.col("x.order").alias("hap_idx"), F.col("x.divergence").alias("divergence"))
 
 
+def folded(spark, sf_dir):
+    """In blocks of seven markers, so that orders are carried."""
+    return unfolded(pbwt.fold_order(wide(spark, sf_dir), 7))
+
+
+def stored_index(spark, sf_dir):
+    path = shared_path(spark, "index")
+    pbwt.save_index(pbwt.fold_order(wide(spark, sf_dir)), path)
+    return unfolded(pbwt.load_index(spark, path))
+
+
+def chosen(states, selector="auto", samples=PANEL_SAMPLES):
+    """States from the lists of an index, as Imputer takes them."""
+    return lambda s, d: pbwt.choose(pbwt.fold_order(pbwt.wide(panel.alleles(s, d, samples), panel.markers(s))), states, 2 * samples, selector)
+
+
+def panel_file(spark, sf_dir) -> str:
+    """The panel as a VCF folder; a missing allele is a dot."""
+    a = panel.alleles(spark, sf_dir).withColumn("x", F.coalesce(F.col("allele").cast("string"), F.lit(".")))
+    cells = a.groupBy("marker_idx", F.expr("hap_idx div 2").alias("sample_idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hap_idx", "x"))), lambda c: c["x"]), "|").alias("text"))
+    path = shared_path(spark, "panel-vcf")
+    vcf.write_vcf(vcf.cell_rows(cells, panel.markers(spark), F.col("text"), "GT"), path, [f"P{i}" for i in range(PANEL_SAMPLES)], ["chr1"])
+    return path
+
+
+def target_file(spark, sf_dir, compression="none") -> str:
+    g = panel.genotypes(spark, sf_dir)
+    text = F.when(F.col("genotype") == 0, "0/0").when(F.col("genotype") == 1, "0/1").when(F.col("genotype") == 2, "1/1").otherwise("./.")
+    path = shared_path(spark, "target-vcf")
+    vcf.write_vcf(vcf.cell_rows(g, panel.markers(spark), text, "GT"), path, [f"T{i}" for i in range(TARGETS)], ["chr1"], compression)
+    return path
+
+
+def header_of_file(spark, sf_dir):
+    h = vcf.read_header(spark, panel_file(spark, sf_dir))
+    return spark.createDataFrame([(i, n, h.contigs[0], h.num_samples) for i, n in enumerate(h.sample_names)], "sample_idx long, sample_id string, contig string, samples long")
+
+
+def panel_of_file(spark, sf_dir):
+    return vcf.panel_alleles(vcf.records(spark, panel_file(spark, sf_dir)))
+
+
+def wide_panel_of_file(spark, sf_dir):
+    return vcf.wide_panel(vcf.records(spark, panel_file(spark, sf_dir))).select("marker_idx", "chrom", "pos", F.hex("alleles").alias("alleles"))
+
+
+def targets_of_file(spark, sf_dir):
+    return vcf.target_likelihoods(vcf.records(spark, target_file(spark, sf_dir, "gzip")))
+
+
+def region_of_file(spark, sf_dir):
+    r = vcf.records(spark, target_file(spark, sf_dir), where="chr1:5000-20000")
+    return r.select("marker_idx", "chrom", "pos", "id", "ref", F.get("alt", F.lit(0)).alias("alt"), F.size("fields").alias("samples"))
+
+
+def stored_panel(spark, sf_dir):
+    path = shared_path(spark, "panel")
+    vcf.save_panel(spark, panel.alleles(spark, sf_dir), panel.markers(spark), path)
+    alleles, marks = vcf.load_panel(spark, path)
+    return alleles.join(marks.select("marker_idx", "pos"), "marker_idx")
+
+
+def imputed_files(spark, sf_dir):
+    """Panel and targets from files, calls to a gzip file, and its lines read back."""
+    out = shared_path(spark, "imputed-vcf")
+    config = ImputationConfig(PARAMETERS, selector="first", deterministic=True)
+    impute(spark, panel_file(spark, sf_dir), target_file(spark, sf_dir), out, config, "gzip")
+    r = vcf.records(spark, out)
+    names = F.lit(vcf.read_header(spark, out).sample_names)
+    return r.select("marker_idx", "chrom", "pos", F.posexplode("fields").alias("sample_idx", "gt")).withColumn("sample_id", F.get(names, "sample_idx"))
+
+
+def looked_up(spark, sf_dir):
+    """Places inside and beyond the panel and the targets."""
+    m = F.col("id")
+    places = spark.range(40 * 36).select((m % 40).cast("int").alias("marker_idx"), (m / 40).cast("int").alias("hap_idx"), (m / 40).cast("int").alias("sample_idx"))
+    calls_ = argmax(spark, sf_dir)
+    info = calls.info_scores(calls.dosages(calls.likelihood_calls(panel.likelihoods(spark, sf_dir))))
+    r = lookups.allele_at(places, panel.alleles(spark, sf_dir))
+    r = lookups.likelihood_at(r, panel.likelihoods(spark, sf_dir))
+    r = lookups.haplotypes_at(r, calls_)
+    r = lookups.dosage_at(r, calls.dosages(calls_))
+    return rounded(lookups.info_at(r, info), "info", places=6)
+
+
 def dynamic(spark, sf_dir):
     wanted = panel.markers(spark).select("marker_idx", (F.col("marker_idx") % 5 + 1).alias("states"))
     return pbwt.select_dynamic(order(spark, sf_dir), wanted, HAPLOTYPES)
@@ -86,8 +173,8 @@ def pairwise(spark, sf_dir):
     return rounded(r.groupBy("l_orderkey").agg(F.sum("lse2").alias("lse2"), F.sum("lse3").alias("lse3"), F.sum("log10_sum").alias("log10_sum")), "lse2", "lse3", "log10_sum")
 
 
-def theta_emission(spark, sf_dir, haplotypes=HAPLOTYPES):
-    j = panel.likelihoods(spark, sf_dir).join(panel.alleles(spark, sf_dir).filter(F.col("hap_idx") < haplotypes), "marker_idx")
+def theta_emission(spark, sf_dir):
+    j = panel.likelihoods(spark, sf_dir).join(panel.alleles(spark, sf_dir), "marker_idx")
     e = gt.haploid_emission(F.col("ll_00"), F.col("ll_01"), F.col("ll_11"), F.coalesce("allele", F.lit(255)), PARAMETERS.theta)
     return rounded(j.select("sample_idx", "marker_idx", "hap_idx", e.alias("emission")), "emission", places=6)
 
@@ -99,7 +186,8 @@ def concordance(spark, sf_dir):
 def queries() -> dict:
     p = panel
     trans = lambda s: hmm.transitions(p.mapped(s), PARAMETERS)
-    post = lambda mode: lambda s, d: rounded(p.posteriors(s, d, mode).select("sample_idx", "marker_idx", "state", "log_post"), "log_post")
+    post = lambda mode, window=0: lambda s, d: rounded(hmm.unrolled(p.posteriors(s, d, mode, window)).select("sample_idx", "marker_idx", "state", "log_post"), "log_post")
+    values = lambda c: lambda s, d: rounded(hmm.unrolled(p.posteriors(s, d)).select("sample_idx", "marker_idx", "state", c), c)
     return {
         "panel_alleles": p.alleles,
         "target_genotypes": p.genotypes,
@@ -123,29 +211,45 @@ def queries() -> dict:
         "select_dynamic": dynamic,
         "state_alleles": p.states,
         "emission_probs": p.emissions,
-        "haploid_emission_theta": lambda s, d: theta_emission(s, d, 4),
+        "haploid_emission_theta": theta_emission,
         "haploid_emission_theta_panel": theta_emission,
         "transition_probs": lambda s, d: rounded(trans(s), "rho", "log_stay", "log_switch", places=6),
         "linear_switch_prob": lambda s, d: rounded(p.markers(s).select("marker_idx", gt.linear_switch(F.col("pos") / 1e6, 10000, 4e-4).alias("rho")).withColumn("stay", 1 - F.col("rho")), "rho", "stay", places=6),
         "logsumexp_rows": lambda s, d: rounded(logsumexp_by(logs(s, d), ["row"], "x", "lse"), "lse"),
         "logsumexp_cols": lambda s, d: rounded(logsumexp_by(logs(s, d), ["col"], "x", "lse"), "lse"),
         "logsumexp_pairwise": pairwise,
-        "forward_alpha": lambda s, d: rounded(p.posteriors(s, d).select("sample_idx", "marker_idx", "state", "alpha"), "alpha"),
-        "forward_scaling": lambda s, d: rounded(p.posteriors(s, d).filter("state = 0").select("sample_idx", "marker_idx", "scale"), "scale"),
-        "backward_beta": lambda s, d: rounded(p.posteriors(s, d).select("sample_idx", "marker_idx", "state", "beta"), "beta"),
+        "forward_alpha": values("alpha"),
+        "forward_scaling": lambda s, d: rounded(p.posteriors(s, d).select("sample_idx", "marker_idx", "scale"), "scale"),
+        "backward_beta": values("beta"),
         "posteriors": post("as_implemented"),
         "posteriors_documented": post("documented"),
+        "posteriors_windowed": post("as_implemented", 5),
+        "posteriors_windowed_documented": post("documented", 12),
         "haplotype_call_argmax": argmax,
         "haplotype_call_sampled": lambda s, d: calls.sampled_calls(p.posteriors(s, d), p.states(s, d)),
         "dosage": lambda s, d: calls.dosages(argmax(s, d)),
         "genotype_probs": probabilities,
         "info_score": lambda s, d: rounded(calls.info_scores(calls.dosages(calls.likelihood_calls(p.likelihoods(s, d)))), "p", "info", places=6),
         "impute_flagship": flagship,
-        "memory_estimate": lambda s, d: p.markers(s).agg(F.lit(calls.memory_bytes(MARKERS, HAPLOTYPES, TARGETS, STATES)).cast("long").alias("bytes")),
+        "memory_estimate": lambda s, d: calls.size_report(p.alleles(s, d), p.likelihoods(s, d), STATES),
         "pack_2bit": lambda s, d: gt.pack_alleles(p.alleles(s, d).fillna(3, ["allele"]), ["marker_idx"]),
         "unpack_2bit": lambda s, d: gt.unpack_alleles(gt.pack_alleles(p.alleles(s, d).fillna(3, ["allele"]), ["marker_idx"]), ["marker_idx"]),
         "sample_partitions": lambda s, d: calls.sample_partitions(s.range(TARGETS).select(F.col("id").cast("int").alias("sample_idx")), 5, TARGETS),
         "concordance_r2": concordance,
+        "vcf_header_scan": header_of_file,
+        "vcf_panel_scan": panel_of_file,
+        "vcf_wide_panel": wide_panel_of_file,
+        "vcf_target_scan": targets_of_file,
+        "vcf_region_records": region_of_file,
+        "panel_store": stored_panel,
+        "pbwt_index_store": stored_index,
+        "pbwt_validate_sorted": lambda s, d: pbwt.validate_sorted(order(s, d), p.alleles(s, d)),
+        "index_states_first": chosen(STATES, "first"),
+        "index_states_warp": chosen(STATES, "auto", 64),
+        "index_states_longest": chosen(STATES, "longest"),
+        "index_states_padded": chosen(40),
+        "impute_files": imputed_files,
+        "lookup_defaults": looked_up,
     }
 
 
@@ -236,7 +340,7 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "select_dynamic": BASE + f"select marker_idx, rank as state, hap_idx as hap0, ((hap_idx + 1) % {HAPLOTYPES})::int as hap1 from pf where rank < marker_idx % 5 + 1",
         "state_alleles": BASE + "select * from sa",
         "emission_probs": BASE + "select * from em",
-        "haploid_emission_theta": BASE + ", pw as (select sample_idx, gl.marker_idx, hap_idx, coalesce(allele, 255) as a, pow(10.0, ll_00) as x, pow(10.0, ll_01) as y, pow(10.0, ll_11) as z from gl join al on gl.marker_idx = al.marker_idx and hap_idx < 4) select sample_idx, marker_idx, hap_idx, round(((case when a = 0 then x else z end) * 0.999::double + y * 0.5::double + (case when a = 0 then z else x end) * 0.001::double) / (x + y + z), 6) + 0.0 as emission from pw",
+        "haploid_emission_theta": BASE + ", pw as (select sample_idx, gl.marker_idx, hap_idx, coalesce(allele, 255) as a, pow(10.0, ll_00) as x, pow(10.0, ll_01) as y, pow(10.0, ll_11) as z from gl join al on gl.marker_idx = al.marker_idx) select sample_idx, marker_idx, hap_idx, round(((case when a = 0 then x else z end) * 0.999::double + y * 0.5::double + (case when a = 0 then z else x end) * 0.001::double) / (x + y + z), 6) + 0.0 as emission from pw",
         "haploid_emission_theta_panel": BASE + ", pw as (select sample_idx, gl.marker_idx, hap_idx, coalesce(allele, 255) as a, pow(10.0, ll_00) as x, pow(10.0, ll_01) as y, pow(10.0, ll_11) as z from gl join al on gl.marker_idx = al.marker_idx) select sample_idx, marker_idx, hap_idx, round(((case when a = 0 then x else z end) * 0.999::double + y * 0.5::double + (case when a = 0 then z else x end) * 0.001::double) / (x + y + z), 6) + 0.0 as emission from pw",
         "transition_probs": BASE + "select marker_idx, round(rho::double, 6) + 0.0 as rho, round(log_stay::double, 6) + 0.0 as log_stay, round(log_switch::double, 6) + 0.0 as log_switch from tr",
         "linear_switch_prob": BASE + "select marker_idx, round(pos / 1e6 / 100.0 * 4.0::double, 6) + 0.0 as rho, round(1 - pos / 1e6 / 100.0 * 4.0::double, 6) + 0.0 as stay from mk",
@@ -247,6 +351,8 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "forward_scaling": rec + "select sample_idx, m::int as marker_idx, round(scale, 4) + 0.0 as scale from fw",
         "backward_beta": rec + unroll("b") + f"beta from bw, range({STATES}) s",
         "posteriors": rec + "select sample_idx, marker_idx, state, round(log_post, 4) + 0.0 as log_post from po",
+        "posteriors_windowed": rec + "select sample_idx, marker_idx, state, round(log_post, 4) + 0.0 as log_post from po",
+        "posteriors_windowed_documented": doc + "select sample_idx, marker_idx, state, round(log_post, 4) + 0.0 as log_post from po",
         "posteriors_documented": doc + "select sample_idx, marker_idx, state, round(log_post, 4) + 0.0 as log_post from po",
         "haplotype_call_argmax": best + "select * from cl",
         "haplotype_call_sampled": rec + ", pp as (select *, exp(log_post - max(log_post) over (partition by sample_idx, marker_idx)) as p from po), pc as (select *, sum(p) over (partition by sample_idx, marker_idx order by state) / sum(p) over (partition by sample_idx, marker_idx) as cum, ('0x' || substr(md5('12345|' || sample_idx || '|' || marker_idx), 1, 8))::bigint / 4294967296.0::double as u from pp), sd as (select sample_idx, marker_idx, coalesce(min(state) filter (u < cum), 0)::int as state from pc group by 1, 2) select sample_idx, sd.marker_idx, sd.state, a0 as hap0, a1 as hap1 from sd join sa using (marker_idx, state)",
@@ -254,9 +360,23 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "genotype_probs": probs + "select sample_idx, marker_idx, round((1 - p) * (1 - q), 4) + 0.0 as p0, round((1 - p) * q + p * (1 - q), 4) + 0.0 as p1, round(p * q, 4) + 0.0 as p2 from ap",
         "info_score": BASE + f", d0 as (select marker_idx, (case when ll_00 > ll_01 and ll_00 > ll_11 then 0 when ll_01 > ll_11 then 1 else 2 end) as g from gl), d1 as (select marker_idx, avg(g) as mu, avg(g * g) as sq, avg(g) / 2 as p from d0 group by 1) select marker_idx, round(p, 6) + 0.0 as p, round({info}, 6) + 0.0 as info from d1",
         "impute_flagship": best + f", g1 as (select marker_idx, avg(dosage) as mu, avg(dosage * dosage) as sq, avg(dosage) / 2 as p from ds group by 1) select sample_idx, ds.marker_idx, dosage, round({info}, 6) as info from ds join g1 using (marker_idx)",
-        "memory_estimate": f"select ({MARKERS} * {HAPLOTYPES} * 5 + {MARKERS} * {TARGETS} * {STATES} * 8)::bigint as bytes",
+        "memory_estimate": BASE + f"select markers, haplotypes, samples, (markers * haplotypes * 5 + markers * samples * {STATES} * 8)::bigint as bytes from (select count(distinct marker_idx) as markers, count(distinct hap_idx) as haplotypes from al), (select count(distinct sample_idx) as samples from gl)",
         "pack_2bit": BASE + "select marker_idx, (hap_idx // 4)::int as byte_idx, sum((coalesce(allele, 3) & 3) << (2 * (hap_idx % 4)))::int as packed from al group by 1, 2",
         "unpack_2bit": BASE + "select marker_idx, hap_idx, coalesce(allele, 3)::int as allele from al",
         "sample_partitions": f"select range::int as sample_idx, (range // 5)::int as part from range({TARGETS})",
+        "vcf_header_scan": f"select range as sample_idx, 'P' || range as sample_id, 'chr1' as contig, {PANEL_SAMPLES}::bigint as samples from range({PANEL_SAMPLES})",
+        "vcf_panel_scan": BASE + "select * from al",
+        "vcf_wide_panel": BASE + "select marker_idx, chrom, pos, alleles from mk join (select marker_idx, string_agg(case when allele is null then 'FF' else '0' || allele end, '' order by hap_idx) as alleles from al group by 1) using (marker_idx)",
+        "vcf_target_scan": BASE + "select * from gl",
+        "vcf_region_records": BASE + f"select (row_number() over (order by marker_idx) - 1)::int as marker_idx, chrom, pos, id, ref, alt, {TARGETS} as samples from mk where pos between 5000 and 20000",
+        "panel_store": BASE + "select al.*, pos from al join mk using (marker_idx)",
+        "pbwt_index_store": BASE + "select * from dv",
+        "pbwt_validate_sorted": BASE + "select marker_idx, count(*) as haplotypes, count(distinct hap_idx) = count(*) and count(distinct rank) = count(*) and min(hap_idx) = 0 and max(hap_idx) = count(*) - 1 as is_permutation, bool_and(prev is null or prev <= revkey) as is_sorted from pf group by 1",
+        "index_states_first": BASE + "select * from st0",
+        "index_states_warp": base(64) + padded(STATES, 128, "(select hap_idx from pf where pf.marker_idx = m.marker_idx and k.range < 4 and pf.rank = 32 * k.range)"),
+        "index_states_longest": BASE + f"select marker_idx, state, hap_idx as hap0, ((hap_idx + 1) % {HAPLOTYPES})::int as hap1 from (select *, (row_number() over (partition by marker_idx order by divergence, rank) - 1)::int as state from dv) where state < {STATES}",
+        "index_states_padded": BASE + padded(40, HAPLOTYPES, "(select hap_idx from pf where pf.marker_idx = m.marker_idx and pf.rank = k.range)"),
+        "impute_files": best + "select marker_idx, chrom, pos, sample_idx, 'T' || sample_idx as sample_id, hap0 || '|' || hap1 as gt from cl join mk using (marker_idx)",
+        "lookup_defaults": best + f", g1 as (select marker_idx, avg(g) as mu, avg(g * g) as sq, avg(g) / 2 as p from (select marker_idx, (case when ll_00 > ll_01 and ll_00 > ll_11 then 0 when ll_01 > ll_11 then 1 else 2 end) as g from gl) group by 1), inf as (select marker_idx, round({info}, 6) + 0.0 as info from g1), pl as (select a.range::int as marker_idx, b.range::int as hap_idx, b.range::int as sample_idx from range(40) a, range(36) b) select pl.*, coalesce(allele, 255) as allele, coalesce(ll_00, 0.0) as ll_00, coalesce(ll_01, 0.0) as ll_01, coalesce(ll_11, 0.0) as ll_11, hap0, hap1, coalesce(hap0 + hap1, 0)::int as dosage, coalesce(info, 0.0) as info from pl left join al using (marker_idx, hap_idx) left join gl using (sample_idx, marker_idx) left join cl using (sample_idx, marker_idx) left join inf using (marker_idx)",
         "concordance_r2": best + ", cc as (select ds.marker_idx, count(*) as compared, avg((dosage = genotype)::int::double) as concordance, corr(dosage::double, genotype::double) as r from ds join gen using (sample_idx, marker_idx) where genotype is not null group by 1) select marker_idx, compared, round(concordance, 4) + 0.0 as concordance, round(case when r is null or isnan(r) then 0.0 else r * r end, 4) + 0.0 as r2 from cc",
     }

@@ -1,7 +1,8 @@
 """VCF text as DataFrames: headers, records, panels and targets; and the writer.
 
-A marker's index is its place among the records of its file. Lines are numbered by Spark's zipWithIndex, which needs
-one pass for the sizes of the partitions and no shuffle. Files ending in .gz or .bgz are decompressed by Spark.
+A marker's index is its place among the records that are read, in the order of files and lines; a region is cut out
+before they are numbered. Each split of a file counts its records, the splits' counts are summed up, and a record adds
+its place in the split: no data row is shuffled or leaves the JVM. Files ending in .gz or .bgz are decompressed by Spark.
 """
 
 from __future__ import annotations
@@ -9,11 +10,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..config import ImputationError
+from ..config import MISSING, ImputationError
 from ..functions.genotypes import call_genotype, likelihood_columns, parse_gt
 
 FIXED = 9
@@ -32,23 +32,34 @@ class VcfHeader:
 
 def read_header(spark: SparkSession, path: str) -> VcfHeader:
     """Contigs and sample names; the header of one file is what comes to the driver."""
-    lines = [r.value.rstrip("\r") for r in spark.read.text(path).filter(F.col("value").startswith("#")).toLocalIterator()]
+    lines = [r.value.rstrip("\r") for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()]
     columns = [x.split() for x in lines if x.startswith("#CHROM")]
     if not columns:
         raise ImputationError(f"{path} has no #CHROM line")
     return VcfHeader(columns[0][FIXED:], [m[1] for x in lines if (m := re.match(r"##contig=<.*?ID=([^,>]+)", x))])
 
 
-def records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """marker_idx, chrom, pos, id, ref, alt (array), qual and fields, the samples' texts. strict: a line with fewer than nine fields is an error, else it is left out."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+def numbered(rows: DataFrame) -> DataFrame:
+    """Replaces file and block, the split a row was read from, by marker_idx, its place among all rows."""
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each split of the files.
+    splits = rows.groupBy("file", "block").agg(F.min("_at").alias("first"), F.count("*").alias("n"))
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(splits, ["file", "block"]).withColumn("marker_idx", F.col("_at") + F.col("shift")).drop("file", "block", "_at", "shift")
+
+
+def records(spark: SparkSession, path: str, strict: bool = True, where: str = "") -> DataFrame:
+    """marker_idx, chrom, pos, id, ref, alt (array), qual and fields, the samples' texts, of the records in a region (see region), all without one. strict: a line with fewer than nine fields is an error, else it is left out."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     f = F.split(F.rtrim(F.regexp_replace("value", "\r$", "")), "\t")
-    rows = lines.select(f.alias("f"))
+    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(f.alias("f"), "file", "block")
     if not strict:
         rows = rows.filter(F.size("f") >= FIXED)
-    schema = T.StructType([T.StructField("f", T.ArrayType(T.StringType())), T.StructField("marker_idx", T.LongType())])
-    numbered = spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (x[0].f, x[1])), schema)
-    return parse_fields(numbered)
+    if where:
+        place = rows.withColumns({"chrom": F.get("f", F.lit(0)), "pos": F.get("f", F.lit(1)).try_cast("long")})
+        rows = region(place, where).drop("chrom", "pos")
+    return parse_fields(numbered(rows))
 
 
 def parse_fields(rows: DataFrame) -> DataFrame:
@@ -76,8 +87,8 @@ def region(df: DataFrame, text: str) -> DataFrame:
     return df.filter(F.col("pos") <= number(m[3])) if m[3] else df
 
 
-def markers(rows: DataFrame) -> DataFrame:
-    return rows.select("marker_idx", "chrom", "pos", "id", "ref", F.get("alt", F.lit(0)).alias("alt"), F.lit(0.0).alias("cm"))
+def markers(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("marker_idx", "chrom", "pos", "id", "ref", F.get("alt", F.lit(0)).alias("alt"), F.lit(0.0).alias("cm"), *more)
 
 
 def panel_alleles(rows: DataFrame) -> DataFrame:
@@ -87,6 +98,19 @@ def panel_alleles(rows: DataFrame) -> DataFrame:
     return s.select("marker_idx", "s", F.posexplode(pair).alias("phase", "allele")).select("marker_idx", (2 * F.col("s") + F.col("phase")).alias("hap_idx"), F.col("allele").cast("int").alias("allele"))
 
 
+def wide_panel(rows: DataFrame) -> DataFrame:
+    """The columns of markers and alleles, a byte for each haplotype, 255 for a missing one."""
+    x2 = lambda a: F.lpad(F.hex(F.coalesce(a.cast("int"), F.lit(MISSING))), 2, "0")
+    digit = lambda x, i: F.when(F.substring(x, i, 1) == ".", "FF").otherwise(F.concat(F.lit("0"), F.substring(x, i, 1)))
+
+    def pair(x: Column) -> Column:
+        gt = parse_gt(x)
+        second = F.when(F.size(gt) > 1, F.get(gt, F.lit(1))).otherwise(F.get(gt, F.lit(0)))
+        return F.when(x.rlike(r"^[0-9.][|/][0-9.](:|$)"), F.concat(digit(x, 1), digit(x, 3))).otherwise(F.concat(x2(F.get(gt, F.lit(0))), x2(second)))
+
+    return markers(rows.withColumn("alleles", F.unhex(F.array_join(F.transform("fields", pair), ""))), "alleles")
+
+
 def target_likelihoods(rows: DataFrame) -> DataFrame:
     """sample_idx, marker_idx, ll_00, ll_01, ll_11 of hard calls."""
     s = rows.select("marker_idx", F.posexplode("fields").alias("sample_idx", "x")).withColumn("g", call_genotype(parse_gt(F.col("x"))))
@@ -118,7 +142,8 @@ def header_lines(samples: list[str], contigs: list[str]) -> list[str]:
     ]
 
 
-def _row(calls: DataFrame, marks: DataFrame, text, form: str) -> DataFrame:
+def cell_rows(calls: DataFrame, marks: DataFrame, text: Column, form: str) -> DataFrame:
+    """marker_idx, line: a record of each marker with the text of each cell (sample_idx, marker_idx) in the order of samples."""
     cells = calls.groupBy("marker_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", text.alias("x")))), lambda c: c["x"]).alias("cells"))
     m = marks.select("marker_idx", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.when(F.coalesce("id", F.lit("")) == "", ".").otherwise(F.col("id")), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("IMP"), F.lit(form)).alias("head"))
     return m.join(cells, "marker_idx").select("marker_idx", F.concat_ws("\t", "head", F.array_join("cells", "\t")).alias("line"))
@@ -127,7 +152,7 @@ def _row(calls: DataFrame, marks: DataFrame, text, form: str) -> DataFrame:
 def phased_rows(calls: DataFrame, marks: DataFrame) -> DataFrame:
     """marker_idx, line: one GT row per marker of calls (sample_idx, marker_idx, hap0, hap1)."""
     gt = F.when(F.col("hap0").isNull() | F.col("hap1").isNull(), "./.").otherwise(F.concat_ws("|", F.col("hap0").cast("string"), F.col("hap1").cast("string")))
-    return _row(calls, marks, gt, "GT")
+    return cell_rows(calls, marks, gt, "GT")
 
 
 def probability_rows(calls: DataFrame, marks: DataFrame, dosage: bool = True) -> DataFrame:
@@ -137,7 +162,7 @@ def probability_rows(calls: DataFrame, marks: DataFrame, dosage: bool = True) ->
     gt = F.get(F.array(F.lit("0|0"), F.lit("0|1"), F.lit("1|1")), best.cast("int"))
     fixed = lambda c: F.format_string("%.4f", c)
     parts = [gt, *([fixed(F.col("ds"))] if dosage else []), F.concat_ws(",", *(fixed(F.col(c)) for c in ("p0", "p1", "p2")))]
-    return _row(calls, marks, F.concat_ws(":", *parts), "GT:DS:GP" if dosage else "GT:GP")
+    return cell_rows(calls, marks, F.concat_ws(":", *parts), "GT:DS:GP" if dosage else "GT:GP")
 
 
 def write_vcf(rows: DataFrame, path: str, samples: list[str], contigs: list[str], compression: str = "none") -> None:

@@ -69,8 +69,11 @@ def test_orders(spark, panel):
     d = {(r.marker_idx, r["rank"]): r.divergence for r in pbwt.divergence(panel[0], DOCUMENTED).collect()}
     assert [[d[m, k] for k in range(8)] for m in range(3)] == STARTS
     wide = spark.createDataFrame([("chr1", m, bytearray(int(x) for x in r.replace(" ", ""))) for m, r in enumerate(PANEL)], "chrom string, marker_idx int, alleles binary")
-    for r in pbwt.fold_order(wide).collect():
-        assert "".join(map(str, r.order)) == ORDERS[r.marker_idx] and r.divergence == [d[r.marker_idx, k] for k in range(8)]
+    for block in (512, 4, 1):
+        rows = pbwt.fold_order(wide, block).collect()
+        assert len(rows) == 10
+        for r in rows:
+            assert "".join(map(str, r.order)) == ORDERS[r.marker_idx] and r.divergence == [d[r.marker_idx, k] for k in range(8)]
     assert all(r.is_permutation for r in pbwt.validate(pbwt.prefix_order(panel[0])).collect())
 
 
@@ -86,27 +89,28 @@ def test_posteriors(spark, files, panel, rule, mode):
     states = im.states()
     post = im.posteriors(gl, states).cache()
     best = {(r.sample_idx, r.marker_idx): r.state for r in calls.argmax_calls(post, states).collect()}
+    rows = hmm.unrolled(post)
     assert [best[0, m] for m in range(10)] == GOLDEN[rule, mode][0] and [best[1, m] for m in range(10)] == GOLDEN[rule, mode][1]
-    p = [np.exp(r.log_post) for r in post.filter("sample_idx = 0 and marker_idx = 0").orderBy("state").collect()]
+    p = [np.exp(r.log_post) for r in rows.filter("sample_idx = 0 and marker_idx = 0").orderBy("state").collect()]
     assert np.allclose(p, GOLDEN[rule, mode][2], atol=6e-5)
     t = im.transitions().first()
     assert abs(t.log_stay + 0.694785) < 1e-6 and abs(t.log_switch + 4.398971) < 1e-6
     if mode == AS_IMPLEMENTED:
         fold = hmm.forward_fold(hmm.emissions(gl, states), t.log_stay, t.log_switch)
-        a = {(r.sample_idx, r.marker_idx, r.state): r.alpha for r in post.collect()}
+        a = {(r.sample_idx, r.marker_idx, r.state): r.alpha for r in rows.collect()}
         for r in fold.collect():
             assert all(abs(x - a[r.sample_idx, m, k]) < 1e-9 for m, row in enumerate(r.alphas) for k, x in enumerate(row))
 
 
 def test_uniform_forward_backward():
-    e = np.full((5, 2), np.log(0.5))
-    out = hmm.forward_backward(e, np.full(4, np.log(0.5)), np.full(4, np.log(0.5)), None)[3]
+    e, t = np.full((1, 5, 2), np.log(0.5)), np.full((1, 5), np.log(0.5))
+    out = hmm.forward_backward(e, t, t, None)[3]
     assert np.allclose(np.exp(out), 0.5)
 
 
 def test_documented_posteriors_sum_to_one(spark, files, panel):
     im = Imputer(*panel, ImputationConfig(HMMParameters(num_states=4), mode=DOCUMENTED, selector="first")).build_index()
-    post = im.posteriors(vcf.target_likelihoods(vcf.records(spark, files[1])), im.states())
+    post = hmm.unrolled(im.posteriors(vcf.target_likelihoods(vcf.records(spark, files[1])), im.states()))
     assert all(abs(r.s - 1) < 1e-9 for r in post.groupBy("sample_idx", "marker_idx").agg(F.sum(F.exp("log_post")).alias("s")).collect())
 
 
@@ -147,7 +151,8 @@ def test_checks(spark, files, panel):
     with pytest.raises(ImputationError):
         ImputationConfig(mode="x")
     strict = Imputer(*panel, ImputationConfig(strict_markers=True))
-    assert strict.check(gl, panel[1].filter("marker_idx < 5")).count() == 10
+    rows = strict.check(gl, panel[1].filter("marker_idx < 5")).collect()
+    assert len(rows) == 20 and all(r.ll_00 == r.ll_01 == r.ll_11 == 0 for r in rows if r.marker_idx >= 5)
 
 
 def test_log_sums_and_packing(spark, panel):
@@ -165,3 +170,94 @@ def test_stream(spark, files, panel, tmp_path):
     gl.write.parquet(str(tmp_path / "in"))
     impute_stream(spark, im, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def lines_of(chrom, first, rows, names, sep):
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])
+    body = ["\t".join([chrom[i] if isinstance(chrom, list) else chrom, str(1000 * (first + i)), f"rs{first + i}", "A", "G", ".", "PASS", ".", "GT", *(x if "/" in x else f"{x[0]}{sep}{x[1]}" for x in r.split())]) for i, r in enumerate(rows)]
+    return "\n".join([head, *body]) + "\n"
+
+
+def test_region_of_unequal_files(spark, tmp_path):
+    """The panel has two markers before the targets' first one; inside the region both have the same five."""
+    (tmp_path / "p.vcf").write_text(lines_of("chr1", 1, PANEL, ["R1", "R2", "R3", "R4"], "|"))
+    (tmp_path / "t.vcf").write_text(lines_of("chr1", 3, TARGETS[2:], ["T1", "T2"], "/"))
+    (tmp_path / "p5.vcf").write_text(lines_of("chr1", 3, PANEL[2:7], ["R1", "R2", "R3", "R4"], "|"))
+    (tmp_path / "t5.vcf").write_text(lines_of("chr1", 3, TARGETS[2:7], ["T1", "T2"], "/"))
+    config = dict(hmm=HMMParameters(num_states=4), deterministic=True)
+    some = impute(spark, str(tmp_path / "p.vcf"), str(tmp_path / "t.vcf"), config=ImputationConfig(**config, region="chr1:3000-7000"))
+    want = impute(spark, str(tmp_path / "p5.vcf"), str(tmp_path / "t5.vcf"), config=ImputationConfig(**config))
+    assert some.imputed.count() == 10 and sorted(some.imputed.collect()) == sorted(want.imputed.collect())
+    assert [r.pos for r in some.markers.orderBy("marker_idx").collect()] == [3000, 4000, 5000, 6000, 7000]
+    with pytest.raises(ImputationError):
+        impute(spark, str(tmp_path / "p.vcf"), str(tmp_path / "t.vcf"))
+
+
+@pytest.mark.parametrize("mode", [AS_IMPLEMENTED, DOCUMENTED])
+def test_two_chromosomes(spark, tmp_path, mode):
+    """Documented, each chromosome is as if it were alone; as implemented, both are one sequence."""
+    names = ["chr1"] * 6 + ["chr2"] * 4
+    (tmp_path / "p.vcf").write_text(lines_of(names, 1, PANEL, ["R1", "R2", "R3", "R4"], "|"))
+    (tmp_path / "t.vcf").write_text(lines_of(names, 1, TARGETS, ["T1", "T2"], "/"))
+    config = ImputationConfig(HMMParameters(num_states=4), mode=mode, selector="first", deterministic=True)
+    both = {(r.sample_idx, r.marker_idx): r.state for r in impute(spark, str(tmp_path / "p.vcf"), str(tmp_path / "t.vcf"), config=config).imputed.collect()}
+    assert len(both) == 20
+    if mode == AS_IMPLEMENTED:
+        assert [both[0, m] for m in range(10)] == GOLDEN["first", AS_IMPLEMENTED][0]
+        return
+    for chrom, first, n in (("chr1", 0, 6), ("chr2", 6, 4)):
+        one = impute(spark, str(tmp_path / "p.vcf"), str(tmp_path / "t.vcf"), config=ImputationConfig(HMMParameters(num_states=4), mode=mode, selector="first", deterministic=True, region=chrom)).imputed.collect()
+        assert {(r.sample_idx, r.marker_idx + first): r.state for r in one} == {k: v for k, v in both.items() if first <= k[1] < first + n}
+
+
+@pytest.mark.parametrize("mode", [AS_IMPLEMENTED, DOCUMENTED])
+@pytest.mark.parametrize("window", [1, 3, 4, 10])
+def test_windows_change_nothing(spark, files, panel, mode, window):
+    gl = vcf.target_likelihoods(vcf.records(spark, files[1]))
+    p = HMMParameters(num_states=4)
+    im = Imputer(*panel, ImputationConfig(p, mode=mode, selector="first")).build_index()
+    states, get = im.states(), lambda w: {(r.sample_idx, r.marker_idx): r for r in hmm.posteriors(gl, states, im.marks(), p, mode, w).collect()}
+    whole, parts = get(0), get(window)
+    assert whole.keys() == parts.keys() and len(whole) == 20
+    for k, r in whole.items():
+        assert np.allclose(r.alpha, parts[k].alpha) and np.allclose(r.beta, parts[k].beta) and np.allclose(r.log_post, parts[k].log_post) and abs(r.scale - parts[k].scale) < 1e-9
+
+
+def test_one_sample_and_one_haplotype(spark, files, panel, tmp_path):
+    gl = vcf.target_likelihoods(vcf.records(spark, files[1])).filter("sample_idx = 0")
+    im = Imputer(*panel, ImputationConfig(HMMParameters(num_states=4))).build_index()
+    seen = []
+    assert im.impute_with_progress(gl, lambda a, b: seen.append((a, b)), str(tmp_path / "p")).count() == 10 and seen == [(1, 1)]
+    assert im.impute_with_progress(gl.limit(0), lambda a, b: seen.append((a, b)), str(tmp_path / "e")).count() == 0 and len(seen) == 1
+    alone = Imputer(panel[0].filter("hap_idx = 0"), panel[1], ImputationConfig(HMMParameters(num_states=2))).build_index()
+    assert alone.haplotypes == 1 and alone.impute(gl).imputed.count() == 10
+    with pytest.raises(ImputationError):
+        Imputer(panel[0].limit(0), panel[1]).haplotypes
+
+
+def test_index_is_kept(spark, panel, tmp_path):
+    im = Imputer(*panel, ImputationConfig(HMMParameters(num_states=4), selector="first")).build_index()
+    im.save_index(str(tmp_path / "i"))
+    back = Imputer(*panel, im.config).load_index(str(tmp_path / "i"))
+    assert back.has_index and sorted(back.states().collect()) == sorted(im.states().collect())
+
+
+def test_many_splits_are_numbered_in_order(spark, tmp_path):
+    """Records of a folder of files and of many splits keep their order."""
+    rows = [PANEL[i % 10] for i in range(3000)]
+    d = tmp_path / "d"
+    d.mkdir()
+    for k in range(3):
+        (d / f"part-{k}.vcf").write_text(lines_of("chr1", 1 + 1000 * k, rows[1000 * k : 1000 * (k + 1)], ["R1", "R2", "R3", "R4"], "|"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = vcf.records(spark, str(d)).select("marker_idx", "pos").orderBy("marker_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.marker_idx, r.pos) for r in got] == [(i, 1000 * (i + 1)) for i in range(3000)]
+
+
+def test_wide_panel_holds_all_alleles(spark, tmp_path):
+    p = tmp_path / "x.vcf"
+    p.write_text("#CHROM\n" + "\t".join(["chr1", "5", ".", "A", "C,T", ".", ".", ".", "GT", "1", "0|2|1:9", ".|1", "12/3:7", "."]) + "\n")
+    assert list(vcf.wide_panel(vcf.records(spark, str(p))).first().alleles) == [1, 1, 0, 2, 255, 1, 12, 3, 255, 255]
