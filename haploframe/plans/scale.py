@@ -1,4 +1,4 @@
-"""A made-up panel and targets of a published size, to time the whole pipeline."""
+"""Made-up files of a published size, to time the whole pipeline: 444 targets, 1,644 markers, 4,432 haplotypes."""
 
 from __future__ import annotations
 
@@ -7,39 +7,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..config import HMMParameters
-from ..functions.genotypes import likelihood_columns, morgans
-from ..operators import calls, hmm, pbwt
+from ..config import HMMParameters, ImputationConfig
+from ..sources.vcf import write_vcf
+from .impute import ImputationResult, impute
 
 MARKERS, HAPLOTYPES, TARGETS, STATES = 1644, 4432, 444, 8
 
 
-def wide_panel(spark: SparkSession) -> DataFrame:
-    """chrom, marker_idx, alleles: mosaics of 32 founders."""
+def lines(spark: SparkSession, samples: int, seed: int, masked: float, sep: str) -> DataFrame:
+    """marker_idx, line: records of samples whose haplotypes are mosaics of 32 founders; a share of the genotypes is missing."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = []
+            out = []
             for m in batch.column(0).to_pylist():
-                founder = (np.arange(HAPLOTYPES) * 7 + np.arange(HAPLOTYPES) // 32 * (m // 200)) % 32
-                raw.append((np.random.default_rng(m).random(32) < 0.3)[founder].astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(["chr1"] * len(raw)), batch.column(0).cast(pa.int32()), pa.array(raw, pa.binary())], ["chrom", "marker_idx", "alleles"])
-
-    return spark.range(MARKERS).mapInArrow(rows, "chrom string, marker_idx int, alleles binary")
-
-
-def impute_published_size(spark: SparkSession) -> DataFrame:
-    """Sampled calls of all targets, from prefix order to alleles."""
-    wide = wide_panel(spark)
-    order = pbwt.fold_order(wide).select("marker_idx", F.posexplode("order").alias("rank", "hap_idx"))
-    chosen = pbwt.select_warp(order, STATES, HAPLOTYPES)
-    at = lambda c: F.conv(F.hex(F.substring("alleles", F.col(c) + 1, F.lit(1))), 16, 10).cast("int")
-    states = chosen.join(wide, "marker_idx").select("marker_idx", "state", "hap0", "hap1", at("hap0").alias("a0"), at("hap1").alias("a1"))
-    cell = spark.range(MARKERS * TARGETS).select((F.col("id") / MARKERS).cast("int").alias("sample_idx"), (F.col("id") % MARKERS).cast("int").alias("marker_idx"), F.xxhash64("id").alias("h"))
-    g = F.when(F.col("h").bitwiseAND(1) == 0, F.pmod(F.shiftright("h", 8), F.lit(3)).cast("int"))
-    gl = cell.select("sample_idx", "marker_idx", *likelihood_columns(g))
-    marks = spark.range(MARKERS).select(F.col("id").cast("int").alias("marker_idx"), F.lit("chr1").alias("chrom"), morgans((F.col("id") + 1) * 1000).alias("morgans"))
-    post = hmm.posteriors(hmm.emissions(gl, states), hmm.transitions(marks, HMMParameters(num_states=STATES)))
-    return calls.sampled_calls(post, states)
+                haps = np.arange(2 * samples)
+                founder = (haps * 7 + haps // 32 * (m // 200)) % 32
+                a = (np.random.default_rng(m).random(32) < 0.3)[founder].astype(int).reshape(-1, 2)
+                gone = np.random.default_rng(seed * MARKERS + m).random(samples) < masked
+                cells = [f".{sep}." if g else f"{x}{sep}{y}" for (x, y), g in zip(a.tolist(), gone.tolist())]
+                out.append("\t".join(["chr1", str((m + 1) * 1000), f"rs{m + 1}", "A", "G", ".", "PASS", ".", "GT", *cells]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out)], ["marker_idx", "line"])
+
+    return spark.range(MARKERS).mapInArrow(rows, "marker_idx int, line string")
+
+
+def write_files(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Panel and targets as VCF folders below folder."""
+    n = HAPLOTYPES // 2
+    write_vcf(lines(spark, n, 1, 0.0, "|"), f"{folder}/panel", [f"P{i}" for i in range(n)], ["chr1"])
+    write_vcf(lines(spark, TARGETS, 2, 0.5, "/"), f"{folder}/targets", [f"T{i}" for i in range(TARGETS)], ["chr1"])
+    return f"{folder}/panel", f"{folder}/targets"
+
+
+def impute_published_size(spark: SparkSession, panel: str, targets: str, out: str) -> ImputationResult:
+    """From files to files: load, index, states, recursion, sampled calls, written rows."""
+    return impute(spark, panel, targets, out, ImputationConfig(HMMParameters(num_states=STATES)))

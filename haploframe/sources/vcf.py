@@ -108,7 +108,11 @@ def wide_panel(rows: DataFrame) -> DataFrame:
         second = F.when(F.size(gt) > 1, F.get(gt, F.lit(1))).otherwise(F.get(gt, F.lit(0)))
         return F.when(x.rlike(r"^[0-9.][|/][0-9.](:|$)"), F.concat(digit(x, 1), digit(x, 3))).otherwise(F.concat(x2(F.get(gt, F.lit(0))), x2(second)))
 
-    return markers(rows.withColumn("alleles", F.unhex(F.array_join(F.transform("fields", pair), ""))), "alleles")
+    # Records of plain calls only, one digit or dot each, are turned into hexadecimal digits as a whole.
+    joined = F.array_join("fields", "")
+    plain = (F.length(joined) == 3 * F.size("fields")) & (F.regexp_replace(joined, r"[0-9.][|/][0-9.]", "") == "")
+    whole = F.replace(F.regexp_replace(F.translate(joined, "|/", ""), r"([0-9])", "0$1"), F.lit("."), F.lit("FF"))
+    return markers(rows.withColumn("alleles", F.unhex(F.when(plain, whole).otherwise(F.array_join(F.transform("fields", pair), "")))), "alleles")
 
 
 def target_likelihoods(rows: DataFrame) -> DataFrame:
