@@ -7,8 +7,8 @@ as hexadecimal digits. The share of equal bins of two fingerprints is corrected
 
 A shingle is five words; a shorter text is one shingle of all its words; a text without words (null, empty or blank)
 has a fingerprint of its own (``EMPTY``) that is like itself and unlike any other. Equal texts have equal
-fingerprints. The next document follows by descending doc_id; rows that share a doc_id are ordered by text, and the
-row after the last is the first. A null doc_id comes last.
+fingerprints. The next document follows by descending doc_id; rows that share a doc_id are ordered by a hash of their
+text, and the row after the last is the first. A null doc_id comes last.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ EMPTY = "empty"
 RUN_BITS = 12
 #: First rows of runs up to this number (24 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Numbers of runs that one task may order.
+ORDER_ROWS = 65_536
 
 
 #: Choices of an empty bin that are looked up one by one before all filled bins are compared.
@@ -80,25 +82,42 @@ def run_of(doc_id: Column) -> Column:
     return F.shiftright(doc_id, RUN_BITS)
 
 
+def above(keys: DataFrame) -> DataFrame:
+    """own, up: each key and the next greater one, null for the greatest. keys: own, distinct and not null.
+
+    Keys are ordered inside runs of numbers; a run's greatest key is followed by the least one of the next run that has
+    keys, which the same step finds among the runs. So no task orders more than one run, or a checked number of keys.
+    """
+    if keys.count() <= ORDER_ROWS:
+        return keys.select("own", F.lag("own").over(Window.orderBy(F.desc("own"))).alias("up"))
+    inside = keys.withColumn("run", run_of(F.col("own")))
+    inside = inside.select("own", "run", F.lag("own").over(Window.partitionBy("run").orderBy(F.desc("own"))).alias("up"))
+    runs = keep(keys.groupBy(run_of(F.col("own")).alias("own")).agg(F.min("own").alias("least")), "runs")
+    tops = above(runs.select("own")).join(runs.select(F.col("own").alias("up"), "least"), "up").select(F.col("own").alias("run"), "least")
+    return inside.join(tops, "run", "left").select("own", F.coalesce("up", "least").alias("up"))
+
+
 def next_heads(docs: DataFrame) -> DataFrame:
     """_id, _uid and run: the first row of each run of ids, and the run before it (for the first run, the last one)."""
-    heads = docs.groupBy(run_of(F.col("doc_id")).alias("own")).agg(F.max_by(F.struct("doc_id", "uid"), F.struct("doc_id", -F.col("uid"))).alias("head"))
-    down = Window.orderBy(F.col("own").desc_nulls_last())
-    last = F.last("own").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first = F.row_number().over(down) == 1
-    return heads.select("head.doc_id", "head.uid", F.when(first, last).otherwise(F.lag("own").over(down)).alias("run")).toDF("_id", "_uid", "run")
+    heads = keep(docs.groupBy(run_of(F.col("doc_id")).alias("own")).agg(F.max_by(F.struct("doc_id", "uid"), F.struct("doc_id", -F.col("uid"))).alias("head")), "run-firsts")
+    ends = heads.agg(F.min("own").alias("least"), F.max(F.col("own").isNull()).alias("nulls")).first()
+    least = F.lit(ends.least).cast("long")
+    last = F.lit(None).cast("long") if ends.nulls else least
+    run = F.when(F.col("own").isNull(), least).when(F.col("up").isNull(), last).otherwise(F.col("up"))
+    found = heads.join(above(heads.select("own").filter(F.col("own").isNotNull())), "own", "left")
+    return found.select("head.doc_id", "head.uid", run.alias("run")).toDF("_id", "_uid", "run")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row of docs."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("uid", F.xxhash64("text").bitwiseAND((1 << 62) - 1))
     heads = keep(next_heads(d.select("doc_id", "uid")), "run-heads")
     if heads.count() <= BROADCAST_ROWS:
         heads = F.broadcast(heads)
     # The first row of a run also stands, as a ghost, at the end of the run before it.
     ghosts = d.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("uid") == F.col("_uid"))).select("doc_id", "text", "uid", "run", F.lit(1).alias("ghost"))
-    rows = d.select("doc_id", "text", "uid", run_of(F.col("doc_id")).alias("run"), F.lit(0).alias("ghost")).unionByName(ghosts)
+    rows = d.select("doc_id", "text", "uid", run_of(F.col("doc_id")).cast("long").alias("run"), F.lit(0).alias("ghost")).unionByName(ghosts)
     rows = with_print(rows, "text", "print")
     order = Window.partitionBy("run").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "uid")
     rows = rows.select("doc_id", "text", "print", "ghost", F.lead("text").over(order).alias("next"), F.lead("print").over(order).alias("next_print")).filter("ghost = 0")
