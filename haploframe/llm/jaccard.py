@@ -10,11 +10,12 @@ round looks only at groups that still hold several components, with more proposa
 no pair is left. So every link between different components is found or excluded, while pairs inside a component
 need no test.
 
-The first round takes three leading shingles only and splits large groups. A document without words is linked with
+The first round takes three leading shingles only. Large groups are split: in the first round into blocks, later into
+parts by size and by pairs of blocks in which all pairs meet that can be linked. A document without words is linked with
 nothing; null text is such a document; fewer words than a shingle are one shingle. A ``Rule`` gives the words of a
 shingle and the least similarity: ``CONTRACT`` (three words, 9/10) for op3, ``STAGE`` (five words, 0.8) for stages of a
 corpus. Rows that repeat a doc_id are nodes of
-their own by text; component ids are the smallest doc_id, null where no row of the component has one.
+their own by text; component ids are the smallest doc_id, null only where no row of the component has one.
 """
 
 from __future__ import annotations
@@ -240,6 +241,23 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule =
     return pairs.join(texts.toDF("x", "text_x"), "x").join(texts.toDF("y", "text_y"), "y").select("x", "y", "text_x", "text_y").mapInArrow(verify(rule), "x long, y long, linked boolean")
 
 
+def parted(group: DataFrame, first: bool, rule: Rule) -> DataFrame:
+    """Gives the parts of groups of more than BLOCK_ROWS classes names of their own.
+
+    In the first round a part is a block of classes. Later all pairs must meet: sets that can be linked have sizes
+    within the threshold, so they lie in one of two neighbouring ranges of sizes, and each class enters the part of its
+    range and of the next; inside a range each two blocks of classes form a part.
+    """
+    large, blocks = F.col("classes") > BLOCK_ROWS, F.ceil(F.col("classes") / BLOCK_ROWS).cast("long")
+    own = F.pmod("cid", blocks)
+    if first:
+        return group.withColumn("t", F.when(large, F.xxhash64("t", own)).otherwise(F.col("t")))
+    size = F.floor(F.log("n") / float(np.log(rule.denominator / rule.numerator))).cast("long")
+    others = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    names = F.flatten(F.transform(F.array(size, size + 1), lambda k: F.transform(others, lambda p: F.xxhash64(F.col("t"), k, p["i"], p["j"]))))
+    return group.withColumn("t", F.explode(F.when(large, names).otherwise(F.array("t"))))
+
+
 def rooted_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, uid (of the text), n_shingles, component_id and root for every row of docs. root names the component also where ids are null or repeated; it is null without words."""
     spark = docs.sparkSession
@@ -250,7 +268,7 @@ def rooted_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
         counts[r.bucket] = r.n
     order = spark.sparkContext.broadcast(counts)
     rows = keep(d.mapInArrow(points(order, rule), f"doc_id {id_type}, uid long, cid long, n int, vec binary, lead array<long>"), "points")
-    classes = keep(rows.filter("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("lead").alias("lead"), F.min(F.struct("doc_id", "uid")).alias("low")), "classes")
+    classes = keep(rows.filter("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("lead").alias("lead"), F.min(F.struct("doc_id", "uid")).alias("low"), F.min("doc_id").alias("id")), "classes")
     tokens = classes.select("cid", F.posexplode("lead").alias("place", "t"))
     shared = keep(tokens.join(tokens.groupBy("t").agg(F.count("*").alias("classes")).filter("classes > 1"), "t"), "shared-shingles")
     vectors = classes.select("cid", "n", "vec")
@@ -265,9 +283,7 @@ def rooted_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
             group = group.join(comps.toDF("cid", "root"), "cid", "left").select("t", "cid", "classes", F.coalesce("root", "cid").alias("comp"))
             open_ = group.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("t")
             group = group.join(open_, "t", "left_semi")
-        if first:  # blocks of a large group get names of their own
-            group = group.withColumn("t", F.when(F.col("classes") > BLOCK_ROWS, F.xxhash64("t", F.pmod("cid", F.ceil(F.col("classes") / BLOCK_ROWS)))).otherwise(F.col("t")))
-        group = group.join(vectors, "cid").select("t", "cid", "comp", "n", "vec").repartition(parts, "t").sortWithinPartitions("t")
+        group = parted(group.join(vectors, "cid"), first, rule).select("t", "cid", "comp", "n", "vec").repartition(parts, "t").sortWithinPartitions("t")
         found = group.mapInArrow(group_pairs(proposals, rule), "x long, y long, more int").groupBy("x", "y").agg(F.max("more").alias("more"))
         found = keep(found, "proposed")
         new = found if tested is None else found.join(tested, ["x", "y"], "left_anti")
@@ -281,7 +297,7 @@ def rooted_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
         if not first and not more and not linked:
             break
         proposals, first = proposals * 4, False
-    low = classes.select("cid", F.col("low.doc_id").alias("id"))
+    low = classes.select("cid", "id")
     if comps is not None:
         low = low.join(comps.toDF("cid", "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "id")
         ids = low.groupBy("root").agg(F.min("id").alias("component_id"))
