@@ -1,7 +1,8 @@
 """WARC archives: writing, revisit resolution by payload digest, and reading back.
 
 Only headers (id, digest, length) are grouped: the smallest page_id of each digest that occurs more than once is the
-original. Records that follow it become revisit records with fresh headers and no payload. Archives are gzip files of
+original. The digests that occur again are broadcast if they are few, so that payloads stay where they were read.
+Records that follow an original become revisit records with fresh headers and no payload. Archives are gzip files of
 WARC/1.1 records in the shared folder, written by Spark's text writer with a bounded number of records each, and read
 as binary files whose records are parsed by their declared lengths from a streaming decompressor.
 
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_path
+from .common import keep, kept_path
 
 LEAST = 100
 RECORDS_PER_FILE = 4000
+#: Originals up to this number (some 100 bytes each) are broadcast, more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
@@ -38,7 +41,9 @@ def headers(pages: DataFrame) -> DataFrame:
 def resolve(heads: DataFrame, least: int = LEAST) -> DataFrame:
     """Adds refers_to: the smallest page_id of an equal payload, null for the record that keeps the payload."""
     firsts = heads.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    firsts = firsts.select(F.col("payload_digest").alias("first_digest"), "first")
+    firsts = keep(firsts.select(F.col("payload_digest").alias("first_digest"), "first"), "originals")
+    if firsts.count() <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
     # Records that have no original to look for take a key of their own, so that short payloads don't gather in one task.
     key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest"))
     found = heads.join(firsts, key == F.col("first_digest"), "left").drop("first_digest")
