@@ -2,8 +2,9 @@
 
 For an item of W words, every W-word window of a document that holds enough of the item's word shingles to be able to
 reach the threshold gets a 64-bit SimHash in which each shingle votes by its weight, the number of times it occurs.
-The fingerprint is cut into ``RADIUS + 1`` blocks: two fingerprints within the radius have an equal block, so a join
-on (W, block number, block value) with the items' blocks finds all pairs within the radius. These are verified by the
+The fingerprint is cut into ``BLOCKS`` blocks: two fingerprints within the radius differ in at most ``RADIUS // BLOCKS``
+bits of one of them. Each item stands in the index of a block under all values that near to its own, so a join on
+(W, block number, block value) finds all pairs within the radius. These are verified by the
 weighted Jaccard similarity of their shingles, sum of minima over sum of maxima. At a similarity of 0.8 two
 fingerprints differ in 9.7 bits on average and 98 of 100 in at most 15.
 
@@ -17,6 +18,8 @@ own text and reported under that id once; items with equal texts are each report
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ from .common import documents, keep, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 15
+BLOCKS = 4
+BLOCK_BITS = 64 // BLOCKS
+#: What is added to a block's value, bit by bit, to reach the values within its share of the radius.
+FLIPS = [sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r)]
 #: Item shingles up to this number are broadcast (16 bytes each), more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -42,10 +49,8 @@ def simhash(hashes: Column) -> Column:
 
 
 def blocks(fingerprint: Column) -> Column:
-    """(number, value) of each block; block widths differ by one bit at most."""
-    n = RADIUS + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(fingerprint, cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1).alias("v")) for i in range(n)))
+    """(number, value) of each block."""
+    return F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(fingerprint, BLOCK_BITS * i).bitwiseAND((1 << BLOCK_BITS) - 1).alias("v")) for i in range(BLOCKS)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -86,11 +91,14 @@ def windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     w = w.withColumn("inside", F.size(F.filter("hits", lambda p: (p >= F.col("start")) & (p < F.col("start") + span)))).filter("inside >= need")
     w = w.groupBy(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid")).agg(F.collect_set(F.struct("width", "start")).alias("at"))
     d = text_key(docs).join(w, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("uid") == F.col("_uid"))).select("doc_id", "uid", "at", words_of(F.lower("text")).alias("words"))
-    d = d.withColumn("all", shingles(F.col("words")))
-    d = d.select("doc_id", "uid", "all", F.explode("at").alias("at")).select("doc_id", "uid", "at.*", "all")
+    d = d.withColumn("all", shingles(F.col("words"))).drop("words")
     # A window that would run over the end begins earlier, so that it has the item's width if the text allows.
-    d = d.withColumn("start", F.greatest(F.lit(0), F.least("start", F.size("all") - span))).withColumn("hashes", F.slice("all", F.col("start") + 1, span)).drop("all")
-    return keep(d.distinct(), "windows").withColumn("print", simhash(F.col("hashes")))
+    fit = lambda x: F.struct(x["width"].alias("width"), F.greatest(F.lit(0), F.least(x["start"], F.size("all") - x["width"] + SHINGLE - 1)).alias("start"))
+    cut = lambda x: F.struct(x["width"].alias("width"), x["start"].alias("start"), F.slice("all", x["start"] + 1, x["width"] - SHINGLE + 1).alias("hashes"))
+    d = d.select("doc_id", "uid", F.explode(F.transform(F.array_distinct(F.transform("at", fit)), cut)).alias("w")).select("doc_id", "uid", "w.*")
+    # Texts that share an id and a hash are one; the many windows of few texts are spread before they are hashed.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(parts, "doc_id", "uid", "width", "start").dropDuplicates(["doc_id", "uid", "width", "start"]).withColumn("print", simhash(F.col("hashes")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -98,11 +106,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     items = keep(item_table(benchmark), "items")
     found = keep(suspects(docs, items, threshold), "suspects")
     w = keep(windows(docs, found), "prints").withColumn("block", F.explode(blocks(F.col("print"))))
-    i = items.withColumn("block", F.explode(blocks(F.col("item_print"))))
+    i = items.withColumn("block", F.explode(blocks(F.col("item_print")))).withColumn("flip", F.explode(F.lit(FLIPS)))
+    i = i.withColumn("block", F.struct(F.col("block.b").alias("b"), F.col("block.v").bitwiseXOR(F.col("flip")).alias("v"))).drop("flip")
     near = w.join(i, ["width", "block"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    # Of the blocks that a pair shares, the first counts.
-    same = F.array_min(F.transform(F.filter(F.zip_with(blocks(F.col("print")), blocks(F.col("item_print")), lambda a, b: F.when(a["v"] == b["v"], a["b"])), lambda x: x.isNotNull()), lambda x: x))
-    near = near.filter(F.col("block.b") == same).withColumn("similarity", similarity(F.col("hashes"), F.col("item_hashes"))).filter(F.col("similarity") >= threshold)
+    # Of the blocks that find a pair, the first counts.
+    close = F.filter(F.zip_with(blocks(F.col("print")), blocks(F.col("item_print")), lambda a, b: F.when(F.bit_count(a["v"].bitwiseXOR(b["v"])) <= RADIUS // BLOCKS, a["b"])), lambda x: x.isNotNull())
+    near = near.filter(F.col("block.b") == F.array_min(close)).withColumn("similarity", similarity(F.col("hashes"), F.col("item_hashes"))).filter(F.col("similarity") >= threshold)
     best = F.max_by("start", F.struct("similarity", -F.col("start")))
     return near.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("start_word"), F.countDistinct("uid", "start").alias("n_windows"))
 
