@@ -2,10 +2,10 @@
 
 Each source's documents form one token stream in seeded order, cut into blocks of ``block`` words. A mix of
 ``rate`` times all words is shared among sources by weight, no source beyond ``cap`` times its size. Blocks go to
-sources by highest quotients; a source's quota is spread over its shards (runs of the seeded order) by running
-totals, and inside a shard blocks are picked at even steps from a seeded phase. A document takes the words of its
-picked blocks, so its count is a closed form of its place in the stream: nothing is exploded, sorted globally or
-collected.
+sources by highest quotients. A source's stream is cut into shards of ``SHARD`` blocks. They are equal but for the last
+one, so their quotients tie; running totals from a seeded phase settle the ties and give each shard an integer quota.
+Inside a shard its quota of blocks is selected by a seeded permutation of the shard's blocks. A document takes the words
+of its selected blocks: what it takes follows from its place in the stream, nothing is sorted globally or collected.
 
 Null or blank texts have size 0 and take 0; null sources form one source, ranked last; repeated rows count each;
 an empty table gives an empty result.
@@ -16,12 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, word_count
+from .common import documents, keep, word_count
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
 BLOCK = 32
-SHARD_DIGITS = 3
+#: Blocks of a shard, and steps of its permutation: primes beyond that.
+SHARD = 1024
+STEPS = (1031, 1429, 2027, 3323, 5167, 7919, 10007, 15401)
+#: Digits of the seeded order that name the runs whose places are summed up first.
+RUN_DIGITS = 3
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, rate=(3, 2), cap: int = 2) -> DataFrame:
@@ -57,23 +61,28 @@ def quotas(goal: DataFrame, block: int = BLOCK, rate=(3, 2), cap: int = 2) -> Da
 def mix_sources(docs: DataFrame, block: int = BLOCK, seed: str = SEED, weights=WEIGHTS, rate=(3, 2), cap: int = 2) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs (doc_id, text, source)."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")).withColumn("shard", F.substring("key", 1, SHARD_DIGITS))
+    sized = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sizes").withColumn("run", F.substring("key", 1, RUN_DIGITS))
     q = quotas(targets(sized, weights, rate, cap), block, rate, cap)
-    # One row per source and shard: where the shard begins in its source's stream.
-    running = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = sized.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("begin", F.coalesce(F.sum("words").over(running), F.lit(0)))
+    # One row per source and run: where the run begins in its source's stream.
+    running = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sized.groupBy("source", "run").agg(F.sum("size").alias("words")).withColumn("begin", F.coalesce(F.sum("words").over(running), F.lit(0)))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
-    q = q.withColumn("n", F.greatest("blocks", F.lit(1))).withColumn("phase", F.pmod(start, F.col("n"))).withColumn("each", F.expr("quota div n")).withColumn("extra", F.expr("quota % n"))
+    q = q.withColumn("n", F.greatest("blocks", F.lit(1))).withColumn("seed", start).withColumn("phase", F.pmod(start, F.col("n"))).withColumn("each", F.expr("quota div n")).withColumn("extra", F.expr("quota % n"))
     q = q.withColumnRenamed("source", "q_source")
-    shards = shards.join(q, shards["source"].eqNullSafe(q["q_source"])).drop("q_source", "words", "rank", "blocks", "quota").withColumnRenamed("source", "s_source").withColumnRenamed("shard", "s_shard")
-    d = sized.join(shards, sized["source"].eqNullSafe(shards["s_source"]) & (sized["shard"] == shards["s_shard"]))
-    inside = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.join(q, runs["source"].eqNullSafe(q["q_source"])).drop("q_source", "words", "rank", "blocks", "quota").withColumnRenamed("source", "r_source").withColumnRenamed("run", "r_run")
+    d = sized.join(runs, sized["source"].eqNullSafe(runs["r_source"]) & (sized["run"] == runs["r_run"]))
+    inside = Window.partitionBy("source", "run").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("a", F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    picked = lambda b: f"((cast({b} as decimal(19,0)) * cast(extra as decimal(18,0)) + phase) div n)"
     d = d.withColumn("b0", F.expr(f"a div {block}")).withColumn("b1", F.expr(f"(a + size - 1) div {block}"))
-    one = f"case when b0 = b1 then size * ({picked('(b0 + 1)')} - {picked('b0')})"
-    more = f"else ({block} * (b0 + 1) - a) * ({picked('(b0 + 1)')} - {picked('b0')}) + {block} * ({picked('b1')} - {picked('(b0 + 1)')}) + (a + size - {block} * b1) * ({picked('(b1 + 1)')} - {picked('b1')}) end"
-    return d.withColumn("taken", F.expr(f"case when size = 0 then 0L else each * size + {one} {more} end").cast("long")).select("doc_id", "size", "source_size", "target", "taken")
+    # The shards that hold blocks of the document, with their quotas, and the seeded permutation b -> (b * step + shift) % len of their blocks.
+    summed = lambda b: f"((cast({b} as decimal(19,0)) * cast(extra as decimal(18,0)) + phase) div n)"
+    length, mixed = f"(least(n, (s + 1) * {SHARD}L) - s * {SHARD}L)", "((seed + s * 2654435761L) % 4294967296L)"
+    shard = f"named_struct('first', s * {SHARD}L, 'len', {length}, 'quota', {summed(f'least(n, (s + 1) * {SHARD}L)')} - {summed(f's * {SHARD}L')}, 'step', element_at(array{STEPS}, cast({mixed} % {len(STEPS)} + 1 as int)), 'shift', ({mixed} div {len(STEPS)}) % {length})"
+    d = d.withColumn("shards", F.expr(f"transform(sequence(b0 div {SHARD}, b1 div {SHARD}), s -> {shard})"))
+    part = f"least(a + size, (b + 1) * {block}L) - greatest(a, b * {block}L)"
+    words = f"aggregate(sequence(greatest(b0, x.first), least(b1, x.first + x.len - 1)), 0L, (w, b) -> w + if(((b - x.first) * x.step + x.shift) % x.len < x.quota, {part}, 0L))"
+    taken = F.expr(f"case when size = 0 then 0L else each * size + aggregate(shards, 0L, (t, x) -> t + {words}) end")
+    return d.withColumn("taken", taken.cast("long")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -82,6 +91,10 @@ def op5_source_mix(spark, sf_dir: str) -> DataFrame:
 
 def oracle(block: int = BLOCK, seed: str = SEED) -> str:
     f = lambda b: f"((({b})::hugeint * extra + phase) // n)"
+    s, mixed = f"(b // {SHARD})", f"((start + (b // {SHARD}) * 2654435761) % 4294967296)"
+    length = f"(least(n, ({s} + 1) * {SHARD}) - {s} * {SHARD})"
+    quota = f"({f(f'least(n, ({s} + 1) * {SHARD})')} - {f(f'{s} * {SHARD}')})"
+    chosen = f"((b - {s} * {SHARD}) * ([{', '.join(map(str, STEPS))}])[({mixed} % {len(STEPS)} + 1)::int] + ({mixed} // {len(STEPS)}) % {length}) % {length} < {quota}"
     return f"""
 with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size, md5('{seed}:' || coalesce(doc_id::varchar, '')) as k from documents),
 s0 as (select source, sum(size)::bigint source_size from sized group by source),
@@ -98,10 +111,12 @@ c as (select rank, gap, unnest(case when gap > 0 then range(base, base + gap) wh
 c1 as (select *, row_number() over (order by -sign(gap) * (target / (2 * k + 1)::double), sign(gap) * rank, k) as nth from c where gap < 0 or k < 2 * blocks),
 m as (select rank, sum(sign(gap))::bigint moved from c1 where nth <= abs(gap) group by rank),
 q as (select g1.*, base + coalesce(moved, 0) as quota, greatest(blocks, 1) as n from g1 left join m using (rank)),
-q1 as (select *, ('0x' || substr(md5('{seed}/' || coalesce(source, '')), 1, 8))::bigint % n as phase, quota // n as each, quota % n as extra from q),
-d as (select doc_id, size, source_size, target, n, phase, each, extra, coalesce(sum(size) over (partition by sized.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint a
+q0 as (select *, ('0x' || substr(md5('{seed}/' || coalesce(source, '')), 1, 8))::bigint as start from q),
+q1 as (select *, start % n as phase, quota // n as each, quota % n as extra from q0),
+d as (select doc_id, size, source_size, target, n, start, phase, each, extra, coalesce(sum(size) over (partition by sized.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint a
   from sized join q1 on sized.source is not distinct from q1.source),
-e as (select *, a // {block} as b0, (a + size - 1) // {block} as b1 from d)
-select doc_id, size, source_size, target, (case when size = 0 then 0 else each * size + case when b0 = b1 then size * ({f('b0 + 1')} - {f('b0')})
-  else ({block} * (b0 + 1) - a) * ({f('b0 + 1')} - {f('b0')}) + {block} * ({f('b1')} - {f('b0 + 1')}) + (a + size - {block} * b1) * ({f('b1 + 1')} - {f('b1')}) end end)::bigint as taken from e
+e as (select *, row_number() over () as id, a // {block} as b0, (a + size - 1) // {block} as b1 from d),
+p as (select *, unnest(range(b0, b1 + 1)) as b from e where size > 0),
+t as (select id, sum(case when {chosen} then least(a + size, (b + 1) * {block}) - greatest(a, b * {block}) else 0 end) as some from p group by id)
+select doc_id, size, source_size, target, (each * size + coalesce(some, 0))::bigint as taken from e left join t using (id)
 """
