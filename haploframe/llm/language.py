@@ -27,6 +27,8 @@ BUCKET_BITS = 15
 SMOOTHING = 0.5
 ROUNDS = 12
 UNKNOWN = "und"
+#: Words whose likelihoods are summed at once.
+PIECE = 1 << 14
 #: Letters in a byte view: ASCII letters and the bytes of longer characters.
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -124,6 +126,18 @@ def mixture(word_ll: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, share
 
 
+def word_likelihoods(data: np.ndarray, b: np.ndarray, e: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """A row for each word, the sum of its trigrams' log-probabilities and that of the mark after it. Running sums go over PIECE words at a time, so memory beyond the result doesn't grow with a text."""
+    out = np.empty((len(b), logs.shape[1]))
+    for lo in range(0, len(b), PIECE):
+        begin, end = b[lo : lo + PIECE], np.minimum(e[lo : lo + PIECE] + 1, len(data))
+        x = max(0, int(begin[0]) - 2)
+        sums = np.zeros((int(end[-1]) - x + 1, logs.shape[1]))
+        np.cumsum(logs[trigrams(data[x : end[-1]])], axis=0, out=sums[1:])
+        out[lo : lo + PIECE] = sums[end - x] - sums[begin - x]
+    return out
+
+
 def predictor(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs = model.value
@@ -134,9 +148,7 @@ def predictor(model) -> Callable:
                 plain = letter[offsets[1:]] > letter[offsets[:-1]]
                 b, e, first = word_bounds(data, offsets)
                 if langs and len(b):
-                    sums = np.zeros((len(data) + 1, len(langs)))
-                    np.cumsum(logs[trigrams(data)], axis=0, out=sums[1:])
-                    best, share = mixture(sums[np.minimum(e + 1, len(data))] - sums[b], first)
+                    best, share = mixture(word_likelihoods(data, b, e, logs), first)
                 else:
                     best, share = np.full(end - row, -1), np.zeros(end - row)
                 for i in range(end - row):
