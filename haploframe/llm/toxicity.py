@@ -153,8 +153,8 @@ class Restorer:
         self.model, self.known = model, {}
 
     def token(self, raw: str) -> str:
-        # Marks at the ends are punctuation.
-        core = raw.strip(".,;:!?\"'()[]{}#%&*$")
+        # Marks at the ends are punctuation, but a sign that touches the letters may stand for one.
+        core = raw.lstrip("\"'([{.,;:?#%&*").rstrip(".,;:!?\"')]}#%&*")
         if len(core) < 2 or not any(map(str.isalpha, core)):
             return raw
         if len(core) > LONG:
