@@ -209,6 +209,22 @@ def test_jaccard(docs, empty):
     assert len({(r.doc_id, r.text) for r in kept}) == len(kept) and jaccard.jaccard_components(jaccard.keep_one(docs)).filter("component_id != doc_id").count() == 0
 
 
+def test_components_with_null_ids(spark):
+    """A null id takes no id away from its component."""
+    text = " ".join(f"w{j}" for j in range(60))
+    d = spark.createDataFrame([(None, text), (9, text + " end"), (5, text), (None, "alone in the end"), (7, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(d).collect()), key=str)
+    assert got == sorted([(None, 5), (9, 5), (5, 5), (None, None), (7, 7)], key=str)
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_large_groups_are_split(docs, monkeypatch, block):
+    """Parts of groups find the same components."""
+    want = sorted(map(tuple, jaccard.jaccard_components(docs).collect()), key=str)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs).collect()), key=str) == want
+
+
 def test_keep_one_tells_components_apart(spark):
     """Unrelated texts without an id, or under one id, all stay."""
     say = lambda k: " ".join(f"{k}{j}" for j in range(30))
@@ -271,6 +287,51 @@ def test_fingerprints(docs, empty):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+@pytest.mark.parametrize("rows", [65_536, 4])
+def test_next_documents(spark, monkeypatch, rows):
+    """near_next, packed digits and densification against an independent form; ids far apart, below zero and null."""
+    monkeypatch.setattr(fingerprints, "ORDER_ROWS", rows)
+    r = random.Random(8)
+    vocab = [f"w{k}" for k in range(60)]
+    ids = [None, -9, -8, 0, 1, 2, 3, 50, 51, 1 << 20, (1 << 20) + 5, 1 << 40, (1 << 40) + 1, 1 << 41, 1 << 62]
+    texts = {i: " ".join(r.choice(vocab) for _ in range(r.choice([0, 3, 40, 300, 900]))) for i in ids}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x for x in fingerprints.fingerprint_edits(d).collect()}
+    order = sorted(ids, key=lambda i: -(1 << 63) if i is None else i, reverse=True)
+    runs = [(i, j, w[j : j + 5]) for i, t in texts.items() for w in [words(t)] for j in range(len(w) - 4)]
+    hashes = {(i, j): h for i, j, h in spark.createDataFrame(runs, "i long, j long, w array<string>").select("i", "j", F.xxhash64(*(F.col("w")[k] for k in range(5)))).collect()}
+    small = dict(spark.range(256).select("id", F.xxhash64(F.col("id").cast("int"))).collect())
+
+    def digits(i):
+        w = words(texts[i])
+        if len(w) < 5:
+            return None
+        least = {}
+        for (k, _), h in hashes.items():
+            if k == i:
+                b = ((h >> 56) + 128) & 255
+                least[b] = min(least.get(b, 1 << 63), h)
+        out = []
+        for b in range(256):
+            o, step, c = small[b] & 255, (small[b] >> 8) & 255 | 1, b
+            if b not in least:
+                c = min(least, key=lambda x: (x - o) * step & 255)
+            out.append(f"{least[c] & 255:02x}")
+        return "".join(out)
+
+    pairs = lambda x: [x[k : k + 2] for k in range(0, len(x), 2)]
+    for k, i in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        t, n = texts[i], texts[after]
+        cut = len(t) // 3
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest()
+        assert got[i].fingerprint == (digits(i) or got[i].fingerprint) and (got[i].fingerprint == "empty") == (not words(t))
+        a, b = got[i].fingerprint, got[after].fingerprint
+        share = sum(x == y for x, y in zip(pairs(a), pairs(b))) / 256
+        want = 1.0 if a == b else 0.0 if "empty" in (a, b) else max(0.0, (share - 1 / 256) / (1 - 1 / 256))
+        assert abs(got[i].near_next - want) < 1e-9
+
+
 def test_leaks(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog while seven wise owls watch from a tall old oak"
     bench = spark.createDataFrame([(1, item), (2, "too short item"), (3, None), (4, ""), (5, item)], "item_id long, text string")
@@ -318,7 +379,22 @@ def test_quotas_equal_highest_quotients(spark):
         assert {x.rank: x.quota for x in rows} == have
 
 
-def test_warc(spark, tmp_path):
+def test_shards_get_whole_quotas(spark):
+    """Inside a shard so many distinct blocks are taken as its quota says, and blocks are spread over the shard."""
+    rows = [(i, " ".join(["w"] * 32), "s" if i < 3000 else "t") for i in range(4000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for size in (96_000, 32_000):
+        taken = [r.taken for r in got if r.source_size == size]
+        target = next(r.target for r in got if r.source_size == size)
+        # A document is one block here or touches two.
+        assert sum(taken) == 32 * round(target / 32) and max(taken) - min(taken) <= 32
+    other = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed="other").collect()
+    assert {(r.doc_id, r.taken) for r in got} != {(r.doc_id, r.taken) for r in other} and sum(r.taken for r in got) == sum(r.taken for r in other)
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_warc(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
     long = "<p>é</p>" * 40
     rows = [(5, "http://a", long), (3, "http://b\nx", long), (9, None, long), (4, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (3, "http://b", long), (None, "n", "y" * 200), (11, "w", "WARC/1.1\r\n\r\n" + "z" * 100)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -335,6 +411,17 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, path + "0").count() == 0
 
 
+def test_likelihoods_in_pieces(monkeypatch):
+    data = np.frombuffer("ab cde  é f\nghij klm n ".encode() * 9, np.uint8)
+    b, e, _ = word_bounds(data, np.array([0, len(data)]))
+    logs = np.log(np.random.default_rng(3).random((1 << language.BUCKET_BITS, 3)))
+    whole = language.word_likelihoods(data, b, e, logs)
+    monkeypatch.setattr(language, "PIECE", 2)
+    assert np.allclose(language.word_likelihoods(data, b, e, logs), whole)
+    h = language.trigrams(data)
+    assert np.allclose(whole, [logs[h[i : min(j + 1, len(data))]].sum(0) for i, j in zip(b, e)])
+
+
 def test_language(spark, empty):
     r = random.Random(4)
     letters = {"xx": "abcde", "yy": "klmno", "zz": "tuvwü"}
@@ -381,7 +468,7 @@ def test_toxicity(spark, empty):
 
 
 def speller():
-    text = "worthless pathetic trash and other worthless words of a pathetic kind " * 20
+    text = "worthless pathetic trash and other worthless words of a pathetic kind from an idiot or a wicked spammer " * 20
     c = toxicity.CLASS[np.frombuffer(text.encode(), np.uint8)]
     counts = np.full((toxicity.CLASSES,) * 3, 0.05)
     np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
@@ -402,6 +489,13 @@ def test_long_tokens_are_decoded():
     assert len(toxicity.decode("a1" * 20_000, restore.model)) >= 20_000
 
 
+def test_signs_at_the_ends_are_letters():
+    _, read = speller()
+    for odd, plain in (("!diot", "idiot"), ("id!0t", "idiot"), ("1d10t", "idiot"), ("$pammer", "spammer"), ("tra$h", "trash"), ("@nd", "and"), ("p@7h371c", "pathetic")):
+        assert read(f"an {odd} here") == f"an {plain} here"
+    assert read("(other) \"trash\", words! kind?") == "(other) \"trash\", words! kind?"
+
+
 def test_spelled_words_with_any_gap():
     restore, read = speller()
     for gap in (".", "-", "_", "~", "&", "%", "*", " ", ". ", "- "):
