@@ -117,6 +117,6 @@ d as (select doc_id, size, source_size, target, n, start, phase, each, extra, co
   from sized join q1 on sized.source is not distinct from q1.source),
 e as (select *, row_number() over () as id, a // {block} as b0, (a + size - 1) // {block} as b1 from d),
 p as (select *, unnest(range(b0, b1 + 1)) as b from e where size > 0),
-t as (select id, sum(case when {chosen} then least(a + size, (b + 1) * {block}) - greatest(a, b * {block}) else 0 end) as some from p group by id)
-select doc_id, size, source_size, target, (each * size + coalesce(some, 0))::bigint as taken from e left join t using (id)
+t as (select id, sum(case when {chosen} then least(a + size, (b + 1) * {block}) - greatest(a, b * {block}) else 0 end) as selected from p group by id)
+select doc_id, size, source_size, target, (each * size + coalesce(selected, 0))::bigint as taken from e left join t using (id)
 """
