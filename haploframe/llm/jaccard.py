@@ -326,3 +326,16 @@ def keep_one(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).drop("uid")
+
+
+ORACLE = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[j:j + {CONTRACT.shingle - 1}], ' ') as shingle from (select doc_id, w, unnest(range(1, greatest(len(w) - {CONTRACT.shingle - 2}, 2))) as j from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where {CONTRACT.denominator} * shared >= {CONTRACT.numerator} * (a.n + b.n - shared)),
+e as (select x, y from l union select y, x from l),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x),
+c as (select x, min(y) as y from r group by x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(y, doc_id)) as component_id from documents left join n using (doc_id) left join c on x = doc_id
+"""

@@ -21,4 +21,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc_revisits": warc.ORACLE, "op5_source_mix": mixing.oracle(), "op8_line_dedup": lines.ORACLE}
+    return {
+        "op1_warc_revisits": warc.ORACLE,
+        "op2_benchmark_leaks": decontamination.ORACLE,
+        "op3_jaccard_join": jaccard.ORACLE,
+        "op5_source_mix": mixing.oracle(),
+        "op6_substring_dedup": substrings.ORACLE,
+        "op7_suffix_dedup": suffixes.ORACLE,
+        "op8_line_dedup": lines.ORACLE,
+    }

@@ -182,3 +182,14 @@ def dedup_words(docs: DataFrame) -> DataFrame:
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_words(documents(spark, sf_dir))
+
+
+ORACLE = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+v as (select doc_id, j, array_to_string(w[j:j + {WIDTH - 1}], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) as j from d where len(w) >= {WIDTH})),
+f as (select doc_id, j from (select *, row_number() over (partition by run order by doc_id, j) as n from v) where n > 1),
+p as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as j from d),
+g as (select p.*, coalesce(j - max(f.j) over (partition by p.doc_id order by p.j) < {WIDTH}, false) as gone from p left join f using (doc_id, j)),
+k as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by j) filter (not gone) as kept from g group by doc_id)
+select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join k using (doc_id)
+"""

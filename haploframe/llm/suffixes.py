@@ -109,3 +109,17 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_bytes(documents(spark, sf_dir))
+
+
+ORACLE = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+q as (select doc_id, p, length(h) // 2 - p - {WIDTH - 1} as more, substring(h, 2 * p + 1, 2 * {2048 + WIDTH}) as h from (select doc_id, h, unnest(range(0, length(h) // 2 - {WIDTH - 1}, 2048)) as p from d where length(h) // 2 >= {WIDTH})),
+v as (select doc_id, p + j as j, md5(substring(h, 2 * j - 1, {2 * WIDTH})) as string from (select doc_id, p, h, unnest(range(1, least(more, 2048) + 1)) as j from q)),
+f as (select doc_id, j from (select *, count(*) over (partition by string) as n from v) where n > 1),
+s as (select *, case when j - lag(j) over (partition by doc_id order by j) <= {WIDTH} then 0 else 1 end as new from f),
+r as (select doc_id, min(j) as b, max(j) + {WIDTH} as e from (select *, sum(new) over (partition by doc_id order by j) as run from s) group by doc_id, run),
+c as (select doc_id, count(*) as n_spans, sum(e - b)::bigint as n_removed, list(b order by b) as bs, list(e order by b) as es from r group by doc_id),
+k as (select d.doc_id, length(h) // 2 as n_bytes, n_removed, n_spans,
+  case when n_spans is null then h else array_to_string(list_transform(list_zip(list_prepend(1, es), list_append(bs, length(h) // 2 + 1)), lambda x: substring(h, 2 * x[1] - 1, 2 * (x[2] - x[1]))), '') end as kept from d left join c using (doc_id))
+select doc_id, n_bytes::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from k
+"""
