@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mode", choices=[AS_IMPLEMENTED, DOCUMENTED], default=AS_IMPLEMENTED)
     p.add_argument("--deterministic", action="store_true")
     p.add_argument("--seed", type=int, default=12345)
+    p.add_argument("--window-size", type=int, default=10000, help="markers handled at once, 0 for all")
+    p.add_argument("--selector", choices=["auto", "warp", "first", "longest"], default="auto")
     p.add_argument("--gzip", action="store_true")
     p.add_argument("--probabilities", action="store_true", help="write GP")
     p.add_argument("--dosages", action="store_true", help="write DS and GP")
@@ -37,7 +39,7 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, format="%(levelname)s %(message)s")
     logging.getLogger("py4j").setLevel(logging.WARNING)
-    config = ImputationConfig(HMMParameters(ne=a.ne, num_states=a.states), mode=a.mode, deterministic=a.deterministic, seed=a.seed, strict_markers=a.strict_markers, region=a.region, output_probabilities=a.probabilities, output_dosages=a.dosages)
+    config = ImputationConfig(HMMParameters(ne=a.ne, num_states=a.states), mode=a.mode, deterministic=a.deterministic, seed=a.seed, window_size=a.window_size, selector=a.selector, strict_markers=a.strict_markers, region=a.region, output_probabilities=a.probabilities, output_dosages=a.dosages)
     spark = SparkSession.builder.appName("haploframe").getOrCreate()
     began = time.time()
     try:

@@ -2,7 +2,8 @@
 
 A marker's index is its place among the records that are read, in the order of files and lines; a region is cut out
 before they are numbered. Each split of a file counts its records, the splits' counts are summed up, and a record adds
-its place in the split: no data row is shuffled or leaves the JVM. Files ending in .gz or .bgz are decompressed by Spark.
+its place in the split: no data row is shuffled or leaves the JVM. Files ending in .gz or .bgz are decompressed by Spark;
+files ending in .bcf are decoded by bcf.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..config import MISSING, ImputationError
 from ..functions.genotypes import call_genotype, likelihood_columns, parse_gt
+from . import bcf
 
 FIXED = 9
+BCF = ".bcf"
 SOURCE = "haploframe"
 
 
@@ -32,7 +35,7 @@ class VcfHeader:
 
 def read_header(spark: SparkSession, path: str) -> VcfHeader:
     """Contigs and sample names; the header of one file is what comes to the driver."""
-    lines = [r.value.rstrip("\r") for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()]
+    lines = bcf.header_lines(spark, path) if path.endswith(BCF) else [r.value.rstrip("\r") for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()]
     columns = [x.split() for x in lines if x.startswith("#CHROM")]
     if not columns:
         raise ImputationError(f"{path} has no #CHROM line")
@@ -49,17 +52,23 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.join(splits, ["file", "block"]).withColumn("marker_idx", F.col("_at") + F.col("shift")).drop("file", "block", "_at", "shift")
 
 
+def in_region(rows: DataFrame, where: str) -> DataFrame:
+    """Split records (f) of a region."""
+    place = rows.withColumns({"chrom": F.get("f", F.lit(0)), "pos": F.get("f", F.lit(1)).try_cast("long")})
+    return region(place, where).drop("chrom", "pos")
+
+
 def records(spark: SparkSession, path: str, strict: bool = True, where: str = "") -> DataFrame:
     """marker_idx, chrom, pos, id, ref, alt (array), qual and fields, the samples' texts, of the records in a region (see region), all without one. strict: a line with fewer than nine fields is an error, else it is left out."""
+    if path.endswith(BCF):
+        rows = bcf.fields(spark, path)
+        return parse_fields(numbered(in_region(rows, where)))
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     f = F.split(F.rtrim(F.regexp_replace("value", "\r$", "")), "\t")
     rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(f.alias("f"), "file", "block")
     if not strict:
         rows = rows.filter(F.size("f") >= FIXED)
-    if where:
-        place = rows.withColumns({"chrom": F.get("f", F.lit(0)), "pos": F.get("f", F.lit(1)).try_cast("long")})
-        rows = region(place, where).drop("chrom", "pos")
-    return parse_fields(numbered(rows))
+    return parse_fields(numbered(in_region(rows, where)))
 
 
 def parse_fields(rows: DataFrame) -> DataFrame:

@@ -261,3 +261,44 @@ def test_wide_panel_holds_all_alleles(spark, tmp_path):
     p = tmp_path / "x.vcf"
     p.write_text("#CHROM\n" + "\t".join(["chr1", "5", ".", "A", "C,T", ".", ".", ".", "GT", "1", "0|2|1:9", ".|1", "12/3:7", "."]) + "\n")
     assert list(vcf.wide_panel(vcf.records(spark, str(p))).first().alleles) == [1, 1, 0, 2, 255, 1, 12, 3, 255, 255]
+
+
+def bcf_bytes(rows, names):
+    """A BCF2 file of diploid calls, with an integer field before GT and names and counts in their long forms."""
+    import gzip
+    import struct
+
+    word = lambda t: (bytes([len(t) << 4 | 7]) if len(t) < 15 else bytes([0xF7, 0x11, len(t)])) + t.encode()
+    head = "\n".join(["##fileformat=VCFv4.2", "##FILTER=<ID=q10,Description=\"x\">", "##contig=<ID=chr9>", "##contig=<ID=chr1,length=100000>", "##FORMAT=<ID=DP,Number=1,Type=Integer,Description=\"d\">", "##FORMAT=<ID=GT,Number=1,Type=String,Description=\"g\">", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]) + "\n\0"
+    out = b"BCF\2\2" + struct.pack("<I", len(head)) + head.encode()
+    for i, r in enumerate(rows):
+        cells = r.split()
+        own = b"\x11\x02" + b"\x12" + b"".join(struct.pack("<h", 300 + k) for k in range(len(cells)))
+        own += b"\x11\x03" + b"\x21"
+        for x in cells:
+            sep, vals = (1, x.split("|")) if "|" in x else (0, x.split("/"))
+            codes = [0 if v == "." else (int(v) + 1) << 1 | (sep if k else 0) for k, v in enumerate(vals)]
+            own += struct.pack("<bb", *(codes + [-127])[:2])
+        shared = struct.pack("<iiiIII", 1, 1000 * (i + 1) - 1, 1, 0x7F800001 if i else 0x42C80000, 3 << 16, 2 << 24 | len(cells))
+        shared += word(f"rs{i + 1}" if i else "a name of more than fifteen") + word("A") + word("G") + word("T") + b"\x11\x00"
+        out += struct.pack("<II", len(shared), len(own)) + shared + own
+    half = len(out) // 2
+    return gzip.compress(out[:half]) + gzip.compress(out[half:])
+
+
+def test_bcf(spark, tmp_path):
+    """The same records as from text; haploid and missing calls; a region; imputation from BCF files."""
+    rows = [r if "/" in r else " ".join(f"{x[0]}|{x[1]}" for x in r.split()) for r in PANEL]
+    (tmp_path / "p.bcf").write_bytes(bcf_bytes(rows, ["R1", "R2", "R3", "R4"]))
+    (tmp_path / "t.bcf").write_bytes(bcf_bytes(TARGETS, ["T1", "T2"]))
+    (tmp_path / "x.bcf").write_bytes(bcf_bytes(["1 ./1"], ["A", "B"]))
+    h = vcf.read_header(spark, str(tmp_path / "p.bcf"))
+    assert h.sample_names == ["R1", "R2", "R3", "R4"] and h.contigs == ["chr9", "chr1"]
+    got = vcf.records(spark, str(tmp_path / "p.bcf")).orderBy("marker_idx").collect()
+    assert [(r.marker_idx, r.chrom, r.pos, r.ref, r.alt, r.fields) for r in got] == [(i, "chr1", 1000 * (i + 1), "A", ["G", "T"], x.split()) for i, x in enumerate(rows)]
+    assert got[0].qual == 100.0 and got[1].qual == 0.0 and got[0].id == "a name of more than fifteen" and got[1].id == "rs2"
+    assert [r.pos for r in vcf.records(spark, str(tmp_path / "p.bcf"), where="chr1:3000-5000").orderBy("marker_idx").collect()] == [3000, 4000, 5000]
+    assert vcf.records(spark, str(tmp_path / "x.bcf")).first().fields == ["1", "./1"]
+    config = ImputationConfig(HMMParameters(num_states=4), selector="first", deterministic=True)
+    r = impute(spark, str(tmp_path / "p.bcf"), str(tmp_path / "t.bcf"), config=config)
+    assert [x.state for x in r.imputed.filter("sample_idx = 0").orderBy("marker_idx").collect()] == GOLDEN["first", AS_IMPLEMENTED][0]
