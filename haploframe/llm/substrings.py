@@ -1,12 +1,13 @@
-"""Substring dedup: a compressed FM-index per shard and backward search over its wavelet matrix.
+"""Substring dedup: a compressed FM-index per shard and backward search over its wavelet tree.
 
 Stretches of words whose anchors occur again (see windows) meet in the shard of their anchor, where equal ones are
-merged. A shard's index holds the transform of its word sequence as a wavelet matrix of packed bits. All stretches
-are streamed through it at once from their right ends: each step extends the matches by one word to the left through
-two rank queries, and a match longer than ``WIDTH`` words falls back to the interval of its first ``WIDTH`` words. So
-for every window the interval of its occurrences is known, and with the least (doc_id, part, place) over each such
-interval, whether it also starts earlier. Suffixes are ordered by their first 32 words, which is enough for searches
-of up to 32 words.
+merged. A shard's index is the transform of its word sequence as a wavelet tree shaped by the words' frequencies (its
+bits are near the sequence's entropy) and one bit a row that tells where the first ``WIDTH`` words change; the suffix
+array serves to build them and is dropped. All stretches are streamed through the index at once from their right ends:
+each step extends the matches by one word to the left through two rank queries, and a match longer than ``WIDTH`` words
+falls back to the interval of its first ``WIDTH`` words. So the search gives each window that reaches the threshold an
+interval, equal for equal windows, and the least (doc_id, part, place) of what came to an interval tells whether a
+window also starts earlier. Suffixes are ordered by their first 32 words, enough for searches of up to 32 words.
 
 Words are compared unchanged. A null text has no words; texts of fewer than 20 words stay whole; rows that share a
 doc_id are documents of their own, in the order of their texts. Kept words are joined by one space.
@@ -33,35 +34,60 @@ GROUPED_ROWS = 20000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class WaveletMatrix:
-    """Rank over a sequence of small integers: one bit vector a level, packed in 64-bit words with running counts."""
+class Bits:
+    """A bit vector packed in 64-bit words with running counts."""
 
-    def __init__(self, values: np.ndarray, symbols: int):
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.append(bits, np.zeros(64 + -len(bits) % 64, bool)), bitorder="little").view(np.uint64)
+        self.counts = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32))).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        block = at >> 6
+        return self.counts[block] + np.bitwise_count(self.words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+
+class WaveletTree:
+    """Rank over a sequence of small integers. A symbol of share p has a prefix code of ceil(-log2 p) bits; a level holds the next bits of all symbols whose codes go on, node by node."""
+
+    def __init__(self, values: np.ndarray):
+        counts = np.bincount(values)
+        used = np.flatnonzero(counts)
+        self.length = np.zeros(len(counts), np.int64)
+        self.length[used] = np.maximum(1, np.ceil(np.log2(len(values) / counts[used]))).astype(np.int64)
+        self.depth = int(self.length.max())
+        by = used[np.argsort(self.length[used], kind="stable")]
+        room = 1 << (self.depth - self.length[by])
+        self.code = np.zeros(len(counts), np.int64)
+        self.code[by] = np.cumsum(room) - room
         self.levels = []
-        for bit in range(max(1, int(symbols - 1).bit_length()) - 1, -1, -1):
-            ones = (values >> bit & 1).astype(bool)
-            words = np.packbits(np.append(ones, np.zeros(64 + -len(ones) % 64, bool)), bitorder="little").view(np.uint64)
-            counts = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
-            self.levels.append((bit, words, counts, len(ones) - int(ones.sum())))
-            values = np.concatenate((values[~ones], values[ones]))
+        for level in range(self.depth):
+            values = values[self.length[values] > level]
+            node = self.code[values] >> (self.depth - level)
+            order = np.argsort(node, kind="stable")
+            values, node = values[order], node[order]
+            bits = Bits((self.code[values] >> (self.depth - level - 1) & 1).astype(bool))
+            start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            self.levels.append((bits, node[start], start, bits.rank(start)))
 
     def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often symbol occurs before lo and before hi."""
-        begin = np.zeros_like(lo)
-        for bit, words, counts, zeros in self.levels:
-            one = (symbol >> bit & 1).astype(bool)
-            places = []
-            for at in (begin, lo, hi):
-                ones = counts[at >> 6] + np.bitwise_count(words[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-                places.append(np.where(one, zeros + ones, at - ones))
-            begin, lo, hi = places
-        return lo - begin, hi - begin
+        lo, hi, live = lo.copy(), hi.copy(), np.arange(len(symbol))
+        for level, (bits, nodes, start, ones) in enumerate(self.levels):
+            live = live[self.length[symbol[live]] > level]
+            code = self.code[symbol[live]]
+            i = np.searchsorted(nodes, code >> (self.depth - level))
+            one = (code >> (self.depth - level - 1) & 1).astype(bool)
+            for at in (lo, hi):
+                passed = bits.rank(start[i] + at[live]) - ones[i]
+                at[live] = np.where(one, passed, at[live] - passed)
+        return lo, hi
 
 
 class FMIndex:
-    """An index over sequences of symbols 1.. with 0 after each of them."""
+    """An index over sequences of symbols 1.. with 0 after each of them; rows are suffixes in the order of their first depth symbols."""
 
-    def __init__(self, text: np.ndarray, depth: int = 32):
+    def __init__(self, text: np.ndarray, width: int, depth: int = 32):
         n, rank, h = len(text), text.astype(np.int64), 1
         while True:
             ahead = np.zeros(n, np.int64)
@@ -72,24 +98,45 @@ class FMIndex:
             rank[order], h = new, h * 2
             if h >= depth:
                 break
-        self.suffixes = order
-        self.wavelet = WaveletMatrix(text[order - 1], int(text.max()) + 1)
+        self.size = n
+        self.tree = WaveletTree(text[order - 1])
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text))))
+        # Where the first width symbols differ from those of the row before.
+        first = np.zeros(n, bool)
+        first[0] = True
+        for k in range(width):
+            x = text[np.minimum(order + k, n - 1)]
+            first[1:] |= x[1:] != x[:-1]
+        self.first = Bits(first)
+        self.starts = np.append(np.flatnonzero(first), n).astype(np.int32)
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.wavelet.rank(symbol, lo, hi)
+        """The intervals of the matches with one more symbol to the left."""
+        a, b = self.tree.rank(symbol, lo, hi)
         return self.before[symbol] + a, self.before[symbol] + b
 
+    def shorten(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The interval of the first width symbols of each match of that length or more, and its number."""
+        number = self.first.rank(lo + 1) - 1
+        return number, self.starts[number].astype(np.int64), self.starts[number + 1].astype(np.int64)
 
-def interval_heads(index: FMIndex, text: np.ndarray, width: int) -> np.ndarray:
-    """For each row of the index, the first row with the same first width symbols; one more entry at the end."""
-    s, n = index.suffixes, len(text)
-    same = np.ones(n, bool)
-    same[0] = False
-    for k in range(width):
-        x = text[np.minimum(s + k, n - 1)]
-        same[1:] &= x[1:] == x[:-1]
-    return np.append(np.maximum.accumulate(np.where(same, 0, np.arange(n))), n)
+
+def matches(index: FMIndex, text: np.ndarray, starts: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
+    """Streams sequences from their right ends: at each place of text the number of the interval of its first width symbols, -1 where the match is shorter."""
+    lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), index.size)
+    found = np.full(len(text), -1)
+    length = np.zeros(len(starts), np.int64)
+    last, live = starts + words - 1, np.arange(len(starts))
+    for step in range(int(words.max())):
+        live = live[words[live] > step]
+        at = last[live] - step
+        lo[live], hi[live] = index.extend(text[at], lo[live], hi[live])
+        length[live] += 1
+        long = live[length[live] >= width]
+        if len(long):
+            found[last[long] - step], lo[long], hi[long] = index.shorten(lo[long])
+            length[long] = width
+    return found
 
 
 def solve(group: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.ndarray, contents: list[bytes], owners: pa.Table) -> np.ndarray:
@@ -110,8 +157,7 @@ def solve(group: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.
     starts = first_word[:-1] + np.arange(len(heads))
     text = np.zeros(len(names) + len(heads), np.int64)
     text[np.arange(len(names)) + np.repeat(np.arange(len(heads)), words)] = names
-    index = FMIndex(text)
-    head_of = interval_heads(index, text, WIDTH)
+    number = matches(FMIndex(text, WIDTH), text, starts, words, WIDTH)
     # The order of all places in the corpus: documents by id, then words.
     doc_rank = np.empty(n, np.int64)
     ids = table.take(pa.array(in_order))
@@ -125,35 +171,16 @@ def solve(group: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.
     owner = np.repeat(np.arange(len(heads)), words + 1)
     inside = np.arange(len(text)) - starts[owner]
     place = doc_rank[heads][owner] << 36 | begin[heads][owner] + inside
-    bounds_of = np.flatnonzero(head_of[:-1] == np.arange(len(text)))
-    earliest = np.zeros(len(text), np.int64)
-    earliest[bounds_of] = np.minimum.reduceat(place[index.suffixes], bounds_of)
-    # Stream every stretch from its right end.
-    lo, hi = np.zeros(len(heads), np.int64), np.full(len(heads), len(text))
-    found = np.full(len(text), -1)
-    last = starts + words - 1
-    live = np.arange(len(heads))
-    for step in range(int(words.max())):
-        live = live[words[live] > step]
-        at = last[live] - step
-        lo[live], hi[live] = index.extend(text[at], lo[live], hi[live])
-        if step >= WIDTH - 1:
-            # A match of more than WIDTH words falls back to the interval of its first WIDTH.
-            lo[live] = head_of[lo[live]]
-            hi[live] = bounds_after(bounds_of, hi[live] - 1, len(text))
-            found[at] = earliest[lo[live]]
+    earliest = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    some = np.flatnonzero(number >= 0)
+    np.minimum.at(earliest, number[some], place[some])
     # A row's window goes if the earliest place of its interval is not its own.
     rows = np.repeat(np.arange(n), windows)
     j = np.arange(len(rows)) - np.repeat(np.cumsum(windows) - windows, windows)
     head = np.empty(n, np.int64)
     head[in_order] = of
     own = doc_rank[rows] << 36 | begin[rows] + j
-    return found[starts[head[rows]] + j] != own
-
-
-def bounds_after(heads: np.ndarray, row: np.ndarray, end: int) -> np.ndarray:
-    """The end of the interval that each row lies in."""
-    return np.append(heads, end)[np.searchsorted(heads, row, "right")]
+    return earliest[number[starts[head[rows]] + j]] != own
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

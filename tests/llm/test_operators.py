@@ -123,11 +123,30 @@ def test_column_flags_by_brute_force():
                 assert flags[i, j] == same
 
 
+def substrings_order(text):
+    """Places by their suffixes, ends by their place."""
+    return np.array(sorted(range(len(text)), key=lambda i: (tuple(text[i : i + 32]) + (-1,) * (32 - len(text[i : i + 32])), i)))
+
+
 def test_wavelet_and_search():
     r = np.random.default_rng(1)
     seqs = [r.integers(1, 6, r.integers(3, 40)) for _ in range(20)]
     text = np.concatenate([np.append(s, 0) for s in seqs]).astype(np.int64)
-    index = substrings.FMIndex(text)
+    index = substrings.FMIndex(text, 4)
+    for x in range(6):
+        places = np.arange(len(text) + 1)
+        assert np.array_equal(index.tree.rank(np.full(len(places), x), np.zeros_like(places), places)[1], np.concatenate(([0], np.cumsum(text[substrings_order(text) - 1] == x))))
+    # Intervals of the first four symbols: equal ones for equal symbols only.
+    size = np.array([len(s) for s in seqs])
+    starts = np.cumsum(size + 1) - size - 1
+    found = substrings.matches(index, text, starts, size, 4)
+    grams = {}
+    for s, n in zip(starts, size):
+        for j in range(n):
+            assert (found[s + j] >= 0) == (j + 4 <= n)
+            if j + 4 <= n:
+                assert grams.setdefault(tuple(text[s + j : s + j + 4]), found[s + j]) == found[s + j]
+    assert len(set(grams.values())) == len(grams)
     for _ in range(200):
         s = seqs[r.integers(20)]
         k = int(r.integers(1, len(s) + 1))
