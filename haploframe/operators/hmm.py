@@ -98,7 +98,7 @@ CELL = ("m", "ll_00", "ll_01", "ll_11", "g", "log_stay", "log_switch")
 LISTS = "sample_idx int, marker_idx int, alpha array<double>, scale double, beta array<double>, log_post array<double>"
 
 
-def runs_of(samples: np.ndarray, cells: pa.ListArray, mode: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def runs_of(cells: pa.ListArray, mode: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, markers, emissions, stay, switch) of rows with equal numbers of markers, a bounded number of cells at once, all logs natural. As implemented, logs of both bases are summed as they are."""
     unit = 1.0 if mode == AS_IMPLEMENTED else LN10
     flat, ends = cells.flatten(), cells.offsets.to_numpy().astype(np.int64)
@@ -131,7 +131,7 @@ def at_once(mode: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             samples = batch.column(0).to_numpy()
-            for rows, markers, e, stay, switch in runs_of(samples, batch.column(1), mode) if len(batch) else ():
+            for rows, markers, e, stay, switch in runs_of(batch.column(1), mode) if len(batch) else ():
                 yield packed(samples[rows], markers, *forward_backward(e, stay, switch, seed))
 
     return run
@@ -153,7 +153,7 @@ def forward_pass(mode: str) -> Callable:
                     continue
                 for x in [x for x in held if x[0] != seqs[lo]]:
                     del held[x]
-                for rows, _, e, stay, switch in runs_of(samples[lo:hi], batch.column(3).slice(lo, hi - lo), mode):
+                for rows, _, e, stay, switch in runs_of(batch.column(3).slice(lo, hi - lo), mode):
                     last = [held.get((seqs[lo], int(samples[lo + r]))) for r in rows]
                     for r, x in zip(rows, last):
                         before[lo + r] = x
@@ -183,7 +183,7 @@ def backward_pass(mode: str) -> Callable:
                     continue
                 for x in [x for x in held if x[0] != seqs[lo]]:
                     del held[x]
-                for rows, markers, e, stay, switch in runs_of(samples[lo:hi], batch.column(3).slice(lo, hi - lo), mode):
+                for rows, markers, e, stay, switch in runs_of(batch.column(3).slice(lo, hi - lo), mode):
                     known, after = None, [held.get((seqs[lo], int(samples[lo + r]))) for r in rows]
                     if before[lo + rows[0]] is not None:
                         x = np.array([before[lo + r] for r in rows])
