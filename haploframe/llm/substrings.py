@@ -10,7 +10,8 @@ interval, equal for equal windows, and the least (doc_id, part, place) of what c
 window also starts earlier. Suffixes are ordered by their first 32 words, enough for searches of up to 32 words.
 
 Words are compared unchanged. A null text has no words; texts of fewer than 20 words stay whole; rows that share a
-doc_id are documents of their own, in the order of their texts. Kept words are joined by one space.
+doc_id are documents of their own, in the order of their texts. Kept words are joined by one space. A text of 2 ** 28
+words or more raises an error.
 """
 
 from __future__ import annotations

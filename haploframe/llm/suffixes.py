@@ -9,7 +9,8 @@ Equal stretches of a group enter once, with their count. Shards read their stret
 and hold a bounded number of them plus the current anchor's group.
 
 A null text is empty; texts shorter than the width keep all bytes; rows that share a doc_id are documents of their
-own, told apart by their text's order; cuts count bytes and may split a character.
+own, told apart by their text's order; cuts count bytes and may split a character. A text of 2 ** 28 bytes or more
+raises an error.
 """
 
 from __future__ import annotations
