@@ -106,13 +106,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     items = keep(item_table(benchmark), "items")
     found = keep(suspects(docs, items, threshold), "suspects")
     w = keep(windows(docs, found), "prints").withColumn("block", F.explode(blocks(F.col("print"))))
-    i = items.withColumn("block", F.explode(blocks(F.col("item_print")))).withColumn("flip", F.explode(F.lit(FLIPS)))
+    i = items.select("item_id", "width", "item_print", F.xxhash64("item_hashes").alias("item_no"), F.explode(blocks(F.col("item_print"))).alias("block")).withColumn("flip", F.explode(F.lit(FLIPS)))
     i = i.filter(F.col("flip") < F.call_function("shiftleft", F.lit(1), F.col("block.bits")))
     i = i.withColumn("block", F.struct(F.col("block.b").alias("b"), F.col("block.bits").alias("bits"), F.col("block.v").bitwiseXOR(F.col("flip")).alias("v"))).drop("flip")
+    # Written, the index has a size that the join goes by; the items' shingles are joined to what it finds.
+    i = keep(i, "item-index")
+    shingled = items.select(F.xxhash64("item_hashes").alias("item_no"), "item_hashes").dropDuplicates(["item_no"])
     near = w.join(i, ["width", "block"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     # Of the blocks that find a pair, the first counts.
     close = F.filter(F.zip_with(blocks(F.col("print")), blocks(F.col("item_print")), lambda a, b: F.when(F.bit_count(a["v"].bitwiseXOR(b["v"])) <= RADIUS // BLOCKS, a["b"])), lambda x: x.isNotNull())
-    near = near.filter(F.col("block.b") == F.array_min(close)).withColumn("similarity", similarity(F.col("hashes"), F.col("item_hashes"))).filter(F.col("similarity") >= threshold)
+    near = near.filter(F.col("block.b") == F.array_min(close)).join(shingled, "item_no").withColumn("similarity", similarity(F.col("hashes"), F.col("item_hashes"))).filter(F.col("similarity") >= threshold)
     best = F.max_by("start", F.struct("similarity", -F.col("start")))
     return near.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("start_word"), F.countDistinct("uid", "start").alias("n_windows"))
 
