@@ -84,9 +84,10 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         ahead = Window.partitionBy("doc", "uid").orderBy("pos").rangeBetween(step, step)
         suffixes = suffixes.withColumn("next", F.first("rank").over(ahead)).filter(F.col("next").isNotNull())
         suffixes, depth = keep(ranked(suffixes, ["rank", "next"], F.shiftright("rank", RANGE_BITS)), "line-ranks"), depth + step
-    here = F.struct("doc", "uid", "pos")
-    first = suffixes.groupBy(F.col("rank").alias("interval")).agg(F.min(here).alias("first"))
-    return suffixes.join(first, F.col("rank") == F.col("interval")).filter(here > F.col("first")).select("doc", "uid", "pos")
+    # All but the earliest of each interval; they are told by their places, so that a frequent run doesn't meet in one task.
+    first = suffixes.groupBy("rank").agg(F.min(F.struct("doc", "uid", "pos")).alias("first")).select("first.*").toDF("_doc", "_uid", "_pos")
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("uid") == F.col("_uid")) & (F.col("pos") == F.col("_pos"))
+    return suffixes.join(first, same, "left_anti").select("doc", "uid", "pos")
 
 
 def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
