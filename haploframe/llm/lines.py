@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import documents, keep, word_count
 
 MIN_LINES = 3
-#: Words of a shorter run that goes too, in stages of a corpus.
+#: Words of a shorter run that goes too, in the query and in stages of a corpus.
 MIN_WORDS = 8
 #: Suffixes in one range of ranks, as a power of two.
 RANGE_BITS = 16
@@ -118,16 +118,24 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | No
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    d = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    d = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_words=MIN_WORDS)
     return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-ORACLE = f"""
+def oracle(min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> str:
+    """SQL for op8_line_dedup: runs of one line up to min_lines lines, all but the longest with min_words words."""
+    sizes = range(1, min_lines + 1)
+    runs = {n: " || chr(10) || ".join(f"lead(line, {k}) over by_pos" for k in range(n)) for n in sizes}
+    words = {n: " + ".join(f"lead(words, {k}) over by_pos" for k in range(n)) for n in sizes}
+    later = {n: f"row_number() over (partition by r{n} order by doc_id, pos) > 1 and r{n} is not null" + (f" and w{n} >= {min_words}" if n < min_lines else "") for n in sizes}
+    gone = " or ".join(f"coalesce(lag(f{n}, {k}) over by_pos, false)" for n in sizes for k in range(n))
+    return f"""
 with l0 as (select doc_id, string_split(text, chr(10)) as a from documents where text is not null),
-l as (select doc_id, unnest(a) as line, unnest(range(len(a))) as pos from l0),
-w as (select doc_id, pos, line, {" || chr(10) || ".join(f"lead(line, {k}) over (partition by doc_id order by pos)" for k in range(MIN_LINES))} as run from l),
-f as (select *, row_number() over (partition by run order by doc_id, pos) > 1 and run is not null as later from w),
-g as (select *, {" or ".join(f"coalesce(lag(later, {k}) over (partition by doc_id order by pos), false)" for k in range(MIN_LINES))} as gone from f),
+l1 as (select doc_id, unnest(a) as line, unnest(range(len(a))) as pos from l0),
+l as (select *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words from l1),
+w as (select doc_id, pos, line, {", ".join(f"{runs[n]} as r{n}, {words[n]} as w{n}" for n in sizes)} from l window by_pos as (partition by doc_id order by pos)),
+f as (select *, {", ".join(f"{later[n]} as f{n}" for n in sizes)} from w),
+g as (select *, {gone} as gone from f window by_pos as (partition by doc_id order by pos)),
 r as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as kept from g group by doc_id)
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join r using (doc_id)
 """

@@ -28,5 +28,5 @@ def oracle_sql() -> dict:
         "op5_source_mix": mixing.oracle(),
         "op6_substring_dedup": substrings.ORACLE,
         "op7_suffix_dedup": suffixes.ORACLE,
-        "op8_line_dedup": lines.ORACLE,
+        "op8_line_dedup": lines.oracle(),
     }
