@@ -57,7 +57,8 @@ def short_runs(docs: DataFrame, lines: int, min_words: int) -> DataFrame:
     d = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("uid"), ids.alias("ids"))
     # The ids of the lines that follow, one list for each place in the run.
     d = d.select("doc", "uid", F.arrays_zip(*(F.expr(f"slice(ids, {k + 1}, size(ids))").alias(f"l{k}") for k in range(lines))).alias("runs"))
-    d = d.select("doc", "uid", F.posexplode("runs").alias("pos", "run"))
+    # The outer form: Catalyst puts no filter on the size of the list below it, which would count all words again.
+    d = d.select("doc", "uid", F.posexplode_outer("runs").alias("pos", "run"))
     at = [F.col(f"run.l{k}") for k in range(lines)]
     d = d.filter(at[-1].isNotNull()).filter(sum((x["w"] for x in at[1:]), at[0]["w"]) >= min_words)
     return d.select("doc", "uid", "pos", F.xxhash64(*(x["h1"] for x in at)).alias("r1"), F.xxhash64(*(x["h2"] for x in at)).alias("r2")).dropDuplicates(["doc", "uid", "pos"])
