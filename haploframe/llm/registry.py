@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, jaccard, language, lines, mixing, substrings, suffixes, toxicity, warc
+from . import decontamination, fingerprints, jaccard, language, lines, mixing, periods, search, secrets, substrings, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_language": language.op10_language,
+        "op11_secrets": secrets.op11_secrets,
+        "op12_ranked_search": search.op12_ranked_search,
+        "op13_periodic_runs": periods.op13_periodic_runs,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict:
         "op6_substring_dedup": substrings.ORACLE,
         "op7_suffix_dedup": suffixes.ORACLE,
         "op8_line_dedup": lines.oracle(),
+        "op12_ranked_search": search.ORACLE,
+        "op13_periodic_runs": periods.ORACLE,
     }
