@@ -38,7 +38,10 @@ class ImputationResult:
         contigs = [r[0] for r in self.markers.select("chrom").distinct().orderBy("chrom").collect()]
         names = self.samples or [f"S{r[0]}" for r in self.imputed.select("sample_idx").distinct().orderBy("sample_idx").collect()]
         rows = vcf.probability_rows(self.probabilities, self.markers, dosage) if probabilities else vcf.phased_rows(self.imputed, self.markers)
-        vcf.write_vcf(rows, path, names, contigs, compression)
+        if path.endswith((".vcf.gz", ".vcf.bgz", vcf.BCF)):
+            vcf.save_vcf(rows, path, names, contigs)
+        else:
+            vcf.write_vcf(rows, path, names, contigs, compression)
 
 
 class Imputer:
@@ -152,7 +155,7 @@ class Imputer:
 
 
 def impute(spark: SparkSession, reference: str, target: str, out: str | None = None, config: ImputationConfig | None = None, compression: str = "none") -> ImputationResult:
-    """Panel and targets from VCF files, results to a VCF folder if out is given."""
+    """Panel and targets from VCF or BCF files, results to out if it is given: one indexed file for a name that ends in .vcf.gz or .bcf, else a folder of text parts."""
     c = config or ImputationConfig()
     began = time.time()
     panel = vcf.wide_panel(vcf.records(spark, reference, where=c.region)).persist()

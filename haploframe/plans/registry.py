@@ -121,6 +121,36 @@ def targets_of_file(spark, sf_dir):
     return vcf.target_likelihoods(vcf.records(spark, target_file(spark, sf_dir, "gzip")))
 
 
+def panel_in(form: str):
+    """The panel through one indexed file of a form, read by runs of some kilobytes."""
+
+    def read(spark, sf_dir):
+        rows = vcf.text_records(spark, panel_file(spark, sf_dir)).select("marker_idx", F.concat_ws("\t", "chrom", "pos", "id", "ref", F.array_join("alt", ","), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join("fields", "\t")).alias("line"))
+        path = f"{shared_path(spark, 'panel')}.{form}"
+        vcf.save_vcf(rows, path, [f"P{i}" for i in range(PANEL_SAMPLES)], ["chr1"])
+        return path
+
+    return read
+
+
+def panel_of(form: str):
+    return lambda s, d: vcf.panel_alleles(vcf.records(s, panel_in(form)(s, d), split=701))
+
+
+def region_of_index(form: str):
+    """A region of one indexed file: its chunks alone are read."""
+    return lambda s, d: vcf.panel_alleles(vcf.records(s, panel_in(form)(s, d), where="chr1:5000-20000"))
+
+
+def short_targets(spark, sf_dir):
+    """Records that end before the header's last samples: what is missing counts as not genotyped."""
+    g = panel.genotypes(spark, sf_dir).filter(F.col("sample_idx") < TARGETS - F.col("marker_idx") % 4)
+    text = F.when(F.col("genotype") == 0, "0/0").when(F.col("genotype") == 1, "0/1").when(F.col("genotype") == 2, "1/1").otherwise("./.")
+    path = shared_path(spark, "short-vcf")
+    vcf.write_vcf(vcf.cell_rows(g, panel.markers(spark), text, "GT"), path, [f"T{i}" for i in range(TARGETS)], ["chr1"])
+    return vcf.target_likelihoods(vcf.records(spark, path))
+
+
 def region_of_file(spark, sf_dir):
     r = vcf.records(spark, target_file(spark, sf_dir), where="chr1:5000-20000")
     return r.select("marker_idx", "chrom", "pos", "id", "ref", F.get("alt", F.lit(0)).alias("alt"), F.size("fields").alias("samples"))
@@ -241,6 +271,11 @@ def queries() -> dict:
         "vcf_wide_panel": wide_panel_of_file,
         "vcf_target_scan": targets_of_file,
         "vcf_region_records": region_of_file,
+        "vcf_blocked_scan": panel_of("vcf.gz"),
+        "bcf_scan": panel_of("bcf"),
+        "vcf_indexed_region": region_of_index("vcf.gz"),
+        "bcf_indexed_region": region_of_index("bcf"),
+        "vcf_short_records": short_targets,
         "panel_store": stored_panel,
         "pbwt_index_store": stored_index,
         "pbwt_validate_sorted": lambda s, d: pbwt.validate_sorted(order(s, d), p.alleles(s, d)),
@@ -313,6 +348,7 @@ def oracle_sql() -> dict:
     info = "case when p <= 0 or p >= 1 then 1.0 else greatest(0.0, least(1.0, 1 - (sq - mu * mu) / (2 * p * (1 - p)))) end::double"
     unroll = lambda col: f"select sample_idx, m::int as marker_idx, s.range::int as state, round({col}[s.range + 1], 4) + 0.0 as "
     padded = lambda n, haps, rule: f"select marker_idx, k.range::int as state, hap0, ((hap0 + 1) % {haps})::int as hap1 from (select m.marker_idx, k.range, coalesce({rule}, k.range % {haps})::int as hap0 from m cross join range({n}) k) k"
+    region = ", rg as (select marker_idx as m, (row_number() over (order by marker_idx) - 1)::int as marker_idx from mk where pos between 5000 and 20000) select rg.marker_idx, hap_idx, allele from rg join al on al.marker_idx = rg.m"
     logs = "with l as (select (l_orderkey % 50)::int as row, l_linenumber as col, -l_quantity / 10 as x from lineitem), t as (select {k}, max(x) as top from l group by 1) select {k}, round(max(top) + ln(sum(exp(x - top))), 4) + 0.0 as lse from l join t using ({k}) group by 1"
     lse = lambda *v: f"greatest({', '.join(v)}) + ln({' + '.join(f'exp({x} - greatest({chr(44).join(v)}))' for x in v)})"
     return {
@@ -369,6 +405,11 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "vcf_wide_panel": BASE + "select marker_idx, chrom, pos, alleles from mk join (select marker_idx, string_agg(case when allele is null then 'FF' else '0' || allele end, '' order by hap_idx) as alleles from al group by 1) using (marker_idx)",
         "vcf_target_scan": BASE + "select * from gl",
         "vcf_region_records": BASE + f"select (row_number() over (order by marker_idx) - 1)::int as marker_idx, chrom, pos, id, ref, alt, {TARGETS} as samples from mk where pos between 5000 and 20000",
+        "vcf_blocked_scan": BASE + "select * from al",
+        "bcf_scan": BASE + "select * from al",
+        "vcf_indexed_region": BASE + region,
+        "bcf_indexed_region": BASE + region,
+        "vcf_short_records": BASE + f"select sample_idx, marker_idx, case when cut then 0.0 else ll_00 end::double as ll_00, case when cut then 0.0 else ll_01 end::double as ll_01, case when cut then 0.0 else ll_11 end::double as ll_11 from (select *, sample_idx >= {TARGETS} - marker_idx % 4 as cut from gl)",
         "panel_store": BASE + "select al.*, pos from al join mk using (marker_idx)",
         "pbwt_index_store": BASE + "select * from dv",
         "pbwt_validate_sorted": BASE + "select marker_idx, count(*) as haplotypes, count(distinct hap_idx) = count(*) and count(distinct rank) = count(*) and min(hap_idx) = 0 and max(hap_idx) = count(*) - 1 as is_permutation, bool_and(prev is null or prev <= revkey) as is_sorted from pf group by 1",

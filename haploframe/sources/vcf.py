@@ -1,22 +1,25 @@
-"""VCF text as DataFrames: headers, records, panels and targets; and the writer.
+"""VCF and BCF files as DataFrames: headers, records, panels and targets; and the writers.
 
 A marker's index is its place among the records that are read, in the order of files and lines; a region is cut out
-before they are numbered. Each split of a file counts its records, the splits' counts are summed up, and a record adds
-its place in the split: no data row is shuffled or leaves the JVM. Files ending in .gz or .bgz are decompressed by Spark;
-files ending in .bcf are decoded by bcf.
+before they are numbered. Files are read by the data sources of ``variants``: partitions count their records once, and
+the counts (a row for each partition) are broadcast, so no record is shuffled. Files in stores that only Spark's readers
+reach are read as text (or BCF as whole files); there each split counts its records in the same way. A record with fewer
+sample fields than the header names is padded with missing calls; fields beyond them are left out (a header without names
+bounds nothing).
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import MISSING, ImputationError
 from ..functions.genotypes import call_genotype, likelihood_columns, parse_gt
-from . import bcf
+from . import bcf, bgzf, variants
 
 FIXED = 9
 BCF = ".bcf"
@@ -33,23 +36,53 @@ class VcfHeader:
         return len(self.sample_names)
 
 
+def form_of(path: str) -> str:
+    return "bcf" if path.endswith(BCF) else "vcf"
+
+
 def read_header(spark: SparkSession, path: str) -> VcfHeader:
     """Contigs and sample names; the header of one file is what comes to the driver."""
-    lines = bcf.header_lines(spark, path) if path.endswith(BCF) else [r.value.rstrip("\r") for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()]
-    columns = [x.split() for x in lines if x.startswith("#CHROM")]
-    if not columns:
+    if bgzf.reachable(path):
+        system, _ = bgzf.file_system(path)
+        h = variants.header_of(system, [p for p, _ in bgzf.files_of(path)], form_of(path))
+    elif path.endswith(BCF):
+        h = bcf.parse_header(spark.read.format("binaryFile").load(path).mapInArrow(bcf_headers, "path string, text string").orderBy("path").first().text)
+    else:
+        h = bcf.parse_header("\n".join(r.value.rstrip("\r") for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()))
+    if not h.samples and "#CHROM" not in h.text:
         raise ImputationError(f"{path} has no #CHROM line")
-    return VcfHeader(columns[0][FIXED:], [m[1] for x in lines if (m := re.match(r"##contig=<.*?ID=([^,>]+)", x))])
+    return VcfHeader(h.samples, h.contigs)
+
+
+def bcf_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, data in zip(batch["path"].to_pylist(), batch["content"]):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([bcf.read_header(plain(data.as_py())).text])], ["path", "text"])
+
+
+def plain(data: bytes) -> Iterator[bytes]:
+    return bcf.inflated(iter([data])) if data[:2] == bgzf.MAGIC[:2] else iter([data])
+
+
+def bcf_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole BCF files to split records."""
+    for batch in batches:
+        for path, data in zip(batch["path"].to_pylist(), batch["content"]):
+            data = data.as_py()
+            header = bcf.read_header(plain(data))
+            for fixed, cells in bcf.records(plain(data), header, header.size):
+                f = [*fixed, ".", ".", "GT", *cells.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.list_(pa.string())), pa.array([path]), pa.array([0], pa.int64())], ["f", "file", "block"])
 
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Replaces file and block, the split a row was read from, by marker_idx, its place among all rows."""
     rows = rows.withColumn("_at", F.monotonically_increasing_id())
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each split of the files.
+    # One small row for each split of the files.
     splits = rows.groupBy("file", "block").agg(F.min("_at").alias("first"), F.count("*").alias("n"))
     splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return rows.join(splits, ["file", "block"]).withColumn("marker_idx", F.col("_at") + F.col("shift")).drop("file", "block", "_at", "shift")
+    return rows.join(F.broadcast(splits), ["file", "block"]).withColumn("marker_idx", F.col("_at") + F.col("shift")).drop("file", "block", "_at", "shift")
 
 
 def in_region(rows: DataFrame, where: str) -> DataFrame:
@@ -58,42 +91,66 @@ def in_region(rows: DataFrame, where: str) -> DataFrame:
     return region(place, where).drop("chrom", "pos")
 
 
-def records(spark: SparkSession, path: str, strict: bool = True, where: str = "") -> DataFrame:
-    """marker_idx, chrom, pos, id, ref, alt (array), qual and fields, the samples' texts, of the records in a region (see region), all without one. strict: a line with fewer than nine fields is an error, else it is left out."""
+def text_records(spark: SparkSession, path: str, strict: bool = True, where: str = "") -> DataFrame:
+    """What records gives, by Spark's own readers."""
+    samples = read_header(spark, path).num_samples
     if path.endswith(BCF):
-        rows = bcf.fields(spark, path)
-        return parse_fields(numbered(in_region(rows, where)))
+        rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(bcf_fields, "f array<string>, file string, block long")
+        return parse_fields(numbered(in_region(rows, where)), samples)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     f = F.split(F.rtrim(F.regexp_replace("value", "\r$", "")), "\t")
     rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(f.alias("f"), "file", "block")
     if not strict:
         rows = rows.filter(F.size("f") >= FIXED)
-    return parse_fields(numbered(in_region(rows, where)))
-
-
-def parse_fields(rows: DataFrame) -> DataFrame:
-    """Typed columns of split records (f, marker_idx)."""
+    return parse_fields(numbered(in_region(rows, where)), samples)
+
+
+def records(spark: SparkSession, path: str, strict: bool = True, where: str = "", split: int = variants.SPLIT) -> DataFrame:
+    """marker_idx, chrom, pos, id, ref, alt (array), qual and fields, the samples' texts, of the records in a region (see region), all without one. strict: a line with fewer than nine fields is an error, else it is left out. split: bytes of a file that a task reads."""
+    if not bgzf.reachable(path):
+        return text_records(spark, path, strict, where)
+    variants.register(spark)
+    options = {"path": path, "strict": str(strict).lower(), "region": where, "split": str(split)}
+    parts = len(variants.VariantReader(options, form_of(path)).partitions())
+    source = spark.read.format(form_of(path)).options(**options)
+    rows = source.load()
+    if parts == 1:
+        numbers = F.col("row")
+    else:
+        counts = dict(spark.read.format(form_of(path)).options(**options, counts="true").load().collect())
+        before = [0]
+        for k in range(parts - 1):
+            before.append(before[-1] + counts.get(k, 0))
+        first = spark.createDataFrame(list(enumerate(before)), "part int, before long")
+        rows, numbers = rows.join(F.broadcast(first), "part"), F.col("before") + F.col("row")
+    return rows.select(numbers.cast("int").alias("marker_idx"), "chrom", "pos", "id", "ref", "alt", "qual", "fields")
+
+
+def parse_fields(rows: DataFrame, samples: int | None = None) -> DataFrame:
+    """Typed columns of split records (f, marker_idx), with so many sample fields if their number is given and not 0."""
     ok = F.size("f") >= FIXED
     get = lambda i: F.get("f", F.lit(i))
+    fields = F.slice("f", FIXED + 1, F.greatest(F.size("f") - FIXED, F.lit(0)))
+    if samples:
+        missing = F.greatest(F.lit(samples + FIXED) - F.size("f"), F.lit(0))
+        fields = F.when(F.size("f") == samples + FIXED, fields).otherwise(F.slice(F.concat(fields, F.array_repeat(F.lit("."), missing)), 1, samples))
     return rows.select(
         F.when(ok, F.col("marker_idx")).otherwise(F.raise_error(F.lit("a record has fewer than nine fields"))).cast("int").alias("marker_idx"),
         get(0).alias("chrom"), get(1).cast("long").alias("pos"), get(2).alias("id"), get(3).alias("ref"), F.split(get(4), ",").alias("alt"),
-        F.when(get(5) == ".", 0.0).otherwise(get(5).try_cast("double")).alias("qual"), F.slice("f", FIXED + 1, F.greatest(F.size("f") - FIXED, F.lit(0))).alias("fields"),
+        F.when(get(5) == ".", 0.0).otherwise(get(5).try_cast("double")).alias("qual"), fields.alias("fields"),
     )
 
 
 def region(df: DataFrame, text: str) -> DataFrame:
-    """Rows of chrom or chrom:start-end, both ends included; all for an empty text. On Parquet the filter reaches the scan."""
-    if not text:
+    """Rows of chrom or chrom:start or chrom:start-end, both ends included; all for an empty text. On Parquet the filter reaches the scan."""
+    found = variants.region_of(text)
+    if found is None:
         return df
-    m = re.fullmatch(r"([^:]+)(?::([\d,]+)(?:-([\d,]+))?)?", text)
-    if not m:
-        raise ImputationError(f"no region {text!r}")
-    df = df.filter(F.col("chrom") == m[1])
-    number = lambda x: int(x.replace(",", ""))
-    if m[2]:
-        df = df.filter(F.col("pos") >= number(m[2]))
-    return df.filter(F.col("pos") <= number(m[3])) if m[3] else df
+    chrom, low, high = found
+    df = df.filter(F.col("chrom") == chrom)
+    if low > 0:
+        df = df.filter(F.col("pos") >= low)
+    return df.filter(F.col("pos") <= high) if high < variants.LAST else df
 
 
 def markers(rows: DataFrame, *more: str) -> DataFrame:
@@ -184,3 +241,10 @@ def write_vcf(rows: DataFrame, path: str, samples: list[str], contigs: list[str]
     head = spark.createDataFrame([(-len(x) + i, s) for x in [header_lines(samples, contigs)] for i, s in enumerate(x)], "marker_idx long, line string")
     both = head.unionByName(rows.select(F.col("marker_idx").cast("long").alias("marker_idx"), "line"))
     both.repartitionByRange("marker_idx").sortWithinPartitions("marker_idx").select(F.col("line").alias("value")).write.option("compression", compression).text(path)
+
+
+def save_vcf(rows: DataFrame, path: str, samples: list[str], contigs: list[str]) -> None:
+    """One blocked file in marker order with an index beside it: a BCF if the name says so, else a VCF. rows: marker_idx, line."""
+    variants.register(rows.sparkSession)
+    lines = rows.repartitionByRange("marker_idx").sortWithinPartitions("marker_idx").select("line")
+    lines.write.format(form_of(path)).option("header", "\n".join(header_lines(samples, contigs)) + "\n").mode("append").save(path)
