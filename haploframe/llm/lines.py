@@ -1,101 +1,96 @@
 """Line dedup: later copies of repeated line runs are deleted.
 
-The collection is a sequence of line ids for each document. Prefix doubling orders its suffixes by their first
-``depth`` lines: suffixes get the rank of their first h lines, then pairs of ranks h apart (or less, for the last
-step) are ranked again. The distinct pairs are ranked by a sort inside fixed ranges of their first member and by
-running totals over those ranges, so neither a frequent line nor the whole list meets in one task. Suffixes whose
-prefix of a depth is unique leave after each step: they can't begin a longer repeated run. Suffixes of equal rank at
-depth ``min_lines`` are the longest-common-prefix intervals of at least that depth; each but the earliest of an
-interval (smallest doc_id, then position) begins a later copy, and the maximal runs of lines under such copies go.
-
-With ``min_words`` shorter runs go as well, single lines included, if they hold that many words: runs of each length
-under ``min_lines`` are grouped by the hashes of their lines, and each but the earliest of a group is a later copy.
-
-Lines are what line feeds separate, compared whole and unchanged by two 64-bit hashes; blank lines count as lines. A
-null text has no lines and stays null; an empty text has one. Rows that repeat an id and its text are one document
-and get the same result; rows that share only an id are told apart by their text. Other columns pass through.
+The collection is a sequence of line ids for each document. Prefix doubling orders its suffixes by their first 1, 2, 4,
+… lines: suffixes get the rank of their first line, and from the ranks of h lines, pairs h or fewer apart give those of
+up to 2h lines. The distinct keys are ranked by a sort inside fixed ranges of their first member and by running totals
+over those ranges, so neither a frequent line nor the whole list meets in one task. Suffixes whose prefix of a depth is
+unique leave after each step: they can't begin a longer repeated run. Suffixes of equal rank at a depth are the
+longest-common-prefix intervals of at least that depth; each but the earliest of an interval (smallest doc_id, then
+position) begins a later copy.
+
+Later copies of ``min_lines`` lines go, and with ``min_words`` shorter ones too, single lines included, if they hold that
+many words. What goes is the union of such copies: the maximal runs of lines that are in one. Deeper ranks would delete
+no other line, so doubling ends there.
+
+All of this comes from one table of line ids, written once. Lines are what line feeds separate, compared whole and
+unchanged by two 64-bit hashes; blank lines count as lines. A null text has no lines and stays null; an empty text has
+one. Rows that repeat an id and its text are one document and get the same result; rows that share only an id are told
+apart by their text. Other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keep, word_count
+from .common import documents, keep
 
 MIN_LINES = 3
 #: Words of a shorter run that goes too, in the query and in stages of a corpus.
 MIN_WORDS = 8
-#: Suffixes in one range of ranks, as a power of two.
+#: Ranks in one range, as a power of two.
 RANGE_BITS = 16
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def first_pairs(docs: DataFrame) -> DataFrame:
-    """doc, uid, pos and the ids of the line there (a1, a2) and of the next one (b1, b2)."""
-    ids = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2")))
-    d = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("uid"), ids.alias("ids"))
-    pairs = F.zip_with("ids", F.expr("slice(ids, 2, size(ids))"), lambda a, b: F.struct(a["h1"].alias("a1"), a["h2"].alias("a2"), b["h1"].alias("b1"), b["h2"].alias("b2")))
-    return d.select("doc", "uid", F.posexplode(pairs).alias("pos", "p")).select("doc", "uid", "pos", "p.*").filter(F.col("b1").isNotNull())
+def line_ids(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc, uid, pos, the line's two hashes h1 and h2, and for each of sizes the words w<n> of so many lines from there on."""
+    d = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("uid"), "text")
+    if not d.groupBy("doc", "uid").count().filter("count > 1").isEmpty():
+        d = d.dropDuplicates(["doc", "uid"])
+    line = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), (F.regexp_count(x, F.lit(WORD)) if sizes else F.lit(0)).alias("w"))
+    d = d.select("doc", "uid", F.transform(F.split("text", "\n", -1), line).alias("ids"))
+    d = d.select("doc", "uid", F.arrays_zip(*(F.expr(f"slice(ids, {k + 1}, size(ids))").alias(f"l{k}") for k in range(max(sizes, default=1)))).alias("lines"))
+    # The outer form: Catalyst puts no filter on the size of the list below it, which would count all words again.
+    d = d.select("doc", "uid", F.posexplode_outer("lines").alias("pos", "at"))
+    words = lambda n: sum((F.coalesce(f"at.l{k}.w", F.lit(0)) for k in range(1, n)), F.col("at.l0.w")).alias(f"w{n}")
+    return d.select("doc", "uid", "pos", "at.l0.h1", "at.l0.h2", *(words(n) for n in sizes))
 
 
-def ranked(suffixes: DataFrame, key: list[str], part) -> DataFrame:
-    """Replaces the key of each suffix by its rank, the number of suffixes with smaller keys; suffixes with a key of their own leave."""
-    groups = keep(suffixes.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").withColumn("part", part), "line-keys")
+def ranked(suffixes: DataFrame, key: list[str], part: Column) -> DataFrame:
+    """Replaces the key of each suffix by its rank, the number of suffixes with smaller keys, and later, whether one with an equal key begins earlier; suffixes with a key of their own leave."""
+    here = F.struct("doc", "uid", "pos")
+    groups = keep(suffixes.groupBy(*key).agg(F.count("*").alias("n"), F.min(here).alias("first")).filter("n > 1").withColumn("part", part), "line-keys")
     order = Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = groups.groupBy("part").agg(F.sum("n").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    ranks = groups.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0))).join(parts, "part").select(*(F.col(c).alias(f"_{c}") for c in key), (F.col("base") + F.col("inside")).alias("new_rank"))
+    ranks = groups.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0))).join(parts, "part").select(*(F.col(c).alias(f"_{c}") for c in key), (F.col("base") + F.col("inside")).alias("new_rank"), "first")
     same = F.lit(True)
     for c in key:
         same &= F.col(c) == F.col(f"_{c}")
-    return suffixes.join(ranks, same).select("doc", "uid", "pos", F.col("new_rank").alias("rank"))
-
-
-def short_runs(docs: DataFrame, lines: int, min_words: int) -> DataFrame:
-    """doc, uid, pos and two hashes of each run of so many lines that holds min_words words."""
-    ids = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), (word_count(x) if min_words else F.lit(0).cast("long")).alias("w")))
-    d = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("uid"), ids.alias("ids"))
-    # The ids of the lines that follow, one list for each place in the run.
-    d = d.select("doc", "uid", F.arrays_zip(*(F.expr(f"slice(ids, {k + 1}, size(ids))").alias(f"l{k}") for k in range(lines))).alias("runs"))
-    # The outer form: Catalyst puts no filter on the size of the list below it, which would count all words again.
-    d = d.select("doc", "uid", F.posexplode_outer("runs").alias("pos", "run"))
-    at = [F.col(f"run.l{k}") for k in range(lines)]
-    d = d.filter(at[-1].isNotNull()).filter(sum((x["w"] for x in at[1:]), at[0]["w"]) >= min_words)
-    return d.select("doc", "uid", "pos", F.xxhash64(*(x["h1"] for x in at)).alias("r1"), F.xxhash64(*(x["h2"] for x in at)).alias("r2")).dropDuplicates(["doc", "uid", "pos"])
+    rest = [c for c in suffixes.columns if c not in (*key, "doc", "uid", "pos", "rank", "later")]
+    return suffixes.join(ranks, same).select("doc", "uid", "pos", *rest, F.col("new_rank").alias("rank"), (here > F.col("first")).alias("later"))
 
 
-def later_short_copies(docs: DataFrame, lines: int, min_words: int) -> DataFrame:
-    """doc, uid, pos of each such run that also begins earlier."""
-    runs = keep(short_runs(docs, lines, min_words), "short-runs")
-    here = F.struct("doc", "uid", "pos")
-    first = runs.groupBy(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).agg(F.count("*").alias("n"), F.min(here).alias("first")).filter("n > 1")
-    return runs.join(first, (F.col("r1") == F.col("_r1")) & (F.col("r2") == F.col("_r2"))).filter(here > F.col("first")).select("doc", "uid", "pos")
+def doubled(suffixes: DataFrame, step: int) -> DataFrame:
+    """The ranks of suffixes of some depth to those of a depth that is step greater."""
+    # The rank step lines on: suffixes that have left leave gaps, so positions are compared.
+    ahead = Window.partitionBy("doc", "uid").orderBy("pos").rangeBetween(step, step)
+    return ranked(suffixes.withColumn("next", F.first("rank").over(ahead)).filter(F.col("next").isNotNull()), ["rank", "next"], F.shiftright("rank", RANGE_BITS))
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc, uid, pos of each run of min_lines lines that also begins earlier."""
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """doc, uid, pos and end of each run of min_lines lines, or of fewer lines with min_words words, that also begins earlier."""
     if min_lines < 1:
         raise ValueError("a run has at least one line")
-    if min_lines == 1:
-        return later_short_copies(docs, 1, 0)
-    suffixes, depth = keep(ranked(first_pairs(docs).dropDuplicates(["doc", "uid", "pos"]), ["a1", "a2", "b1", "b2"], F.shiftrightunsigned("a1", 48)), "line-ranks"), 2
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        # The rank step lines on: suffixes that have left leave gaps, so positions are compared.
-        ahead = Window.partitionBy("doc", "uid").orderBy("pos").rangeBetween(step, step)
-        suffixes = suffixes.withColumn("next", F.first("rank").over(ahead)).filter(F.col("next").isNotNull())
-        suffixes, depth = keep(ranked(suffixes, ["rank", "next"], F.shiftright("rank", RANGE_BITS)), "line-ranks"), depth + step
-    # All but the earliest of each interval; they are told by their places, so that a frequent run doesn't meet in one task.
-    first = suffixes.groupBy("rank").agg(F.min(F.struct("doc", "uid", "pos")).alias("first")).select("first.*").toDF("_doc", "_uid", "_pos")
-    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("uid") == F.col("_uid")) & (F.col("pos") == F.col("_pos"))
-    return suffixes.join(first, same, "left_anti").select("doc", "uid", "pos")
+    short = list(range(1, min_lines)) if min_words is not None else []
+    lines = keep(line_ids(docs, short), "line-ids")
+    ranks = {1: keep(ranked(lines, ["h1", "h2"], F.shiftrightunsigned("h1", 48)), "line-ranks")}
+    powers = [1 << k for k in range(1, min_lines.bit_length()) if 1 << k < min_lines]
+    for depth in sorted({*powers, *short, min_lines} - {1}):
+        half = 1 << (depth - 1).bit_length() - 1
+        ranks[depth] = keep(doubled(ranks[half], depth - half), "line-ranks")
+    gone = [ranks[n].filter(F.col("later") & (F.col(f"w{n}") >= min_words)) for n in short] + [ranks[min_lines].filter("later")]
+    out = None
+    for n, found in zip([*short, min_lines], gone):
+        found = found.select("doc", "uid", "pos", (F.col("pos") + n).alias("end"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """doc, uid and the sorted maximal runs [from, to) of lines that go."""
-    c = later_copies(docs, min_lines).withColumn("end", F.col("pos") + min_lines)
-    for lines in range(1, min_lines) if min_words is not None else ():
-        c = c.union(later_short_copies(docs, lines, min_words).withColumn("end", F.col("pos") + lines))
+    c = later_copies(docs, min_lines, min_words)
     by = Window.partitionBy("doc", "uid").orderBy("pos", "end")
     c = c.withColumn("new", (F.col("pos") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
     c = c.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(by)).groupBy("doc", "uid", "run").agg(F.min("pos").alias("from"), F.max("end").alias("to"))
