@@ -115,6 +115,10 @@ class Imputer:
         if self.config.strict_markers:
             by = ["chrom", "pos", "ref", "alt"]
             same = target_markers.select(F.col("marker_idx").alias("_t"), *by).join(self.markers.select("marker_idx", *by), by)
+            if "calls" in gl.columns:
+                n = gl.agg(F.max(F.octet_length("calls"))).first()[0] or 0
+                known = gl.withColumnRenamed("marker_idx", "_t").join(same.select("_t", "marker_idx"), "_t").drop("_t")
+                return self.markers.select("marker_idx").join(known, "marker_idx", "left").withColumn("calls", F.coalesce("calls", F.lit(bytes([255] * n))))
             return hmm.complete(gl.withColumnRenamed("marker_idx", "_t").join(same.select("_t", "marker_idx"), "_t").drop("_t"), self.markers)
         found = target_markers.count()
         if found != self.size:
@@ -123,13 +127,13 @@ class Imputer:
 
     def posteriors(self, gl: DataFrame, states: DataFrame) -> DataFrame:
         c = self.config
-        return hmm.posteriors(gl, states, self.marks(), c.hmm, c.mode, c.window_size if 0 < c.window_size < self.size else 0)
+        return hmm.posteriors(gl, states, self.marks(), c.hmm, c.mode, c.window_size if 0 < c.window_size < self.size else 0, ("log_post",))
 
     def impute(self, gl: DataFrame, target_markers: DataFrame | None = None, samples: list[str] | None = None) -> ImputationResult:
-        """gl: sample_idx, marker_idx, ll_00, ll_01, ll_11 (log10), a row for each sample and marker. The recursion runs once, when a result is first asked for."""
+        """gl: sample_idx, marker_idx, ll_00, ll_01, ll_11 (log10), a row for each sample and marker, or wide targets (marker_idx, calls, see vcf.wide_targets). The recursion runs once, when a result is first asked for."""
         c = self.config
         states = self.states().persist()
-        post = self.posteriors(self.check(gl, target_markers), states).select("sample_idx", "marker_idx", "log_post")
+        post = self.posteriors(self.check(gl, target_markers), states)
         called = calls.argmax_calls(post, states) if c.deterministic else calls.sampled_calls(post, states, c.seed)
         if c.output_probabilities or c.output_dosages:
             post = post.persist()
@@ -162,7 +166,7 @@ def impute(spark: SparkSession, reference: str, target: str, out: str | None = N
     goal = vcf.records(spark, target, where=c.region)
     imputer = Imputer(panel, panel.drop("alleles"), c).build_index()
     names = vcf.read_header(spark, target).sample_names
-    result = imputer.impute(vcf.target_likelihoods(goal), vcf.markers(goal), names)
+    result = imputer.impute(vcf.wide_targets(goal), vcf.markers(goal), names)
     if out:
         result.write_vcf(out, compression, c.output_probabilities or c.output_dosages, c.output_dosages)
         s = time.time() - began

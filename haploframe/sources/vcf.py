@@ -187,6 +187,21 @@ def target_likelihoods(rows: DataFrame) -> DataFrame:
     return s.select("sample_idx", "marker_idx", *likelihood_columns(F.col("g")))
 
 
+def wide_targets(rows: DataFrame) -> DataFrame:
+    """marker_idx and calls, a byte for each sample: its two alleles as halves, 15 for one that is missing or not below 10; a call of one allele is missing."""
+    half = lambda a: F.when(a < 10, a.cast("string")).otherwise("F")
+
+    def pair(x: Column) -> Column:
+        gt = parse_gt(x)
+        return F.when(F.size(gt) > 1, F.concat(half(F.get(gt, F.lit(0))), half(F.get(gt, F.lit(1))))).otherwise("FF")
+
+    # Records of plain calls only are turned into hexadecimal digits as a whole, as in wide_panel.
+    joined = F.array_join("fields", "")
+    plain = (F.length(joined) == 3 * F.size("fields")) & (F.regexp_replace(joined, r"[0-9.][|/][0-9.]", "") == "")
+    digits = F.when(plain, F.translate(joined, ".|/", "F")).otherwise(F.array_join(F.transform("fields", pair), ""))
+    return rows.select("marker_idx", F.unhex(digits).alias("calls"))
+
+
 def save_panel(spark: SparkSession, alleles: DataFrame, marks: DataFrame, path: str) -> None:
     """A panel as Parquet, by marker."""
     alleles.repartitionByRange("marker_idx").sortWithinPartitions("marker_idx", "hap_idx").write.parquet(f"{path}/alleles")

@@ -87,7 +87,7 @@ def test_posteriors(spark, files, panel, rule, mode):
     im = Imputer(*panel, config).build_index()
     gl = vcf.target_likelihoods(vcf.records(spark, files[1]))
     states = im.states()
-    post = im.posteriors(gl, states).cache()
+    post = hmm.posteriors(gl, states, im.marks(), config.hmm, mode).cache()
     best = {(r.sample_idx, r.marker_idx): r.state for r in calls.argmax_calls(post, states).collect()}
     rows = hmm.unrolled(post)
     assert [best[0, m] for m in range(10)] == GOLDEN[rule, mode][0] and [best[1, m] for m in range(10)] == GOLDEN[rule, mode][1]
@@ -104,13 +104,15 @@ def test_posteriors(spark, files, panel, rule, mode):
 
 def test_uniform_forward_backward():
     e, t = np.full((1, 5, 2), np.log(0.5)), np.full((1, 5), np.log(0.5))
-    out = hmm.forward_backward(e, t, t, None)[3]
+    out = hmm.forward_backward(e, t, t, None)["log_post"]
     assert np.allclose(np.exp(out), 0.5)
 
 
 def test_documented_posteriors_sum_to_one(spark, files, panel):
     im = Imputer(*panel, ImputationConfig(HMMParameters(num_states=4), mode=DOCUMENTED, selector="first")).build_index()
-    post = hmm.unrolled(im.posteriors(vcf.target_likelihoods(vcf.records(spark, files[1])), im.states()))
+    post = hmm.posteriors(vcf.target_likelihoods(vcf.records(spark, files[1])), im.states(), im.marks(), im.config.hmm, DOCUMENTED)
+    assert "alpha" not in im.posteriors(vcf.target_likelihoods(vcf.records(spark, files[1])), im.states()).columns
+    post = hmm.unrolled(post)
     assert all(abs(r.s - 1) < 1e-9 for r in post.groupBy("sample_idx", "marker_idx").agg(F.sum(F.exp("log_post")).alias("s")).collect())
 
 
