@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import AS_IMPLEMENTED, MISSING, ImputationError
+from ..storage import shared_path
 
-#: Markers whose prefix orders one task makes from the order before them.
+#: Markers whose prefix orders one task makes from the order before them, and cells (markers x haplotypes) of that at most.
 BLOCK = 512
-NONE = np.zeros(0, np.int32)
+BLOCK_CELLS = 1 << 24
+#: Summaries of blocks that are combined to one.
+FAN = 16
+ORDERS = "chrom string, marker_idx int, order array<int>, divergence array<int>"
+SUMMARY = "chrom string, block int, n int, order binary, start binary"
+STATE = "chrom string, block int, before int, order binary, start binary"
 
 
 def with_keys(alleles: DataFrame) -> DataFrame:
@@ -46,73 +52,110 @@ def add_column(order: np.ndarray, start: np.ndarray, alleles: np.ndarray, m: int
     return regroup(order, start, (alleles != 0).astype(np.uint8), np.array([m + 1, m + 1]))
 
 
-def alleles_of(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(x.as_py(), np.uint8)
-
-
-def fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chrom, block, marker_idx, alleles) rows in order to (chrom, block, n, order, start): each block as if it began its chromosome."""
-    now, n, order, start = None, 0, NONE, NONE
-    pack = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int32()), pa.array([n], pa.int32()), pa.array([order.astype(np.int32).tobytes()]), pa.array([start.tobytes()])], ["chrom", "block", "n", "order", "start"])
-    for batch in batches:
-        for key, raw in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(3)):
-            a = alleles_of(raw)
-            if key != now:
-                if now:
-                    yield pack()
-                now, n, order, start = key, 0, np.arange(len(a)), np.zeros(len(a), np.int32)
-            order, start = add_column(order, start, a, n)
-            n += 1
-    if now:
-        yield pack()
-
-
-def carry_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What fold_blocks gave, by chromosome and block, to (chrom, block, before, order, start) as they are before each block. A block's haplotypes that were equal throughout it keep their order."""
-    chrom, order, start, before = None, NONE, NONE, 0
-    for batch in batches:
-        for name, block, n, o, s in zip(*(c.to_pylist() for c in batch.columns)):
-            o, s = np.frombuffer(o, np.int32), np.frombuffer(s, np.int32)
-            if name != chrom or not len(order):
-                chrom, order, start, before = name, np.arange(len(o), dtype=np.int32), np.zeros(len(o), np.int32), 0
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([block], pa.int32()), pa.array([before], pa.int32()), pa.array([order.astype(np.int32).tobytes()]), pa.array([start.tobytes()])], ["chrom", "block", "before", "order", "start"])
-            first = s > 0
-            first[0] = True
-            key, heads = np.empty(len(o), np.int32), before + s[first]
-            key[o] = np.cumsum(first) - 1
-            heads[0] = before + n
-            order, start = regroup(order, start, key, heads)
-            before += n
-
-
-def replay_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chrom, block, marker_idx, alleles, before, order, start) rows by block, the one with the order before it first, to (chrom, marker_idx, order, divergence)."""
-    m, order, start = 0, NONE, NONE
-    for batch in batches:
-        chroms, marks, orders, starts = [], [], [], []
-        for chrom, _, mark, raw, before, o, s in zip(*batch.columns):
-            if not mark.is_valid:
-                m, order, start = before.as_py(), np.frombuffer(o.as_py(), np.int32), np.frombuffer(s.as_py(), np.int32)
-                continue
-            order, start = add_column(order, start, alleles_of(raw), m)
-            m += 1
-            chroms.append(chrom.as_py()), marks.append(mark.as_py()), orders.append(order), starts.append(start)
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x).astype(np.int32) if x else NONE)) for x in (orders, starts)]
-        yield pa.RecordBatch.from_arrays([pa.array(chroms, pa.string()), pa.array(marks, pa.int32()), *lists], ["chrom", "marker_idx", "order", "divergence"])
-
-
-def fold_order(panel: DataFrame, block: int = BLOCK) -> DataFrame:
+def compose(order: np.ndarray, start: np.ndarray, before: int, o: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order, and where matches begin, before some markers, and the same of the n markers after them as if they were the first: those of both. Haplotypes that are equal throughout the later markers keep their order. This is associative."""
+    first = s > 0
+    first[0] = True
+    key, heads = np.empty(len(o), np.int32), before + s[first]
+    key[o] = np.cumsum(first) - 1
+    heads[0] = before + n
+    return regroup(order, start, key, heads)
+
+
+def ints(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.int32)
+
+
+def packed(*columns: tuple[str, list, pa.DataType]) -> pa.Table:
+    return pa.table({name: pa.array(values, kind) for name, values, kind in columns})
+
+
+def sorted_rows(table: pa.Table, by: str) -> list[dict]:
+    """A group's rows in order, the one without a place first."""
+    return sorted(table.to_pylist(), key=lambda r: -1 if r[by] is None else r[by])
+
+
+def fold_block(table: pa.Table) -> pa.Table:
+    """A block's (chrom, block, marker_idx, alleles) rows to its summary: its last order, as if it began its chromosome."""
+    rows = sorted_rows(table, "marker_idx")
+    haps = len(rows[0]["alleles"])
+    order, start = np.arange(haps, dtype=np.int32), np.zeros(haps, np.int32)
+    for m, r in enumerate(rows):
+        order, start = add_column(order, start, np.frombuffer(r["alleles"], np.uint8), m)
+    return packed(("chrom", [rows[0]["chrom"]], pa.string()), ("block", [rows[0]["block"]], pa.int32()), ("n", [len(rows)], pa.int32()), ("order", [order.astype(np.int32).tobytes()], pa.binary()), ("start", [start.tobytes()], pa.binary()))
+
+
+def combined(table: pa.Table) -> pa.Table:
+    """Neighbouring summaries to one."""
+    rows = sorted_rows(table, "block")
+    order, start, n = ints(rows[0]["order"]), ints(rows[0]["start"]), rows[0]["n"]
+    for r in rows[1:]:
+        order, start = compose(order, start, n, ints(r["order"]), ints(r["start"]), r["n"])
+        n += r["n"]
+    return packed(("chrom", [rows[0]["chrom"]], pa.string()), ("block", [rows[0]["parent"]], pa.int32()), ("n", [n], pa.int32()), ("order", [order.astype(np.int32).tobytes()], pa.binary()), ("start", [start.tobytes()], pa.binary()))
+
+
+def carried(table: pa.Table) -> pa.Table:
+    """Summaries of neighbours, and the state before the first of them (a row without n; the chromosome's begin if there is none), to the state before each."""
+    rows = sorted_rows(table, "n_block")
+    given = rows[0] if rows[0]["n"] is None else None
+    rows = rows[1:] if given else rows
+    order, start, before = (ints(given["order"]), ints(given["start"]), given["before"]) if given else (np.arange(len(ints(rows[0]["order"])), dtype=np.int32), np.zeros(len(ints(rows[0]["order"])), np.int32), 0)
+    out = []
+    for r in rows:
+        out.append((r["block"], before, order.astype(np.int32).tobytes(), start.tobytes()))
+        order, start = compose(order, start, before, ints(r["order"]), ints(r["start"]), r["n"])
+        before += r["n"]
+    blocks, befores, orders, starts = map(list, zip(*out)) if out else ([], [], [], [])
+    return packed(("chrom", [r["chrom"] for r in rows], pa.string()), ("block", blocks, pa.int32()), ("before", befores, pa.int32()), ("order", orders, pa.binary()), ("start", starts, pa.binary()))
+
+
+def replayed(table: pa.Table) -> pa.Table:
+    """A block's rows and the state before it (a row without marker_idx) to the order at each of its markers."""
+    state, *rows = sorted_rows(table, "marker_idx")
+    order, start, orders, starts = ints(state["order"]), ints(state["start"]), [], []
+    for m, r in enumerate(rows, state["before"]):
+        order, start = add_column(order, start, np.frombuffer(r["alleles"], np.uint8), m)
+        orders.append(order), starts.append(start)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(order), pa.int32()), pa.array(np.concatenate(x).astype(np.int32))) for x in (orders, starts)]
+    return pa.table({"chrom": pa.array([r["chrom"] for r in rows], pa.string()), "marker_idx": pa.array([r["marker_idx"] for r in rows], pa.int32()), "order": lists[0], "divergence": lists[1]})
+
+
+def states_before(own: DataFrame, blocks: int, fan: int) -> DataFrame:
+    """STATE rows of SUMMARY rows: a tree of summaries, fan to one, up; then the states down to its leaves."""
+    leaves = own.withColumn("parent", F.expr(f"block div {fan}").cast("int"))
+    down = leaves.select("chrom", "parent", "block", "n", F.lit(None).cast("int").alias("before"), "order", "start", F.col("block").alias("n_block"))
+    if blocks > fan:
+        spark = own.sparkSession
+        path = shared_path(spark, "summaries")
+        leaves.groupBy("chrom", "parent").applyInArrow(combined, SUMMARY).write.parquet(path)
+        above = states_before(spark.read.schema(SUMMARY).parquet(path), -(-blocks // fan), fan)
+        none = F.lit(None).cast("int")
+        down = down.unionByName(above.select("chrom", F.col("block").alias("parent"), none.alias("block"), none.alias("n"), "before", "order", "start", none.alias("n_block")))
+    return down.groupBy("chrom", "parent").applyInArrow(carried, STATE)
+
+
+def fold_order(panel: DataFrame, block: int | None = None, fan: int = FAN) -> DataFrame:
     """chrom, marker_idx, order, divergence of a wide panel (chrom, marker_idx, alleles binary).
 
-    Blocks of markers are folded on their own; their summaries, two numbers a haplotype and block, are combined in one
-    stream per chromosome; then each block is folded again from the order that stands before it.
+    Blocks of markers are folded on their own to summaries, two numbers a haplotype and block. Summaries are combined in
+    a tree, fan of them at a time, and the order before each block comes down the tree; then each block is folded again
+    from there. No task has more than a block's cells or fan summaries. block: markers, by default as many as bound the
+    cells.
     """
+    last, haps = panel.agg(F.max("marker_idx"), F.max(F.octet_length("alleles"))).first()
+    if not haps:
+        return panel.sparkSession.createDataFrame([], ORDERS)
+    block = block or max(1, min(BLOCK, BLOCK_CELLS // haps))
     rows = panel.select("chrom", F.expr(f"cast(marker_idx div {block} as int)").alias("block"), F.col("marker_idx").cast("int").alias("marker_idx"), "alleles")
-    own = rows.repartition("chrom", "block").sortWithinPartitions("chrom", "block", "marker_idx").mapInArrow(fold_blocks, "chrom string, block int, n int, order binary, start binary")
-    state = own.repartition("chrom").sortWithinPartitions("chrom", "block").mapInArrow(carry_blocks, "chrom string, block int, before int, order binary, start binary")
-    both = rows.unionByName(state, allowMissingColumns=True).select("chrom", "block", "marker_idx", "alleles", "before", "order", "start")
-    both = both.repartition("chrom", "block").sortWithinPartitions("chrom", "block", F.col("marker_idx").asc_nulls_first())
-    return both.mapInArrow(replay_blocks, "chrom string, marker_idx int, order array<int>, divergence array<int>")
+    blocks = last // block + 1
+    own = rows.groupBy("chrom", "block").applyInArrow(fold_block, SUMMARY)
+    if blocks > fan:
+        path = shared_path(panel.sparkSession, "summaries")
+        own.write.parquet(path)
+        own = panel.sparkSession.read.schema(SUMMARY).parquet(path)
+    both = rows.unionByName(states_before(own, blocks, fan), allowMissingColumns=True)
+    return both.groupBy("chrom", "block").applyInArrow(replayed, ORDERS)
 
 
 def wide(alleles: DataFrame, marks: DataFrame) -> DataFrame:
@@ -128,7 +171,7 @@ def save_index(index: DataFrame, path: str) -> None:
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("chrom string, marker_idx int, order array<int>, divergence array<int>").parquet(path)
+    return spark.read.schema(ORDERS).parquet(path)
 
 
 def choose(index: DataFrame, states: int, n: int, selector: str = "auto") -> DataFrame:
