@@ -30,7 +30,7 @@ LN10 = float(np.log(10.0))
 #: Cells (markers x states) of all samples that are worked on at once.
 CELLS = 1 << 19
 #: Samples of a block of wide targets.
-BLOCK = 128
+BLOCK = 32
 ALL = ("alpha", "scale", "beta", "log_post")
 
 
@@ -398,6 +398,9 @@ def posteriors(gl: DataFrame, states: DataFrame, marks: DataFrame, p: HMMParamet
         cut = gl.join(model, "marker_idx").withColumn("sample_idx", F.col("sample_idx").cast("int"))
         fields = list(CELL)
         cell = F.struct(F.col("marker_idx").cast("int").alias("m"), *(F.col(c).cast("double").alias(c) for c in CELL[1:4]), "g", "log_stay", "log_switch")
+    # A stated number of partitions: the rows are small, but each is much work, so adaptive execution must not join them.
+    n = int(gl.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.repartition(n, "seq", "window", "sample_idx")
     rows = cut.groupBy("seq", "window", "sample_idx").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     out = "sample_idx int, marker_idx int" + "".join(f", {c} {COLUMNS[c]}" for c in wanted)
     if not window:

@@ -162,11 +162,11 @@ def impute(spark: SparkSession, reference: str, target: str, out: str | None = N
     """Panel and targets from VCF or BCF files, results to out if it is given: one indexed file for a name that ends in .vcf.gz or .bcf, else a folder of text parts."""
     c = config or ImputationConfig()
     began = time.time()
-    panel = vcf.wide_panel(vcf.records(spark, reference, where=c.region)).persist()
-    goal = vcf.records(spark, target, where=c.region)
+    panel = vcf.panel_rows(spark, reference, c.region).persist()
+    goal = vcf.target_rows(spark, target, c.region).persist()
     imputer = Imputer(panel, panel.drop("alleles"), c).build_index()
     names = vcf.read_header(spark, target).sample_names
-    result = imputer.impute(vcf.wide_targets(goal), vcf.markers(goal), names)
+    result = imputer.impute(goal.select("marker_idx", "calls"), goal.drop("calls"), names)
     if out:
         result.write_vcf(out, compression, c.output_probabilities or c.output_dosages, c.output_dosages)
         s = time.time() - began

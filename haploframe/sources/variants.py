@@ -11,7 +11,7 @@ Writing: each task writes its rows, in order, as blocks to a file of its own bel
 them; the commit lays them behind one header, adds the block that ends a file, and puts the joined index beside it.
 
 Options: path; region; split (bytes of a partition); strict (a record of under nine fields is an error, else left out);
-counts; filters. Files must be reachable from the tasks by pyarrow.
+counts; filters; wide. Files must be reachable from the tasks by pyarrow.
 """
 
 from __future__ import annotations
@@ -37,6 +37,12 @@ SPLIT = 32 << 20
 BATCH = 1 << 20
 ROWS = "part int, row long, chrom string, pos long, id string, ref string, alt array<string>, qual double, fields array<string>"
 COUNTS = "part int, n long"
+#: With option wide the samples' fields come as bytes: "panel" an allele each (255 for a missing one; a call of one allele stands for both), "targets" a call each (see wide_cells).
+WIDE = ROWS.replace("fields array<string>", "cells binary")
+MISSING, ALONE = 255, 254
+IS_ALLELE, ALLELE = np.zeros(256, bool), np.full(256, MISSING, np.uint8)
+IS_ALLELE[[*b"0123456789."]] = True
+ALLELE[[*b"0123456789"]] = range(10)
 REGION = re.compile(r"([^:]+)(?::([\d,]+)(?:-([\d,]+))?)?")
 #: No position is beyond this.
 LAST = 1 << 40
@@ -144,6 +150,61 @@ def fields_of(rows: pa.ListArray, samples: int) -> pa.ListArray:
     return lists(pc.fill_null(flat.take(pa.array(take.ravel(), mask=(place >= sizes[:, None]).ravel())), "."), np.full(len(rows), samples))
 
 
+def alleles_in(text: str) -> tuple[int, int]:
+    """The two alleles of a sample's field; ALONE for the second one of a call of one allele."""
+    parts = re.split(r"[|/]", text.split(":", 1)[0], maxsplit=1)
+    found = [min(int(m[0]), MISSING) if (m := re.match(r"\d+", x)) else MISSING for x in parts]
+    return found[0], found[1] if len(found) > 1 else ALONE
+
+
+def pairs_of_line(tail: bytes, samples: int) -> np.ndarray | None:
+    """samples x 2 alleles where each field is a call of two digits or dots; None for other lines."""
+    if len(tail) != 4 * samples - 1:
+        return None
+    x = np.frombuffer(tail + b"\t", np.uint8).reshape(samples, 4)
+    plain = IS_ALLELE[x[:, 0]].all() and IS_ALLELE[x[:, 2]].all() and ((x[:, 1] == 124) | (x[:, 1] == 47)).all() and (x[:, 3] == 9).all()
+    return ALLELE[x[:, ::2]] if plain else None
+
+
+def pairs_of_texts(cells: pa.Array) -> np.ndarray:
+    """The same of any texts; each distinct one is looked at once."""
+    d = cells.dictionary_encode()
+    known = np.array([alleles_in(x) for x in d.dictionary.to_pylist()], np.uint8).reshape(-1, 2)
+    return known[d.indices.to_numpy()]
+
+
+def wide_cells(pairs: np.ndarray, wide: str) -> bytes:
+    """The alleles of a panel's record, or of targets a byte for each call: its alleles as halves, 15 for one that is missing or not below 10; a call of one allele is missing."""
+    a, b = pairs[:, 0], pairs[:, 1]
+    if wide == "panel":
+        return np.stack((a, np.where(b == ALONE, a, b)), 1).tobytes()
+    half = lambda x: np.where(x < 10, x, 15).astype(np.uint8)
+    return np.where(b == ALONE, 255, half(a) << 4 | half(b)).astype(np.uint8).tobytes()
+
+
+def wide_batches(source: bgzf.Source, part: Part, samples: int, strict: bool, wide: str) -> Iterator[pa.RecordBatch]:
+    """chrom to qual and cells of the records of a text."""
+    for some in lines_of(source, part):
+        fixed, cells = [], []
+        for line in some.split(b"\n"):
+            line = line.removesuffix(b"\r").rstrip(b" ")
+            if not line or line[:1] == b"#":
+                continue
+            parts = line.split(b"\t", FIXED)
+            if len(parts) < FIXED:
+                if strict:
+                    raise ImputationError(f"a record of {part.path} has fewer than nine fields: {line[:80].decode()}")
+                continue
+            tail = parts[FIXED] if len(parts) > FIXED else b""
+            pairs = pairs_of_line(tail, samples) if samples else None
+            if pairs is None:
+                texts = tail.decode().split("\t") if tail else []
+                pairs = pairs_of_texts(pa.array((texts + ["."] * samples)[: samples or len(texts)], pa.string()))
+            fixed.append([x.decode() for x in parts[:6]]), cells.append(wide_cells(pairs, wide))
+        if fixed:
+            yield columns([pa.array(c, pa.string()) for c in zip(*fixed)], pa.array(cells, pa.binary()), "cells")
+
+
 def lists(flat: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
 
@@ -155,13 +216,13 @@ def number(text: str) -> float | None:
         return None
 
 
-def columns(fixed: list, fields: pa.ListArray) -> pa.RecordBatch:
-    """chrom, pos, id, ref, alt, qual and fields from the texts of the columns."""
+def columns(fixed: list, fields: pa.Array, last: str = "fields") -> pa.RecordBatch:
+    """chrom, pos, id, ref, alt, qual and fields (or cells) from the texts of the columns."""
     chrom, pos, name, ref, alt, qual = fixed
-    return pa.RecordBatch.from_arrays([chrom, pc.cast(pos, pa.int64()), name, ref, pc.split_pattern(alt, ","), pa.array([number(x) for x in qual.to_pylist()], pa.float64()), fields], ["chrom", "pos", "id", "ref", "alt", "qual", "fields"])
+    return pa.RecordBatch.from_arrays([chrom, pc.cast(pos, pa.int64()), name, ref, pc.split_pattern(alt, ","), pa.array([number(x) for x in qual.to_pylist()], pa.float64()), fields], ["chrom", "pos", "id", "ref", "alt", "qual", last])
 
 
-def bcf_batches(source: bgzf.Source, part: Part, header: bcf.Header) -> Iterator[pa.RecordBatch]:
+def bcf_batches(source: bgzf.Source, part: Part, header: bcf.Header, wide: str) -> Iterator[pa.RecordBatch]:
     """chrom to fields of the records that begin in a partition."""
     if part.exact:
         data = between(source, part.begin, part.end)
@@ -180,13 +241,15 @@ def bcf_batches(source: bgzf.Source, part: Part, header: bcf.Header) -> Iterator
         fixed.append(texts), cells.append(own)
         n += len(own)
         if n >= BATCH >> 3:
-            yield bcf_batch(fixed, cells)
+            yield bcf_batch(fixed, cells, wide)
             fixed, cells, n = [], [], 0
     if fixed:
-        yield bcf_batch(fixed, cells)
+        yield bcf_batch(fixed, cells, wide)
 
 
-def bcf_batch(fixed: list, cells: list) -> pa.RecordBatch:
+def bcf_batch(fixed: list, cells: list, wide: str) -> pa.RecordBatch:
+    if wide:
+        return columns([pa.array(c, pa.string()) for c in zip(*fixed)], pa.array([wide_cells(pairs_of_texts(c), wide) for c in cells], pa.binary()), "cells")
     return columns([pa.array(c, pa.string()) for c in zip(*fixed)], lists(pa.concat_arrays(cells), np.array([len(c) for c in cells])))
 
 
@@ -194,7 +257,7 @@ class VariantReader(DataSourceReader):
     def __init__(self, options: dict, form: str):
         self.path, self.form, self.split = options["path"], form, int(options.get("split", SPLIT))
         self.strict, self.counts = (options.get(k, d).lower() == "true" for k, d in (("strict", "true"), ("counts", "false")))
-        self.region = region_of(options.get("region", ""))
+        self.region, self.wide = region_of(options.get("region", "")), options.get("wide", "")
         self.system, _ = bgzf.file_system(self.path)
         self.files = bgzf.files_of(self.path)
         if not self.files:
@@ -231,7 +294,11 @@ class VariantReader(DataSourceReader):
         if part.kind == "none":
             return
         source = bgzf.Source(self.system, part.path)
-        found = bcf_batches(source, part, self.header) if self.form == "bcf" else text_batches(source, part, len(self.header.samples), self.strict)
+        samples = len(self.header.samples)
+        if self.form == "bcf":
+            found = bcf_batches(source, part, self.header, self.wide)
+        else:
+            found = wide_batches(source, part, samples, self.strict, self.wide) if self.wide else text_batches(source, part, samples, self.strict)
         for b in found:
             if self.region:
                 name, low, high = self.region
@@ -239,14 +306,21 @@ class VariantReader(DataSourceReader):
             if len(b):
                 yield b
 
+    def count(self, part: Part) -> int:
+        """Records of a partition; lines of text aren't parsed for it."""
+        if self.form == "bcf" or self.region or not self.strict or part.kind == "none":
+            return sum(map(len, self.batches(part)))
+        own = (x for some in lines_of(bgzf.Source(self.system, part.path), part) for x in some.split(b"\n"))
+        return sum(1 for x in own if x.rstrip(b"\r ") and x[:1] != b"#")
+
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         n = 0
+        if self.counts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.number], pa.int32()), pa.array([self.count(part)])], ["part", "n"])
+            return
         for b in self.batches(part):
-            if not self.counts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), part.number, np.int32)), pa.array(np.arange(n, n + len(b))), *b.columns], ["part", "row", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), part.number, np.int32)), pa.array(np.arange(n, n + len(b))), *b.columns], ["part", "row", *b.schema.names])
             n += len(b)
-        if self.counts:
-            yield pa.RecordBatch.from_arrays([pa.array([part.number], pa.int32()), pa.array([n])], ["part", "n"])
 
 
 class FilteredReader(VariantReader):
@@ -354,7 +428,7 @@ class VcfSource(DataSource):
         return cls.FORM
 
     def schema(self) -> str:
-        return COUNTS if self.options.get("counts", "false").lower() == "true" else ROWS
+        return COUNTS if self.options.get("counts", "false").lower() == "true" else WIDE if self.options.get("wide") else ROWS
 
     def reader(self, schema) -> VariantReader:
         return (FilteredReader if self.options.get("filters", "false").lower() == "true" else VariantReader)(dict(self.options), self.FORM)

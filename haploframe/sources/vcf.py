@@ -105,12 +105,27 @@ def text_records(spark: SparkSession, path: str, strict: bool = True, where: str
     return parse_fields(numbered(in_region(rows, where)), samples)
 
 
-def records(spark: SparkSession, path: str, strict: bool = True, where: str = "", split: int = variants.SPLIT) -> DataFrame:
-    """marker_idx, chrom, pos, id, ref, alt (array), qual and fields, the samples' texts, of the records in a region (see region), all without one. strict: a line with fewer than nine fields is an error, else it is left out. split: bytes of a file that a task reads."""
+def panel_rows(spark: SparkSession, path: str, where: str = "", split: int = variants.SPLIT) -> DataFrame:
+    """The wide panel (see wide_panel) of a file."""
+    if not bgzf.reachable(path):
+        return wide_panel(text_records(spark, path, where=where))
+    return markers(records(spark, path, where=where, split=split, wide="panel").withColumnRenamed("cells", "alleles"), "alleles")
+
+
+def target_rows(spark: SparkSession, path: str, where: str = "", split: int = variants.SPLIT) -> DataFrame:
+    """The columns of markers and calls (see wide_targets) of a file."""
+    if not bgzf.reachable(path):
+        rows = text_records(spark, path, where=where)
+        return markers(rows.withColumn("calls", call_bytes("fields")), "calls")
+    return markers(records(spark, path, where=where, split=split, wide="targets").withColumnRenamed("cells", "calls"), "calls")
+
+
+def records(spark: SparkSession, path: str, strict: bool = True, where: str = "", split: int = variants.SPLIT, wide: str = "") -> DataFrame:
+    """marker_idx, chrom, pos, id, ref, alt (array), qual and fields, the samples' texts, of the records in a region (see region), all without one. strict: a line with fewer than nine fields is an error, else it is left out. split: bytes of a file that a task reads. wide: cells as bytes in place of fields, see variants.WIDE."""
     if not bgzf.reachable(path):
         return text_records(spark, path, strict, where)
     variants.register(spark)
-    options = {"path": path, "strict": str(strict).lower(), "region": where, "split": str(split)}
+    options = {"path": path, "strict": str(strict).lower(), "region": where, "split": str(split), "wide": wide}
     parts = len(variants.VariantReader(options, form_of(path)).partitions())
     source = spark.read.format(form_of(path)).options(**options)
     rows = source.load()
@@ -123,7 +138,7 @@ def records(spark: SparkSession, path: str, strict: bool = True, where: str = ""
             before.append(before[-1] + counts.get(k, 0))
         first = spark.createDataFrame(list(enumerate(before)), "part int, before long")
         rows, numbers = rows.join(F.broadcast(first), "part"), F.col("before") + F.col("row")
-    return rows.select(numbers.cast("int").alias("marker_idx"), "chrom", "pos", "id", "ref", "alt", "qual", "fields")
+    return rows.select(numbers.cast("int").alias("marker_idx"), "chrom", "pos", "id", "ref", "alt", "qual", "cells" if wide else "fields")
 
 
 def parse_fields(rows: DataFrame, samples: int | None = None) -> DataFrame:
@@ -187,8 +202,8 @@ def target_likelihoods(rows: DataFrame) -> DataFrame:
     return s.select("sample_idx", "marker_idx", *likelihood_columns(F.col("g")))
 
 
-def wide_targets(rows: DataFrame) -> DataFrame:
-    """marker_idx and calls, a byte for each sample: its two alleles as halves, 15 for one that is missing or not below 10; a call of one allele is missing."""
+def call_bytes(fields: str) -> Column:
+    """A byte for each sample: its call's two alleles as halves, 15 for one that is missing or not below 10; a call of one allele is missing."""
     half = lambda a: F.when(a < 10, a.cast("string")).otherwise("F")
 
     def pair(x: Column) -> Column:
@@ -196,10 +211,14 @@ def wide_targets(rows: DataFrame) -> DataFrame:
         return F.when(F.size(gt) > 1, F.concat(half(F.get(gt, F.lit(0))), half(F.get(gt, F.lit(1))))).otherwise("FF")
 
     # Records of plain calls only are turned into hexadecimal digits as a whole, as in wide_panel.
-    joined = F.array_join("fields", "")
-    plain = (F.length(joined) == 3 * F.size("fields")) & (F.regexp_replace(joined, r"[0-9.][|/][0-9.]", "") == "")
-    digits = F.when(plain, F.translate(joined, ".|/", "F")).otherwise(F.array_join(F.transform("fields", pair), ""))
-    return rows.select("marker_idx", F.unhex(digits).alias("calls"))
+    joined = F.array_join(fields, "")
+    plain = (F.length(joined) == 3 * F.size(fields)) & (F.regexp_replace(joined, r"[0-9.][|/][0-9.]", "") == "")
+    return F.unhex(F.when(plain, F.translate(joined, ".|/", "F")).otherwise(F.array_join(F.transform(fields, pair), "")))
+
+
+def wide_targets(rows: DataFrame) -> DataFrame:
+    """marker_idx and calls, see call_bytes."""
+    return rows.select("marker_idx", call_bytes("fields").alias("calls"))
 
 
 def save_panel(spark: SparkSession, alleles: DataFrame, marks: DataFrame, path: str) -> None:

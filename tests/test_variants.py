@@ -243,3 +243,19 @@ def test_wrong_files(spark, tmp_path):
     with pytest.raises(Exception, match="nine fields"):
         vcf.records(spark, str(tmp_path / "s.vcf")).count()
     assert vcf.records(spark, str(tmp_path / "s.vcf"), strict=False).count() == 0
+
+
+@pytest.mark.parametrize("name", ["p.vcf", "b.vcf.gz", "b.bcf"])
+def test_wide_rows_are_those_of_the_fields(spark, files, name):
+    d, _ = files
+    rows = vcf.text_records(spark, str(d / "p.vcf")).cache()
+    order = lambda df: [tuple(r) for r in df.orderBy("marker_idx").collect()]
+    assert order(vcf.panel_rows(spark, str(d / name), split=9_997)) == order(vcf.wide_panel(rows))
+    assert order(vcf.target_rows(spark, str(d / name), split=9_997).select("marker_idx", "calls")) == order(vcf.wide_targets(rows))
+    assert vcf.target_rows(spark, str(d / name)).columns == [*vcf.markers(rows).columns, "calls"]
+
+
+def test_plain_lines_are_read_as_a_whole():
+    assert variants.pairs_of_line(b"0|1\t./1\t2/9", 3).tolist() == [[0, 1], [255, 1], [2, 9]]
+    assert all(variants.pairs_of_line(x, 2) is None for x in (b"0|1\t1", b"0|1\t1:9", b"0|1 1|1", b"0|1\tx|1", b"0-1\t1|1"))
+    assert [variants.alleles_in(x) for x in ("1", ".", "0/2:7", "12|3", "0/1/2", "./.", "")] == [(1, 254), (255, 254), (0, 2), (12, 3), (0, 1), (255, 255), (255, 254)]
