@@ -400,15 +400,16 @@ def posteriors(gl: DataFrame, states: DataFrame, marks: DataFrame, p: HMMParamet
         cell = F.struct(F.col("marker_idx").cast("int").alias("m"), *(F.col(c).cast("double").alias(c) for c in CELL[1:4]), "g", "log_stay", "log_switch")
     # A stated number of partitions: the rows are small, but each is much work, so adaptive execution must not join them.
     n = int(gl.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.repartition(n, "seq", "window", "sample_idx")
+    # Keys that are one value for all rows would be taken out of the grouping, and the rows dealt again.
+    cut = cut.repartition(n, *(["seq"] if mode != AS_IMPLEMENTED else []), *(["window"] if window else []), "sample_idx")
     rows = cut.groupBy("seq", "window", "sample_idx").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     out = "sample_idx int, marker_idx int" + "".join(f", {c} {COLUMNS[c]}" for c in wanted)
     if not window:
         return rows.select("sample_idx", "cells").mapInArrow(at_once(mode, wanted), out)
     cells = "array<struct<" + ",".join(f"{c}:{TYPES[c]}" for c in fields) + ">>"
     if mode == AS_IMPLEMENTED:
-        gone = rows.repartition("sample_idx").sortWithinPartitions("seq", "window", "sample_idx").mapInArrow(forward_pass(mode), f"seq string, window int, sample_idx int, cells {cells}, before array<double>")
-        return gone.repartition("sample_idx").sortWithinPartitions("seq", F.desc("window"), "sample_idx").mapInArrow(backward_pass(mode, wanted), out)
+        gone = rows.repartition(n, "sample_idx").sortWithinPartitions("seq", "window", "sample_idx").mapInArrow(forward_pass(mode), f"seq string, window int, sample_idx int, cells {cells}, before array<double>")
+        return gone.repartition(n, "sample_idx").sortWithinPartitions("seq", F.desc("window"), "sample_idx").mapInArrow(backward_pass(mode, wanted), out)
     products = rows.mapInArrow(reduced, "seq string, window int, sample_idx int, product array<double>")
     each = products.groupBy("seq", "sample_idx").agg(F.array_sort(F.collect_list(F.struct("window", "product"))).alias("windows"))
     known = each.mapInArrow(edges(p.num_states), "seq string, window int, sample_idx int, before array<double>, after array<double>")
