@@ -3,8 +3,9 @@
 A character language model (trigrams of 64 character classes) is counted over all documents. Tokens that look
 obfuscated (digits or signs for letters, letters repeated three times or more, three or more single letters in a row
 with one or two blanks, dots, dashes or the like between them, also inside a token) become
-lattices: a sign may stand for itself, for the letters it resembles, or for nothing; a repeated letter for itself or
-for nothing; gaps between single letters for nothing. Viterbi decoding finds the most likely letters under the model
+lattices: a sign may stand for the letters it resembles, and at a higher price for nothing or itself; a letter repeated
+three times or more for itself or for nothing, while doubles stay; gaps between single letters for nothing. Words with
+a plain number behind them, signs that resemble no letter and marks at a token's ends are left as they are. Viterbi decoding finds the most likely letters under the model
 and the costs of the channel, and the restored token takes the place of the written one.
 
 The classifier counts in how many toxic and other training documents each word and each run of five bytes of a word
@@ -38,8 +39,10 @@ GRAM = 5
 PRIOR = 4.0
 #: Letters that signs and digits may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "%": "", "&": "", ".": "", "-": "", "_": "", "~": "", "^": "a"}
-#: Prices in the channel, as negative log-probabilities: a sign stands for a letter, for nothing, for itself; a filler or a repeated letter stands for nothing.
-COST_SWAP, COST_SKIP, COST_KEEP, COST_FILLER, COST_REPEAT = 1.0, 5.0, 6.0, 0.7, 0.7
+#: Two signs that stand for one letter.
+TWO_SIGNS = {"|)": "d", "|<": "k", "|3": "b", "|2": "r", "()": "o"}
+#: Prices in the channel, as negative log-probabilities: a sign stands for a letter it resembles, for nothing, for itself; a filler or a letter repeated three times or more stands for nothing. A sign that resembles no letter is itself.
+COST_SWAP, COST_SKIP, COST_KEEP, COST_FILLER, COST_REPEAT = 1.0, 20.0, 22.0, 0.7, 0.7
 FILLERS = frozenset(".-_~%&*#")
 #: What may stand between the letters of a spelled-out word of three letters or more, once or twice.
 GAPS = " .-_*~%&"
@@ -82,37 +85,61 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(counts / counts.sum(2, keepdims=True)).astype(np.float32)
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The most likely letters behind an obfuscated token: Viterbi over (last two classes) states, each with its cost and a chain of what was put."""
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    before = ""
-    for ch in token:
-        edges: list[tuple[str, float]] = []
+def edges_of(token: str) -> list[list[tuple[int, str, float]]]:
+    """For each place of a token what may stand there: signs taken, letters put, price."""
+    out = []
+    for i, ch in enumerate(token):
         if ch.isalpha():
-            edges.append((ch, 0.0))
-            if ch == before:
-                edges.append(("", COST_REPEAT))
+            edges = [(1, ch, 0.0)]
+            # Doubles are letters; of three or more any but the first may go.
+            if i and token[i - 1] == ch and (token[i - 2 : i - 1] == ch or token[i + 1 : i + 2] == ch):
+                edges.append((1, "", COST_REPEAT))
+        elif ch == " ":
+            edges = [(1, "", 0.2)]
         else:
-            edges += [(x, COST_SWAP) for x in LOOKALIKES.get(ch, "")]
-            edges += [("", 0.2 if ch == " " else COST_FILLER if ch in FILLERS else COST_SKIP), *([(ch, COST_KEEP)] if ch != " " else [])]
-        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            letters = LOOKALIKES.get(ch, "")
+            edges = [(1, x, COST_SWAP) for x in letters]
+            edges.append((1, ch, COST_KEEP if letters or ch in FILLERS else 0.0))
+            if letters or ch in FILLERS:
+                # At an end a sign that resembles a letter is one; inside it may as well fill a gap.
+                edges.append((1, "", COST_FILLER if ch in FILLERS and (not letters or 0 < i < len(token) - 1) else COST_SKIP))
+            if put := TWO_SIGNS.get(token[i : i + 2]):
+                edges.append((2, put, COST_SWAP))
+        out.append(edges)
+    return out
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The most likely letters behind an obfuscated token: Viterbi over (last two classes) states, each with its cost and a chain of what was put."""
+    ahead: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{(0, 0): (0.0, None)}, {}, {}]
+    for edges in edges_of(token):
+        states = ahead[0]
         for (a, b), (cost, out) in states.items():
-            for put, price in edges:
+            for taken, put, price in edges:
                 x, y, c = a, b, cost + price
                 for byte in put.encode():
                     z = int(CLASS[byte])
                     c -= float(model[x, y, z])
                     x, y = y, z
+                after = ahead[taken]
                 if (x, y) not in after or c < after[x, y][0]:
                     after[x, y] = (c, (out, put) if put else out)
-        states, before = after, ch
-    chain, parts = min(((c - float(model[x, y, 0]), out) for (x, y), (c, out) in states.items()), key=lambda end: end[0])[1], []
+        ahead = [ahead[1], ahead[2], {}]
+    chain, parts = min(((c - float(model[x, y, 0]), out) for (x, y), (c, out) in ahead[0].items()), key=lambda end: end[0])[1], []
     while chain:
         parts.append(chain[1])
         chain = chain[0]
     return "".join(reversed(parts))
 
 
+#: Marks at a token's ends that are punctuation: quotes, brackets, sentence marks, and signs two or more of which stand together.
+EDGES = re.compile(r"""^(?:["'(\[{.,;:?]|([*#%&$!])\1+)+|(?:["'\]}.,;:!?]|(?<!\|)\)|([*#%&$!])\2+)+$""")
+#: Emphasis round a word.
+EMPHASIS = re.compile(r"([*_#~])(.+)\1")
+#: A word with a plain number behind it, an ordinal.
+NUMBERED = re.compile(r"[^\W\d_]+[0-9]+|[0-9]+(?:st|nd|rd|th)")
+
+
 SUSPECT = np.zeros(256, bool)
 SUSPECT[[ord(c) for c in LOOKALIKES if ord(c) < 128 and c not in ".-_~&%"]] = True
 
@@ -153,9 +180,11 @@ class Restorer:
         self.model, self.known = model, {}
 
     def token(self, raw: str) -> str:
-        # Marks at the ends are punctuation, but a sign that touches the letters may stand for one.
-        core = raw.lstrip("\"'([{.,;:?#%&*").rstrip(".,;:!?\"')]}#%&*")
-        if len(core) < 2 or not any(map(str.isalpha, core)):
+        # A sign that touches the letters may stand for one.
+        core = EDGES.sub("", raw)
+        if m := EMPHASIS.fullmatch(core):
+            core = m[2]
+        if len(core) < 2 or not any(map(str.isalpha, core)) or NUMBERED.fullmatch(core):
             return raw
         if len(core) > LONG:
             return decode(core, self.model)
