@@ -518,11 +518,11 @@ def test_signs_at_the_ends_are_letters():
 def test_signs_numbers_and_doubles():
     """A sign that resembles a letter is one before it is nothing, doubles stay, numbers behind words too."""
     _, read = speller()
-    for odd, plain in (("worth1ess", "worthless"), ("tr4sh", "trash"), ("1diot", "idiot"), ("stupi|)", "stupid"), ("idiiiiot", "idiot"), ("sp@mmer", "spammer"), ("*trash*", "trash"), ("tr**ash", "trash")):
+    for odd, plain in (("worth1ess", "worthless"), ("tr4sh", "trash"), ("1diot", "idiot"), ("stupi|)", "stupid"), ("idiiiiot", "idiot"), ("sp@mmer", "spammer"), ("*trash*", "trash"), ("tr**ash", "trash"), ("nicht###", "nicht"), ("ench***", "ench"), ("word!!", "word"), ("(see", "see"), ("kind)", "kind")):
         assert read(f"an {odd} here") == f"an {plain} here"
     for odd in ("*diot", "#ate", "idio*", "!diot", "$pammer"):
         assert len(words(read(f"an {odd} here"))[1]) == len(odd)
-    for kept in ("covid19", "mp3", "b2b", "1st", "22nd", "x2", "nicht###", "ench***", "word!!", "(see", "kind)"):
+    for kept in ("covid19", "mp3", "b2b", "1st", "22nd", "x2"):
         assert read(f"an {kept} here") == f"an {kept} here"
 
 
