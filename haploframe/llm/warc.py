@@ -7,8 +7,9 @@ WARC/1.1 records in the shared folder, written by Spark's text writer with a bou
 as binary files whose records are parsed by their declared lengths from a streaming decompressor.
 
 A null page has an empty payload; payloads under ``least`` bytes are always responses; rows that repeat a page_id with
-an equal payload are all responses if that id is the smallest; a null page_id or url is written as an absent field and
-read as null; an empty table gives an empty archive and an empty result.
+an equal payload are all responses if that id is the smallest; a page without an id is a revisit where a page with one
+has an equal payload, else all such pages are responses; a null page_id or url is written as an absent field and read as
+null; an empty table gives an empty archive and an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import keep, kept_path
 
 LEAST = 100
-RECORDS_PER_FILE = 4000
+#: Bounds of an archive: records, and bytes of records before compression (one longer record is an archive of its own).
+RECORDS_PER_FILE, BYTES_PER_FILE = 4000, 1 << 30
 #: Originals up to this number (some 100 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 DATE = "2024-01-01T00:00:00Z"
@@ -47,7 +49,8 @@ def resolve(heads: DataFrame, least: int = LEAST) -> DataFrame:
     # Records that have no original to look for take a key of their own, so that short payloads don't gather in one task.
     key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest"))
     found = heads.join(firsts, key == F.col("first_digest"), "left").drop("first_digest")
-    return found.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first")
+    # A page without an id is never the smallest, so it refers to the one that is.
+    return found.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") > F.col("first"), F.lit(True)), F.col("first"))).drop("first")
 
 
 def record_id(page_id: Column) -> Column:
@@ -72,7 +75,10 @@ def records(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("block", block).select(F.concat(head, F.col("block"), F.lit("\r\n")).alias("value"))
 
 
-def write_archives(resolved: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(resolved: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> None:
+    """Gzip files below path, none with more than a number of records, nor with more bytes than the longest payload allows so many of."""
+    largest = resolved.agg(F.max("payload_bytes")).first()[0] or 0
+    per_file = max(1, min(per_file, bytes_per_file // (largest + 4096)))
     records(resolved).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
