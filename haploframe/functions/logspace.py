@@ -20,7 +20,20 @@ def log10_add(a: Column, b: Column, floor: float = -998.0) -> Column:
     return F.when(a <= floor, b).when(b <= floor, a).otherwise(top + F.log10(1 + F.pow(F.lit(10.0), low - top)))
 
 
-def logsumexp_by(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """The log-sum of a group in two aggregations: its maximum, then the sum of scaled terms."""
-    top = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    return df.join(top, keys).groupBy(*keys).agg((F.first("_top") + F.log(F.sum(F.exp(F.col(value) - F.col("_top"))))).alias(out))
+#: Values of one bucket are at most so far apart that their exponentials can be summed.
+SPAN = 256.0
+
+
+def logsumexp_by(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
+    """ln of the sum of exponentials for each key.
+
+    Sums are taken over buckets of values, partly before the shuffle, as exponentials over the bucket's greatest value; a
+    key's few buckets, (top, sum) states, are then merged. The rows are read once and joined with nothing.
+    """
+    top = F.ceil(F.col(x) / SPAN) * SPAN
+    states = df.select(*keys, F.col(x).cast("double").alias("_x"), top.alias("_top")).groupBy(*keys, "_top").agg(F.sum(F.exp(F.col("_x") - F.col("_top"))).alias("_sum"), F.max("_x").alias("_max"))
+    # A bucket whose sum is 0 in doubles holds nothing beside its greatest value.
+    whole = F.when(F.col("_sum") > 0, F.col("_top") + F.log("_sum")).otherwise(F.col("_max"))
+    both = lambda a, v: F.greatest(a, v) + F.log1p(F.exp(F.least(a, v) - F.greatest(a, v)))
+    merged = F.aggregate("_all", F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(both(a, v)))
+    return states.groupBy(*keys).agg(F.collect_list(whole).alias("_all")).select(*keys, merged.alias(name))

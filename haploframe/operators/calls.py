@@ -88,3 +88,8 @@ def sample_partitions(samples: DataFrame, parts: int, total: int) -> DataFrame:
     """sample_idx, part: even consecutive runs."""
     size = -(-total // parts)
     return samples.select("sample_idx", F.floor(F.col("sample_idx") / size).cast("int").alias("part"))
+
+
+def placed(rows: DataFrame, parts: int, samples: int) -> DataFrame:
+    """rows (sample_idx, …) with part, the number of their run of samples, each run in the partition of that number."""
+    return sample_partitions(rows, parts, samples).repartitionById(parts, F.col("part"))

@@ -17,6 +17,8 @@ BLOCK = 512
 BLOCK_CELLS = 1 << 24
 #: Summaries of blocks that are combined to one.
 FAN = 16
+#: A compact index: for each block the state before it and each marker's column of bits, in the order before the marker, as run lengths.
+COMPACT = "chrom string, block int, before int, order binary, start binary, markers array<int>, columns array<binary>"
 ORDERS = "chrom string, marker_idx int, order array<int>, divergence array<int>"
 SUMMARY = "chrom string, block int, n int, order binary, start binary"
 STATE = "chrom string, block int, before int, order binary, start binary"
@@ -121,6 +123,56 @@ def replayed(table: pa.Table) -> pa.Table:
     return pa.table({"chrom": pa.array([r["chrom"] for r in rows], pa.string()), "marker_idx": pa.array([r["marker_idx"] for r in rows], pa.int32()), "order": lists[0], "divergence": lists[1]})
 
 
+def runs_of(bits: np.ndarray) -> bytes:
+    """Lengths of the runs of equal bits, the first one of zeros (of length 0 if there is none), in groups of seven bits."""
+    n = np.diff(np.concatenate(([0], np.flatnonzero(bits[1:] != bits[:-1]) + 1, [len(bits)])))
+    n = np.concatenate(([0], n)) if len(bits) and bits[0] else n
+    # Low groups first, the highest bit tells that more follow.
+    groups = np.maximum(1, -(-np.frexp(n.astype(np.float64))[1] // 7))
+    out, ends = np.zeros(groups.sum(), np.uint8), np.cumsum(groups)
+    for k in range(int(groups.max(initial=0))):
+        some = groups > k
+        out[(ends - groups)[some] + k] = (n[some] >> 7 * k & 127) | ((groups[some] > k + 1) << 7)
+    return out.tobytes()
+
+
+def bits_of(runs: bytes) -> np.ndarray:
+    x = np.frombuffer(runs, np.uint8)
+    first = np.concatenate(([True], x[:-1] < 128))
+    of = np.cumsum(first) - 1
+    place = np.arange(len(x)) - np.flatnonzero(first)[of]
+    n = np.bincount(of, (x & 127).astype(np.float64) * 128.0**place).astype(np.int64)
+    return np.repeat(np.arange(len(n), dtype=np.uint8) & 1, n)
+
+
+def compacted(table: pa.Table) -> pa.Table:
+    """What replayed takes, to a row of a compact index."""
+    state, *rows = sorted_rows(table, "marker_idx")
+    order, start, columns = ints(state["order"]), ints(state["start"]), []
+    for m, r in enumerate(rows, state["before"]):
+        a = np.frombuffer(r["alleles"], np.uint8)
+        columns.append(runs_of((a != 0).astype(np.uint8)[order]))
+        order, start = add_column(order, start, a, m)
+    fields = [("chrom", state["chrom"], pa.string()), ("block", state["block"], pa.int32()), ("before", state["before"], pa.int32()), ("order", state["order"], pa.binary()), ("start", state["start"], pa.binary()), ("markers", [r["marker_idx"] for r in rows], pa.list_(pa.int32())), ("columns", columns, pa.list_(pa.binary()))]
+    return packed(*((name, [v], kind) for name, v, kind in fields))
+
+
+def expanded(batches):
+    """Rows of a compact index to the orders at their markers, some markers at a time."""
+    for batch in batches:
+        for r in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
+            order, start, done = ints(r["order"]), ints(r["start"]), []
+            for m, (marker, runs) in enumerate(zip(r["markers"], r["columns"])):
+                bits = np.empty(len(order), np.uint8)
+                bits[order] = bits_of(runs)
+                order, start = add_column(order, start, bits, r["before"] + m)
+                done.append((marker, order, start))
+                if len(done) * len(order) >= 1 << 20 or m + 1 == len(r["markers"]):
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(done) + 1) * len(order), pa.int32()), pa.array(np.concatenate(x).astype(np.int32))) for x in list(zip(*done))[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["chrom"]] * len(done), pa.string()), pa.array([d[0] for d in done], pa.int32()), *lists], ["chrom", "marker_idx", "order", "divergence"])
+                    done = []
+
+
 def states_before(own: DataFrame, blocks: int, fan: int) -> DataFrame:
     """STATE rows of SUMMARY rows: a tree of summaries, fan to one, up; then the states down to its leaves."""
     leaves = own.withColumn("parent", F.expr(f"block div {fan}").cast("int"))
@@ -135,17 +187,16 @@ def states_before(own: DataFrame, blocks: int, fan: int) -> DataFrame:
     return down.groupBy("chrom", "parent").applyInArrow(carried, STATE)
 
 
-def fold_order(panel: DataFrame, block: int | None = None, fan: int = FAN) -> DataFrame:
-    """chrom, marker_idx, order, divergence of a wide panel (chrom, marker_idx, alleles binary).
+def blocks_of(panel: DataFrame, block: int | None, fan: int) -> DataFrame | None:
+    """The rows of each block of markers and, without a marker_idx, the state before it; None for an empty panel.
 
     Blocks of markers are folded on their own to summaries, two numbers a haplotype and block. Summaries are combined in
-    a tree, fan of them at a time, and the order before each block comes down the tree; then each block is folded again
-    from there. No task has more than a block's cells or fan summaries. block: markers, by default as many as bound the
-    cells.
+    a tree, fan of them at a time, and the order before each block comes down the tree. No task has more than a block's
+    cells or fan summaries. block: markers, by default as many as bound the cells.
     """
     last, haps = panel.agg(F.max("marker_idx"), F.max(F.octet_length("alleles"))).first()
     if not haps:
-        return panel.sparkSession.createDataFrame([], ORDERS)
+        return None
     block = block or max(1, min(BLOCK, BLOCK_CELLS // haps))
     rows = panel.select("chrom", F.expr(f"cast(marker_idx div {block} as int)").alias("block"), F.col("marker_idx").cast("int").alias("marker_idx"), "alleles")
     blocks = last // block + 1
@@ -154,8 +205,24 @@ def fold_order(panel: DataFrame, block: int | None = None, fan: int = FAN) -> Da
         path = shared_path(panel.sparkSession, "summaries")
         own.write.parquet(path)
         own = panel.sparkSession.read.schema(SUMMARY).parquet(path)
-    both = rows.unionByName(states_before(own, blocks, fan), allowMissingColumns=True)
-    return both.groupBy("chrom", "block").applyInArrow(replayed, ORDERS)
+    return rows.unionByName(states_before(own, blocks, fan), allowMissingColumns=True)
+
+
+def fold_order(panel: DataFrame, block: int | None = None, fan: int = FAN) -> DataFrame:
+    """chrom, marker_idx, order, divergence of a wide panel (chrom, marker_idx, alleles binary): blocks of markers are folded again from the order before them."""
+    both = blocks_of(panel, block, fan)
+    return panel.sparkSession.createDataFrame([], ORDERS) if both is None else both.groupBy("chrom", "block").applyInArrow(replayed, ORDERS)
+
+
+def compact_index(panel: DataFrame, block: int = 64, fan: int = FAN) -> DataFrame:
+    """A compact index (COMPACT) of a wide panel: a state every block markers and columns of run lengths, from which expand makes all orders again."""
+    both = blocks_of(panel, block, fan)
+    return panel.sparkSession.createDataFrame([], COMPACT) if both is None else both.groupBy("chrom", "block").applyInArrow(compacted, COMPACT)
+
+
+def expand(compact: DataFrame) -> DataFrame:
+    """What fold_order gives, from a compact index; blocks are independent of each other."""
+    return compact.select(*(c.split()[0] for c in COMPACT.split(", "))).mapInArrow(expanded, ORDERS)
 
 
 def wide(alleles: DataFrame, marks: DataFrame) -> DataFrame:
@@ -166,12 +233,15 @@ def wide(alleles: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def save_index(index: DataFrame, path: str) -> None:
-    """The orders of a panel as Parquet, by marker."""
-    index.repartitionByRange("marker_idx").sortWithinPartitions("marker_idx").write.parquet(path)
+    """The orders of a panel, or a compact index, as Parquet by marker."""
+    by = ["chrom", "block"] if "columns" in index.columns else ["marker_idx"]
+    index.repartitionByRange(*by).sortWithinPartitions(*by).write.option("compression", "zstd").parquet(path)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ORDERS).parquet(path)
+    """The orders from either."""
+    found = spark.read.parquet(path)
+    return expand(found) if "columns" in found.columns else found.select("chrom", "marker_idx", "order", "divergence")
 
 
 def choose(index: DataFrame, states: int, n: int, selector: str = "auto") -> DataFrame:

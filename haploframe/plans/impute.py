@@ -80,9 +80,8 @@ class Imputer:
         return self
 
     def save_index(self, path: str) -> None:
-        if self.index is None:
-            self.build_index()
-        pbwt.save_index(self.index, path)
+        """In its compact form, from which load_index makes the orders again."""
+        pbwt.save_index(pbwt.compact_index(self.sequences()), path)
 
     def load_index(self, path: str) -> Imputer:
         self.index = pbwt.load_index(self.panel.sparkSession, path)

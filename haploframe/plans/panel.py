@@ -41,6 +41,17 @@ def markers(spark: SparkSession) -> DataFrame:
     return spark.range(MARKERS).select(m.cast("int").alias("marker_idx"), F.lit("chr1").alias("chrom"), ((m + 1) * 1000 + m * m * 10).alias("pos"), F.concat(F.lit("rs"), (m + 1).cast("string")).alias("id"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.lit(0.0).alias("cm"))
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers as many as there are parts, 500 a chromosome, every third one with a map position."""
+    k = F.col("p_partkey")
+    pos = (k % 500 + 1) * 1000 + F.col("p_size")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.cast("int").alias("marker_idx"), F.concat(F.lit("chr"), (F.expr("p_partkey div 500") + 1).cast("string")).alias("chrom"), pos.cast("long").alias("pos"), F.concat(F.lit("rs"), k.cast("string")).alias("id"), F.when(k % 3 == 0, F.col("p_retailprice") / 1000).otherwise(0.0).alias("cm"))
+
+
+def mapped_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites(spark, sf_dir).select("marker_idx", "chrom", "pos", morgans(F.col("pos"), F.col("cm")).alias("morgans"))
+
+
 def mapped(spark: SparkSession) -> DataFrame:
     return markers(spark).select("marker_idx", "chrom", "pos", morgans(F.col("pos"), F.col("cm")).alias("morgans"))
 

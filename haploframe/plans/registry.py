@@ -82,6 +82,13 @@ def stored_index(spark, sf_dir):
     return unfolded(pbwt.load_index(spark, path))
 
 
+def compact_index(spark, sf_dir):
+    """The orders from a stored compact index, five markers a block."""
+    path = shared_path(spark, "compact-index")
+    pbwt.save_index(pbwt.compact_index(wide(spark, sf_dir), 5, 3), path)
+    return unfolded(pbwt.load_index(spark, path))
+
+
 def chosen(states, selector="auto", samples=PANEL_SAMPLES):
     """States from the lists of an index, as Imputer takes them."""
     return lambda s, d: pbwt.choose(pbwt.fold_order(pbwt.wide(panel.alleles(s, d, samples), panel.markers(s))), states, 2 * samples, selector)
@@ -209,21 +216,27 @@ def theta_emission(spark, sf_dir):
     return rounded(j.select("sample_idx", "marker_idx", "hap_idx", e.alias("emission")), "emission", places=6)
 
 
+def placed(spark, sf_dir):
+    """The orders' customers as samples in five equal runs: each run's rows are in the partition of its number."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("int").alias("sample_idx"), "o_orderkey")
+    samples = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.max("c_custkey")).first()[0] + 1
+    return calls.placed(o, 5, samples).groupBy("sample_idx", "part", F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+
+
 def concordance(spark, sf_dir):
     return rounded(calls.concordance(calls.dosages(argmax(spark, sf_dir)), panel.genotypes(spark, sf_dir)), "concordance", "r2")
 
 
 def queries() -> dict:
     p = panel
-    trans = lambda s: hmm.transitions(p.mapped(s), PARAMETERS)
     post = lambda mode, window=0: lambda s, d: rounded(hmm.unrolled(p.posteriors(s, d, mode, window)).select("sample_idx", "marker_idx", "state", "log_post"), "log_post")
     values = lambda c: lambda s, d: rounded(hmm.unrolled(p.posteriors(s, d)).select("sample_idx", "marker_idx", "state", c), c)
     return {
         "panel_alleles": p.alleles,
         "target_genotypes": p.genotypes,
         "genotype_likelihoods": p.likelihoods,
-        "region_scan": lambda s, d: vcf.region(p.markers(s), "chr1:5000-20000").select("marker_idx", "chrom", "pos", "id"),
-        "marker_projection": lambda s, d: rounded(p.mapped(s), "morgans", places=9),
+        "region_scan": lambda s, d: vcf.region(p.sites(s, d), "chr1:5000-200000").select("marker_idx", "chrom", "pos", "id"),
+        "marker_projection": lambda s, d: rounded(p.mapped_sites(s, d), "morgans", places=9),
         "vcf_record_parse": parsed_records,
         "vcf_phased_rows": phased,
         "vcf_prob_rows": probability_rows,
@@ -236,15 +249,15 @@ def queries() -> dict:
         "select_states_first_l": lambda s, d: pbwt.select_first(order(s, d), STATES, HAPLOTYPES),
         "select_states_warp": lambda s, d: pbwt.select_warp(order(s, d, 64), STATES, 128),
         "select_states_longest": lambda s, d: pbwt.select_longest(pbwt.divergence(p.alleles(s, d), "documented"), STATES, HAPLOTYPES),
-        "select_states_simple": lambda s, d: pbwt.select_simple(p.markers(s), STATES, HAPLOTYPES),
+        "select_states_simple": lambda s, d: pbwt.select_simple(p.sites(s, d), STATES, HAPLOTYPES),
         "select_states_padded": lambda s, d: pbwt.select_first(order(s, d), 40, HAPLOTYPES),
         "select_dynamic": dynamic,
         "state_alleles": p.states,
         "emission_probs": p.emissions,
         "haploid_emission_theta": theta_emission,
         "haploid_emission_theta_panel": theta_emission,
-        "transition_probs": lambda s, d: rounded(trans(s), "rho", "log_stay", "log_switch", places=6),
-        "linear_switch_prob": lambda s, d: rounded(p.markers(s).select("marker_idx", gt.linear_switch(F.col("pos") / 1e6, 10000, 4e-4).alias("rho")).withColumn("stay", 1 - F.col("rho")), "rho", "stay", places=6),
+        "transition_probs": lambda s, d: rounded(hmm.transitions(p.mapped_sites(s, d), PARAMETERS), "rho", "log_stay", "log_switch", places=6),
+        "linear_switch_prob": lambda s, d: rounded(p.sites(s, d).select("marker_idx", gt.linear_switch(F.col("pos") / 1e6, 10000, 4e-4).alias("rho")).withColumn("stay", 1 - F.col("rho")), "rho", "stay", places=6),
         "logsumexp_rows": lambda s, d: rounded(logsumexp_by(logs(s, d), ["row"], "x", "lse"), "lse"),
         "logsumexp_cols": lambda s, d: rounded(logsumexp_by(logs(s, d), ["col"], "x", "lse"), "lse"),
         "logsumexp_pairwise": pairwise,
@@ -264,7 +277,7 @@ def queries() -> dict:
         "memory_estimate": lambda s, d: calls.size_report(p.alleles(s, d), p.likelihoods(s, d), STATES),
         "pack_2bit": lambda s, d: gt.pack_alleles(p.alleles(s, d).fillna(3, ["allele"]), ["marker_idx"]),
         "unpack_2bit": lambda s, d: gt.unpack_alleles(gt.pack_alleles(p.alleles(s, d).fillna(3, ["allele"]), ["marker_idx"]), ["marker_idx"]),
-        "sample_partitions": lambda s, d: calls.sample_partitions(s.range(TARGETS).select(F.col("id").cast("int").alias("sample_idx")), 5, TARGETS),
+        "sample_partitions": placed,
         "concordance_r2": concordance,
         "vcf_header_scan": header_of_file,
         "vcf_panel_scan": panel_of_file,
@@ -278,6 +291,7 @@ def queries() -> dict:
         "vcf_short_records": short_targets,
         "panel_store": stored_panel,
         "pbwt_index_store": stored_index,
+        "pbwt_compact_index": compact_index,
         "pbwt_validate_sorted": lambda s, d: pbwt.validate_sorted(order(s, d), p.alleles(s, d)),
         "index_states_first": chosen(STATES, "first"),
         "index_states_warp": chosen(STATES, "auto", 64),
@@ -312,6 +326,10 @@ tr as (select marker_idx, rho, case when 1 - rho + rho / 20000.0 < 1e-300 then -
 
 
 BASE = base()
+SITES = """
+with sites as (select *, case when cm > 0 then cm / 100.0 else pos / 1e8 end::double as morgans from (
+  select p_partkey::int as marker_idx, 'chr' || (p_partkey // 500 + 1) as chrom, ((p_partkey % 500 + 1) * 1000 + p_size)::bigint as pos, 'rs' || p_partkey as id, case when p_partkey % 3 = 0 then p_retailprice / 1000 else 0.0 end::double as cm from part))
+"""
 LSE = "list_transform({xs}, lambda xs: ln(list_sum(list_transform(xs, lambda x: exp(x - list_max(xs))))) + list_max(xs))"
 
 
@@ -355,8 +373,8 @@ def oracle_sql() -> dict:
         "panel_alleles": BASE + "select * from al",
         "target_genotypes": BASE + "select * from gen",
         "genotype_likelihoods": BASE + "select * from gl",
-        "region_scan": BASE + "select marker_idx, chrom, pos, id from mk where chrom = 'chr1' and pos between 5000 and 20000",
-        "marker_projection": BASE + "select marker_idx, chrom, pos, round(pos / 1e8, 9) + 0.0 as morgans from mk",
+        "region_scan": SITES + "select marker_idx, chrom, pos, id from sites where chrom = 'chr1' and pos between 5000 and 200000",
+        "marker_projection": SITES + "select marker_idx, chrom, pos, round(morgans, 9) + 0.0 as morgans from sites",
         "vcf_record_parse": """select o_orderkey::int as marker_idx, o_orderkey as pos, 'rs' || o_orderkey as id, 'C' as alt, case when o_orderkey % 5 = 0 then 2 else 1 end::int as n_alt, case when o_orderkey % 3 = 0 then 0.0 else (o_orderkey % 100)::double end::double as qual,
   (o_orderkey % 2)::int as s0_a0, (o_orderkey % 3)::int as s0_a1, case when o_orderkey % 4 = 0 then -1 else 0 end::int as s1_a0, case when o_orderkey % 4 = 0 then -1 else o_orderkey % 2 end::int as s1_a1 from orders""",
         "vcf_phased_rows": best + "select marker_idx, chrom || chr(9) || pos || chr(9) || id || chr(9) || ref || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || 'IMP' || chr(9) || 'GT' || chr(9) || g as line from mk join (select marker_idx, string_agg(hap0 || '|' || hap1, chr(9) order by sample_idx) as g from cl group by 1) using (marker_idx)",
@@ -371,15 +389,15 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "select_states_first_l": BASE + "select * from st0",
         "select_states_warp": base(64) + padded(STATES, 128, "(select hap_idx from pf where pf.marker_idx = m.marker_idx and k.range < 4 and pf.rank = 32 * k.range)"),
         "select_states_longest": BASE + f"select marker_idx, state, hap_idx as hap0, ((hap_idx + 1) % {HAPLOTYPES})::int as hap1 from (select *, (row_number() over (partition by marker_idx order by divergence, rank) - 1)::int as state from dv) where state < {STATES}",
-        "select_states_simple": BASE + f"select marker_idx, k.range::int as state, ((2 * k.range) % {HAPLOTYPES})::int as hap0, ((2 * k.range + 1) % {HAPLOTYPES})::int as hap1 from m, range({STATES}) k",
+        "select_states_simple": SITES + f"select marker_idx, k.range::int as state, ((2 * k.range) % {HAPLOTYPES})::int as hap0, ((2 * k.range + 1) % {HAPLOTYPES})::int as hap1 from sites, range({STATES}) k",
         "select_states_padded": BASE + padded(40, HAPLOTYPES, "(select hap_idx from pf where pf.marker_idx = m.marker_idx and pf.rank = k.range)"),
         "select_dynamic": BASE + f"select marker_idx, rank as state, hap_idx as hap0, ((hap_idx + 1) % {HAPLOTYPES})::int as hap1 from pf where rank < marker_idx % 5 + 1",
         "state_alleles": BASE + "select * from sa",
         "emission_probs": BASE + "select * from em",
         "haploid_emission_theta": BASE + ", pw as (select sample_idx, gl.marker_idx, hap_idx, coalesce(allele, 255) as a, pow(10.0, ll_00) as x, pow(10.0, ll_01) as y, pow(10.0, ll_11) as z from gl join al on gl.marker_idx = al.marker_idx) select sample_idx, marker_idx, hap_idx, round(((case when a = 0 then x else z end) * 0.999::double + y * 0.5::double + (case when a = 0 then z else x end) * 0.001::double) / (x + y + z), 6) + 0.0 as emission from pw",
         "haploid_emission_theta_panel": BASE + ", pw as (select sample_idx, gl.marker_idx, hap_idx, coalesce(allele, 255) as a, pow(10.0, ll_00) as x, pow(10.0, ll_01) as y, pow(10.0, ll_11) as z from gl join al on gl.marker_idx = al.marker_idx) select sample_idx, marker_idx, hap_idx, round(((case when a = 0 then x else z end) * 0.999::double + y * 0.5::double + (case when a = 0 then z else x end) * 0.001::double) / (x + y + z), 6) + 0.0 as emission from pw",
-        "transition_probs": BASE + "select marker_idx, round(rho::double, 6) + 0.0 as rho, round(log_stay::double, 6) + 0.0 as log_stay, round(log_switch::double, 6) + 0.0 as log_switch from tr",
-        "linear_switch_prob": BASE + "select marker_idx, round(pos / 1e6 / 100.0 * 4.0::double, 6) + 0.0 as rho, round(1 - pos / 1e6 / 100.0 * 4.0::double, 6) + 0.0 as stay from mk",
+        "transition_probs": SITES + ", gp as (select marker_idx, lead(morgans) over by_chrom - morgans as d from sites window by_chrom as (partition by chrom order by marker_idx)), rr as (select marker_idx, least(1.0, greatest(0.0, 1 - exp(greatest(0.0, d) * (-4.0 * 10000 * 4.0)))) as rho from gp where d is not null) select marker_idx, round(rho::double, 6) + 0.0 as rho, round((case when 1 - rho + rho / 20000.0 < 1e-300 then -999.0 else log10(1 - rho + rho / 20000.0) end)::double, 6) + 0.0 as log_stay, round((case when rho / 20000.0 < 1e-300 then -999.0 else log10(rho / 20000.0) end)::double, 6) + 0.0 as log_switch from rr",
+        "linear_switch_prob": SITES + "select marker_idx, round(pos / 1e6 / 100.0 * 4.0::double, 6) + 0.0 as rho, round(1 - pos / 1e6 / 100.0 * 4.0::double, 6) + 0.0 as stay from sites",
         "logsumexp_rows": logs.format(k="row"),
         "logsumexp_cols": logs.format(k="col"),
         "logsumexp_pairwise": f"with l as (select l_orderkey, -l_quantity / 10 as a, -l_discount * 100 as b from lineitem) select l_orderkey, round(sum({lse('a', 'b')}), 4) + 0.0 as lse2, round(sum({lse('a', 'b', '(a - b)')}), 4) + 0.0 as lse3, round(sum(greatest(a, b) + log10(1 + pow(10.0, least(a, b) - greatest(a, b)))), 4) + 0.0 as log10_sum from l group by 1",
@@ -399,7 +417,7 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "memory_estimate": BASE + f"select markers, haplotypes, samples, (markers * haplotypes * 5 + markers * samples * {STATES} * 8)::bigint as bytes from (select count(distinct marker_idx) as markers, count(distinct hap_idx) as haplotypes from al), (select count(distinct sample_idx) as samples from gl)",
         "pack_2bit": BASE + "select marker_idx, (hap_idx // 4)::int as byte_idx, sum((coalesce(allele, 3) & 3) << (2 * (hap_idx % 4)))::int as packed from al group by 1, 2",
         "unpack_2bit": BASE + "select marker_idx, hap_idx, coalesce(allele, 3)::int as allele from al",
-        "sample_partitions": f"select range::int as sample_idx, (range // 5)::int as part from range({TARGETS})",
+        "sample_partitions": "with c as (select max(c_custkey) + 1 as samples from customer), w as (select ceil(samples / 5.0)::int as width from c) select o_custkey::int as sample_idx, (o_custkey // width)::int as part, (o_custkey // width)::int as partition, count(*) as n from orders, w group by 1, 2",
         "vcf_header_scan": f"select range as sample_idx, 'P' || range as sample_id, 'chr1' as contig, {PANEL_SAMPLES}::bigint as samples from range({PANEL_SAMPLES})",
         "vcf_panel_scan": BASE + "select * from al",
         "vcf_wide_panel": BASE + "select marker_idx, chrom, pos, alleles from mk join (select marker_idx, string_agg(case when allele is null then 'FF' else '0' || allele end, '' order by hap_idx) as alleles from al group by 1) using (marker_idx)",
@@ -412,6 +430,7 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "vcf_short_records": BASE + f"select sample_idx, marker_idx, case when cut then 0.0 else ll_00 end::double as ll_00, case when cut then 0.0 else ll_01 end::double as ll_01, case when cut then 0.0 else ll_11 end::double as ll_11 from (select *, sample_idx >= {TARGETS} - marker_idx % 4 as cut from gl)",
         "panel_store": BASE + "select al.*, pos from al join mk using (marker_idx)",
         "pbwt_index_store": BASE + "select * from dv",
+        "pbwt_compact_index": BASE + "select * from dv",
         "pbwt_validate_sorted": BASE + "select marker_idx, count(*) as haplotypes, count(distinct hap_idx) = count(*) and count(distinct rank) = count(*) and min(hap_idx) = 0 and max(hap_idx) = count(*) - 1 as is_permutation, bool_and(prev is null or prev <= revkey) as is_sorted from pf group by 1",
         "index_states_first": BASE + "select * from st0",
         "index_states_warp": base(64) + padded(STATES, 128, "(select hap_idx from pf where pf.marker_idx = m.marker_idx and k.range < 4 and pf.rank = 32 * k.range)"),

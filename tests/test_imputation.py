@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haploframe.config import AS_IMPLEMENTED, DOCUMENTED, HMMParameters, ImputationConfig, ImputationError
+from haploframe.functions import logspace
 from haploframe.functions.genotypes import call_genotype, pack_alleles, parse_gt, unpack_alleles
 from haploframe.functions.logspace import logsumexp
 from haploframe.operators import calls, hmm, pbwt
@@ -164,6 +165,24 @@ def test_log_sums_and_packing(spark, panel):
     assert back.join(panel[0], ["marker_idx", "hap_idx", "allele"]).count() == 80
 
 
+def test_log_sums_of_far_values(spark):
+    """Values of many sizes, one row, missing values; the rows are read once."""
+    r = np.random.default_rng(3)
+    rows = [(int(k), float(x)) for k, x in zip(r.integers(0, 7, 300), r.normal(0, 900, 300))] + [(8, -5000.0), (9, None), (10, 3.0), (10, None), (11, -256.0), (11, 0.0), (11, 256.0)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    got = {x.k: x.lse for x in logspace.logsumexp_by(df, ["k"], "x", "lse").collect()}
+    for k in {k for k, _ in rows}:
+        own = [x for j, x in rows if j == k and x is not None]
+        assert got[k] is None if not own else abs(got[k] - np.logaddexp.reduce(own)) < 1e-9
+    assert logspace.logsumexp_by(df, ["k"], "x", "lse")._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_samples_are_placed(spark):
+    df = spark.range(50).select((F.col("id") % 23).cast("int").alias("sample_idx"))
+    got = calls.placed(df, 4, 23).withColumn("at", F.spark_partition_id()).collect()
+    assert len(got) == 50 and all(r.part == r.at == r.sample_idx // 6 for r in got)
+
+
 def test_stream(spark, files, panel, tmp_path):
     from haploframe.streaming.folder import impute_stream
 
