@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,15 @@ class ImputationResult:
     probabilities: DataFrame
     markers: DataFrame
     samples: list[str] | None = None
+    #: Tables kept in memory for this result.
+    held: list[DataFrame] = field(default_factory=list)
+    #: Samples and markers a second, from reading to writing, once a file was written.
+    rates: dict[str, float] = field(default_factory=dict)
+
+    def release(self) -> None:
+        """Lets go of the tables that are kept; what is asked for afterwards is made anew."""
+        for df in self.held:
+            df.unpersist()
 
     def dosages(self) -> DataFrame:
         return calls.dosages(self.imputed)
@@ -140,7 +149,8 @@ class Imputer:
         imputed = called.persist()
         pq = calls.allelic_posteriors(post, states)
         probs = pq.select("sample_idx", "marker_idx", *genotype_probabilities(F.col("p"), F.col("q")), (F.col("p") + F.col("q")).alias("ds"))
-        return ImputationResult(imputed, calls.info_scores(calls.dosages(imputed)), probs, self.markers, samples)
+        held = [states, imputed, *([post] if c.output_probabilities or c.output_dosages else [])]
+        return ImputationResult(imputed, calls.info_scores(calls.dosages(imputed)), probs, self.markers, samples, held)
 
     def impute_with_progress(self, gl: DataFrame, progress: Callable[[int, int], None], path: str, batch_size: int = 100) -> DataFrame:
         """Imputes runs of sample numbers one after the other into Parquet below path; progress(done, total) follows each. Results don't depend on the runs."""
@@ -152,7 +162,7 @@ class Imputer:
             part = gl.filter((F.col("sample_idx") >= at) & (F.col("sample_idx") < at + batch_size))
             result = self.impute(part)
             result.imputed.write.mode("append").parquet(path)
-            result.imputed.unpersist()
+            result.release()
             progress(min(at + batch_size, total), total)
         return gl.sparkSession.read.schema(schema).parquet(path)
 
@@ -166,8 +176,10 @@ def impute(spark: SparkSession, reference: str, target: str, out: str | None = N
     imputer = Imputer(panel, panel.drop("alleles"), c).build_index()
     names = vcf.read_header(spark, target).sample_names
     result = imputer.impute(goal.select("marker_idx", "calls"), goal.drop("calls"), names)
+    result.held += [panel, goal]
     if out:
         result.write_vcf(out, compression, c.output_probabilities or c.output_dosages, c.output_dosages)
         s = time.time() - began
+        result.rates = {"samples": len(names) / s, "markers": imputer.size / s}
         log.info("%d samples and %d markers in %.1f s; a second: %.1f samples, %.1f markers", len(names), imputer.size, s, len(names) / s, imputer.size / s)
     return result

@@ -228,6 +228,9 @@ def test_imputation_to_one_file(spark, files, tmp_path, end):
     want = {(r.marker_idx, r.sample_idx): f"{r.hap0}|{r.hap1}" for r in result.imputed.collect()}
     got = vcf.records(spark, str(tmp_path / f"o{end}")).select("marker_idx", F.posexplode("fields").alias("s", "x")).collect()
     assert {(r.marker_idx, r.s): r.x for r in got} == want and len(want) > 9
+    assert result.rates["samples"] > 0 and result.rates["markers"] > 0
+    result.release()
+    assert not any(df.is_cached for df in result.held) and result.imputed.count() == len(want)
 
 
 def test_wrong_files(spark, tmp_path):
