@@ -167,20 +167,27 @@ def test_toxicity_by_an_independent_decoder():
             x, y = y, z
         return total - float(model[x, y, 0])
 
-    def readings(token, before=""):
-        if not token:
+    def readings(token, i=0):
+        """What a token may say from a place on: doubles are letters, of three or more equal ones any but the first may go; signs that resemble letters are dear to lose, fillers inside cheap; others stay."""
+        if i >= len(token):
             yield "", 0.0
             return
-        ch = token[0]
+        ch, like = token[i], toxicity.LOOKALIKES.get(token[i], "")
         if ch.isalpha():
-            puts = [(ch, 0.0)] + ([("", toxicity.COST_REPEAT)] if ch == before else [])
+            run = len(token[i:]) - len(token[i:].lstrip(ch)) + len(token[:i]) - len(token[:i].rstrip(ch))
+            puts = [(1, ch, 0.0)] + ([(1, "", toxicity.COST_REPEAT)] if run >= 3 and token[i - 1 : i] == ch else [])
+        elif not like and ch not in toxicity.FILLERS:
+            puts = [(1, ch, 0.0)]
         else:
-            puts = [(x, toxicity.COST_SWAP) for x in toxicity.LOOKALIKES.get(ch, "")] + [("", toxicity.COST_FILLER if ch in toxicity.FILLERS else toxicity.COST_SKIP), (ch, toxicity.COST_KEEP)]
-        for put, price in puts:
-            for rest, more in readings(token[1:], ch):
+            cheap = ch in toxicity.FILLERS and (like == "" or i not in (0, len(token) - 1))
+            puts = [(1, x, toxicity.COST_SWAP) for x in like] + [(1, "", toxicity.COST_FILLER if cheap else toxicity.COST_SKIP), (1, ch, toxicity.COST_KEEP)]
+        if token[i : i + 2] in toxicity.TWO_SIGNS:
+            puts.append((2, toxicity.TWO_SIGNS[token[i : i + 2]], toxicity.COST_SWAP))
+        for n, put, price in puts:
+            for rest, more in readings(token, i + n):
                 yield put + rest, price + more
 
-    for token in ("t3st", "b00k", "a.b.c", "sooo", "1d10t", "f*ck", "h@!r", "x", "l1ll1", "$0$"):
+    for token in ("t3st", "b00k", "a.b.c", "sooo", "1d10t", "f*ck", "h@!r", "x", "l1ll1", "$0$", "*dio*", "ba|)", "b2b", "wo()l", "aabaaa4"):
         best = min(cost(t) + c for t, c in readings(token))
         got = toxicity.decode(token, model)
         assert abs(min(cost(t) + c for t, c in readings(token) if t == got) - best) < 1e-6
