@@ -30,11 +30,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--probabilities", action="store_true", help="write GP")
     p.add_argument("--dosages", action="store_true", help="write DS and GP")
     p.add_argument("--strict-markers", action="store_true", help="match markers by chrom, pos, ref and alt")
-    p.add_argument("--benchmark", action="store_true")
+    p.add_argument("--progress", action="store_true", help="print the share of samples done")
+    p.add_argument("--batch-size", type=int, default=100, help="samples between two lines of --progress")
+    p.add_argument("--benchmark", action="store_true", help="print seconds, samples and markers a second")
     p.add_argument("--verbose", action="store_true")
     return p
 
 
+def shown(done: int, total: int) -> None:
+    print(f"{done}/{total} samples, {100 * done / total:.1f} %", flush=True)
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, format="%(levelname)s %(message)s")
@@ -43,12 +49,13 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("haploframe").getOrCreate()
     began = time.time()
     try:
-        impute(spark, a.reference, a.target, a.output, config, "gzip" if a.gzip else "none")
+        done = impute(spark, a.reference, a.target, a.output, config, "gzip" if a.gzip else "none", shown if a.progress else None, a.batch_size)
+        done.release()
     except Exception as e:  # the exit code tells callers
         logging.error("%s", e)
         return 1
     if a.benchmark:
-        print(f"seconds {time.time() - began:.2f}")
+        print(f"seconds {time.time() - began:.2f}", *(f"{k}/s {v:.1f}" for k, v in done.rates.items()))
     return 0
 
 

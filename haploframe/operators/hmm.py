@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator, AccumulatorParam, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,6 +228,31 @@ def at_once(mode: str, wanted: tuple[str, ...]) -> Callable:
     return run
 
 
+class Finished(AccumulatorParam):
+    """Cells by partition; a partition that runs again counts once."""
+
+    def zero(self, value: dict[int, int]) -> dict[int, int]:
+        return {}
+
+    def addInPlace(self, value1: dict[int, int], value2: dict[int, int]) -> dict[int, int]:
+        return value1 | value2
+
+
+def watched(run: Callable, done: Accumulator | None) -> Callable:
+    """run, which tells done the cells of each partition that it has finished."""
+    if done is None:
+        return run
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = 0
+        for batch in run(batches):
+            cells += len(batch)
+            yield batch
+        done.add({TaskContext.get().partitionId(): cells})
+
+    return counted
+
+
 def windows_of(batch: pa.RecordBatch, mode: str) -> Iterator[tuple[str, int, list[Run]]]:
     """(sequence, first row, runs) for each window of a batch of (seq, window, sample_idx, cells, …) rows, windows in a row."""
     seqs, windows, samples = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
@@ -375,11 +401,12 @@ def complete(gl: DataFrame, marks: DataFrame) -> DataFrame:
     return grid.join(gl, ["sample_idx", "marker_idx"], "left").select("sample_idx", "marker_idx", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ll_00", "ll_01", "ll_11")))
 
 
-def posteriors(gl: DataFrame, states: DataFrame, marks: DataFrame, p: HMMParameters, mode: str = AS_IMPLEMENTED, window: int = 0, wanted: tuple[str, ...] = ALL, block: int = BLOCK) -> DataFrame:
+def posteriors(gl: DataFrame, states: DataFrame, marks: DataFrame, p: HMMParameters, mode: str = AS_IMPLEMENTED, window: int = 0, wanted: tuple[str, ...] = ALL, block: int = BLOCK, done: Accumulator | None = None) -> DataFrame:
     """sample_idx, marker_idx and what is wanted of: by state, alpha, beta and log_post (natural logs), and the marker's scale.
 
     gl has a row for each sample and marker (see complete), or is wide: marker_idx and calls, a byte for each sample (see
     vcf.wide_targets), which are cut into blocks of samples. window: markers handled at once, 0 for whole sequences.
+    done: an accumulator of Finished that hears of each finished partition.
     """
     kind = F.least(F.col("a0") + F.col("a1"), F.lit(2)).cast("string")
     g = states.groupBy("marker_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("state", kind.alias("g")))), lambda x: x["g"]), "").alias("g"))
@@ -405,16 +432,16 @@ def posteriors(gl: DataFrame, states: DataFrame, marks: DataFrame, p: HMMParamet
     rows = cut.groupBy("seq", "window", "sample_idx").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     out = "sample_idx int, marker_idx int" + "".join(f", {c} {COLUMNS[c]}" for c in wanted)
     if not window:
-        return rows.select("sample_idx", "cells").mapInArrow(at_once(mode, wanted), out)
+        return rows.select("sample_idx", "cells").mapInArrow(watched(at_once(mode, wanted), done), out)
     cells = "array<struct<" + ",".join(f"{c}:{TYPES[c]}" for c in fields) + ">>"
     if mode == AS_IMPLEMENTED:
         gone = rows.repartition(n, "sample_idx").sortWithinPartitions("seq", "window", "sample_idx").mapInArrow(forward_pass(mode), f"seq string, window int, sample_idx int, cells {cells}, before array<double>")
-        return gone.repartition(n, "sample_idx").sortWithinPartitions("seq", F.desc("window"), "sample_idx").mapInArrow(backward_pass(mode, wanted), out)
+        return gone.repartition(n, "sample_idx").sortWithinPartitions("seq", F.desc("window"), "sample_idx").mapInArrow(watched(backward_pass(mode, wanted), done), out)
     products = rows.mapInArrow(reduced, "seq string, window int, sample_idx int, product array<double>")
     each = products.groupBy("seq", "sample_idx").agg(F.array_sort(F.collect_list(F.struct("window", "product"))).alias("windows"))
     known = each.mapInArrow(edges(p.num_states), "seq string, window int, sample_idx int, before array<double>, after array<double>")
     both = rows.join(known, ["seq", "window", "sample_idx"]).select("seq", "window", "sample_idx", "cells", "before", "after")
-    return both.mapInArrow(inside(wanted), out)
+    return both.mapInArrow(watched(inside(wanted), done), out)
 
 
 def unrolled(post: DataFrame) -> DataFrame:

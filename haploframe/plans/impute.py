@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Accumulator, InheritableThread
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AS_IMPLEMENTED, ImputationConfig, ImputationError
 from ..functions.genotypes import genotype_probabilities, morgans
 from ..operators import calls, hmm, pbwt
 from ..sources import vcf
+from ..storage import shared_path
+
+#: Seconds between two looks at a running query.
+POLL = 0.2
 
 log = logging.getLogger("haploframe")
 
@@ -29,7 +35,7 @@ class ImputationResult:
     samples: list[str] | None = None
     #: Tables kept in memory for this result.
     held: list[DataFrame] = field(default_factory=list)
-    #: Samples and markers a second, from reading to writing, once a file was written.
+    #: Samples, markers and, after Imputer.run, cells a second, from reading to writing, once something was written.
     rates: dict[str, float] = field(default_factory=dict)
 
     def release(self) -> None:
@@ -133,53 +139,99 @@ class Imputer:
             raise ImputationError(f"{found} target markers for a panel of {self.size}")
         return gl
 
-    def posteriors(self, gl: DataFrame, states: DataFrame) -> DataFrame:
+    def posteriors(self, gl: DataFrame, states: DataFrame, done: Accumulator | None = None) -> DataFrame:
         c = self.config
-        return hmm.posteriors(gl, states, self.marks(), c.hmm, c.mode, c.window_size if 0 < c.window_size < self.size else 0, ("log_post",))
+        return hmm.posteriors(gl, states, self.marks(), c.hmm, c.mode, c.window_size if 0 < c.window_size < self.size else 0, ("log_post",), done=done)
+
+    def called(self, post: DataFrame, states: DataFrame) -> DataFrame:
+        return calls.argmax_calls(post, states) if self.config.deterministic else calls.sampled_calls(post, states, self.config.seed)
 
     def impute(self, gl: DataFrame, target_markers: DataFrame | None = None, samples: list[str] | None = None) -> ImputationResult:
         """gl: sample_idx, marker_idx, ll_00, ll_01, ll_11 (log10), a row for each sample and marker, or wide targets (marker_idx, calls, see vcf.wide_targets). The recursion runs once, when a result is first asked for."""
-        c = self.config
         states = self.states().persist()
         post = self.posteriors(self.check(gl, target_markers), states)
-        called = calls.argmax_calls(post, states) if c.deterministic else calls.sampled_calls(post, states, c.seed)
-        if c.output_probabilities or c.output_dosages:
-            post = post.persist()
-            called = calls.argmax_calls(post, states) if c.deterministic else calls.sampled_calls(post, states, c.seed)
-        imputed = called.persist()
+        held = [states]
+        if self.config.output_probabilities or self.config.output_dosages:
+            held.append(post := post.persist())
+        held.append(imputed := self.called(post, states).persist())
+        return self.result(imputed, post, states, samples, held)
+
+    def result(self, imputed: DataFrame, post: DataFrame, states: DataFrame, samples: list[str] | None, held: list[DataFrame]) -> ImputationResult:
         pq = calls.allelic_posteriors(post, states)
         probs = pq.select("sample_idx", "marker_idx", *genotype_probabilities(F.col("p"), F.col("q")), (F.col("p") + F.col("q")).alias("ds"))
-        held = [states, imputed, *([post] if c.output_probabilities or c.output_dosages else [])]
         return ImputationResult(imputed, calls.info_scores(calls.dosages(imputed)), probs, self.markers, samples, held)
 
+    def run(self, gl: DataFrame, path: str, progress: Callable[[int, int], None] | None = None, step: int = 100, target_markers: DataFrame | None = None, samples: list[str] | None = None) -> ImputationResult:
+        """Imputes into Parquet below path, all samples in one query; the result reads that table and has rates.
+
+        progress(done, total) is called in this thread for each ``step`` samples, and for all at the end. While the
+        query runs, samples are counted by the cells of finished tasks of the recursion, so the calls come as tasks end,
+        and a task that runs again counts once. An error of progress stops the query. gl is as in impute; no sample, no
+        call and an empty table.
+        """
+        spark = gl.sparkSession
+        began = time.time()
+        wide = "calls" in gl.columns
+        total = (gl.agg(F.max(F.octet_length("calls") if wide else F.col("sample_idx") + 1)).first()[0]) or 0
+        states = self.states().persist()
+        goal = self.check(gl, target_markers)
+        done, cells = spark.sparkContext.accumulator({}, hmm.Finished()), Observation()
+        rows = self.called(self.posteriors(goal, states, done), states).observe(cells, F.count("*").alias("cells"))
+        tag, failed = f"haploframe-{uuid.uuid4().hex}", []
+
+        def write() -> None:
+            try:
+                spark.addTag(tag)
+                rows.write.parquet(path)
+            except BaseException as e:  # raised again by the caller's thread
+                failed.append(e)
+
+        told = 0
+        job = InheritableThread(target=write, session=spark)
+        job.start()
+        try:
+            while job.is_alive():
+                job.join(POLL)
+                while progress and told + step <= min(total, sum(done.value.values()) // max(1, self.size)):
+                    told += step
+                    progress(told, total)
+        except BaseException:
+            spark.interruptTag(tag)
+            job.join()
+            states.unpersist()
+            raise
+        if failed:
+            states.unpersist()
+            raise failed[0]
+        while progress and told < total:
+            told = min(told + step, total)
+            progress(told, total)
+        s = time.time() - began
+        found = self.result(spark.read.schema(rows.schema).parquet(path), self.posteriors(goal, states), states, samples, [states])
+        found.rates = {"samples": total / s, "markers": self.size / s, "cells": cells.get["cells"] / s}
+        return found
+
     def impute_with_progress(self, gl: DataFrame, progress: Callable[[int, int], None], path: str, batch_size: int = 100) -> DataFrame:
-        """Imputes runs of sample numbers one after the other into Parquet below path; progress(done, total) follows each. Results don't depend on the runs."""
-        last = gl.agg(F.max("sample_idx")).first()[0]
-        total = 0 if last is None else last + 1
-        schema = "sample_idx int, marker_idx int, state int, hap0 int, hap1 int"
-        gl.sparkSession.createDataFrame([], schema).write.mode("append").parquet(path)
-        for at in range(0, total, batch_size):
-            part = gl.filter((F.col("sample_idx") >= at) & (F.col("sample_idx") < at + batch_size))
-            result = self.impute(part)
-            result.imputed.write.mode("append").parquet(path)
-            result.release()
-            progress(min(at + batch_size, total), total)
-        return gl.sparkSession.read.schema(schema).parquet(path)
-
-
-def impute(spark: SparkSession, reference: str, target: str, out: str | None = None, config: ImputationConfig | None = None, compression: str = "none") -> ImputationResult:
-    """Panel and targets from VCF or BCF files, results to out if it is given: one indexed file for a name that ends in .vcf.gz or .bcf, else a folder of text parts."""
+        """The imputed rows of run, with a call of progress for each batch_size samples."""
+        found = self.run(gl, path, progress, batch_size)
+        found.release()
+        return found.imputed
+
+
+def impute(spark: SparkSession, reference: str, target: str, out: str | None = None, config: ImputationConfig | None = None, compression: str = "none", progress: Callable[[int, int], None] | None = None, step: int = 100) -> ImputationResult:
+    """Panel and targets from VCF or BCF files, results to out if it is given: one indexed file for a name that ends in .vcf.gz or .bcf, else a folder of text parts. With progress (see Imputer.run) the calls are first written below spark.checkpoint.dir."""
     c = config or ImputationConfig()
     began = time.time()
     panel = vcf.panel_rows(spark, reference, c.region).persist()
     goal = vcf.target_rows(spark, target, c.region).persist()
     imputer = Imputer(panel, panel.drop("alleles"), c).build_index()
     names = vcf.read_header(spark, target).sample_names
-    result = imputer.impute(goal.select("marker_idx", "calls"), goal.drop("calls"), names)
+    known = goal.select("marker_idx", "calls"), goal.drop("calls")
+    result = imputer.run(known[0], shared_path(spark, "imputed"), progress, step, known[1], names) if progress else imputer.impute(*known, names)
     result.held += [panel, goal]
     if out:
         result.write_vcf(out, compression, c.output_probabilities or c.output_dosages, c.output_dosages)
         s = time.time() - began
-        result.rates = {"samples": len(names) / s, "markers": imputer.size / s}
+        result.rates |= {"samples": len(names) / s, "markers": imputer.size / s}
         log.info("%d samples and %d markers in %.1f s; a second: %.1f samples, %.1f markers", len(names), imputer.size, s, len(names) / s, imputer.size / s)
     return result

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import ImputationConfig
+from ..__main__ import main as command
+from ..config import ImputationConfig, ImputationError
 from ..functions import genotypes as gt
 from ..functions.logspace import log10_add, logsumexp, logsumexp_by
 from ..operators import calls, hmm, lookups, pbwt
 from ..sources import vcf
 from ..storage import shared_path
+from ..streaming.folder import impute_stream
 from . import panel
 from .impute import Imputer, impute
 from .panel import HAPLOTYPES, MARKERS, PANEL_SAMPLES, PARAMETERS, STATES, TARGETS
@@ -175,11 +177,53 @@ def imputed_files(spark, sf_dir):
     out = shared_path(spark, "imputed-vcf")
     config = ImputationConfig(PARAMETERS, selector="first", deterministic=True)
     impute(spark, panel_file(spark, sf_dir), target_file(spark, sf_dir), out, config, "gzip")
-    r = vcf.records(spark, out)
-    names = F.lit(vcf.read_header(spark, out).sample_names)
+    return lines_of(spark, out)
+
+
+def lines_of(spark, path):
+    """The cells of a written file with their samples' names."""
+    r = vcf.records(spark, path)
+    names = F.lit(vcf.read_header(spark, path).sample_names)
     return r.select("marker_idx", "chrom", "pos", F.posexplode("fields").alias("sample_idx", "gt")).withColumn("sample_id", F.get(names, "sample_idx"))
 
 
+def imputed_by_command(spark, sf_dir):
+    """The command line from files to one BCF file, its exit code, and the one it gives without a panel."""
+    out = f"{shared_path(spark, 'commanded')}.bcf"
+    args = ["-t", target_file(spark, sf_dir), "-o", out, "-s", str(STATES), "--selector", "first", "--deterministic", "--batch-size", "10", "--progress", "--benchmark"]
+    code, none = command(["-r", panel_file(spark, sf_dir), *args]), command(["-r", shared_path(spark, "none"), *args])
+    return lines_of(spark, out).withColumns({"code": F.lit(code), "code_without_panel": F.lit(none)})
+
+
+def imputed_with_progress(spark, sf_dir):
+    """Calls of one query whose progress is told for each five samples: how often, up to which sample, and whether it has rates."""
+    told = []
+    imputer = Imputer(panel.alleles(spark, sf_dir), panel.markers(spark), ImputationConfig(PARAMETERS, selector="first", deterministic=True)).build_index()
+    found = imputer.run(panel.likelihoods(spark, sf_dir), shared_path(spark, "told"), lambda *x: told.append(x), 5)
+    found.release()
+    rising = all(a < b for (a, _), (b, _) in zip(told, told[1:]))
+    return found.imputed.withColumns({"calls": F.lit(len(told)), "last": F.lit(told[-1][0]), "total": F.lit(told[-1][1]), "rising": F.lit(rising), "rates": F.lit(sum(v > 0 for v in found.rates.values()))})
+
+
+def imputed_stream(spark, sf_dir):
+    """Likelihoods that arrive as files of whole samples, imputed by the stream."""
+    path, out = shared_path(spark, "arriving"), shared_path(spark, "streamed")
+    panel.likelihoods(spark, sf_dir).repartition(4, "sample_idx").select("sample_idx", "marker_idx", "ll_00", "ll_01", "ll_11").write.parquet(path)
+    imputer = Imputer(panel.alleles(spark, sf_dir), panel.markers(spark), ImputationConfig(PARAMETERS, selector="first", deterministic=True)).build_index()
+    impute_stream(spark, imputer, path, out, shared_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def mismatch(spark, sf_dir):
+    """What the check says of targets with a marker for each part."""
+    try:
+        Imputer(panel.alleles(spark, sf_dir), panel.markers(spark)).check(panel.likelihoods(spark, sf_dir), panel.sites(spark, sf_dir))
+        said = None
+    except ImputationError as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "said string")
+
+
 def looked_up(spark, sf_dir):
     """Places inside and beyond the panel and the targets."""
     m = F.col("id")
@@ -298,6 +342,10 @@ def queries() -> dict:
         "index_states_longest": chosen(STATES, "longest"),
         "index_states_padded": chosen(40),
         "impute_files": imputed_files,
+        "impute_command": imputed_by_command,
+        "impute_progress": imputed_with_progress,
+        "impute_stream": imputed_stream,
+        "impute_mismatch": mismatch,
         "lookup_defaults": looked_up,
     }
 
@@ -437,6 +485,10 @@ select marker_idx, concat_ws(chr(9), chrom, pos, id, ref, alt, '.', 'PASS', 'IMP
         "index_states_longest": BASE + f"select marker_idx, state, hap_idx as hap0, ((hap_idx + 1) % {HAPLOTYPES})::int as hap1 from (select *, (row_number() over (partition by marker_idx order by divergence, rank) - 1)::int as state from dv) where state < {STATES}",
         "index_states_padded": BASE + padded(40, HAPLOTYPES, "(select hap_idx from pf where pf.marker_idx = m.marker_idx and pf.rank = k.range)"),
         "impute_files": best + "select marker_idx, chrom, pos, sample_idx, 'T' || sample_idx as sample_id, hap0 || '|' || hap1 as gt from cl join mk using (marker_idx)",
+        "impute_command": best + "select marker_idx, chrom, pos, sample_idx, 'T' || sample_idx as sample_id, hap0 || '|' || hap1 as gt, 0 as code, 1 as code_without_panel from cl join mk using (marker_idx)",
+        "impute_progress": best + "select cl.*, ceil(total / 5.0)::int as calls, total as last, total, true as rising, 3 as rates from cl, (select (max(sample_idx) + 1)::int as total from gl)",
+        "impute_stream": best + "select * from cl",
+        "impute_mismatch": f"select count(*) || ' target markers for a panel of {MARKERS}' as said from part",
         "lookup_defaults": best + f", g1 as (select marker_idx, avg(g) as mu, avg(g * g) as sq, avg(g) / 2 as p from (select marker_idx, (case when ll_00 > ll_01 and ll_00 > ll_11 then 0 when ll_01 > ll_11 then 1 else 2 end) as g from gl) group by 1), inf as (select marker_idx, round({info}, 6) + 0.0 as info from g1), pl as (select a.range::int as marker_idx, b.range::int as hap_idx, b.range::int as sample_idx from range(40) a, range(36) b) select pl.*, coalesce(allele, 255) as allele, coalesce(ll_00, 0.0) as ll_00, coalesce(ll_01, 0.0) as ll_01, coalesce(ll_11, 0.0) as ll_11, hap0, hap1, coalesce(hap0 + hap1, 0)::int as dosage, coalesce(info, 0.0) as info from pl left join al using (marker_idx, hap_idx) left join gl using (sample_idx, marker_idx) left join cl using (sample_idx, marker_idx) left join inf using (marker_idx)",
         "concordance_r2": best + ", cc as (select ds.marker_idx, count(*) as compared, avg((dosage = genotype)::int::double) as concordance, corr(dosage::double, genotype::double) as r from ds join gen using (sample_idx, marker_idx) where genotype is not null group by 1) select marker_idx, compared, round(concordance, 4) + 0.0 as concordance, round(case when r is null or isnan(r) then 0.0 else r * r end, 4) + 0.0 as r2 from cc",
     }

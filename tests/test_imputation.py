@@ -146,6 +146,63 @@ def test_sampling_does_not_depend_on_batches(spark, files, panel, tmp_path):
     assert seen == [(1, 2), (2, 2)] and sorted(parts.collect()) == sorted(im.impute(gl).imputed.collect())
 
 
+def test_progress_of_one_query(spark, files, panel, tmp_path, monkeypatch):
+    """Counts grow while the query runs; samples are rows or bytes of wide targets; rates come with the result."""
+    from haploframe.plans import impute as plan
+
+    im = Imputer(*panel, ImputationConfig(HMMParameters(num_states=4), deterministic=True)).build_index()
+    rows = vcf.target_likelihoods(vcf.records(spark, files[1]))
+    many = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("sample_idx", (F.col("sample_idx") + 2 * F.col("k")).cast("int")).drop("k")
+    seen, counts = [], []
+    accumulators = []
+    monkeypatch.setattr(plan, "POLL", 0.01)
+    monkeypatch.setattr(plan.hmm, "watched", lambda run, done, real=plan.hmm.watched: (accumulators.append(done), real(run, done))[1])
+
+    def told(a, b):
+        seen.append((a, b))
+        counts.append(sum(accumulators[0].value.values()))
+
+    r = im.run(many, str(tmp_path / "many"), told, 7)
+    assert seen == [(min(7 * i, 60), 60) for i in range(1, 10)]
+    # No call came before its samples' cells were counted, and each partition counted once.
+    assert all(c >= 10 * a for c, (a, _) in zip(counts, seen)) and counts[-1] == 600
+    assert set(r.rates) == {"samples", "markers", "cells"} and all(v > 0 for v in r.rates.values())
+    assert r.imputed.count() == 600 and r.info.count() == 10
+    want = im.impute(rows).imputed.drop("state").collect()
+    assert sorted((x.sample_idx % 2, *x[1:]) for x in r.imputed.filter("sample_idx >= 58").drop("state").collect()) == sorted(tuple(x) for x in want)
+    wide = im.run(vcf.target_rows(spark, files[1]).select("marker_idx", "calls"), str(tmp_path / "wide"), step=1)
+    assert sorted(wide.imputed.drop("state").collect()) == sorted(want)
+
+
+def test_progress_that_fails_stops_the_query(spark, files, panel, tmp_path):
+    im = Imputer(*panel, ImputationConfig(HMMParameters(num_states=4))).build_index()
+    gl = vcf.target_likelihoods(vcf.records(spark, files[1]))
+
+    def refuse(a, b):
+        raise KeyError(a)
+
+    with pytest.raises(KeyError):
+        im.run(gl, str(tmp_path / "p"), refuse, 1)
+    (tmp_path / "taken").mkdir()
+    with pytest.raises(Exception, match="(?i)already exists"):
+        im.run(gl, str(tmp_path / "taken"))
+
+
+def test_finished_partitions_count_once():
+    f = hmm.Finished()
+    assert f.zero({1: 2}) == {} and f.addInPlace(f.addInPlace({0: 5}, {1: 7}), {0: 5}) == {0: 5, 1: 7}
+
+
+def test_command_line_tells_progress(spark, files, tmp_path, capsys):
+    from haploframe.__main__ import main
+
+    out = str(tmp_path / "out.vcf.gz")
+    assert main(["-r", files[0], "-t", files[1], "-o", out, "-s", "4", "--deterministic", "--progress", "--batch-size", "1", "--benchmark"]) == 0
+    said = capsys.readouterr().out
+    assert "1/2 samples, 50.0 %" in said and "2/2 samples, 100.0 %" in said and "samples/s" in said and "markers/s" in said
+    assert vcf.records(spark, out).count() == 10
+
+
 def test_checks(spark, files, panel):
     im = Imputer(*panel)
     gl = vcf.target_likelihoods(vcf.records(spark, files[1]))
