@@ -66,10 +66,12 @@ def allelic_posteriors(post: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def concordance(d: DataFrame, truth: DataFrame) -> DataFrame:
-    """marker_idx, compared, concordance and r2 of dosages against known genotypes (sample_idx, marker_idx, genotype)."""
+    """marker_idx, compared, concordance and r2 of dosages against known genotypes (sample_idx, marker_idx, genotype); r2 is 0 where either is constant."""
     j = d.join(truth.filter(F.col("genotype").isNotNull()), ["sample_idx", "marker_idx"])
-    r = F.corr(F.col("dosage").cast("double"), F.col("genotype").cast("double"))
-    return j.groupBy("marker_idx").agg(F.count("*").alias("compared"), F.avg((F.col("dosage") == F.col("genotype")).cast("double")).alias("concordance"), F.coalesce(F.nanvl(r * r, F.lit(0.0)), F.lit(0.0)).alias("r2"))
+    x, y = F.col("dosage").cast("double"), F.col("genotype").cast("double")
+    # corr itself divides by zero, which is an error in ANSI mode, where either side is constant.
+    r2 = F.try_divide(F.pow(F.covar_pop(x, y), 2), F.var_pop(x) * F.var_pop(y))
+    return j.groupBy("marker_idx").agg(F.count("*").alias("compared"), F.avg((F.col("dosage") == F.col("genotype")).cast("double")).alias("concordance"), F.coalesce(r2, F.lit(0.0)).alias("r2"))
 
 
 def memory_bytes(markers: Column, haplotypes: Column, samples: Column, states: int) -> Column:

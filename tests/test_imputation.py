@@ -380,3 +380,12 @@ def test_bcf(spark, tmp_path):
     config = ImputationConfig(HMMParameters(num_states=4), selector="first", deterministic=True)
     r = impute(spark, str(tmp_path / "p.bcf"), str(tmp_path / "t.bcf"), config=config)
     assert [x.state for x in r.imputed.filter("sample_idx = 0").orderBy("marker_idx").collect()] == GOLDEN["first", AS_IMPLEMENTED][0]
+
+
+def test_concordance_of_constant_markers(spark):
+    """r2 is 0 where dosages, genotypes or both are constant, or one pair is known; it doesn't end the query."""
+    rows = [(0, 0, 1, 0), (1, 0, 1, 2), (0, 1, 0, 1), (1, 1, 2, 1), (0, 2, 2, 2), (1, 2, 2, 2), (0, 3, 1, 1), (0, 4, 0, 0), (1, 4, 1, 2), (2, 4, 2, 2), (0, 5, 1, None)]
+    d = spark.createDataFrame(rows, "sample_idx int, marker_idx int, dosage int, genotype int")
+    got = sorted(map(tuple, calls.concordance(d.drop("genotype"), d.drop("dosage")).collect()))
+    assert [r[:3] for r in got] == [(0, 2, 0.0), (1, 2, 0.0), (2, 2, 1.0), (3, 1, 1.0), (4, 3, 2 / 3)]
+    assert [r[3] for r in got[:4]] == [0.0] * 4 and abs(got[4][3] - 0.75) < 1e-12
