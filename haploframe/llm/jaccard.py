@@ -1,8 +1,13 @@
 """N-gram Jaccard join: a count-vector R-tree behind an exact prefix filter, links and their components.
 
-Texts with equal shingle sets form one class. Shingles have one global order, rarest first by the counts of 65,536
-hash buckets over all texts, then by hash. Two sets at similarity t share one of the first n - ceil(t n) + 1
-shingles of each, so classes meet in the groups of these leading shingles. A class is a point: its shingles are hashed
+Texts with equal shingle sets form one class. Two sets at similarity t differ in at most n (1 - t) / t shingles, n being
+the smaller size. So the hashes are cut into more ranges than that, and what a set holds in one range is a bundle: of the
+bundles of each set all but as many as there are differences are in the other set too. Bundles have one global order,
+rarest first by the rarest shingle in them (by the counts of 65,536 hash buckets over all texts), then by hash; by the
+prefix filter the two sets share one of the leading bundles of each, one more than differences. A single shingle is
+shared by more unrelated texts the larger the corpus is, a bundle of several is not. The number of ranges depends on the
+smaller set's size, so a set enters under its own sizes and, near their begin, under the sizes below. A set with too few
+bundles enters with all, empty ones included. Classes meet in the groups of these bundles. A class is a point: its shingles are hashed
 into ``DIMS`` groups and the counts are its coordinates. In each group an R-tree over the points finds pairs whose sum
 of coordinate minima, an upper bound of the overlap, can reach the threshold. Each class proposes its best
 ``proposals`` partners of other components; they are verified on whole texts, components are joined, and the next
@@ -10,7 +15,7 @@ round looks only at groups that still hold several components, with more proposa
 no pair is left. So every link between different components is found or excluded, while pairs inside a component
 need no test.
 
-The first round takes three leading shingles only. Large groups are split: in the first round into blocks, later into
+The first round takes three leading bundles only. Large groups are split: in the first round into blocks, later into
 parts by size and by pairs of blocks in which all pairs meet that can be linked. A document without words is linked with
 nothing; null text is such a document; fewer words than a shingle are one shingle. A ``Rule`` gives the words of a
 shingle and the least similarity: ``CONTRACT`` (three words, 9/10) for op3, ``STAGE`` (five words, 0.8) for stages of a
@@ -21,6 +26,7 @@ their own by text; component ids are the smallest doc_id, null only where no row
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +50,11 @@ class Rule(NamedTuple):
 CONTRACT, STAGE = Rule(3, 9, 10), Rule(5, 4, 5)
 DIMS = 128
 BUCKETS = 1 << 16
+#: Begins of ranges of sizes, each half as large again as the one before.
+SIZES = [1]
+while SIZES[-1] < 1 << 31:
+    SIZES.append(max(SIZES[-1] + 1, SIZES[-1] * 3 // 2))
+SIZES = np.array(SIZES)
 FIRST_TOKENS, FIRST_PROPOSALS, BLOCK_ROWS = 3, 2, 4096
 LEAF = 32
 #: Groups up to this size are compared pair by pair, larger ones through a tree.
@@ -88,12 +99,42 @@ def bucket_counts(rule: Rule = CONTRACT) -> Callable:
     return run
 
 
-def leading(n: int, rule: Rule = CONTRACT) -> int:
-    return n + (-n * rule.numerator // rule.denominator) + 1
+def differences(n: int, rule: Rule = CONTRACT) -> int:
+    """Most shingles that are in one only of a set of n and a linked one of no fewer."""
+    return n * (rule.denominator - rule.numerator) // rule.numerator
+
+
+@cache
+def ranges(c: int, rule: Rule) -> tuple[int, np.ndarray, np.ndarray]:
+    """For pairs whose smaller set has SIZES[c] shingles or more, but less than SIZES[c + 1]: most differences, inner bounds of the hash ranges, a number for each range."""
+    most = differences(int(SIZES[c + 1]) - 1, rule)
+    k = (most + 1) * 4 // 3 + 1
+    return most, np.arange(1, k, dtype=np.uint64) * np.uint64((1 << 64) // k), mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 40))
+
+
+def leading(s: np.ndarray, mixed: np.ndarray, counts: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
+    """Names of the leading bundles of a set. s: its sorted hashes; mixed: the same, scrambled; counts: how frequent each is."""
+    n, out = len(s), [np.zeros(0, np.uint64)]
+    own = differences(n, rule)
+    c = int(np.searchsorted(SIZES, n, "right")) - 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+    # Without differences only equal sets are linked, and these are one class.
+    while c >= 0 and own and (int(SIZES[c + 1]) - 1) * rule.denominator >= rule.numerator * n:
+        most, inner, names = ranges(c, rule)
+        at = np.concatenate(([0], np.searchsorted(s, inner), [n]))
+        t = mix((sums[at[1:]] - sums[at[:-1]]) ^ names)
+        full, need = np.flatnonzero(at[1:] > at[:-1]), min(own, most) + 1
+        if len(full) >= need:
+            t = t[full]
+            t = t[np.lexsort((t, np.minimum.reduceat(counts, at[:-1][full])))[:need]]
+        if most:
+            out.append(t)
+        c -= 1
+    return np.concatenate(out)
 
 
 def points(order, rule: Rule = CONTRACT) -> Callable:
-    """(doc_id, uid, text) batches to the class, size, point and leading shingles of each row. order: a broadcast of bucket counts."""
+    """(doc_id, uid, text) batches to the class, size, point and leading bundles of each row. order: a broadcast of bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
@@ -111,8 +152,7 @@ def points(order, rule: Rule = CONTRACT) -> Callable:
                     cid.append(int(mix(np.sum(m, keepdims=True) * BASE + np.bitwise_xor.reduce(mix(m), keepdims=True) + np.uint64(n)).view(np.int64)[0]))
                     at = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=DIMS)
                     vec.append(at.astype(np.uint8 if at.max() < 256 else np.int32).tobytes())
-                    rare = np.argsort(counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
-                    lead.append(s[rare[: leading(n, rule)]].view(np.int64))
+                    lead.append(leading(s, m, counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], rule).view(np.int64))
                 leads = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lead]))), pa.int32()), pa.array(np.concatenate(lead)))
                 yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), uids.slice(row, end - row), pa.array(cid, pa.int64()), pa.array(size, pa.int32()), pa.array(vec, pa.binary()), leads], ["doc_id", "uid", "cid", "n", "vec", "lead"])
 
@@ -270,7 +310,7 @@ def rooted_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     rows = keep(d.mapInArrow(points(order, rule), f"doc_id {id_type}, uid long, cid long, n int, vec binary, lead array<long>"), "points")
     classes = keep(rows.filter("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("lead").alias("lead"), F.min(F.struct("doc_id", "uid")).alias("low"), F.min("doc_id").alias("id")), "classes")
     tokens = classes.select("cid", F.posexplode("lead").alias("place", "t"))
-    shared = keep(tokens.join(tokens.groupBy("t").agg(F.count("*").alias("classes")).filter("classes > 1"), "t"), "shared-shingles")
+    shared = keep(tokens.join(tokens.groupBy("t").agg(F.count("*").alias("classes")).filter("classes > 1"), "t"), "shared-bundles")
     vectors = classes.select("cid", "n", "vec")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     comps, tested, proposals, first = None, None, FIRST_PROPOSALS, True

@@ -263,6 +263,49 @@ def test_pipeline_joins_five_words_at_four_fifths(spark):
     assert sorted(r.doc_id for r in jaccard.keep_one(d).collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def led(texts, rule):
+    """The leading hashes of each text, with counts of these texts alone."""
+    import pyarrow as pa
+
+    counts = np.zeros(jaccard.BUCKETS, np.int64)
+    for b in jaccard.bucket_counts(rule)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+        counts[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    order = type("Order", (), {"value": counts})
+    ids = pa.array(range(len(texts)), pa.int64())
+    return [x.as_py() for b in jaccard.points(order, rule)(iter([pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["doc_id", "uid", "text"])])) for x in b.column(5)]
+
+
+def test_unrelated_texts_share_no_group():
+    """With few words in use each shingle is in several texts; it alone brings none of them together."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 25, int(r.integers(150, 400)))) for _ in range(400)]
+    groups = Counter(t for lead in led(texts, jaccard.CONTRACT) for t in set(lead))
+    assert sum(n for n in groups.values() if n > 1) < 0.01 * sum(groups.values())
+
+
+@pytest.mark.parametrize("rule", [jaccard.CONTRACT, jaccard.STAGE])
+def test_linked_texts_share_a_group(rule):
+    """Copies with as many changes as the threshold allows, at all sizes, some of them mostly a frequent passage."""
+    r = np.random.default_rng(5)
+    passage, texts = " ".join(f"p{j}" for j in range(60)), []
+    for k in range(150):
+        w = [f"{k}x{j}" for j in range(int(r.integers(2, 40 if k % 2 else 700)))] + passage.split() * (k % 3 == 0)
+        texts.append(" ".join(w))
+        for _ in range(3):
+            v = list(w)
+            for at in r.integers(0, len(v), int(r.integers(1, 2 + len(v) // 45))):
+                v[at] = f"new{r.integers(1 << 40)}"
+            texts.append(" ".join(v + ["more"] * int(r.integers(0, 1 + len(v) // 30))))
+    sets = [frozenset(tuple(w[j : j + rule.shingle]) for j in range(max(1, len(w) - rule.shingle + 1))) for w in map(words, texts)]
+    lead, linked = [set(x) for x in led(texts, rule)], 0
+    for x in range(len(texts)):
+        for y in range(x - x % 4, x):
+            if sets[x] != sets[y] and rule.denominator * len(sets[x] & sets[y]) >= rule.numerator * len(sets[x] | sets[y]):
+                linked += 1
+                assert lead[x] & lead[y]
+    assert linked > 100
+
+
 def test_count_tree():
     r = np.random.default_rng(2)
     vec = np.sort(r.integers(0, 5, (3000, jaccard.DIMS)), axis=0).astype(np.int32)
