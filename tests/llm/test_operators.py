@@ -109,6 +109,46 @@ def test_suffixes(docs, empty, monkeypatch, hot):
     assert suffixes.dedup_bytes(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_groups_of_one_anchor_are_split(spark, monkeypatch, kind):
+    """A k-gram that many different stretches share: no group in a task holds more than HOT_ROWS of them, and no match is lost."""
+    monkeypatch.setattr(windows, "HOT_ROWS", 20)
+    r = random.Random(5)
+    if kind == "bytes":
+        width, k, sep, solve = 400, suffixes.GRAM, "", suffixes.solve
+        own = lambda n: "".join(r.choices("abcdefghij", k=n))
+        pool = own(300_000)
+        at = int(windows.byte_grams(np.frombuffer(pool.encode(), np.uint8), k).argmin())
+        gram, near, far = pool[at : at + k], 190, 210
+    else:
+        width, k, sep, solve = substrings.WIDTH, substrings.GRAM, " ", substrings.solve
+        own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+        pool = own(20_000)
+        data = np.frombuffer(" ".join(pool).encode(), np.uint8)
+        at = int(windows.items_of("words", data, np.array([0, len(data)]), k)[0].argmin())
+        gram, near, far = pool[at : at + k], 9, 12
+    lefts, rights = [own(near) for _ in range(12)], [own(near) for _ in range(10)]
+    items = [own(far) + lefts[i % 12] + gram + rights[i % 10] + own(far) for i in range(150)]
+    items += [own(far)[:3] + lefts[i] + gram + rights[0] + own(i) for i in range(4)] + items[:2]
+    d = windows.numbered(spark.createDataFrame([(i, sep.join(x)) for i, x in enumerate(items)], "doc_id long, text string"))
+
+    def bounded(group, *rest):
+        if np.bincount(group).max() > 20:
+            raise ValueError("too many stretches in one group")
+        return solve(group, *rest)
+
+    seen, want = {}, {}
+    for i, x in enumerate(items):
+        for j in range(len(x) - width + 1):
+            seen.setdefault(tuple(x[j : j + width]), []).append((i, j))
+    for places in seen.values():
+        for i, j in places[kind == "words" :] if len(places) > 1 else ():
+            want.setdefault(i, []).append(j)
+    found = windows.repeated(d, kind, width, k, bounded, 1, earlier=kind == "words").collect()
+    got = {row.doc_id: windows.merged([c.asDict() for c in row.cuts]) for row in found}
+    assert got == {i: windows.merged([{"begin": j, "end": j + width} for j in js]) for i, js in want.items()} and len(got) > 90
+
+
 def test_column_flags_by_brute_force():
     r = random.Random(3)
     for _ in range(20):
